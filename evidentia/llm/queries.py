@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidentia.llm import ann, bpe, chat, fingerprint, html_extract, quality, url_filter
+from evidentia.llm import ann, bpe, chat, fingerprint, html_extract, line_dedup, ngram_join, quality, url_filter
 from evidentia.llm.common import read
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -26,6 +30,10 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.near_groups(read(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op8_chat(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -41,5 +49,5 @@ def op10_fingerprint(spark, sf_dir):
     return fingerprint.edit_pairs(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_html, op5_quality, op6_url_filter, op8_chat, op9_ann, op10_fingerprint)}
-ORACLES = {"op6_url_filter": url_filter.ORACLE, "op8_chat": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_bpe, op4_html, op5_quality, op6_url_filter, op7_ngram_join, op8_chat, op9_ann, op10_fingerprint)}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_chat": chat.ORACLE}
