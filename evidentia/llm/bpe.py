@@ -12,10 +12,12 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 #: Rows that a worker turns into Python objects at once.
 SLICE = 256
 #: Entries of a worker's memo of words, emptied when full.
-MEMO = 200_000
+MEMO = 400_000
+#: The order of a pair that is never merged.
+NEVER = 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -63,37 +67,63 @@ class Bpe:
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank << 32 | vocab[a + b]  # the order of a pair and what it makes
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         newer = spec["newer"]
         self.newer = regex.compile(newer)
         self.plain = regex.compile(pattern).findall
+        # the same classes written out for texts of the first 256 code points, for the faster engine
+        letter, digit, space = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe", "\\t-\\r \\x85\\xa0"
+        self.latin = re.compile(rf" ?[{letter}]+|'(?:[sdmt]|re|ve|ll)| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         old = {"\\p{L}+": f"(?:(?!{newer})\\p{{L}})+", "\\p{N}+": f"(?:(?!{newer})\\p{{N}})+", "[^\\s\\p{L}\\p{N}]+": f"(?:[^\\s\\p{{L}}\\p{{N}}]|{newer})+"}
         self.careful = regex.compile("|".join(next((p.replace(k, v) for k, v in old.items() if p.endswith(k)), p) for p in pattern.split("|"))).findall
 
     def words(self, text: str) -> list[str]:
-        return (self.careful if not text.isascii() and self.newer.search(text) else self.plain)(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return (self.careful if self.newer.search(text) else self.plain)(text)
+        return self.latin(text)
 
     def merge(self, word: bytes) -> list[int]:
-        """Merge lowest rank first, leftmost among equals; a heap over a linked list, so long words stay cheap."""
+        """Merge the pair of lowest rank first, the leftmost among equals."""
         ids = [self.first[b] for b in word]
+        return self.merge_long(ids) if len(ids) > 64 else self.merge_short(ids)
+
+    def merge_short(self, ids: list[int]) -> list[int]:
+        """The order of each pair is looked up once and again only beside a merge."""
+        get = self.merges.get
+        orders = [get(pair, NEVER) for pair in pairwise(ids)]
+        while orders:
+            least = min(orders)
+            if least == NEVER:
+                break
+            i = orders.index(least)
+            ids[i : i + 2] = (least & 0xFFFFFFFF,)
+            del orders[i]
+            if i:
+                orders[i - 1] = get((ids[i - 1], ids[i]), NEVER)
+            if i < len(orders):
+                orders[i] = get((ids[i], ids[i + 1]), NEVER)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap over a linked list, so that long words stay cheap."""
         n, get = len(ids), self.merges.get
-        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-        for i in range(n - 1):
-            if m := get((ids[i], ids[i + 1])):
-                heap.append((m[0], i, ids[i], ids[i + 1], m[1]))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(order, i, ids[i], ids[i + 1]) for i, order in enumerate(get(pair, NEVER) for pair in pairwise(ids)) if order != NEVER]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            order, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = made, -1, after[j]
+            ids[i], ids[j], after[i] = order & 0xFFFFFFFF, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < n and (m := get((ids[p], ids[q]))):
-                    heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
+                if p >= 0 and q < n and (order := get((ids[p], ids[q]), NEVER)) != NEVER:
+                    heapq.heappush(heap, (order, p, ids[p], ids[q]))
         return [x for x in ids if x >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -265,7 +295,7 @@ def rows(batch: pa.RecordBatch) -> Iterator[list]:
         yield list(zip(*(c.slice(at, SLICE).to_pylist() for c in batch.columns), strict=True))
 
 
-def word_counts(docs: DataFrame, spec: str, text: str = "text", keep: int = 50_000, emit: int = 40_000) -> DataFrame:
+def word_counts(docs: DataFrame, spec: str, text: str = "text", keep: int = 150_000, emit: int = 131_072) -> DataFrame:
     """Frequent words of all texts and their counts (word, n).
 
     Each task counts all its words by lossy counting over at most ``2 * keep`` entries, so its memory is bounded, and
@@ -289,17 +319,17 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text", keep: int = 50_0
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, spec: str, text: str = "text", size: int = 32_768) -> bytes:
+def compile_lexicon(docs: DataFrame, spec: str, text: str = "text", size: int = 131_072) -> bytes:
     """The ``size`` most frequent words (ties in byte order) with their ids, as the bytes of a Lexicon.
 
-    ``size`` bounds what the driver collects and broadcasts: words of up to 64 bytes, under 8 MB in all.
+    ``size`` bounds what the driver collects and broadcasts: words of up to 64 bytes, under 16 MB in all with their ids.
     """
     top = word_counts(docs, spec, text).where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).collect()
     bpe = bpe_of(spec)
     return Lexicon.build({w: bpe.merge(w) for w in (r["word"].encode() for r in top)}).to_bytes()
 
 
-def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", lexicon_size: int = 32_768, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", lexicon_size: int = 131_072, with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns (id, n_tokens, ids_sha256, decoded_sha256) and, on request, ``ids`` (array<int>) and ``decoded``.
