@@ -1,12 +1,72 @@
-"""Corpus pipeline stages."""
+"""A training corpus from raw documents: quality, line dedup, near duplicates, mixture, token ids.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs.  All but the last return the columns of documents.
+"""
+
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.llm import bpe, line_dedup, mixing, ngram_join, quality
+from evidentia.llm.common import importable, read, shared_folder
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from the labelled rows among them."""
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=True).where("quality_score >= 0.5").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that stand earlier in the corpus; a document that loses all its text goes with it."""
+    importable(spark)
+    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    out = out.select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate group (five words, similarity 0.8); documents without an id stay."""
+    importable(spark)
+    groups = ngram_join.near_groups(docs)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    same = docs.withColumn("text_hash", F.xxhash64("text")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return same.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to raked shares of source, language and topic."""
+    importable(spark)
+    return mixing.mix(docs).where("mix_sampled = 1").select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document its token ids, with digests of the ids and of what they decode to."""
+    importable(spark)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True).drop("decoded")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", one_of_each_group),
+    ("mixing", sample_to_targets),
+    ("bpe", token_ids),
+]
+
+#: A trained classifier and byte-level BPE have no SQL counterpart.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,14 +24,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder that the session names.
-
-    A folder of our own is set only where ``spark.checkpoint.dir`` is unset (tests on one machine).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder that the session names; our own only where it is unset (tests on one machine)."""
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc._jsc.sc().getCheckpointDir()
+    return named.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: what is computed so far is written to the shared folder and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidentia.llm import ann, bpe, chat, fingerprint, html_extract, line_dedup, ngram_join, quality, url_filter
+from evidentia.llm import ann, bpe, chat, fingerprint, html_extract, line_dedup, mixing, ngram_join, quality, url_filter
 from evidentia.llm.common import read
 
 
+def op1_mixing(spark, sf_dir):
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc_id", "source", "lang", *(F.col(f"mix_{c}").alias(c) for c in ("topic", "tokens", "weight", "probability", "sampled")))
+
+
 def op2_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,5 +54,5 @@ def op10_fingerprint(spark, sf_dir):
     return fingerprint.edit_pairs(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_bpe, op4_html, op5_quality, op6_url_filter, op7_ngram_join, op8_chat, op9_ann, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_bpe, op4_html, op5_quality, op6_url_filter, op7_ngram_join, op8_chat, op9_ann, op10_fingerprint)}
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_chat": chat.ORACLE}
