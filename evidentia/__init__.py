@@ -1 +1 @@
-"""Dated-evidence analytics on Spark."""
+"""Dated-evidence analytics on Spark: titles in documents, resolved against a catalog as of a date."""
