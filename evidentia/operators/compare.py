@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Why an item is left unresolved, with and without possible partners.
+UNCONFIRMED, MOVED = "candidate_identity_unconfirmed", "moved_or_ambiguous"
 IDENTITY, REFERENCE = ["locator", "title", "provision"], ["title", "provision"]
 
 
@@ -80,8 +82,8 @@ def same_document(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
         .unionByName(gone.select("pair", F.lit("removed").alias("type"), F.col("item_number").alias("before_item_number"), none.alias("after_item_number")))
         .unionByName(free.where(fresh).select("pair", F.lit("added").alias("type"), none.alias("before_item_number"), F.col("item_number").alias("after_item_number")))
     )
-    reason = F.lit("moved_or_ambiguous").alias("reason")
-    unresolved = left.select("pair", reason, F.array("item_number").alias("before_item_numbers"), F.coalesce("partners", empty).alias("after_item_numbers")).unionByName(free.where(~fresh).select("pair", reason, empty.alias("before_item_numbers"), F.array("item_number").alias("after_item_numbers")))
+    reason = F.when(F.col("partners").isNull(), MOVED).otherwise(UNCONFIRMED).alias("reason")
+    unresolved = left.select("pair", reason, F.array("item_number").alias("before_item_numbers"), F.coalesce("partners", empty).alias("after_item_numbers")).unionByName(free.where(~fresh).select("pair", F.lit(UNCONFIRMED).alias("reason"), empty.alias("before_item_numbers"), F.array("item_number").alias("after_item_numbers")))
     return changes, unresolved
 
 
@@ -89,9 +91,10 @@ def related_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     """(pair, reason, before_item_numbers, after_item_numbers): every item, paired where its identity and unique reference agree."""
     o, n = counted(old).where("references = 1"), counted(new).where("references = 1")
     both = o.alias("o").join(n.alias("n"), (F.col("o.pair") == F.col("n.pair")) & null_safe("o", "n", IDENTITY)).select(F.col("o.pair").alias("pair"), F.col("o.item_number").alias("b"), F.col("n.item_number").alias("a"))
-    empty, reason = F.array().cast("array<int>"), F.lit("moved_or_ambiguous").alias("reason")
+    empty = F.array().cast("array<int>")
+    reason = F.when(F.col("a").isNull(), MOVED).otherwise(UNCONFIRMED).alias("reason")
     before = old.select("pair", F.col("item_number").alias("b")).join(both, ["pair", "b"], "left").select("pair", reason, F.array("b").alias("before_item_numbers"), F.when(F.col("a").isNull(), empty).otherwise(F.array("a")).alias("after_item_numbers"))
-    after = new.select("pair", F.col("item_number").alias("a")).join(both, ["pair", "a"], "left_anti").select("pair", reason, empty.alias("before_item_numbers"), F.array("a").alias("after_item_numbers"))
+    after = new.select("pair", F.col("item_number").alias("a")).join(both, ["pair", "a"], "left_anti").select("pair", F.lit(UNCONFIRMED).alias("reason"), empty.alias("before_item_numbers"), F.array("a").alias("after_item_numbers"))
     return before.unionByName(after)
 
 

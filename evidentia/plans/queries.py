@@ -323,19 +323,19 @@ def compare_added(spark, sf_dir):
     return compare.same_document(*item_tables(spark, sf_dir))[0].where("type = 'added'").select("pair", "after_item_number")
 
 
-@query(WITH_COMPARE + """SELECT pair, item_number::VARCHAR AS before_item_numbers, coalesce(ns, '') AS after_item_numbers FROM jo WHERE ns IS NOT NULL OR NOT (ids <= 1 AND refs <= 1 AND nids <= 1 AND nrefs <= 1)
-UNION ALL SELECT pair, '', item_number::VARCHAR FROM fr WHERE NOT (oids = 0 AND orefs = 0 AND ids <= 1 AND refs <= 1)""")
+@query(WITH_COMPARE + """SELECT pair, CASE WHEN ns IS NULL THEN 'moved_or_ambiguous' ELSE 'candidate_identity_unconfirmed' END AS reason, item_number::VARCHAR AS before_item_numbers, coalesce(ns, '') AS after_item_numbers FROM jo WHERE ns IS NOT NULL OR NOT (ids <= 1 AND refs <= 1 AND nids <= 1 AND nrefs <= 1)
+UNION ALL SELECT pair, 'candidate_identity_unconfirmed', '', item_number::VARCHAR FROM fr WHERE NOT (oids = 0 AND orefs = 0 AND ids <= 1 AND refs <= 1)""")
 def compare_unresolved(spark, sf_dir):
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return compare.same_document(*item_tables(spark, sf_dir))[1].select("pair", joined("before_item_numbers"), joined("after_item_numbers"))
+    return compare.same_document(*item_tables(spark, sf_dir))[1].select("pair", "reason", joined("before_item_numbers"), joined("after_item_numbers"))
 
 
 @query(WITH_COMPARE + """, p AS (SELECT o.pair, o.item_number AS b, n.item_number AS a FROM oc o JOIN nc n ON o.pair = n.pair AND o.locator = n.locator AND o.title = n.title AND o.provision IS NOT DISTINCT FROM n.provision WHERE o.refs = 1 AND n.refs = 1)
-SELECT o.pair, o.item_number::VARCHAR AS before_item_numbers, coalesce(p.a::VARCHAR, '') AS after_item_numbers FROM old o LEFT JOIN p ON p.pair = o.pair AND p.b = o.item_number
-UNION ALL SELECT n.pair, '', n.item_number::VARCHAR FROM new n LEFT JOIN p ON p.pair = n.pair AND p.a = n.item_number WHERE p.a IS NULL""")
+SELECT o.pair, CASE WHEN p.a IS NULL THEN 'moved_or_ambiguous' ELSE 'candidate_identity_unconfirmed' END AS reason, o.item_number::VARCHAR AS before_item_numbers, coalesce(p.a::VARCHAR, '') AS after_item_numbers FROM old o LEFT JOIN p ON p.pair = o.pair AND p.b = o.item_number
+UNION ALL SELECT n.pair, 'candidate_identity_unconfirmed', '', n.item_number::VARCHAR FROM new n LEFT JOIN p ON p.pair = n.pair AND p.a = n.item_number WHERE p.a IS NULL""")
 def compare_related_versions(spark, sf_dir):
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return compare.related_versions(*item_tables(spark, sf_dir)).select("pair", joined("before_item_numbers"), joined("after_item_numbers"))
+    return compare.related_versions(*item_tables(spark, sf_dir)).select("pair", "reason", joined("before_item_numbers"), joined("after_item_numbers"))
 
 
 @query(WITH_COMPARE + "SELECT pair, item_number, ids::BIGINT AS identities, refs::BIGINT AS \"references\" FROM oc")

@@ -34,12 +34,26 @@ def rows_html(items: DataFrame, events: DataFrame) -> DataFrame:
     return joined.select("pair", F.row_number().over(Window.partitionBy("pair").orderBy(order, "item_number")).alias("place"), row.alias("html"))
 
 
+#: What a page says above its items.
+HEADS = "pair int, document_name string, as_of string, digest string, n_items int, unreviewed_count long, disposition_counts map<string,long>, seconds map<string,double>, errors array<struct<code:string,stage:string,message:string>>"
+
+
+def listed(c):
+    """``key: value`` pairs of a map in the order of its keys; no value is told as unknown."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(cell(x["key"]), F.lit(": "), F.coalesce(x["value"].cast("string"), F.lit("unknown")))), ", ")
+
+
 def pages(items: DataFrame, events: DataFrame, heads: DataFrame) -> DataFrame:
-    """(pair, html) for heads (pair, document_name, as_of); one page a report, at most as many rows as a report has items."""
+    """(pair, html) for heads as in HEADS; one page a report, whose items are bounded in number."""
     rows = rows_html(items, events).groupBy("pair").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "html"))), lambda x: x["html"]), "\n").alias("rows"))
     counts = items.groupBy("pair").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
     joined = heads.join(counts, "pair", "left").join(rows, "pair", "left")
     summary = F.concat_ws(", ", *(F.concat(F.lit(f"{s}: "), F.coalesce(s, F.lit(0)).cast("string")) for s in PRIORITY))
-    top = F.concat(F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>'), cell(F.col("document_name")), F.lit("</title></head><body><h1>"), cell(F.col("document_name")), F.lit("</h1><p>As of "), cell(F.col("as_of")), F.lit("; "), summary, F.lit("</p><table>\n"))
-    head = F.lit("<tr><th>Item</th><th>Status</th><th>Reason</th><th>Place</th><th>Title</th><th>Provision</th><th>Decision</th><th>Evidence</th></tr>\n")
-    return joined.select("pair", F.concat(top, head, F.coalesce("rows", F.lit("")), F.lit("\n</table></body></html>\n")).alias("html"))
+    errors = F.array_join(F.transform("errors", lambda e: F.concat(F.lit("<li>"), cell(e["code"]), F.lit(" ("), cell(e["stage"]), F.lit("): "), cell(e["message"]), F.lit("</li>"))), "")
+    warning = F.when(F.size("errors") > 0, F.concat(F.lit("<h2>Collection errors: the evidence is incomplete</h2><ul>"), errors, F.lit("</ul>"))).otherwise("")
+    empty = F.when(F.col("n_items") == 0, "<p>No candidates: this does not mean that the review is complete.</p>").otherwise("")
+    name, para = cell(F.col("document_name")), lambda *c: F.concat(F.lit("<p>"), *(F.lit(x) if isinstance(x, str) else x for x in c), F.lit("</p>"))
+    top = F.concat(F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Evidence review</title></head><body><h1>Evidence review</h1>'), para(name, ", as of ", cell(F.col("as_of")), ", report digest ", cell(F.col("digest"))), para("This page holds identifiers and evidence as they are; it draws no legal conclusion."))
+    told = F.concat(warning, para("Statuses: ", summary), para("Unreviewed: ", F.col("unreviewed_count").cast("string"), "; decisions: ", listed("disposition_counts")), para("Seconds by stage: ", listed("seconds")), empty)
+    head = F.lit("<table>\n<tr><th>Item</th><th>Status</th><th>Reason</th><th>Place</th><th>Title</th><th>Provision</th><th>Decision</th><th>Evidence</th></tr>\n")
+    return joined.select("pair", F.concat(top, told, head, F.coalesce("rows", F.lit("")), F.lit("\n</table></body></html>\n")).alias("html"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import compare, ledger
 from evidentia.plans import render
+from evidentia.sources.ledger_store import new_ledger
 from evidentia.sources.reports import COMPARISON_SCHEMA, event_table, item_table, validate_ledger, validate_report
+from evidentia.sources.strict_json import digest
 
 
 def compare_reports(spark: SparkSession, before: dict, after: dict, related: bool = False) -> dict:
@@ -46,7 +48,11 @@ def review_summary(spark: SparkSession, book: dict, report: dict) -> dict:
     return ledger.summary(event_table(spark, book), heads).drop("ledger").first().asDict(recursive=True)
 
 
-def render_review(spark: SparkSession, report: dict, book: dict) -> str:
-    validate_ledger(book, validate_report(report))
-    heads = spark.createDataFrame([(0, report["document_name"], report["as_of"])], "pair int, document_name string, as_of string")
+def render_review(spark: SparkSession, report: dict, book: dict | None = None) -> str:
+    book = new_ledger(validate_report(report)) if book is None else book
+    summary = review_summary(spark, book, report)
+    heads = spark.createDataFrame(
+        [(0, report["document_name"], report["as_of"], digest(report), len(report["items"]), summary["unreviewed_count"], summary["disposition_counts"], {k: v["seconds"] for k, v in summary["timing"].items()}, [(e["code"], e["stage"], e["message"]) for e in report["collection_errors"]])],
+        render.HEADS,
+    )
     return render.pages(item_table(spark, report), event_table(spark, book), heads).first()["html"]
