@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import checks
-from evidentia.operators import compare, extract, ledger, resolve
+from evidentia.operators import compare, extract, ledger, report, resolve
 from evidentia.plans import oracles as o
+from evidentia.plans import render
 from evidentia.plans.registry import query
+from evidentia.sources import hwpx
 
 AS_OF = "2025-01-01"
 COMMON = ["the", "there", "on", "onen", "ing the", "nting"]
@@ -397,6 +399,9 @@ def unreviewed_count(spark, sf_dir):
 EVENT_SQL = """'{"action":"' || action || '","at":"' || "at" || '","disposition":' || coalesce('"' || disposition || '"', 'null') || ',"item_number":' || coalesce(item_number::VARCHAR, 'null') || ',"previous_event_digest":' || 'null' || ',"sequence":' || sequence || ',"stage":' || coalesce('"' || stage || '"', 'null') || '}'"""
 
 
+CHAINED_SQL = EVENT_SQL.replace(""""previous_event_digest":' || 'null'""", """"previous_event_digest":"' || prev || '"'""")
+
+
 @query(WITH_LEDGER + f"SELECT ledger, sequence, sha256({EVENT_SQL}) AS digest FROM events0")
 def ledger_event_digest(spark, sf_dir):
     e = ledger_events(spark, sf_dir).withColumn("previous_event_digest", F.lit(None).cast("string"))
@@ -450,3 +455,58 @@ def measured_seconds(spark, sf_dir):
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", checks.html_escape(F.col("html")).alias("escaped"))
+
+
+ROW_SQL = "'<tr><td>' || item_number || '</td><td>' || status || '</td><td>' || reason_code || '</td><td>' || 'n' || ordinal || '</td><td>' || coalesce(title, '') || '</td><td>' || coalesce(provision, '') || '</td><td>unreviewed</td><td><ul></ul></td></tr>'"
+
+
+@query(WITH_ITEMS + f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['REVIEW', 'UNKNOWN', 'HISTORY', 'CURRENT'], status), item_number)::INT AS place, {ROW_SQL} AS html FROM items")
+def review_rows_html(spark, sf_dir):
+    items = licence_items(spark, sf_dir).select(F.col("doc_id").alias("pair"), "item_number", F.concat(F.lit("n"), F.col("ordinal").cast("string")).alias("locator"), "title", "provision", "status", "reason_code", F.array().cast(resolve.EVIDENCE).alias("evidence"))
+    none = spark.createDataFrame([], "ledger long, sequence int, action string, item_number int, disposition string")
+    return render.rows_html(items, none).withColumnRenamed("pair", "doc_id")
+
+
+# --- reports and documents
+
+
+@query(WITH_ITEMS + "SELECT doc_id, item_number, json_object('locator', 'n' || ordinal, 'reference', json_object('title', title, 'provision', provision), 'status', status, 'reason_code', reason_code, 'evidence', json_array())::VARCHAR AS json FROM items")
+def report_item_json(spark, sf_dir):
+    rows = licence_items(spark, sf_dir).withColumns({"locator": F.concat(F.lit("n"), F.col("ordinal").cast("string")), "evidence": F.array().cast(resolve.EVIDENCE)})
+    return rows.select("doc_id", "item_number", F.to_json(report.item(), {"ignoreNullFields": "false"}).alias("json"))
+
+
+@query(WITH_ITEMS + "SELECT d.doc_id, sha256(d.text) AS document_sha256, count(i.doc_id) FILTER (WHERE d.doc_id % 3 <> 0)::BIGINT AS items, CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS errors FROM documents d LEFT JOIN items i ON i.doc_id = d.doc_id GROUP BY d.doc_id, d.text")
+def reports_fail_closed(spark, sf_dir):
+    """Documents of which a third have an error: those have it and no items, whatever was found."""
+    docs = table(spark, sf_dir, "documents")
+    documents = docs.select(F.col("doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("document_sha256"))
+    items = licence_items(spark, sf_dir).withColumnRenamed("doc_id", "path").withColumn("locator", F.col("ordinal").cast("string"))
+    errors = documents.where("path % 3 = 0").select("path", F.lit("HWPX_XML_INVALID").alias("code"), F.lit("parse").alias("stage"), F.lit(None).cast("string").alias("locator"), F.lit("m").alias("message"))
+    made = report.reports(documents, items, errors, AS_OF, "c" * 64)
+    return made.select(F.col("path").alias("doc_id"), "document_sha256", F.size("items").cast("long").alias("items"), F.size("collection_errors").alias("errors"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, ordinal, 'Contents/section0.xml:t[' || ordinal || ']' AS locator, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS ordinal FROM documents) WHERE text <> ''")
+def hwpx_nodes(spark, sf_dir):
+    """Every document written as an archive of one section, a text element a line, and parsed again."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("lines"))
+    return hwpx.parse_documents(hwpx.as_archives(docs)).where("text IS NOT NULL").select("path", "ordinal", "locator", "text")
+
+
+@query(WITH_LEDGER + f""", d AS (SELECT ledger, max(sequence) AS n, arg_max(sha256({EVENT_SQL}), sequence) AS prev FROM events0 GROUP BY ledger),
+e AS (SELECT ledger, n + 1 AS sequence, prev, 'finish' AS action, '2030-01-01T00:00:00Z' AS "at", NULL AS disposition, NULL::INT AS item_number, 'triage' AS stage FROM d)
+SELECT ledger, sequence::INT AS sequence, prev AS previous_event_digest, sha256({CHAINED_SQL}) AS digest FROM e""")
+def ledger_append(spark, sf_dir):
+    events = ledger_events(spark, sf_dir).withColumn("previous_event_digest", F.lit(None).cast("string"))
+    events = events.withColumn("digest", ledger.event_digest())
+    new = events.select("ledger").distinct().select("ledger", F.lit("finish").alias("action"), F.lit(None).cast("int").alias("item_number"), F.lit(None).cast("string").alias("disposition"), F.lit("triage").alias("stage"), F.lit("2030-01-01T00:00:00Z").alias("at"))
+    return ledger.append(events, new).where("at = '2030-01-01T00:00:00Z'").select("ledger", "sequence", "previous_event_digest", "digest")
+
+
+@query(WITH_LEDGER + """, b AS (SELECT ledger, sequence, action, CASE WHEN sequence % 5 = 0 THEN 11 ELSE item_number END AS item_number, disposition, CASE WHEN sequence % 7 = 0 THEN 'triage' ELSE stage END AS stage FROM events0)
+SELECT ledger, sequence, CASE WHEN action = 'decide' THEN item_number BETWEEN 1 AND 10 AND stage IS NULL ELSE item_number IS NULL AND stage IS NOT NULL END AS coherent FROM b""")
+def event_coherence(spark, sf_dir):
+    s = F.col("sequence")
+    bent = ledger_events(spark, sf_dir).withColumns({"item_number": F.when(s % 5 == 0, 11).otherwise(F.col("item_number")), "stage": F.when(s % 7 == 0, "triage").otherwise(F.col("stage"))})
+    return bent.select("ledger", "sequence", ledger.coherent(F.lit(10)).alias("coherent"))

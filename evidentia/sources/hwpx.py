@@ -14,12 +14,14 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.errors import COLLECTION
+from evidentia.workers import importable
 
 MIMETYPE = b"application/hwp+zip"
 SECTION = re.compile(r"Contents/section([0-9]+)\.xml")
@@ -186,6 +188,7 @@ def parse_documents(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     names = [x.split()[0] for x in PARSED.split(", ")]
     arrow = pa.schema([(n, pa.int32() if n in ("section_rank", "ordinal") else pa.string()) for n in names])
+    importable(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, PARSED)
 
 
@@ -195,11 +198,29 @@ def read_documents(spark: SparkSession, folder: str, limits: Limits = Limits())
     return parse_documents(files, limits)
 
 
-def write_document(path, texts: list[str], section: str = "Contents/section0.xml") -> None:
-    """A small document of one section, for demonstrations and tests."""
-    from xml.sax.saxutils import escape
-
+def archive(texts: list[str], section: str = "Contents/section0.xml") -> bytes:
+    """A small document of one section, a text element each."""
     xml = '<?xml version="1.0" encoding="UTF-8"?><hs:section xmlns:hs="http://www.hancom.co.kr/hwpml/2011/paragraph">' + "".join(f"<hs:t>{escape(t)}</hs:t>" for t in texts) + "</hs:section>"
-    with zipfile.ZipFile(path, "x", zipfile.ZIP_DEFLATED) as z:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("mimetype", MIMETYPE)
         z.writestr(section, xml.encode())
+    return out.getvalue()
+
+
+def as_archives(documents: DataFrame) -> DataFrame:
+    """(path, content) like ``binaryFile`` from (path, lines array<string>)."""
+
+    def run(batches):
+        for batch in batches:
+            made = [archive(lines.as_py() or []) for lines in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    importable(documents.sparkSession)
+    return documents.select("path", "lines").mapInArrow(run, "path string, content binary")
+
+
+def write_document(path, texts: list[str]) -> None:
+    """One such document as a new file."""
+    with open(path, "xb") as f:
+        f.write(archive(texts))
