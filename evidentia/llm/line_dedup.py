@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in Spark expressions only.
 
-Lines are sequences of words.  A line goes when an earlier line of the corpus is within one word edit of it (a word
+Lines are sequences of words, divided by single blanks.  A line goes when an earlier line of the corpus is within one word edit of it (a word
 inserted, left out or replaced; equal lines included).  Equal lines meet by hash.  Two lines one edit apart have the first
 or the last half of the shorter one's words in common, so only lines that share such a half with another line emit variants:
 the line without each of its words, and the whole line, as hashed keys.  Equal variants are joined, each group to its
@@ -12,21 +12,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import checkpointed
+from evidentia.llm.common import checkpointed, stored
 
 #: Lines of fewer words are left as they are.
 MIN_WORDS = 5
-BREAKS = "[ \\t\\r\\f\\x0B]+"
-MASK, SPAN = (1 << 36) - 1, 256
+#: Sums of hashes are kept below this power of two; running sums are built in spans.
+MASK, SPAN = (1 << 62) - 1, 256
+#: Bits of the filter that spares most lines the way to the join: 16 a line, at most 2**24 (262,144 rows of 64 bits).
+FILTER_BITS = 1 << 24
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, BREAKS), lambda w: w != "")
+    """What stands between single blanks."""
+    return F.split(line, " ")
 
 
 def running(values: Column) -> Column:
-    """[0, v0, v0 + v1, ...]; meant for short arrays."""
-    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+    """[0, v0, v0 + v1, ...], each below MASK; meant for short arrays."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array((F.element_at(acc, -1) + v).bitwiseAND(F.lit(MASK)))))
 
 
 def span_sums(values: Column) -> Column:
@@ -34,15 +37,15 @@ def span_sums(values: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SPAN).cast("int")), lambda b: running(F.slice(values, b * SPAN + 1, SPAN)))
 
 
-def placed_hashes(words: str, seed: int, back: int) -> Column:
+def placed_hashes(words: str, back: int) -> Column:
     """A hash of each word with its place, counted from 0, less ``back``."""
-    return F.transform(words, lambda w, k: F.xxhash64(F.lit(seed), w, k - back).bitwiseAND(F.lit(MASK)))
+    return F.transform(words, lambda w, k: F.xxhash64(w, k - back).bitwiseAND(F.lit(MASK)))
 
 
 def sum_before(spans: Column, totals: Column, i: Column) -> Column:
     """The sum of the first i values."""
     b = F.floor(i / SPAN).cast("int")
-    return F.get(totals, b) + F.coalesce(F.get(F.get(spans, b), (i % SPAN).cast("int")), F.lit(0).cast("long"))
+    return (F.get(totals, b) + F.coalesce(F.get(F.get(spans, b), (i % SPAN).cast("int")), F.lit(0).cast("long"))).bitwiseAND(F.lit(MASK))
 
 
 def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -50,48 +53,60 @@ def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.withColumns({"k1": F.xxhash64(F.col(id_column), F.col(text)), "k2": F.xxhash64(F.lit(1), F.col(text), F.col(id_column))})
 
 
-def lines_of(docs: DataFrame, id_column: str, text: str, min_words: int) -> DataFrame:
-    """(id, k1, k2, line_no, h1, h2, n and keys of the halves) of the lines that take part."""
+def lines_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, k1, k2, line_no, line, h1, h2) of all lines; h1, h2 are 128 bits of the line."""
     lines = keyed(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", "text").select("id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    w = lines.select("id", "k1", "k2", "line_no", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
-    return w.withColumns({"h1": F.xxhash64("w"), "h2": F.xxhash64(F.lit(2), F.col("w"))})
+    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), F.col("line"))})
+
+
+def passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose h1 may be among the wanted ones, by a bitmap of bounded size; a join must follow."""
+    n = wanted.count()
+    bits = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
+    slot = F.pmod("h1", F.lit(bits))
+    table = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
+    return rows.withColumn("slot", slot).join(F.broadcast(table), F.shiftright("slot", 6) == F.col("cell")).where(F.expr("shiftright(bits, cast(slot & 63 AS int)) & 1") == 1).drop("slot", "cell", "bits")
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, gone array<int>): for each row that loses lines their numbers, from 0."""
-    lines = lines_of(docs, id_column, text, min_words)
-    p, q = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
-    half = lambda side, m: F.xxhash64(F.lit(side), m, F.slice("w", 1, m) if side == 3 else F.slice(F.col("w"), F.col("n") - m + 1, m))
-    halves = lines.withColumns({"a1": half(3, p), "z1": half(4, p), "a2": F.when(p != q, half(3, q)), "z2": F.when(p != q, half(4, q))})
+    lines = lines_of(docs, id_column, text)
+    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    long = lines.withColumn("n", (blanks + 1).cast("int")).where(F.col("n") >= min_words)
+    p, q = F.shiftright("n", 1), F.shiftright(F.col("n") - 1, 1)
+    half = lambda m: F.xxhash64(m, F.call_function("substring_index", F.col("line"), F.lit(" "), m))
+    sides = {"a1": half(p), "z1": half(-p), "a2": F.when(p != q, half(q)), "z2": F.when(p != q, half(-q))}
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2", "line_no")
-    distinct = checkpointed(halves.groupBy("h1", "h2", "n", "a1", "z1", "a2", "z2").agg(F.min(place).alias("first"), F.count("*").alias("times")))
+    distinct = stored(long.withColumns(sides).groupBy("h1", "h2", "a1", "z1", "a2", "z2").agg(F.min(place).alias("first"), F.count("*").alias("times")))
 
     # lines that share a half with another line
-    halved = distinct.select("h1", "h2", "n", "first", F.explode(F.array_compact(F.array("a1", "z1", "a2", "z2"))).alias("half"))
-    shared = halved.groupBy("half").agg(F.count("*").alias("m")).where("m > 1").select("half")
-    likely = halved.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    halved = distinct.select("h1", "h2", "first", F.explode(F.array_compact(F.array("a1", "z1", "a2", "z2"))).alias("half"))
+    shared = halved.select("half").groupBy("half").agg(F.count("*").alias("m")).where("m > 1").select("half")
+    likely = checkpointed(halved.join(shared.hint("shuffle_hash"), "half", "left_semi").select("h1", "h2", "first").dropDuplicates(["h1", "h2"]))
 
-    # their words, fetched from the documents that hold their first places
-    wanted = likely.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("h1", "h2", "first")).alias("wanted"))
-    held = keyed(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", "text").join(wanted, ["k1", "k2"])
-    each = held.dropDuplicates(["k1", "k2"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
-    near = checkpointed(each.select("x.h1", "x.h2", "x.first", words_of(F.get("lines", F.col("x.first.line_no"))).alias("w")).withColumn("n", F.size("w")))
+    # their words, from where each stands first
+    first = {x: F.col(f"first.{x}") for x in ("k1", "k2", "line_no")}
+    at_first = (F.col("k1") == first["k1"]) & (F.col("k2") == first["k2"]) & (F.col("line_no") == first["line_no"])
+    found = passing(lines.select("k1", "k2", "line_no", "line", "h1", "h2"), likely).join(likely, ["h1", "h2"]).where(at_first)
+    near = checkpointed(found.dropDuplicates(["h1", "h2"]).select("h1", "h2", "first", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")))
 
     # variants: sums of hashes of (word, place) before the missing word, and of (word, place - 1) after it
-    sums = near.select("h1", "h2", "first", "n", *(placed_hashes("w", s, d).alias(f"g{s}{d}") for s in (5, 6) for d in (0, 1)))
-    sums = sums.select("h1", "h2", "first", "n", *(span_sums(F.col(f"g{s}{d}")).alias(f"s{s}{d}") for s in (5, 6) for d in (0, 1)))
-    sums = sums.withColumns({f"t{s}{d}": running(F.transform(f"s{s}{d}", lambda x: F.element_at(x, -1))) for s in (5, 6) for d in (0, 1)})
-    before = lambda s, d, i: sum_before(F.col(f"s{s}{d}"), F.col(f"t{s}{d}"), i)
-    total = lambda s, d: F.element_at(f"t{s}{d}", -1)
-    without = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.col("n") - 1, *(before(s, 0, i) + total(s, 1) - before(s, 1, i + 1) for s in (5, 6))).alias("key")))
-    variants = checkpointed(sums.select("h1", "h2", "first", F.xxhash64("n", *(total(s, 0) for s in (5, 6))).alias("whole"), without.alias("v")))
+    sums = near.select("h1", "h2", "first", "n", *(placed_hashes("w", d).alias(f"g{d}") for d in (0, 1)))
+    sums = sums.select("h1", "h2", "first", "n", *(span_sums(F.col(f"g{d}")).alias(f"s{d}") for d in (0, 1)))
+    sums = sums.withColumns({f"t{d}": running(F.transform(f"s{d}", lambda x: F.element_at(x, -1))) for d in (0, 1)})
+    before = lambda d, i: sum_before(F.col(f"s{d}"), F.col(f"t{d}"), i)
+    total = lambda d: F.element_at(f"t{d}", -1)
+    key = lambda n, x: F.xxhash64(n, x.bitwiseAND(F.lit(MASK)))
+    without = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), key(F.col("n") - 1, before(0, i) + (total(1) - before(1, i + 1)).bitwiseAND(F.lit(MASK))).alias("key")))
+    variants = checkpointed(sums.select("h1", "h2", "first", key(F.col("n"), total(0)).alias("whole"), without.alias("v")))
     shorter = variants.select("h1", "h2", "first", F.explode("v").alias("v")).select("h1", "h2", "first", "v.i", "v.key")
     line = F.struct("first", "h1", "h2")
-    heads = shorter.groupBy("key", "i").agg(F.min(line).alias("head"), F.count("*").alias("m")).where("m > 1").select("key", F.col("i").alias("hi"), "head")
-    replaced = shorter.join(heads, "key").where("i = hi AND first <> head.first").select(line.alias("late"), F.col("head").alias("early"))
-    whole = variants.select(F.col("whole").alias("key"), F.struct("first", "h1", "h2").alias("other"))
-    cut = shorter.join(whole, "key").select(line.alias("x"), F.col("other").alias("y"))
-    cut = cut.select(F.greatest("x", "y").alias("late"), F.least("x", "y").alias("early"))
+    twice = variants.select(F.explode("v").alias("v")).groupBy("v.key", "v.i").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("hk"), F.col("i").alias("hi"))
+    equal = checkpointed(shorter.join(twice.hint("shuffle_hash"), (F.col("key") == F.col("hk")) & (F.col("i") == F.col("hi"))).select("key", "i", line.alias("x")))
+    heads = equal.groupBy("key", "i").agg(F.min("x").alias("head"))
+    replaced = equal.join(heads, ["key", "i"]).where("x <> head").select(F.col("x").alias("late"), F.col("head").alias("early"))
+    whole = variants.select(F.col("whole").alias("key"), line.alias("other"))
+    cut = shorter.select("key", line.alias("x")).join(whole.hint("shuffle_hash"), "key").select(F.greatest("x", "other").alias("late"), F.least("x", "other").alias("early"))
     pairs = replaced.unionByName(cut).distinct()
 
     # verify on the words
@@ -102,10 +117,11 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     near_gone = full.where(within_one(F.col("wa"), F.col("wb"))).select(F.col("late_1").alias("h1"), F.col("late_2").alias("h2")).distinct()
 
     # every place of a line that is gone, and all but the first place of a line that stays
-    fate = distinct.where("times > 1").select("h1", "h2", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.col("first.line_no").alias("f3"))
+    fate = distinct.where("times > 1").select("h1", "h2", first["k1"].alias("f1"), first["k2"].alias("f2"), first["line_no"].alias("f3"))
     none = F.lit(None).cast("long")
-    decided = near_gone.select("h1", "h2", none.alias("f1"), none.alias("f2"), F.lit(-1).alias("f3")).unionByName(fate.join(near_gone, ["h1", "h2"], "left_anti"))
-    gone = lines.select("h1", "h2", "k1", "k2", "line_no").join(decided, ["h1", "h2"]).where(~(F.col("k1").eqNullSafe(F.col("f1")) & F.col("k2").eqNullSafe(F.col("f2")) & (F.col("line_no") == F.col("f3"))))
+    decided = checkpointed(near_gone.select("h1", "h2", none.alias("f1"), none.alias("f2"), F.lit(-1).alias("f3")).unionByName(fate.join(near_gone, ["h1", "h2"], "left_anti")))
+    kept = F.col("k1").eqNullSafe(F.col("f1")) & F.col("k2").eqNullSafe(F.col("f2")) & (F.col("line_no") == F.col("f3"))
+    gone = passing(lines.select("h1", "h2", "k1", "k2", "line_no"), decided).join(decided.hint("shuffle_hash"), ["h1", "h2"]).where(~kept)
     return gone.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("gone"))
 
 
@@ -135,7 +151,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     plain = docs.toDF(*names)
     c_id, c_text = names[docs.columns.index(id_column)], names[docs.columns.index(text)]
     lost = dropped_lines(plain, c_id, c_text, min_words)
-    joined = keyed(plain.withColumns({"id": F.col(c_id), "text": F.col(c_text)}), "id", "text").join(lost, ["k1", "k2"], "left")
+    joined = keyed(plain.withColumns({"id": F.col(c_id), "text": F.col(c_text)}), "id", "text").join(lost.hint("shuffle_hash"), ["k1", "k2"], "left")
     parts = F.split(c_text, "\n")
     kept = F.when(F.col("gone").isNull(), F.col(c_text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     out = joined.select(*(kept.alias(n) if n == c_text else F.col(n) for n in names), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
@@ -149,7 +165,7 @@ WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM docu
 lines AS (
   SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts)))::BIGINT AS no FROM cut
 ), worded AS (
-  SELECT doc_id, no, list_filter(regexp_split_to_array(line, '[ \t\r\f\v]+'), lambda x: x <> '') AS w FROM lines
+  SELECT doc_id, no, string_split(line, ' ') AS w FROM lines
 ), part AS (SELECT * FROM worded WHERE len(w) >= 5),
 firsts AS (
   SELECT w, min((doc_id, no)) AS first FROM (SELECT w, {'d': doc_id, 'n': no} AS p, doc_id, no FROM part) GROUP BY w
