@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import checkpointed, partitions
 
 #: Fit: vectors sampled, wanted vectors a list, and centroids at most (16,384 x 65 floats: what is broadcast stays under 8 MB).
-SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 256, 16_384
+SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 512, 16_384
 #: Routing: neighbours a centroid has in the graph, and the beam of a search.
-DEGREE, BEAM = 24, 64
+DEGREE, BEAM = 24, 192
 #: Boundary vectors: lists at most, and the distance ratio up to which they are replicated.
-REPLICAS, REPLICA_RATIO = 2, 1.03
+REPLICAS, REPLICA_RATIO = 2, 1.06
 #: Queries: lists at most, and the distance ratio that prunes.
-PROBES, PROBE_RATIO = 48, 1.35
+PROBES, PROBE_RATIO = 192, 1.15
 #: Postings and queries of a list that meet in one block.
 BLOCK = 4096
 
@@ -164,9 +164,9 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
                 if asked.any():
                     q = np.concatenate([raw[asked], np.zeros((asked.sum(), 1))], axis=1)
                     lists, d = router.nearest(q, probes)
-                    # ratios are taken above the least distance that any lifted vector can have to the query
-                    floor = np.maximum(radius - np.sqrt((raw[asked] ** 2).sum(axis=1)), 0)[:, None] ** 2
-                    yield made(lists, d - floor <= probe_ratio**2 * (d[:, :1] - floor) + 1e-12, ids[asked], raw[asked], 0)
+                    # ratios are taken above the least distance that a lifted vector can have to the query
+                    floor = np.abs(radius - np.sqrt((raw[asked] ** 2).sum(axis=1)))[:, None] ** 2
+                    yield made(lists, d - floor <= probe_ratio**2 * np.maximum(d[:, :1] - floor, 0) + 1e-12, ids[asked], raw[asked], 0)
 
     def made(lists, keep, ids, raw, kind):
         i, j = np.nonzero(keep)
@@ -186,18 +186,23 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
 
         def result():
             out: list[list] = [[], [], []]
-            if queries and postings:
-                ids = np.array([p[0] for p in postings])
-                cells = np.frombuffer(b"".join(p[1] for p in postings), dtype="<f8").reshape(len(postings), -1)
-                for key, raw in queries:
-                    scores = (cells * np.frombuffer(raw, dtype="<f8")).sum(axis=1)
-                    scores[ids == key] = -np.inf
-                    few = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else np.arange(len(scores))
-                    few = few[np.isfinite(scores[few])]
-                    few = few[np.lexsort((ids[few], -scores[few]))][:k]
-                    out[0] += [key] * len(few)
-                    out[1] += ids[few].tolist()
-                    out[2] += scores[few].tolist()
+            ids = np.array([p[0] for p in postings])
+            cells = np.frombuffer(b"".join(p[1] for p in postings), dtype="<f8").reshape(len(postings), -1)
+            asked = np.frombuffer(b"".join(q[1] for q in queries), dtype="<f8").reshape(len(queries), -1)
+            slack = 1e-9 * max(1.0, float(np.abs(cells).max()) * float(np.abs(asked).max()) * cells.shape[1])
+            for at in range(0, len(asked), 256):
+                rough = asked[at : at + 256] @ cells.T
+                for i, row in enumerate(rough):
+                    key = queries[at + i][0]
+                    row[ids == key] = -np.inf
+                    few = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - slack) if len(row) > k else np.arange(len(row))
+                    few = few[ids[few] != key]
+                    # the score itself is one fixed sum of a pair, whatever block it is found in
+                    scores = (cells[few] * asked[at + i]).sum(axis=1)
+                    best_ = np.lexsort((ids[few], -scores))[:k]
+                    out[0] += [key] * len(best_)
+                    out[1] += ids[few[best_]].tolist()
+                    out[2] += scores[best_].tolist()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
