@@ -21,8 +21,8 @@ RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".s
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT_TAGS = frozenset("aside button canvas datalist dialog embed fieldset footer form frameset head iframe input label legend map menu nav noembed noframes noscript object option script search select style svg template textarea title".split())
 #: Furniture where it stands outside the article, headings of it where it stands inside.
-HEADER_TAG = "header"
-OUT_WORDS = frozenset("ad adbar adblock adbox adcontainer ads adslot adspace adunit adv advert advertisement advertisements adverts adsense banner banners breadcrumb breadcrumbs comment comments commentlist commentform consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promos promoted promotion readercomments recommended related replies reply respond search share sharing side sidebar sidebars signup skip social sponsor sponsored subscribe subscription toc toolbar topbar usercomments widget widgets".split())
+HEADER_TAG, HEADINGS = "header", frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+OUT_WORDS = frozenset("ad adbar adblock adbox adcontainer ads adslot adspace adunit adv advert advertisement advertisements adverts adsense banner banners breadcrumb breadcrumbs comment comments commentlist commentform consent cookie cookies disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promos promoted promotion readercomments recommended related replies reply respond search share sharing side sidebar sidebars signup skip social sponsor sponsored subscribe subscription toc toolbar topbar usercomments widget widgets".split())
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 STOP_WORDS = frozenset("a al an and are as at au aus auf avec be but by con dans das de del dem den der des die du ein eine el en es est et für from he her his im in is ist it la las le les los mit nicht of on or ou par pas para por pour qui que se sein sich su sur that the this to un una und une von was were which with y zu".split())
 
@@ -43,7 +43,7 @@ def marked_out(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             words = regex.split(r"[^a-z0-9]+", value)
-            if not OUT_WORDS.isdisjoint(words):
+            if not OUT_WORDS.isdisjoint(words) or HEADER_TAG in words and not in_article and tag not in HEADINGS:
                 return True
         elif name == "role" and value in OUT_ROLES:
             return True
@@ -52,8 +52,8 @@ def marked_out(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, int]]:
-    """(text, kind, out, characters in links) of each block, in page order; kind is the innermost block element."""
+def blocks(page: str) -> Iterator[tuple[str, str, bool, int, bool]]:
+    """(text, kind, out, characters in links, in the article) of each block, in page order; kind is the innermost block element."""
     stack: list[tuple[str, bool]] = []  # open elements and whether each is marked out
     outs = articles = links = linked = 0
     text: list[str] = []
@@ -64,7 +64,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, int]]:
         t = " ".join(html.unescape("".join(text)).split())
         text.clear()
         got, linked = linked, 0
-        return (t, kind, outs > 0, min(got, len(t))) if t else None
+        return (t, kind, outs > 0, min(got, len(t)), articles > 0) if t else None
 
     def put(chars: str) -> None:
         nonlocal linked
@@ -141,7 +141,7 @@ def extract(page: str | None) -> str:
     """The main text of one page; blocks in page order, joined by line feeds."""
     found = list(blocks(page or ""))
     labels: list[bool | None] = []
-    for text, kind, out, linked in found:
+    for text, kind, out, linked, _ in found:
         words = WORD.findall(text)
         link_share = linked / max(1, len(text))
         if out or link_share > LINKS_MOST:
@@ -152,6 +152,8 @@ def extract(page: str | None) -> str:
             labels.append(True)
         else:
             labels.append(None)
+    if any(x and inside for x, (*_, inside) in zip(labels, found, strict=True)):
+        labels = [x if inside else False for x, (*_, inside) in zip(labels, found, strict=True)]  # the page says where its article is
     decided = [i for i, x in enumerate(labels) if x is not None]
     before, after, last = [None] * len(labels), [None] * len(labels), None
     for i, x in enumerate(labels):
