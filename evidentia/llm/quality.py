@@ -94,14 +94,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     """Dictionaries and calibration from labelled rows outside the held-out fold.
 
     At most FIT_ROWS rows per class and fold are used, those with the smallest hashes of their ids; null and other labels
-    are left out.  Every bound on what reaches the driver follows from FIT_ROWS, PIECES and PIECE_CHARS.
+    are left out, an id with both labels counts as bad.  Every bound on what reaches the driver follows from FIT_ROWS, PIECES and PIECE_CHARS.
     """
     spark = docs.sparkSession
-    marked = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y"), fold(id_column).alias("fold")).where("id IS NOT NULL AND y IN (0, 1)")
+    marked = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y"), fold(id_column).alias("fold")).where("id IS NOT NULL AND y IN (0, 1) AND fold <> 1")
+    marked = marked.groupBy("id", "fold").agg(F.min("y").alias("y"))
     few = None
     for f in (0, 2):
         for y in (0, 1):
-            part = marked.where((F.col("fold") == f) & (F.col("y") == y)).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+            part = marked.where((F.col("fold") == f) & (F.col("y") == y)).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
             few = part if few is None else few.unionByName(part)
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id")  # at most 4 * FIT_ROWS ids
     n = F.length("text")
