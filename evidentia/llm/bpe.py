@@ -62,7 +62,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         vocab, letters = spec["model"]["vocab"], byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
-        self.text_of = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in [*vocab.items(), *self.special.items()]}
+        self.text_of = {str(i): bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in [*vocab.items(), *self.special.items()]}
         self.first = [vocab[c] for c in letters]
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -126,7 +126,8 @@ class Bpe:
                     heapq.heappush(heap, (order, p, ids[p], ids[q]))
         return [x for x in ids if x >= 0]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Iterable[str]) -> str:
+        """The text of ids written in decimal."""
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -243,31 +244,41 @@ class Lexicon:
 
 
 class Encoder:
-    """Encode whole texts through a lexicon, with a bounded memo of words."""
+    """Encode whole texts through a lexicon, many at a time, with a bounded memo of words."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon, self.memo = bpe, lexicon, {}
 
-    def piece(self, text: str) -> list[str]:
-        """The ids of each word of a text without special strings, written in decimal with commas."""
-        words = self.bpe.words(text)
-        new = [w for w in set(words) if w not in self.memo]
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo, new = {}, list(set(words))
-            raw = [w.encode() for w in new]
-            for w, b, ids in zip(new, raw, self.lexicon.look_up(raw), strict=True):
-                self.memo[w] = ",".join(map(str, self.bpe.merge(b) if ids is None else ids))
-        return list(map(self.memo.__getitem__, words))
-
-    def encode(self, text: str) -> str:
-        """All ids of a text, in decimal, joined by commas."""
-        if not self.bpe.cut or not self.bpe.cut.search(text):
-            return ",".join(self.piece(text))
-        out: list[str] = []
-        for i, part in enumerate(self.bpe.cut.split(text)):
-            out += [str(self.bpe.special[part])] if i % 2 else self.piece(part)
-        return ",".join(out)
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of words, written in decimal with commas, in the memo."""
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, new = {}, list(words)
+        raw = [w.encode() for w in new]
+        for w, b, ids in zip(new, raw, self.lexicon.look_up(raw), strict=True):
+            self.memo[w] = ",".join(map(str, self.bpe.merge(b) if ids is None else ids))
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """All ids of each text, in decimal, joined by commas."""
+        cut = self.bpe.cut
+        parts = [cut.split(t) if cut and cut.search(t) else [t] for t in texts]  # special strings at odd places
+        words = [[[p] if i % 2 else self.bpe.words(p) for i, p in enumerate(t)] for t in parts]
+        self.learn({w for t in words for p in t[::2] for w in p})
+        special, memo = self.bpe.special, self.memo
+        return [",".join([memo[w] for w in t[0]] if len(t) == 1 else [str(special[w]) if i % 2 else memo[w] for i, p in enumerate(t) for w in p]) for t in words]
+
+
+def chunks(part: list, most: int = 1_000_000) -> Iterator[list]:
+    """Rows (id, text) in runs of bounded length of text, or of one row."""
+    now, size = [], 0
+    for row in part:
+        now.append(row)
+        size += len(row[1] or "")
+        if size >= most:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
 
 
 def load_spec(path: str) -> str:
@@ -346,14 +357,13 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: st
         bpe = bpe_of(shared.value)
         encoder = Encoder(bpe, Lexicon.map_bytes(block.value))
         for batch in batches:
-            for part in rows(batch):
+            for part in (c for r in rows(batch) for c in chunks(r)):
                 out: list[list] = [[], [], [], [], [], []]
-                for key, t in part:
-                    joined = encoder.encode(t or "")
-                    ids = [int(x) for x in joined.split(",")] if joined else []
+                for (key, _), joined in zip(part, encoder.encode([t or "" for _, t in part]), strict=True):
+                    ids = joined.split(",") if joined else []
                     whole = bpe.decode(ids)
                     values = [key, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(whole.encode()).hexdigest()]
-                    for column, v in zip(out, [*values, ids, whole] if with_ids else values, strict=False):
+                    for column, v in zip(out, [*values, list(map(int, ids)), whole] if with_ids else values, strict=False):
                         column.append(v)
                 kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
