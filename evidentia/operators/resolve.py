@@ -91,10 +91,26 @@ def resolve(references: DataFrame, versions: DataFrame, provisions: DataFrame, a
     return answer.select("title", "provision", lattice(lambda a: F.lit(a[0])).alias("status"), lattice(lambda a: F.lit(a[1])).alias("reason_code"), proofs.alias("evidence"))
 
 
-def attach(candidates: DataFrame, answers: DataFrame) -> DataFrame:
-    """Candidates with their status, reason and evidence; null titles and provisions are equal to each other."""
-    a = answers.withColumnsRenamed({"title": "a_title", "provision": "a_provision"})
-    return candidates.join(a, F.col("title").eqNullSafe(F.col("a_title")) & F.col("provision").eqNullSafe(F.col("a_provision"))).drop("a_title", "a_provision")
+def catalog_answers(versions: DataFrame, provisions: DataFrame, as_of: str) -> DataFrame:
+    """Answers for every reference that the catalog can tell apart: each title with each label of its versions, and with none."""
+    labels = versions.select("record_seq", "version_seq", "title").join(provisions.select("record_seq", "version_seq", "label"), ["record_seq", "version_seq"])
+    references = labels.select("title", F.col("label").alias("provision")).unionByName(versions.select("title", F.lit(None).cast("string").alias("provision")))
+    return resolve(references, versions, provisions, as_of)
+
+
+def attach(candidates: DataFrame, versions: DataFrame, provisions: DataFrame, as_of: str) -> DataFrame:
+    """Candidates with their status, reason and evidence.
+
+    A provision that is no label of its title is answered like no provision, so answers are as many as the catalog has titles and
+    labels; the candidates are read once, and joined with what the planner broadcasts while the catalog is small.
+    """
+    answers = catalog_answers(versions, provisions, as_of).select("title", "provision", F.struct("status", "reason_code", "evidence").alias("answer"))
+    exact = answers.where("provision IS NOT NULL").withColumnRenamed("answer", "exact")
+    bare = answers.where("provision IS NULL").select("title", F.col("answer").alias("bare"))
+    joined = candidates.join(exact, ["title", "provision"], "left").join(bare, "title", "left")
+    unnamed = F.when(F.col("title").isNull(), "AMBIGUOUS_CITATION").otherwise("CATALOG_NO_MATCH")
+    told = F.coalesce("exact", "bare", F.struct(F.lit("UNKNOWN").alias("status"), unnamed.alias("reason_code"), F.array().cast(EVIDENCE).alias("evidence")))
+    return joined.select(*candidates.columns, told.alias("told")).select(*candidates.columns, "told.*")
 
 
 def version_faults(versions: DataFrame) -> DataFrame:

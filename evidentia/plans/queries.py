@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from evidentia.operators import compare, extract, ledger, report, resolve
 from evidentia.plans import oracles as o
 from evidentia.plans import render
 from evidentia.plans.registry import query
-from evidentia.sources import hwpx
+from evidentia.sources import catalog, hwpx
 
 AS_OF = "2025-01-01"
 COMMON = ["the", "there", "on", "onen", "ing the", "nting"]
@@ -36,9 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def licences(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    v = spark.createDataFrame(LICENCE_VERSIONS, "record_seq int, version_seq int, record_id string, official_source string, retrieved_at string, f string, t string, title string")
-    v = v.select("record_seq", "version_seq", "record_id", "official_source", "retrieved_at", F.col("f").cast("date").alias("effective_from"), F.col("t").cast("date").alias("effective_to"), "title")
-    return v, spark.createDataFrame(LICENCE_PROVISIONS, "record_seq int, version_seq int, provision_seq int, canonical_id string, label string")
+    day = lambda x: None if x is None else date.fromisoformat(x)
+    versions = [(*r[:5], day(r[5]), day(r[6]), r[7]) for r in LICENCE_VERSIONS]
+    return catalog.local_frame(spark, versions, catalog.VERSIONS), catalog.local_frame(spark, LICENCE_PROVISIONS, catalog.PROVISIONS)
 
 
 def nodes(spark, sf_dir):
@@ -60,7 +62,7 @@ def licence_mentions(spark, sf_dir):
 def licence_items(spark, sf_dir):
     v, p = licences(spark)
     rows = extract.candidates(licence_mentions(spark, sf_dir), "doc_id", ["ordinal"])
-    return resolve.attach(rows, resolve.resolve(rows, v, p, AS_OF))
+    return resolve.attach(rows, v, p, AS_OF)
 
 
 WITH_WORDS = f"WITH {o.NODES.strip()}, {o.titles_of(COMMON)}, {o.mentions(WORD_FORM['markers'], 12, '[a-z]+ing').strip()} "

@@ -22,8 +22,7 @@ def scan(nodes: DataFrame, catalog: Catalog, as_of: str, document: str = "path",
     found = extract.mentions(nodes, catalog.versions.select("title"), [document, *order, "locator"], **options)
     void = extract.over_budget(found, document, **budgets)
     rows = extract.candidates(found, document, [*order, "locator"]).join(void, document, "left_anti")
-    answers = resolve.resolve(rows, catalog.versions, catalog.provisions, as_of)
-    return resolve.attach(rows, answers), void
+    return resolve.attach(rows, catalog.versions, catalog.provisions, as_of), void
 
 
 def scan_documents(spark: SparkSession, files: DataFrame, catalog: Catalog, as_of: str, limits: hwpx.Limits = hwpx.Limits(), **options) -> DataFrame:

@@ -9,8 +9,10 @@ from pathlib import Path
 from typing import Any
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evidentia.errors import EvidenceError
 from evidentia.sources import strict_json
@@ -120,9 +122,15 @@ def parse_catalog(data: bytes) -> tuple[list[tuple], list[tuple]]:
         raise EvidenceError("CATALOG_SCHEMA_INVALID", "Catalog does not match its schema.") from None
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Rows the driver has, as a local relation: the planner knows its size and broadcasts it while small."""
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=arrow), schema)
+
+
 def catalog_frames(spark: SparkSession, data: bytes) -> Catalog:
     versions, provisions = parse_catalog(data)
-    return Catalog(spark.createDataFrame(versions, VERSIONS), spark.createDataFrame(provisions, PROVISIONS), hashlib.sha256(data).hexdigest())
+    return Catalog(local_frame(spark, versions, VERSIONS), local_frame(spark, provisions, PROVISIONS), hashlib.sha256(data).hexdigest())
 
 
 def load_catalog(spark: SparkSession, path: str | Path) -> Catalog:

@@ -42,3 +42,12 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_llm_queries_do_not_hide_the_others():
+    """The rest stands without the training-data subpackage."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) >= 40 and not any(k.startswith('op') for k in e.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=entry.ROOT)

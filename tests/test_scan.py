@@ -182,6 +182,7 @@ def test_mentions_against_plain_rule(spark):
 
 def test_null_title_and_provision_resolve(spark):
     c = catalog_frames(spark, json.dumps(CATALOG).encode())
-    refs = spark.createDataFrame([(None, None), ("가상현행규정", None), ("가상현행규정", "제1조")], "title string, provision string")
-    got = {(r["title"], r["provision"]): r["reason_code"] for r in resolve.resolve(refs, c.versions, c.provisions, AS_OF).collect()}
-    assert got == {(None, None): "AMBIGUOUS_CITATION", ("가상현행규정", None): "PROVISION_MISMATCH", ("가상현행규정", "제1조"): "EXACT_CURRENT_MATCH"}
+    refs = spark.createDataFrame([(None, None), ("가상현행규정", None), ("가상현행규정", "제1조"), ("가상현행규정", "제2조"), ("없는규정", "제1조")], "title string, provision string")
+    want = {(None, None): "AMBIGUOUS_CITATION", ("가상현행규정", None): "PROVISION_MISMATCH", ("가상현행규정", "제1조"): "EXACT_CURRENT_MATCH", ("가상현행규정", "제2조"): "PROVISION_MISMATCH", ("없는규정", "제1조"): "CATALOG_NO_MATCH"}
+    for found in (resolve.resolve(refs, c.versions, c.provisions, AS_OF), resolve.attach(refs, c.versions, c.provisions, AS_OF)):
+        assert {(r["title"], r["provision"]): r["reason_code"] for r in found.collect()} == want
