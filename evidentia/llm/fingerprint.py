@@ -17,9 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import checkpointed
+from evidentia.llm.components import components
+
 #: Independent walks, sampled bits of each, classes of characters, and the period of a class's random bits.
 WALKS, BITS, CLASSES, PERIOD = 2, 256, 256, 4096
+#: Rows and characters fingerprinted at a time; cells of a lockstep block; fewest texts that walk in lockstep.
+ROWS, CHARS, CELLS, LEAST_LANES = 1024, 8_000_000, 3_000_000, 64
 SLICE = 256
+#: Fingerprints of a band that meet in one block.
+BLOCK = 2048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +47,7 @@ class Walks:
     """The shared randomness: per walk, how long each class stays at each clock, and where bits are sampled."""
 
     def __init__(self):
-        self.stay, self.records, self.hash = [], [], []
+        self.stay, self.records = [], []
         for w in range(WALKS):
             moves = (_random(11 + w, CLASSES, PERIOD) >> np.uint64(63)).astype(bool)
             wait = np.empty((CLASSES, PERIOD), dtype=np.uint8)
@@ -49,7 +56,7 @@ class Walks:
                 ahead = np.where(moves[:, t % PERIOD], 1, np.minimum(ahead + 1, 8))
                 if t < PERIOD:
                     wait[:, t] = ahead
-            self.stay.append([bytes(row) for row in wait])
+            self.stay.append(wait.tobytes())
             # Sample places: for any length the last record below it is uniform, and the same for like lengths.
             u = (_random(101 + w, BITS, 64) >> np.uint64(11)).astype(float) / 2.0**53
             places = np.zeros((BITS, 64))
@@ -57,45 +64,85 @@ class Walks:
                 places[:, k] = np.minimum(np.floor((places[:, k - 1] + 1) / np.maximum(u[:, k], 1e-12)), 1e15)
                 places[:, k] = np.maximum(places[:, k], places[:, k - 1] + 1)
             self.records.append(places.astype(np.int64))
-            self.hash.append(np.uint64(977 + w))
-
-    def clocks(self, w: int, codes: list[int], start: int) -> list[int]:
-        """When each character is first written, and at the end the whole length; from clock ``start`` on."""
-        rows = self.stay[w]
+        self.table = np.frombuffer(b"".join(self.stay), dtype=np.uint8)
+        self.base = (np.arange(WALKS, dtype=np.int32) * CLASSES * PERIOD)[:, None]
+        self.slots = np.arange(BITS)
+        self.salt = _random(977, WALKS, BITS)
+
+    def clocks(self, texts: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+        """Per text and walk when each character is first written, and at the end the whole length: (WALKS, n + 1) arrays.
+
+        ``starts`` (texts, WALKS) has the clocks to begin with.  Texts of like length walk in lockstep; a text too long to have
+        company walks alone.
+        """
+        out: list[np.ndarray | None] = [None] * len(texts)
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        at = 0
+        while at < len(order):
+            longest = len(texts[order[at]])
+            lanes = order[at : at + max(1, CELLS // (longest + 1))]
+            if len(lanes) < LEAST_LANES <= len(order) - at or longest * len(lanes) > CELLS:
+                lanes = lanes[:1]
+            at += len(lanes)
+            if len(lanes) < LEAST_LANES // 2:
+                for i in lanes:
+                    kinds = (texts[i] % CLASSES * PERIOD).tolist()
+                    out[i] = np.asarray([list(accumulate(kinds, self.moves(w), initial=int(starts[i, w]))) for w in range(WALKS)])
+                continue
+            size = np.array([len(texts[i]) for i in lanes])
+            kinds = np.zeros((longest, len(lanes)), dtype=np.int32)
+            for j, i in enumerate(lanes):
+                kinds[: size[j], j] = texts[i] % CLASSES * PERIOD
+            alive = np.searchsorted(-size, -np.arange(longest), side="left").tolist()  # lanes with a character at each place
+            clock = starts[lanes].T.astype(np.int32).copy()
+            told = np.empty((longest + 1, WALKS, len(lanes)), dtype=np.int32)
+            told[0] = clock
+            for i, k in enumerate(alive):
+                now = clock[:, :k]
+                now += self.table[(now & (PERIOD - 1)) + kinds[i, :k] + self.base]
+                told[i + 1, :, :k] = now
+            for j, i in enumerate(lanes):
+                out[i] = told[: size[j] + 1, :, j].T
+        return out
+
+    def moves(self, w: int):
+        stay = self.stay[w]
         mask = PERIOD - 1
-        return list(accumulate(codes, lambda at, c: at + rows[c][at & mask], initial=start))
+        return lambda at, c: at + stay[c | at & mask]
 
-    def sample(self, w: int, codes: np.ndarray, clocks: np.ndarray) -> np.ndarray:
-        """BITS bits of the written string."""
+    def sample(self, codes: np.ndarray, clocks: np.ndarray) -> np.ndarray:
+        """The sampled bits of the written strings of all walks."""
         if not len(codes):
-            return np.zeros(BITS, dtype=bool)
-        places = self.records[w]
-        k = (places < clocks[-1]).sum(axis=1) - 1
-        at = places[np.arange(BITS), k]
-        i = np.searchsorted(clocks, at, side="right") - 1
+            return np.zeros(WALKS * BITS, dtype=bool)
+        i = np.empty((WALKS, BITS), dtype=np.int64)
+        for w in range(WALKS):
+            places = self.records[w]
+            at = places[self.slots, (places < clocks[w, -1]).sum(axis=1) - 1]
+            i[w] = np.searchsorted(clocks[w], at, side="right") - 1
         # a window of three characters and the slot decide the bit: chance agreement of single letters is rarer so
-        before, after = codes[np.maximum(i - 1, 0)], codes[np.minimum(i + 1, len(codes) - 1)]
+        before, here, after = codes[np.maximum(i - 1, 0)], codes[i], codes[np.minimum(i + 1, len(codes) - 1)]
         with np.errstate(over="ignore"):
-            key = (codes[i].astype(np.uint64) << np.uint64(42)) ^ (before.astype(np.uint64) << np.uint64(21)) ^ after.astype(np.uint64)
-            return (_mix(key * np.uint64(0x9E3779B97F4A7C15) + self.hash[w] * np.arange(1, BITS + 1, dtype=np.uint64)) >> np.uint64(63)).astype(bool)
+            key = (here << np.uint64(42)) ^ (before << np.uint64(21)) ^ after
+            return (_mix(key * np.uint64(0x9E3779B97F4A7C15) + self.salt) >> np.uint64(63)).astype(bool).ravel()
 
     @staticmethod
     def code_points(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
-    def fingerprints(self, text: str, keep: int = 0, tail: str = "") -> tuple[np.ndarray, np.ndarray]:
-        """Bits of ``text`` and of ``text[:keep] + tail``, whose shared beginning is walked once."""
-        codes, more = self.code_points(text), self.code_points(tail)
-        edited = np.concatenate([codes[:keep], more])
-        kinds, kinds_tail = (codes % CLASSES).tolist(), (more % CLASSES).tolist()
-        both = [], []
-        for w in range(WALKS):
-            clocks = self.clocks(w, kinds, 0)
-            whole = np.asarray(clocks)
-            rest = np.asarray(self.clocks(w, kinds_tail, clocks[keep]))
-            both[0].append(self.sample(w, codes, whole))
-            both[1].append(self.sample(w, edited, np.concatenate([whole[:keep], rest])))
-        return np.concatenate(both[0]), np.concatenate(both[1])
+    def fingerprints(self, texts: list[str], edits: list[tuple[int, str]] | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Bits of each text and, with edits (keep, tail), of ``text[:keep] + tail``; a shared beginning is walked once."""
+        codes = [self.code_points(t) for t in texts]
+        whole = self.clocks(codes, np.zeros((len(texts), WALKS), dtype=np.int64))
+        wide = [c.astype(np.uint64) for c in codes]
+        bits = [self.sample(c, k) for c, k in zip(wide, whole, strict=True)]
+        if edits is None:
+            return [(b, None) for b in bits]
+        tails = [self.code_points(t) for _, t in edits]
+        rest = self.clocks(tails, np.array([whole[i][:, keep] for i, (keep, _) in enumerate(edits)]).reshape(-1, WALKS))
+        edited = []
+        for i, (keep, _) in enumerate(edits):
+            edited.append(self.sample(np.concatenate([wide[i][:keep], tails[i].astype(np.uint64)]), np.concatenate([whole[i][:, :keep], rest[i]], axis=1)))
+        return list(zip(bits, edited, strict=True))
 
 
 def hexed(bits: np.ndarray) -> str:
@@ -107,6 +154,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, 1.0 - 2.0 * float(np.count_nonzero(a != b)) / len(a))
 
 
+def cuts_below(value, cuts: list[int], width: int = 32):
+    """How many of the sorted cuts are not above the value: one search over every ``width``-th cut, one within."""
+    if not cuts:
+        return F.lit(0)
+    array = lambda x: F.lit(x).cast("array<bigint>")
+    count = lambda among: F.aggregate(among, F.lit(0), lambda s, c: s + (value >= c).cast("int"))
+    start = F.greatest(count(array(cuts[::width])) - 1, F.lit(0)) * width
+    return start + count(F.slice(array(cuts), start + 1, F.lit(width)))
+
+
 def in_order(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, text, bucket, halo): rows dealt to id ranges, each range followed by the first row of the next lower one.
 
@@ -119,7 +176,7 @@ def in_order(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     ids = base.select("id").where("id IS NOT NULL")
     cuts = sorted(set(ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     cuts = [int(c) for c in cuts]
-    bucket = F.when(F.col("id").isNull(), 0).otherwise(F.aggregate(F.lit(cuts).cast("array<bigint>"), F.lit(0), lambda s, c: s + (F.col("id") >= c).cast("int")) + 1) if cuts else F.when(F.col("id").isNull(), 0).otherwise(1)
+    bucket = F.when(F.col("id").isNull(), 0).otherwise(1 + cuts_below(F.col("id"), cuts))
     placed = base.withColumn("bucket", bucket)
     # the first row of each range, by id alone: as many rows as ranges
     tops = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max("id").alias("top")).collect()}
@@ -170,55 +227,96 @@ def edit_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
 
     def run(batches):
         walks = Walks()
-        out: list[list] = [[] for _ in range(7)]
-        last: tuple[str, np.ndarray] | None = None  # the row before has fingerprinted nothing of this one yet
-
-        def flush():
+        held: list[tuple] = []
+        size = 0
+
+        def told():
+            edits = [(len(t) - len(t) // 2, following[: len(t) // 2]) for _, t, following in held]
+            prints = walks.fingerprints([t for _, t, _ in held], edits)
+            # the next row's fingerprint is mostly at hand
+            other = [i for i, (_, _, following) in enumerate(held) if i + 1 == len(held) or held[i + 1][1] != following]
+            after = [p[0] for p in prints[1:]] + [None]
+            for i, (bits, _) in zip(other, walks.fingerprints([held[i][2] for i in other]), strict=True):
+                after[i] = bits
+            edited = [t[:keep] + tail for (_, t, _), (keep, tail) in zip(held, edits, strict=True)]
+            cols = [
+                [h[0] for h in held], [len(h[1]) for h in held], [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited],
+                [hexed(a) for a, _ in prints], [hexed(b) for _, b in prints], [likeness(a, b) for a, b in prints], [likeness(a, n) for (a, _), n in zip(prints, after, strict=True)],
+            ]
             kinds = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
-            for v in out:
-                v.clear()
-            return batch
-
-        waiting = None  # a row whose next fingerprint is that of the row to come
-        for key, t, following in with_next(batches):
-            h = len(t) // 2
-            tail = following[:h]
-            bits, edited = walks.fingerprints(t, len(t) - h, tail)
-            if waiting is not None:
-                same = waiting[6] == t
-                out[6].append(likeness(waiting[5], bits if same else walks.fingerprints(waiting[6])[0]))
-            for column, v in zip(out, (key, len(t), hashlib.sha256((t[: len(t) - h] + tail).encode()).hexdigest(), hexed(bits), hexed(edited), likeness(bits, edited)), strict=False):
-                column.append(v)
-            waiting = (key, t, None, None, None, bits, following)
-            if len(out[0]) > SLICE:
-                rest = [v.pop() for v in out[:6]]
-                yield flush()
-                for column, v in zip(out, rest, strict=False):
-                    column.append(v)
-        if waiting is not None:
-            out[6].append(likeness(waiting[5], walks.fingerprints(waiting[6])[0]))
-            yield flush()
-
-    import pyspark.sql.pandas.types as arrow_types
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=names)
+
+        for row in with_next(batches):
+            held.append(row)
+            size += len(row[1])
+            if len(held) >= ROWS or size >= CHARS:
+                yield told()
+                held.clear()
+                size = 0
+        if held:
+            yield told()
+
+    from pyspark.sql.pandas.types import to_arrow_type
 
     ordered = in_order(docs, id_column, text)
-    kind = arrow_types.to_arrow_type(ordered.schema["id"].dataType)
+    kind = to_arrow_type(ordered.schema["id"].dataType)
     schema = f"id {dict(docs.dtypes)[id_column]}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
-def near_pairs(prints: DataFrame, id_column: str = "doc_id", fingerprint: str = "fingerprint", band_hex: int = 8, least: float = 0.8) -> DataFrame:
-    """Candidates by banding of sampled bits, verified on the fingerprints: (id_a, id_b, likeness), id_a the band's representative.
-
-    Equal fingerprints are one class, so copies are not expanded: pairs are between each class's smallest id.  Within a band
-    every class is paired with the band's smallest class only, which links a band without all its pairs.
+def linked(rows: list[tuple], least: float) -> list[tuple]:
+    """Links that span what is linked among the (fingerprint, id) rows of a unit, each likeness verified."""
+    if len(rows) < 2:
+        return []
+    bits = np.frombuffer(bytes.fromhex("".join(r[0] for r in rows)), dtype=np.uint8).reshape(len(rows), -1)
+    most = (1.0 - least) / 2 * bits.shape[1] * 8
+    label, out = np.arange(len(rows)), []
+    for i in range(len(rows)):
+        near = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(axis=1, dtype=np.int32) <= most) + i + 1
+        for j in near[label[near] != label[i]].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str = "fingerprint", band_bits: int = 32, least: float = 0.8) -> DataFrame:
+    """(id, class_id): fingerprints linked where they share a band of sampled bits and their likeness is at least ``least``.
+
+    Equal fingerprints are one entry, so copies are never paired.  A band's entries are compared with each other in one task,
+    those of a large band in pairs of blocks; only links that span what is linked leave it.  class_id is the smallest id
+    reachable.  Rows without a fingerprint are classes of their own; rows without an id name no class.
     """
-    reps = prints.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fp")).agg(F.min(id_column).alias("id"))
-    n = WALKS * BITS // 4 // band_hex
-    bands = reps.select("id", "fp", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.col("fp"), i * band_hex + 1, F.lit(band_hex)))).alias("band", "bits"))
-    first = bands.groupBy("band", "bits").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(first, ["band", "bits"]).where("id <> head.id").select(F.col("head.id").alias("id_a"), F.col("id").alias("id_b"), F.col("head.fp").alias("fa"), F.col("fp").alias("fb")).dropDuplicates(["id_a", "id_b"])
-    wrong = F.aggregate(F.sequence(F.lit(0), F.lit(WALKS * BITS // 32 - 1)), F.lit(0), lambda s, i: s + F.bit_count(F.conv(F.substring("fa", i * 8 + 1, F.lit(8)), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("fb", i * 8 + 1, F.lit(8)), 16, 10).cast("long"))))
-    return pairs.withColumn("likeness", F.greatest(F.lit(0.0), 1 - 2 * wrong / float(WALKS * BITS))).where(F.col("likeness") >= least).select("id_a", "id_b", "likeness")
+    spark = prints.sparkSession
+    n, wide = int(spark.conf.get("spark.sql.shuffle.partitions")), band_bits // 4
+    rows = prints.select(F.col(id_column).alias("id"), F.col(fingerprint).alias("fp"))
+    entries = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("fp") - 1) / wide).cast("int")), lambda i: F.substring(F.col("fp"), i * wide + 1, F.lit(wide)))
+    bands = entries.select("fp", F.posexplode(cut).alias("band", "bits"))
+    shared = bands.groupBy("band", "bits").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    units = bands.join(shared, ["band", "bits"]).withColumn("u", F.explode(pairs)).select("band", "bits", "u.i", "u.j", "fp")
+
+    def run(batches):
+        now, held = None, []
+        links: list[tuple] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for band, bits, i, j, fp in zip(*(c.slice(at, SLICE).to_pylist() for c in batch.columns), strict=True):
+                    if (band, bits, i, j) != now:
+                        links += linked(held, least)
+                        now, held = (band, bits, i, j), []
+                    held.append((fp, None))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
+                    links.clear()
+        if links := linked(held, least):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    found = units.repartition(n, "band", "bits", "i", "j").sortWithinPartitions("band", "bits", "i", "j", "fp").mapInArrow(run, "a string, b string")
+    rooted = checkpointed(entries.join(components(found).withColumnRenamed("node", "fp"), "fp", "left"))
+    groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("group_least"))
+    named = rooted.join(groups, "root", "left").select("fp", F.coalesce("group_least", "least").alias("class_id"))
+    return rows.join(named, "fp", "left").select(F.col("id").alias(id_column), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))

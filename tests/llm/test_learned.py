@@ -142,8 +142,10 @@ def test_fingerprints_follow_edits(spark):
     assert like(0, 2001) > 0.7 and like(0, 1) < 0.25
     long = [r for r in got if r["n_chars"] > 200]
     assert 0.4 < np.mean([r["near_edited"] for r in long]) < 0.6 and np.mean([r["near_next"] for r in long]) < 0.1
-    pairs = {(r["id_a"], r["id_b"]) for r in fingerprint.near_pairs(spark.createDataFrame([(r["doc_id"], r["fingerprint"]) for r in got if r["doc_id"] is not None], "doc_id long, fingerprint string"), least=0.7).collect()}
-    assert (0, 2001) in pairs
+    classes = {}
+    for r in fingerprint.near_classes(spark.createDataFrame([(r["doc_id"], r["fingerprint"]) for r in got], "doc_id long, fingerprint string"), least=0.7).collect():
+        classes.setdefault(r["doc_id"], r["class_id"])
+    assert classes[0] == classes[2000] == classes[2001] == 0 and classes[1] == 1 and len(classes) == len({d for d, _ in docs})
     assert fingerprint.edit_pairs(df.where("doc_id < 0")).count() == 0
 
 
