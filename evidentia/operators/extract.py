@@ -1,7 +1,7 @@
 """Title mentions and their provisions in text nodes, as one row-wise expression.
 
 Titles are chosen longest first, ties by text, occurrences left to right; an occurrence counts where it touches no chosen one.
-The dictionary is one broadcast row while its size is checked to be small, so extraction needs no shuffle; beyond that,
+The dictionary is a literal of the plan while its size is checked to be small, so extraction needs no shuffle; beyond that,
 titles are found through an equi-join on their first characters.
 """
 
@@ -17,8 +17,8 @@ PROVISION, LOOKAHEAD = r"(?U)제\d+조(?:의\d+)?", 32
 MARKERS = ["법", "규정", "고시", "훈령", "예규"]
 MATCHES_PER_NODE = MATCHES_PER_DOCUMENT = 100_000
 CANDIDATES_PER_NODE = CANDIDATES_PER_DOCUMENT = 10_000
-#: Titles (and characters of them) up to which the dictionary travels as one broadcast row.
-BROADCAST_TITLES, BROADCAST_CHARS = 5_000, 500_000
+#: Titles (and characters of them) up to which the dictionary travels with the plan.
+LITERAL_TITLES, LITERAL_CHARS = 5_000, 500_000
 
 HIT = "array<struct<rank:int,title:string,start:int,end:int>>"
 
@@ -44,12 +44,14 @@ def ranked_titles(titles: DataFrame) -> DataFrame:
 
 def with_hits(nodes: DataFrame, titles: DataFrame, key: list[str]) -> DataFrame:
     """Nodes plus ``hits``: all examined occurrences in the order of selection."""
-    size = titles.select("title").distinct().agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("chars")).first()
-    if size["n"] <= BROADCAST_TITLES and (size["chars"] or 0) <= BROADCAST_CHARS:
-        ordered = F.array_sort(F.collect_set(F.struct((-F.length("title")).alias("size"), F.col("title").alias("title"))))
-        row = titles.where("title <> ''").agg(ordered.alias("dictionary"))
-        each = F.transform("dictionary", lambda t, i: F.transform(starts_of(F.col("text"), t["title"]), lambda s: F.struct(i.cast("int").alias("rank"), t["title"].alias("title"), s.alias("start"), (s + F.length(t["title"])).alias("end"))))
-        return nodes.crossJoin(F.broadcast(row)).withColumn("hits", F.flatten(each)).drop("dictionary")
+    distinct = titles.select("title").where("title <> ''").distinct()
+    size = distinct.agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("chars")).first()
+    if size["n"] <= LITERAL_TITLES and (size["chars"] or 0) <= LITERAL_CHARS:
+        dictionary = sorted((r["title"] for r in distinct.collect()), key=lambda t: (-len(t), t))
+        if not dictionary:
+            return nodes.withColumn("hits", F.array().cast(HIT))
+        each = F.transform(F.lit(dictionary), lambda t, i: F.transform(starts_of(F.col("text"), t), lambda s: F.struct(i.cast("int").alias("rank"), t.alias("title"), s.alias("start"), (s + F.length(t)).alias("end"))))
+        return nodes.withColumn("hits", F.flatten(each))
     wanted = ranked_titles(titles)
     gram = min(8, wanted.agg(F.min(F.length("title"))).first()[0])
     at = F.explode(F.sequence(F.lit(1), F.length("text") - gram + 1)).alias("at")

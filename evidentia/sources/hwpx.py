@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.errors import COLLECTION
-from evidentia.workers import importable
+from evidentia.workers import ready
 
 MIMETYPE = b"application/hwp+zip"
 SECTION = re.compile(r"Contents/section([0-9]+)\.xml")
@@ -188,7 +188,7 @@ def parse_documents(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     names = [x.split()[0] for x in PARSED.split(", ")]
     arrow = pa.schema([(n, pa.int32() if n in ("section_rank", "ordinal") else pa.string()) for n in names])
-    importable(files.sparkSession)
+    ready(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, PARSED)
 
 
@@ -216,7 +216,7 @@ def as_archives(documents: DataFrame) -> DataFrame:
             made = [archive(lines.as_py() or []) for lines in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
-    importable(documents.sparkSession)
+    ready(documents.sparkSession)
     return documents.select("path", "lines").mapInArrow(run, "path string, content binary")
 
 

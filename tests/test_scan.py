@@ -172,12 +172,12 @@ def test_mentions_against_plain_rule(spark):
     nodes = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
     words = spark.createDataFrame([(t,) for t in titles], "title string")
     options = {"provision": "1+", "lookahead": 4, "markers": markers}
-    for broadcast in (extract.BROADCAST_TITLES, 0):
-        extract.BROADCAST_TITLES, keep = broadcast, extract.BROADCAST_TITLES
+    for literal in (extract.LITERAL_TITLES, 0):
+        extract.LITERAL_TITLES, keep = literal, extract.LITERAL_TITLES
         got = {r["n"]: [tuple(c) for c in r["candidates"]] for r in extract.mentions(nodes, words, ["n"], **options).collect()}
-        extract.BROADCAST_TITLES = keep
+        extract.LITERAL_TITLES = keep
         for n, text in enumerate(texts):
-            assert got[n] == plain_mentions(text, titles, markers, re.compile("1+"), 4), (broadcast, text)
+            assert got[n] == plain_mentions(text, titles, markers, re.compile("1+"), 4), (literal, text)
 
 
 def test_null_title_and_provision_resolve(spark):
