@@ -13,41 +13,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, line_dedup, mixing, ngram_join, quality
-from evidentia.llm.common import importable, read, shared_folder
+from evidentia.llm.common import read, shared_folder
+from evidentia.workers import ready
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same columns under names that no operator uses, so that extra columns cannot clash with theirs."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labelled rows among them."""
-    model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=True).where("quality_score >= 0.5").select(*docs.columns)
+    model = quality.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    plain, names = numbered(docs)
+    kept = quality.score(plain, model, names["doc_id"], names["text"], keep=True).where("quality_score >= 0.5")
+    return kept.select(*names.values()).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier in the corpus; a document that loses all its text goes with it."""
-    importable(spark)
-    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    out = out.select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    ready(spark)
+    plain, names = numbered(docs)
+    text = names["text"]
+    out = line_dedup.dedup_lines(plain, names["doc_id"], text).where((F.col("n_dropped") == 0) | (F.trim(text) != "")).select(*names.values())
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return out.toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group (five words, similarity 0.8); documents without an id stay."""
-    importable(spark)
-    groups = ngram_join.near_groups(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    same = docs.withColumn("text_hash", F.xxhash64("text")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return same.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    ready(spark)
+    plain, names = numbered(docs)
+    key, text = names["doc_id"], names["text"]
+    groups = ngram_join.near_groups(docs.select("doc_id", "text"))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    same = plain.withColumn("text_hash", F.xxhash64(text)).join(kept, key, "left_semi").dropDuplicates([key, "text_hash"])
+    return same.select(*names.values()).unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to raked shares of source, language and topic."""
-    importable(spark)
-    return mixing.mix(docs).where("mix_sampled = 1").select(*docs.columns)
+    ready(spark)
+    plain, names = numbered(docs)
+    mixed = mixing.mix(plain, id_column=names["doc_id"], text=names["text"], source=names["source"], lang=names["lang"])
+    return mixed.where("mix_sampled = 1").select(*names.values()).toDF(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its token ids, with digests of the ids and of what they decode to."""
-    importable(spark)
+    ready(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True).drop("decoded")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Rows that a worker turns into Python objects at once.
 SLICE = 256
 #: Entries of a worker's memo of words, emptied when full.
-MEMO = 400_000
+MEMO = 100_000
 #: The order of a pair that is never merged.
 NEVER = 1 << 62
 

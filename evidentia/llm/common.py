@@ -4,24 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from the folder the driver has it from, if they are told no other place.
-
-    A cluster whose machines do not share that folder gets the package by ``--py-files``.
-    """
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+from evidentia.workers import ready
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder; only Spark opens the path, so any store will do."""
-    importable(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -34,12 +34,13 @@ def test_stages_and_run_agree(spark, tmp_path):
 
 def test_awkward_documents(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two three four five six seven", "en", "s", 33), (3, "one two three four five six seven", "en", "s", 33), (4, "one two three four five six seven", "fr", None, 33), (None, "no id but some words in it", "en", "s", 26), (5, "long " * 30_000, "en", "s", 150_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = "quality_score double, n_dropped long, text_hash long, mix_sampled int, c0 string, id string, cls string"
+    docs = spark.createDataFrame([(*r, 0.1, 3, 4, 0, None, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + clashing)
     folder = tmp_path / "in"
     docs.write.parquet(str(folder / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
     out = stages(spark, docs, str(folder), tmp_path / "out")
-    assert out["quality"].count() == len(rows)
+    assert out["quality"].count() == len(rows) and all(d.columns == docs.columns for d in list(out.values())[:-1])
     assert {r["doc_id"] for r in out["line_dedup"].collect()} == {1, 2, 3, 5, None}
     assert out["near_duplicates"].where("doc_id = 3").count() == 1
     empty = stages(spark, docs.where("doc_id < 0"), str(folder), tmp_path / "empty")
