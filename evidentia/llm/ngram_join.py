@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import checkpointed, partitions
 from evidentia.llm.components import components
 
-#: Grams a task holds before it sends them, buckets a partition sorts one after another, members of a block.
-FLUSH, SUB, BLOCK = 1_000_000, 4, 1024
+#: Grams a task holds before it sends them, slices that a bucket is sorted in, members of a block.
+FLUSH, SUB, BLOCK = 400_000, 4, 1024
+#: Words, and a quarter as many sets, that a worker remembers.
+MEMO = 150_000
 #: A gram in more than this share of a task's classes is counted there and does not travel by class.
 HOT_SHARE, HOT_LEAST = 1 / 64, 64
 KEY = np.dtype("V16")
@@ -41,7 +43,7 @@ class WordHashes(dict):
     """Hashes of words, kept for reuse up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > MEMO:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -89,10 +91,9 @@ def keyed(docs: DataFrame, k: int, id_column: str, text: str) -> DataFrame:
 
 
 PACKED = "bucket int, kind int, classes binary, counts binary, values binary"
-
-
-def packed(bucket: int, kind: int, classes: np.ndarray, counts: np.ndarray, values: bytes) -> tuple:
-    return bucket, kind, classes.tobytes(), counts.astype("<u4").tobytes(), values
+#: Kinds of packed rows: grams by class; grams hot in a task; a class's grams with their places in the order; class keys.
+GRAMS, HOT, KNOWN, CLASS = 0, 1, 2, 3
+MOST = 0xFFFF
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -100,31 +101,35 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "classes", "counts", "values"])
 
 
-def by_run(bucket: np.ndarray, cls: np.ndarray, keys: np.ndarray, values: np.ndarray, width: int, kind: int) -> list[tuple]:
-    """Pack rows already sorted by (bucket, class) into one row a bucket; ``width`` low bytes of each value travel."""
+def by_run(bucket: np.ndarray, ids: np.ndarray, values: np.ndarray, width: int, kind: int) -> list[tuple]:
+    """Pack rows already sorted by (bucket, class id) into one row a bucket: ids, run lengths, ``width`` low bytes of each value."""
     out = []
     if not len(bucket):
         return out
     cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        c = cls[a:b]
-        heads = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
-        out.append(packed(int(bucket[a]), kind, keys[c[heads]], np.diff(np.r_[heads, b - a]), raw[a:b].tobytes()))
+        c = ids[a:b]
+        heads = np.r_[0, np.flatnonzero(c[1:] != c[:-1]) + 1]
+        runs = np.diff(np.r_[heads, b - a])
+        pieces = -(-runs // MOST)  # a run of more than 16 bits can count is several runs
+        counts = np.full(pieces.sum(), MOST)
+        counts[np.cumsum(pieces) - 1] = runs - (pieces - 1) * MOST
+        out.append((int(bucket[a]), kind, np.repeat(c[heads], pieces).tobytes(), counts.astype("<u2").tobytes(), raw[a:b].tobytes()))
     return out
 
 
-def unpacked(rows: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, class number, keys of the classes) of packed rows."""
-    keys, where = np.unique(np.frombuffer(b"".join(r[2] for r in rows), dtype=KEY), return_inverse=True)
-    counts = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u4")
+def unpacked(rows: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, class ids) of packed rows."""
+    ids = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint64)
+    counts = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u2")
     raw = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(-1, width)
     values = np.zeros((len(raw), 8), dtype=np.uint8)
     values[:, :width] = raw
-    return values.view(np.uint64).ravel(), np.repeat(where, counts), keys
+    return values.view(np.uint64).ravel(), np.repeat(ids, counts)
 
 
-def buckets_of(batches) -> Iterator[tuple[int, list[tuple]]]:
+def buckets_of(batches) -> Iterator[list[tuple]]:
     """Rows of each bucket together; they come sorted by bucket."""
     now, held = None, []
     for batch in batches:
@@ -132,20 +137,23 @@ def buckets_of(batches) -> Iterator[tuple[int, list[tuple]]]:
             row = tuple(c[i].as_py() for c in batch.columns)
             if row[0] != now:
                 if held:
-                    yield now, held
+                    yield held
                 now, held = row[0], []
             held.append(row)
     if held:
-        yield now, held
+        yield held
 
 
-#: Kinds of packed rows: grams by class; grams hot in a task; a class's hot grams, already with their place in the order.
-GRAMS, HOT, KNOWN = 0, 1, 2
+def scaled(x: np.ndarray, parts: int) -> np.ndarray:
+    """64-bit hashes to parts of equal shares, by their low 32 bits."""
+    return ((x & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
 def spread(docs: DataFrame, k: int, text: str, n: int) -> DataFrame:
-    """Packed grams of all sets, to the buckets of their hashes."""
-    buckets = n * SUB
+    """Packed grams of all sets, to the buckets of their hashes.
+
+    In transit a class is the first 64 bits of its key; the key itself travels once.
+    """
 
     def run(batches):
         hashes, seen = WordHashes(), set()
@@ -155,10 +163,13 @@ def spread(docs: DataFrame, k: int, text: str, n: int) -> DataFrame:
 
         def flush():
             g = np.concatenate(sets)
-            table = np.frombuffer(b"".join(keys), dtype=KEY)
-            cls = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            token, bucket = g >> np.uint64(16), ((g & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32) if buckets <= 65536 else (mix(g) % np.uint64(buckets)).astype(np.int32)
+            table = np.frombuffer(b"".join(keys), dtype=np.uint64)[::2]
+            cls = np.repeat(table, [len(s) for s in sets])
+            token, bucket = g >> np.uint64(16), scaled(mix(g), n)
             out = []
+            to = scaled(table, n)
+            for part in np.unique(to).tolist():
+                out.append((part, CLASS, b"", b"", b"".join(keys[i] for i in np.flatnonzero(to == part).tolist())))
             limit = max(HOT_LEAST, int(len(sets) * HOT_SHARE))
             if len(sets) > limit:
                 order = np.argsort(g)
@@ -170,16 +181,14 @@ def spread(docs: DataFrame, k: int, text: str, n: int) -> DataFrame:
                         hot[order[run_[i] : run_[i + 1]]] = True
                     one = order[run_[big]]
                     one = one[np.argsort(bucket[one], kind="stable")]
-                    none = np.zeros(1, dtype=KEY)
-                    out += by_run(bucket[one], np.zeros(len(one), dtype=np.int64), none, token[one], 6, HOT)
-                    # a class's hot grams go on by its key, with the last place in the order
+                    out += by_run(bucket[one], np.zeros(len(one), dtype=np.uint64), token[one], 6, HOT)
+                    # a class's hot grams go on by its id, with the last place in the order
                     c, t = cls[hot], token[hot]
-                    to = part_of(table, buckets)[c]
-                    o = np.lexsort((c, to))
-                    out += by_run(to[o], c[o], table, (t[o] | (TOP << np.uint64(48))), 8, KNOWN)
+                    o = np.lexsort((c, scaled(c, n)))
+                    out += by_run(scaled(c, n)[o], c[o], t[o] | (TOP << np.uint64(48)), 8, KNOWN)
                     token, bucket, cls = token[~hot], bucket[~hot], cls[~hot]
-            o = np.argsort(bucket, kind="stable")
-            return out + by_run(bucket[o], cls[o], table, token[o], 6, GRAMS)
+            o = np.argsort(bucket, kind="stable")  # sets stand one after another, so classes stay together
+            return out + by_run(bucket[o], cls[o], token[o], 6, GRAMS)
 
         for batch in batches:
             for t in batch.column(0):
@@ -189,7 +198,7 @@ def spread(docs: DataFrame, k: int, text: str, n: int) -> DataFrame:
                 key = class_key(s)
                 if key in seen:
                     continue
-                if len(seen) > 100_000:
+                if len(seen) > MEMO // 4:
                     seen.clear()
                 seen.add(key)
                 sets.append(s)
@@ -206,51 +215,49 @@ def spread(docs: DataFrame, k: int, text: str, n: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, PACKED)
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    head = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 16)[:, :4].copy().view(">u4").ravel().astype(np.uint64)
-    return (head * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-
-
 def count_grams(rows: DataFrame, n: int) -> DataFrame:
     """Per bucket: drop grams of one class, give the rest their place in the order, send them on to their classes."""
-    parts = n * SUB
+
+    def placed(token, cls, hot_tokens):
+        if not len(token):
+            return token, cls
+        order = np.argsort(token, kind="stable")
+        token, cls = token[order], cls[order]
+        same = np.diff(token) == 0
+        twice = np.r_[same, False] | np.r_[False, same]
+        if len(hot_tokens):
+            twice |= np.isin(token, hot_tokens)
+        token, cls = token[twice], cls[twice]
+        order = np.lexsort((cls, token))
+        token, cls = token[order], cls[order]
+        if not len(token):
+            return token, cls
+        new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
+        token, cls = token[new], cls[new]
+        first = np.r_[True, np.diff(token) != 0]
+        df = np.diff(np.r_[np.flatnonzero(first), len(token)])[np.cumsum(first) - 1].astype(np.uint64)
+        if len(hot_tokens):
+            df[np.isin(token, hot_tokens)] = TOP
+        keep = df >= 2
+        return token[keep] | (np.minimum(df[keep], TOP) << np.uint64(48)), cls[keep]
 
     def run(batches):
-        for _, held in buckets_of(batches):
-            known = [r for r in held if r[1] == KNOWN]
+        for held in buckets_of(batches):
+            if on := [r for r in held if r[1] in (KNOWN, CLASS)]:
+                yield as_batch(on)
             hot = [r for r in held if r[1] == HOT]
             grams = [r for r in held if r[1] == GRAMS]
-            if known:
-                yield as_batch(known)
+            del held
             if not grams:
                 continue
-            token, cls, keys = unpacked(grams, 6)
+            token, cls = unpacked(grams, 6)
             hot_tokens = np.unique(unpacked(hot, 6)[0]) if hot else np.zeros(0, dtype=np.uint64)
-            order = np.argsort(token, kind="stable")
-            token, cls = token[order], cls[order]
-            same = np.diff(token) == 0
-            twice = np.r_[same, False] | np.r_[False, same]
-            if len(hot_tokens):
-                twice |= np.isin(token, hot_tokens)
-            token, cls = token[twice], cls[twice]
-            order = np.lexsort((cls, token))
-            token, cls = token[order], cls[order]
-            new = np.r_[True, (np.diff(token) != 0) | (np.diff(cls) != 0)] if len(token) else np.zeros(0, dtype=bool)
-            token, cls = token[new], cls[new]
-            if not len(token):
-                continue
-            first = np.r_[True, np.diff(token) != 0]
-            df = np.diff(np.r_[np.flatnonzero(first), len(token)])[np.cumsum(first) - 1].astype(np.uint64)
-            if len(hot_tokens):
-                df[np.isin(token, hot_tokens)] = TOP
-            keep = df >= 2
-            token, cls, df = token[keep], cls[keep], df[keep]
-            code = token | (np.minimum(df, TOP) << np.uint64(48))
-            to = part_of(keys, parts)[cls]
-            o = np.lexsort((cls, to))
-            yield as_batch(by_run(to[o], cls[o], keys, code[o], 8, KNOWN))
-
-    dealt = rows.repartitionById(n, F.floor(F.col("bucket") / SUB).cast("int")).sortWithinPartitions("bucket")
+            slices = [placed(token[part], cls[part], hot_tokens) for part in (token % np.uint64(SUB) == i for i in range(SUB))]
+            code, cls = (np.concatenate([s[i] for s in slices]) for i in (0, 1))
+            o = np.lexsort((cls, scaled(cls, n)))
+            yield as_batch(by_run(scaled(cls, n)[o], cls[o], code[o], 8, KNOWN))
+
+    dealt = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, PACKED)
 
 
@@ -258,17 +265,23 @@ def index_classes(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(cls, n, codes, prefix) of the classes whose prefix holds a gram that another class has too."""
 
     def run(batches):
-        for _, held in buckets_of(batches):
-            code, cls, keys = unpacked(held, 8)
+        for held in buckets_of(batches):
+            keys = np.unique(np.frombuffer(b"".join(r[4] for r in held if r[1] == CLASS), dtype=KEY))
+            known = [r for r in held if r[1] == KNOWN]
+            if not known:
+                continue
+            code, cls = unpacked(known, 8)
             order = np.lexsort((code, cls))
             code, cls = code[order], cls[order]
-            new = np.r_[True, (np.diff(code) != 0) | (np.diff(cls) != 0)]  # a hot gram can come twice
+            new = np.r_[True, (code[1:] != code[:-1]) | (cls[1:] != cls[:-1])]  # a hot gram can come twice
             code, cls = code[new], cls[new]
+            ids = np.ascontiguousarray(keys).view(np.uint64)[::2]
+            by_id = np.argsort(ids, kind="stable")
             size = sizes_of(keys)
-            cuts = np.r_[0, np.flatnonzero(np.diff(cls)) + 1, len(cls)]
+            cuts = np.r_[0, np.flatnonzero(cls[1:] != cls[:-1]) + 1, len(cls)]
+            which = by_id[np.searchsorted(ids, cls[cuts[:-1]], sorter=by_id)]
             out: list[list] = [[], [], [], []]
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                c = cls[a]
+            for a, b, c in zip(cuts[:-1].tolist(), cuts[1:].tolist(), which.tolist(), strict=True):
                 total = int(size[c])
                 left = total - -(-num * total // den) + 1 - (total - (b - a))
                 if left > 0:
@@ -276,7 +289,7 @@ def index_classes(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], names=["cls", "n", "codes", "prefix"])
 
-    dealt = rows.repartitionById(n, F.floor(F.col("bucket") / SUB).cast("int")).sortWithinPartitions("bucket")
+    dealt = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "cls binary, n long, codes binary, prefix array<long>")
 
 
