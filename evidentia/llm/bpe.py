@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import checkpointed
+
 #: Rows that a worker turns into Python objects at once.
 SLICE = 256
 #: Entries of a worker's memo of words, emptied when full.
@@ -306,7 +308,7 @@ def rows(batch: pa.RecordBatch) -> Iterator[list]:
         yield list(zip(*(c.slice(at, SLICE).to_pylist() for c in batch.columns), strict=True))
 
 
-def word_counts(docs: DataFrame, spec: str, text: str = "text", keep: int = 150_000, emit: int = 131_072) -> DataFrame:
+def word_counts(docs: DataFrame, spec: str, text: str = "text", keep: int = 75_000, emit: int = 65_536) -> DataFrame:
     """Frequent words of all texts and their counts (word, n).
 
     Each task counts all its words by lossy counting over at most ``2 * keep`` entries, so its memory is bounded, and
@@ -330,17 +332,25 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text", keep: int = 150_
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, spec: str, text: str = "text", size: int = 131_072) -> bytes:
-    """The ``size`` most frequent words (ties in byte order) with their ids, as the bytes of a Lexicon.
+def compile_lexicon(docs: DataFrame, spec: str, text: str = "text", size: int = 65_536) -> bytes:
+    """Frequent words with their ids, as the bytes of a Lexicon: the words counted more often than a number that leaves ``size`` at most.
 
-    ``size`` bounds what the driver collects and broadcasts: words of up to 64 bytes, under 16 MB in all with their ids.
+    ``size`` bounds what the driver collects and broadcasts: words of up to 64 bytes, under 8 MB in all with their ids.  The number
+    comes from how many words have each count, so no partition sends more than it has above it.
     """
-    top = word_counts(docs, spec, text).where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = checkpointed(word_counts(docs, spec, text).where((F.col("n") > 1) & (F.octet_length("word") <= 64)))
+    least, words = 1, 0
+    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
+        words += row["words"]
+        if words > size:
+            least = row["n"]
+            break
+    top = counts.where(F.col("n") > least).select("word").toArrow().column(0).to_pylist()
     bpe = bpe_of(spec)
-    return Lexicon.build({w: bpe.merge(w) for w in (r["word"].encode() for r in top)}).to_bytes()
+    return Lexicon.build({w: bpe.merge(w) for w in (x.encode() for x in top)}).to_bytes()
 
 
-def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", lexicon_size: int = 131_072, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", lexicon_size: int = 65_536, with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns (id, n_tokens, ids_sha256, decoded_sha256) and, on request, ``ids`` (array<int>) and ``decoded``.
