@@ -14,10 +14,10 @@ def ready(spark: SparkSession) -> None:
 
     Workers import this package from the folder the driver has it from, if they are told no other place; a cluster whose
     machines do not share that folder gets the package by ``--py-files``.  Batches of rows with long texts are kept small:
-    2,000 rows, unless the session asks for another number than Spark's default.
+    1,000 rows, unless the session asks for another number than Spark's default.
     """
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
     if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "2000")
+        spark.conf.set(BATCH, "1000")
