@@ -25,6 +25,8 @@ REPLICAS, REPLICA_RATIO = 2, 1.06
 PROBES, PROBE_RATIO = 192, 1.15
 #: Postings and queries of a list that meet in one block.
 BLOCK = 4096
+#: Results that a task holds before it merges them, and those beyond which it sends what is merged.
+FOUND = 200_000
 
 
 def lift(vectors: np.ndarray, radius: float) -> np.ndarray:
@@ -183,9 +185,12 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
 
     def best(batches):
         unit, queries, postings = None, [], []
+        found = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]  # query, vector, score
+        held: list[list[np.ndarray]] = []
+        rows = 0
 
-        def result():
-            out: list[list] = [[], [], []]
+        def solve():
+            """The best of a unit for each of its queries."""
             ids = np.array([p[0] for p in postings])
             cells = np.frombuffer(b"".join(p[1] for p in postings), dtype="<f8").reshape(len(postings), -1)
             asked = np.frombuffer(b"".join(q[1] for q in queries), dtype="<f8").reshape(len(queries), -1)
@@ -199,22 +204,42 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
                     few = few[ids[few] != key]
                     # the score itself is one fixed sum of a pair, whatever block it is found in
                     scores = (cells[few] * asked[at + i]).sum(axis=1)
-                    best_ = np.lexsort((ids[few], -scores))[:k]
-                    out[0] += [key] * len(best_)
-                    out[1] += ids[few[best_]].tolist()
-                    out[2] += scores[best_].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                    top = np.lexsort((ids[few], -scores))[:k]
+                    held.append([np.full(len(top), key), ids[few[top]], scores[top]])
+
+        def merged():
+            """The k best of each query among all that this task has found; a vector posted twice counts once."""
+            q, v, s = (np.concatenate([found[i], *(h[i] for h in held)]) for i in range(3))
+            held.clear()
+            order = np.lexsort((v, -s, q))
+            q, v, s = q[order], v[order], s[order]
+            new = np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])] if len(q) else np.zeros(0, dtype=bool)  # equal vectors have equal scores
+            q, v, s = q[new], v[new], s[new]
+            start = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1] if len(q) else np.zeros(0, dtype=np.int64)
+            rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) if len(q) else start
+            return [x[rank < k] for x in (q, v, s)]
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 for li, pb, qb, kind, key, raw in zip(*(c.slice(at, 4096).to_pylist() for c in batch.columns), strict=True):
                     if unit != (li, pb, qb):
                         if queries and postings:
-                            yield result()
+                            solve()
+                            rows += len(queries) * k
                         unit, queries, postings = (li, pb, qb), [], []
                     (postings if kind else queries).append((key, raw))
+                if rows > FOUND:
+                    found, rows = merged(), 0
+                    if len(found[0]) > FOUND:
+                        yield batch_of()
+                        found = [x[:0] for x in found]
         if queries and postings:
-            yield result()
+            solve()
+        found = merged()
+        yield batch_of()
 
     dealt = units.repartition(partitions(spark), "list", "pb", "qb").sortWithinPartitions("list", "pb", "qb", "kind", "id")
     found = dealt.mapInArrow(best, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
