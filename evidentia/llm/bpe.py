@@ -30,7 +30,7 @@ from evidentia.llm.common import checkpointed
 #: Rows that a worker turns into Python objects at once.
 SLICE = 256
 #: Entries of a worker's memo of words, emptied when full.
-MEMO = 100_000
+MEMO = 150_000
 #: The order of a pair that is never merged.
 NEVER = 1 << 62
 
@@ -332,10 +332,10 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text", keep: int = 75_0
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, spec: str, text: str = "text", size: int = 65_536) -> bytes:
+def compile_lexicon(docs: DataFrame, spec: str, text: str = "text", size: int = 131_072) -> bytes:
     """Frequent words with their ids, as the bytes of a Lexicon: the words counted more often than a number that leaves ``size`` at most.
 
-    ``size`` bounds what the driver collects and broadcasts: words of up to 64 bytes, under 8 MB in all with their ids.  The number
+    ``size`` bounds what the driver collects and broadcasts: words of up to 64 bytes, under 16 MB in all with their ids.  The number
     comes from how many words have each count, so no partition sends more than it has above it.
     """
     counts = checkpointed(word_counts(docs, spec, text).where((F.col("n") > 1) & (F.octet_length("word") <= 64)))
@@ -350,7 +350,7 @@ def compile_lexicon(docs: DataFrame, spec: str, text: str = "text", size: int =
     return Lexicon.build({w: bpe.merge(w) for w in (x.encode() for x in top)}).to_bytes()
 
 
-def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", lexicon_size: int = 65_536, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", lexicon_size: int = 131_072, with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns (id, n_tokens, ids_sha256, decoded_sha256) and, on request, ``ids`` (array<int>) and ``decoded``.
