@@ -2,8 +2,8 @@
 
 Vectors are lifted by one coordinate so that largest inner product becomes smallest distance.  Centroids are fitted on a
 bounded sample with a balance penalty and joined in a neighbour graph that every worker holds; all vectors, in lockstep,
-are routed through it.  A vector near a boundary is posted to several lists; a query visits the lists whose centroid
-distance stays within a ratio of its nearest.  Scores are inner products of the original vectors in double precision.
+are routed through it.  A vector near a boundary is posted to several lists; a query visits all lists whose centroid
+distance stays within a ratio of its nearest, chosen on vectors held out of the fit, and further ones until they are sure to hold enough vectors.  Scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import checkpointed, partitions
 
-#: Fit: vectors sampled, wanted vectors a list, and centroids at most (16,384 x 65 floats: what is broadcast stays under 8 MB).
+#: Fit: vectors sampled, wanted vectors a list, and centroids at most; a quarter of the sample bounds them as well.
 SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 512, 16_384
-#: Routing: neighbours a centroid has in the graph, and the beam of a search.
-DEGREE, BEAM = 24, 192
+#: Routing: neighbours a centroid has in the graph, the least beam of a search, and the share of the centroids that it holds.
+DEGREE, BEAM, BEAM_SHARE = 24, 192, 12
 #: Boundary vectors: lists at most, and the distance ratio up to which they are replicated.
 REPLICAS, REPLICA_RATIO = 2, 1.06
-#: Queries: lists at most, and the distance ratio that prunes.
-PROBES, PROBE_RATIO = 192, 1.15
+#: Queries: the least distance ratio that prunes, and how many are routed at a time.
+PROBE_RATIO, ASKED = 1.15, 128
+#: Vectors and queries of them on which the ratio is chosen, and the share of their neighbours whose lists must be visited.
+HELD, TRIED, WANTED = 10_000, 512, 0.99
 #: Postings and queries of a list that meet in one block.
 BLOCK = 4096
 #: Results that a task holds before it merges them, and those beyond which it sends what is merged.
@@ -75,7 +77,8 @@ class Router:
             rng = np.random.default_rng(11)
             near[:, -max(1, self.degree // 6) :] = rng.integers(0, k, (k, max(1, self.degree // 6)))  # long arcs keep it connected
             self.near = near
-        self.entry = np.unique(np.linspace(0, k - 1, min(k, BEAM)).astype(np.int32))
+        self.beam = max(BEAM, k // BEAM_SHARE)
+        self.entry = np.unique(np.linspace(0, k - 1, min(k, self.beam)).astype(np.int32))
 
     def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``want`` nearest centroids found for each row, nearest first, with squared distances."""
@@ -94,7 +97,7 @@ class Router:
         seen = np.zeros((len(x), k), dtype=bool)
         seen[:, self.entry] = True
         live = rows
-        for _ in range(4 * BEAM):
+        for _ in range(4 * self.beam):
             open_ = np.where(done[live[:, None], beam[live]], np.inf, dist[live])
             j = open_.argmin(axis=1)
             more = np.isfinite(open_[np.arange(len(live)), j])
@@ -108,12 +111,47 @@ class Router:
             dn = np.where(seen[live[:, None], new], np.inf, np.maximum(dn, 0))
             seen[live[:, None], new] = True
             every, dall = np.concatenate([beam[live], new], axis=1), np.concatenate([dist[live], dn], axis=1)
-            keep = np.argpartition(dall, BEAM - 1, axis=1)[:, : beam.shape[1]] if dall.shape[1] > beam.shape[1] else np.argsort(dall, axis=1)
+            keep = np.argpartition(dall, beam.shape[1] - 1, axis=1)[:, : beam.shape[1]] if dall.shape[1] > beam.shape[1] else np.argsort(dall, axis=1)
             beam[live], dist[live] = np.take_along_axis(every, keep, axis=1), np.take_along_axis(dall, keep, axis=1)
         order = np.argsort(dist, axis=1, kind="stable")[:, :want]
         return np.take_along_axis(beam, order, axis=1), np.take_along_axis(dist, order, axis=1)
 
 
+def replicated(d: np.ndarray) -> np.ndarray:
+    """Which of the lists nearest to a vector it is posted to."""
+    keep = d <= REPLICA_RATIO**2 * d[:, :1] + 1e-12
+    keep[:, 0] = True
+    return keep
+
+
+def above_floor(d: np.ndarray, queries: np.ndarray, radius: float) -> np.ndarray:
+    """Squared distances less the least that a lifted vector can have to the query."""
+    return d - np.abs(radius - np.sqrt((queries**2).sum(axis=1)))[:, None] ** 2
+
+
+def choose_ratio(router: Router, held: np.ndarray, radius: float, share: float) -> float:
+    """The ratio at which WANTED of the nearest ``share`` of the held vectors to some of them stand in a visited list.
+
+    The share is that of the wanted neighbours in the table, so the ratio grows with the lists as their neighbours spread.
+    """
+    near = max(1, round(share * len(held)))
+    if len(held) <= near + 1:
+        return PROBE_RATIO
+    queries = held[:TRIED]
+    scores = queries @ held.T
+    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    who = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+    spots = np.unique(who)
+    lists, d = zip(*(router.nearest(lift(held[spots[i : i + 512]], radius), REPLICAS) for i in range(0, len(spots), 512)), strict=True)
+    lists, posted = np.concatenate(lists), replicated(np.concatenate(d))
+    away = np.maximum(above_floor(distances(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), router.centres), queries, radius), 0)
+    at = np.searchsorted(spots, who)
+    need = np.where(posted[at], away[np.arange(len(queries))[:, None, None], lists[at]], np.inf).min(axis=2)
+    least = np.broadcast_to(away.min(axis=1)[:, None], need.shape)
+    told = least > 1e-12
+    return max(PROBE_RATIO, float(np.sqrt(np.quantile((need[told] / least[told]), WANTED)))) if told.any() else PROBE_RATIO
+
+
 def valid(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     """(vec_id, v array<double>) of the vectors that take part: no null id, all components finite, not zero."""
     v = F.col(column).cast("array<double>")
@@ -126,13 +164,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column: str = "vec_id", column: str = "embedding", probes: int = PROBES, probe_ratio: float = PROBE_RATIO) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column: str = "vec_id", column: str = "embedding", probes: int | None = None, probe_ratio: float | None = None) -> DataFrame:
     """The k nearest vectors of every query: (query_id, rank, vec_id, score).
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates every row but those with the query's id.
     Vectors null, zero or holding null or non-finite components take no part, nor do rows without an id; vectors of
     another dimension than the most common one raise an error.  Rows that repeat an id and vector count once.  Ties of
-    score go to the smaller id.  Other columns are left out; an empty table gives an empty table.
+    score go to the smaller id.  ``probes`` caps the lists of a query, but never below those that hold k other ids.  Other columns are left out; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
@@ -144,11 +182,19 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
     if stats["d"] != stats["e"]:
         raise ValueError("vectors of different dimensions")
     radius = float(np.sqrt(stats["r"]))
-    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).toArrow()
-    sample = lift(matrix(picked.column(0).combine_chunks()), radius)
+    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE + HELD).toArrow()
+    picked = matrix(picked.column(0).combine_chunks())
+    sample = lift(picked[:SAMPLE], radius)
     centres = fit_centroids(sample, int(min(MAX_LISTS, max(1, stats["n"] // LIST_SIZE), max(1, len(sample) // 4))))
+    if probe_ratio is None:
+        probe_ratio = choose_ratio(Router(centres), picked[-HELD:], radius, k / stats["n"])
     shared = sc.broadcast((centres, radius))
 
+    kind = "<f4" if dict(vectors.dtypes)[column] == "array<float>" else "<f8"  # what the table holds, without loss
+
+    def packed(raw):
+        return pa.array([c.tobytes() for c in raw.astype(kind)], pa.binary())
+
     def post(batches):
         centres, radius = shared.value
         router = Router(centres)
@@ -159,28 +205,43 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
                 if not len(ids):
                     continue
                 lists, d = router.nearest(lift(raw, radius), REPLICAS)
-                keep = d <= REPLICA_RATIO**2 * d[:, :1] + 1e-12
-                keep[:, 0] = True
-                yield made(lists, keep, ids, raw, 1)
-                asked = ids % query_modulus == 0
-                if asked.any():
-                    q = np.concatenate([raw[asked], np.zeros((asked.sum(), 1))], axis=1)
-                    lists, d = router.nearest(q, probes)
-                    # ratios are taken above the least distance that a lifted vector can have to the query
-                    floor = np.abs(radius - np.sqrt((raw[asked] ** 2).sum(axis=1)))[:, None] ** 2
-                    yield made(lists, d - floor <= probe_ratio**2 * np.maximum(d[:, :1] - floor, 0) + 1e-12, ids[asked], raw[asked], 0)
-
-    def made(lists, keep, ids, raw, kind):
-        i, j = np.nonzero(keep)
-        cells = raw[i].astype("<f8")
-        return pa.RecordBatch.from_arrays([pa.array(lists[i, j].astype(np.int32)), pa.array(np.full(len(i), kind, dtype=np.int32)), pa.array(ids[i]), pa.array([c.tobytes() for c in cells], pa.binary())], names=["list", "kind", "id", "v"])
-
-    posted = checkpointed(base.mapInArrow(post, "list int, kind int, id long, v binary"))
+                i, j = np.nonzero(replicated(d))
+                yield pa.RecordBatch.from_arrays([pa.array(lists[i, j].astype(np.int32)), pa.array(ids[i]), packed(raw[i])], names=["list", "id", "v"])
+
+    posted = checkpointed(base.mapInArrow(post, "list int, id long, v binary"))
+    # ids that each list adds when an id counts for its first list only: what some lists hold together is at least their sum
+    adds = np.zeros(len(centres), dtype=np.int64)
+    for r in posted.groupBy("id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        adds[r["list"]] = r["count"]
+    held_by = sc.broadcast(adds)
+
+    def ask(batches):
+        centres, radius = shared.value
+        adds = held_by.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ASKED):
+                part = batch.slice(at, ASKED)
+                ids, raw = part.column(0).to_numpy(), matrix(part.column(1))
+                if not len(ids):
+                    continue
+                d = distances(np.concatenate([raw, np.zeros((len(raw), 1))], axis=1), centres)
+                order = np.argsort(d, axis=1, kind="stable").astype(np.int32)
+                d = np.take_along_axis(d, order, axis=1)
+                d = above_floor(d, raw, radius)
+                keep = d <= probe_ratio**2 * np.maximum(d[:, :1], 0) + 1e-12
+                if probes is not None:
+                    keep[:, probes:] = False
+                keep |= np.cumsum(adds[order], axis=1) - adds[order] < k + 1  # the query's own id is one of them
+                yield pa.RecordBatch.from_arrays([pa.array(ids), packed(raw), pa.array([o[x] for o, x in zip(order, keep, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "lists"])
+
+    asking = checkpointed(base.where(F.col("vec_id") % query_modulus == 0).mapInArrow(ask, "id long, v binary, lists array<int>"))
+    asked = asking.select(F.explode("lists").alias("list"), F.lit(0).alias("kind"), "id", "v")
+    every = posted.select("list", F.lit(1).alias("kind"), "id", "v").unionByName(asked)
     # blocks: a list with many postings or queries is cut into pieces, each pair of pieces a unit of its own
-    sizes = posted.groupBy("list").agg(F.ceil(F.sum("kind") / BLOCK).cast("int").alias("p"), F.ceil(F.sum(1 - F.col("kind")) / BLOCK).cast("int").alias("q")).where("p > 0 AND q > 0")
+    sizes = every.groupBy("list").agg(F.ceil(F.sum("kind") / BLOCK).cast("int").alias("p"), F.ceil(F.sum(1 - F.col("kind")) / BLOCK).cast("int").alias("q")).where("p > 0 AND q > 0")
     slot = F.pmod(F.xxhash64("id"), F.when(F.col("kind") == 1, F.col("p")).otherwise(F.col("q"))).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("kind") == 1, F.col("q")).otherwise(F.col("p")) - 1)
-    placed = posted.join(F.broadcast(sizes), "list").withColumn("slot", slot).withColumn("other", F.explode(other))  # sizes: MAX_LISTS rows at most
+    placed = every.join(F.broadcast(sizes), "list").withColumn("slot", slot).withColumn("other", F.explode(other))  # sizes: MAX_LISTS rows at most
     units = placed.select("list", F.when(F.col("kind") == 1, F.col("slot")).otherwise(F.col("other")).alias("pb"), F.when(F.col("kind") == 1, F.col("other")).otherwise(F.col("slot")).alias("qb"), "kind", "id", "v")
 
     def best(batches):
@@ -192,8 +253,8 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
         def solve():
             """The best of a unit for each of its queries."""
             ids = np.array([p[0] for p in postings])
-            cells = np.frombuffer(b"".join(p[1] for p in postings), dtype="<f8").reshape(len(postings), -1)
-            asked = np.frombuffer(b"".join(q[1] for q in queries), dtype="<f8").reshape(len(queries), -1)
+            cells = np.frombuffer(b"".join(p[1] for p in postings), dtype=kind).reshape(len(postings), -1).astype(float)
+            asked = np.frombuffer(b"".join(q[1] for q in queries), dtype=kind).reshape(len(queries), -1).astype(float)
             slack = 1e-9 * max(1.0, float(np.abs(cells).max()) * float(np.abs(asked).max()) * cells.shape[1])
             for at in range(0, len(asked), 256):
                 rough = asked[at : at + 256] @ cells.T
@@ -224,13 +285,13 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                for li, pb, qb, kind, key, raw in zip(*(c.slice(at, 4096).to_pylist() for c in batch.columns), strict=True):
+                for li, pb, qb, posting, key, raw in zip(*(c.slice(at, 4096).to_pylist() for c in batch.columns), strict=True):
                     if unit != (li, pb, qb):
                         if queries and postings:
                             solve()
                             rows += len(queries) * k
                         unit, queries, postings = (li, pb, qb), [], []
-                    (postings if kind else queries).append((key, raw))
+                    (postings if posting else queries).append((key, raw))
                 if rows > FOUND:
                     found, rows = merged(), 0
                     if len(found[0]) > FOUND:

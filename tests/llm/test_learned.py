@@ -118,6 +118,33 @@ def test_neighbours_recall_with_graph_and_blocks(spark, monkeypatch):
     assert set(got) == set(want) and hit >= 0.9
 
 
+def found_by(df, **kw):
+    got = {}
+    for r in ann.search(df, **kw).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def test_neighbours_among_many_lists(spark, monkeypatch):
+    """Unclustered vectors in far more lists than any fixed number of visits."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 8)
+    rng = np.random.default_rng(8)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(8000, 24)))]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_modulus=80)
+    want = brute(rows, 20, 80)
+    assert set(got) == set(want) and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.97
+
+
+def test_neighbours_beyond_small_clusters(spark, monkeypatch):
+    """Clusters of five: the nearest list alone holds too few."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 5)
+    rng = np.random.default_rng(9)
+    centres = 50 * rng.normal(size=(200, 8))
+    rows = [(i, (centres[i % 200] + 0.01 * rng.normal(size=8)).tolist()) for i in range(1000)]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probe_ratio=1.15)
+    assert len(got) == 50 and all(len(v) == 20 for v in got.values())
+
+
 # --- fingerprints
 
 
