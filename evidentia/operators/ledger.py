@@ -5,10 +5,14 @@ Events: (ledger, sequence, action, item_number, disposition, stage, at, previous
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.checks import DISPOSITIONS, STAGES, utc_timestamp
+from evidentia.workers import ready
 
 MAX_EVENTS = 50_000
 FIELDS = ["action", "at", "disposition", "item_number", "previous_event_digest", "sequence", "stage"]
@@ -17,7 +21,7 @@ FIELDS = ["action", "at", "disposition", "item_number", "previous_event_digest",
 def event_json(**columns: Column) -> Column:
     """The canonical JSON of an event without its digest: sorted keys, no blanks, nulls written out."""
     text = {"action", "at", "disposition", "previous_event_digest", "stage"}
-    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(F.concat(F.lit('"'), columns[k], F.lit('"')) if k in text else columns[k].cast("string"), F.lit("null"))) for k in FIELDS]
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(F.concat(F.lit('"'), columns[k], F.lit('"')) if k in text else columns[k].cast("string"), F.lit("null"))) for k in FIELDS if k in columns]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
@@ -40,6 +44,36 @@ def validate(events: DataFrame, n_items: Column | int, max_events: int = MAX_EVE
     return events.withColumn("ok", F.coalesce(ok, F.lit(False))).groupBy("ledger").agg(F.count("*").alias("events"), (F.bool_and("ok") & (F.count("*") <= max_events)).alias("valid"))
 
 
+def chain(events: DataFrame) -> DataFrame:
+    """Events without digests (ledger, sequence, ...) with previous_event_digest and digest, each linked to the one before it.
+
+    Every ledger is folded in order of sequence; a task holds the last digest of one ledger, whatever its length.
+    """
+    ready(events.sparkSession)
+    at = FIELDS.index("previous_event_digest")
+    before, after = (event_json(**{k: F.col(k) for k in fields}) for fields in (FIELDS[:at], FIELDS[at + 1 :]))
+    rows = events.select(*events.columns, before.alias("before"), after.alias("after"))
+    n = len(events.columns)
+    place = events.columns.index("ledger")
+
+    def run(batches):
+        ledger, last = None, None
+        for batch in batches:
+            previous, digests = [], []
+            for key, head, tail in zip(*(batch.column(i).to_pylist() for i in (place, n, n + 1)), strict=True):
+                if key != ledger:
+                    ledger, last = key, None
+                previous.append(last)
+                link = "null" if last is None else f'"{last}"'
+                last = hashlib.sha256(f'{head[:-1]},"previous_event_digest":{link},{tail[1:]}'.encode()).hexdigest()
+                digests.append(last)
+            names = [*batch.schema.names[:n], "previous_event_digest", "digest"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(previous, pa.string()), pa.array(digests, pa.string())], names=names)
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in events.dtypes), "previous_event_digest string, digest string"])
+    return rows.repartition("ledger").sortWithinPartitions("ledger", "sequence").mapInArrow(run, schema)
+
+
 def append(events: DataFrame, new: DataFrame) -> DataFrame:
     """Append one event (ledger, action, item_number, disposition, stage, at) to each named ledger, chained to its last."""
     last = events.groupBy("ledger").agg(F.max_by(F.struct("sequence", "digest"), "sequence").alias("last"))

@@ -417,7 +417,10 @@ linked AS (SELECT *, lag(d) OVER (PARTITION BY ledger ORDER BY sequence) AS p FR
 SELECT ledger, count(*)::BIGINT AS events, bool_and(sequence <= 1 AND NOT (ledger % 3 = 0 AND sequence = 1)) AS valid FROM linked WHERE sequence <= CASE WHEN ledger % 2 = 0 THEN 1 ELSE 3 END GROUP BY 1"""
 )
 def ledger_hash_chain_link(spark, sf_dir):
-    """Ledgers of one event that stand, and of more whose later events carry digests of the wrong text."""
+    """Ledgers of one event that stand, and of more whose later events carry digests of the wrong text.
+
+    Reads three events of a ledger at most, as its SQL does; ``ledger_chain_whole`` chains and validates all of them.
+    """
     e = ledger_events(spark, sf_dir).withColumn("previous_event_digest", F.lit(None).cast("string"))
     e = e.withColumn("digest", ledger.event_digest()).where((F.col("sequence") <= F.when(F.col("ledger") % 2 == 0, 1).otherwise(3)))
     linked = e.withColumn("previous_event_digest", F.lag("digest").over(Window.partitionBy("ledger").orderBy("sequence")))
@@ -425,6 +428,29 @@ def ledger_hash_chain_link(spark, sf_dir):
     return ledger.validate(bent, 10)
 
 
+@query(
+    WITH_LEDGER.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", chain AS (SELECT *, NULL::VARCHAR AS prev, sha256({EVENT_SQL}) AS d FROM events0 WHERE sequence = 1
+  UNION ALL SELECT * REPLACE (sha256({CHAINED_SQL}) AS d) FROM (SELECT e.*, c.d AS prev, '' AS d FROM chain c JOIN events0 e ON e.ledger = c.ledger AND e.sequence = c.sequence + 1)),
+counted AS (SELECT *, count(*) OVER (PARTITION BY ledger) AS n FROM chain),
+relinked AS (SELECT * REPLACE (CASE WHEN ledger % 4 = 2 AND sequence = n THEN reverse(prev) ELSE prev END AS prev) FROM counted),
+hashed AS (SELECT *, CASE WHEN prev IS NULL THEN sha256({EVENT_SQL}) ELSE sha256({CHAINED_SQL}) END AS own FROM relinked),
+bent AS (SELECT *, CASE WHEN ledger % 4 = 0 AND sequence = n OR ledger % 4 = 1 AND sequence = n // 2 + 1 THEN reverse(own) ELSE own END AS digest FROM hashed),
+checked AS (SELECT ledger, digest = own AND prev IS NOT DISTINCT FROM lag(digest) OVER (PARTITION BY ledger ORDER BY sequence) AS ok FROM bent)
+SELECT ledger, count(*)::BIGINT AS events, bool_and(ok) AS valid FROM checked GROUP BY 1"""
+)
+def ledger_chain_whole(spark, sf_dir):
+    """All events of every ledger chained, then of four ledgers one with a bent last digest, one with a bent digest in the
+    middle, one whose last event is hashed over a wrong link, and one that stands."""
+    e = ledger.chain(ledger_events(spark, sf_dir))
+    k, s = F.col("ledger") % 4, F.col("sequence")
+    n = F.count("*").over(Window.partitionBy("ledger"))
+    relinked = e.withColumn("n", n).withColumn("previous_event_digest", F.when((k == 2) & (s == F.col("n")), F.reverse("previous_event_digest")).otherwise(F.col("previous_event_digest")))
+    wrong = ((k == 0) & (s == F.col("n"))) | ((k == 1) & (s == F.floor(F.col("n") / 2) + 1))
+    own = F.when((k == 2) & (s == F.col("n")), ledger.event_digest()).otherwise(F.col("digest"))
+    return ledger.validate(relinked.withColumn("digest", F.when(wrong, F.reverse("digest")).otherwise(own)), 10)
+
+
 STEPS = """, t AS (SELECT ledger, stage, sequence, action, epoch_us(replace("at", 'Z', '')::TIMESTAMP) AS us FROM events0 WHERE action <> 'decide'),
 u AS (SELECT *, lag(action) OVER w AS prev, lag(us) OVER w AS pus, lead(action) OVER w IS NULL AS is_last FROM t WINDOW w AS (PARTITION BY ledger, stage ORDER BY sequence)),
 steps AS (SELECT ledger, stage, sequence, action, coalesce(CASE WHEN action = 'start' THEN prev = 'start' ELSE coalesce(prev, '') <> 'start' OR us < pus END, false) AS bad, is_last AND action = 'start' AS open,

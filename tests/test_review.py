@@ -102,6 +102,30 @@ def test_spark_and_driver_agree_on_digests(spark):
     assert not ledger.validate(table, 1, max_events=1).first()["valid"]
 
 
+def test_whole_chains_against_a_plain_fold(spark):
+    """Ledgers of up to 40 events in mixed order; any one bent digest makes its ledger invalid, the others stand."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from evidentia.operators import ledger
+
+    rows = [(b, n, "decide", n % 3 + 1, "confirm", None, f"2025-01-01T00:00:{n:02}Z") for n in range(40, 0, -1) for b in range(4) if n <= 13 * b + 1]
+    schema = "ledger long, sequence int, action string, item_number int, disposition string, stage string, at string"
+    made = ledger.chain(spark.createDataFrame(rows, schema))
+    got = {(r["ledger"], r["sequence"]): (r["previous_event_digest"], r["digest"]) for r in made.collect()}
+    want, last = {}, {}
+    for b, n, action, item_number, disposition, stage, at in sorted(rows):
+        fields = {"action": action, "at": at, "disposition": disposition, "item_number": item_number, "previous_event_digest": last.get(b), "sequence": n, "stage": stage}
+        digest = hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        want[b, n], last[b] = (last.get(b), digest), digest
+    assert got == want
+    assert {r["ledger"]: (r["events"], r["valid"]) for r in ledger.validate(made, 3).collect()} == {b: (13 * b + 1, True) for b in range(4)}
+    for b, n in ((1, 14), (2, 5), (3, 40)):
+        bent = made.withColumn("digest", F.when((F.col("ledger") == b) & (F.col("sequence") == n), F.reverse("digest")).otherwise(F.col("digest")))
+        assert {r["ledger"] for r in ledger.validate(bent, 3).collect() if not r["valid"]} == {b}
+
+
 def test_strict_json_bounds(tmp_path):
     for text in ('{"a":1,"a":1}', '{"a":Infinity}', "[1]", '{"a":"\\ud800"}', '{"a":' * 33 + "1" + "}" * 33):
         (tmp_path / "x.json").write_text(text)
