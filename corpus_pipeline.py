@@ -36,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ready(spark)
     plain, names = numbered(docs)
     text = names["text"]
-    out = line_dedup.dedup_lines(plain, names["doc_id"], text).where((F.col("n_dropped") == 0) | (F.trim(text) != "")).select(*names.values())
+    out = line_dedup.dedup_lines(plain, names["doc_id"], text, short=True).where((F.col("n_dropped") == 0) | (F.trim(text) != "")).select(*names.values())
     if "n_chars" in names:
         out = out.withColumn(names["n_chars"], F.length(text).cast(dict(docs.dtypes)["n_chars"]))
     return out.toDF(*docs.columns)

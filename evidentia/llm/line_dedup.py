@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import checkpointed, stored
 
-#: Lines of fewer words are left as they are.
+#: Lines of fewer words have no near copies: one word edit would be a large part of them.
 MIN_WORDS = 5
 #: Sums of hashes are kept below this power of two; running sums are built in spans.
 MASK, SPAN = (1 << 62) - 1, 256
@@ -68,16 +68,18 @@ def passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("slot", slot).join(F.broadcast(table), F.shiftright("slot", 6) == F.col("cell")).where(F.expr("shiftright(bits, cast(slot & 63 AS int)) & 1") == 1).drop("slot", "cell", "bits")
 
 
-def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """(k1, k2, gone array<int>): for each row that loses lines their numbers, from 0."""
     lines = lines_of(docs, id_column, text)
     blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    long = lines.withColumn("n", (blanks + 1).cast("int")).where(F.col("n") >= min_words)
+    counted = lines.withColumn("n", (blanks + 1).cast("int"))
+    long = F.col("n") >= min_words
+    judged = counted.where(long | F.col("line").rlike(r"\S") if short else long)
     p, q = F.shiftright("n", 1), F.shiftright(F.col("n") - 1, 1)
-    half = lambda m: F.xxhash64(m, F.call_function("substring_index", F.col("line"), F.lit(" "), m))
+    half = lambda m: F.when(long, F.xxhash64(m, F.call_function("substring_index", F.col("line"), F.lit(" "), m)))
     sides = {"a1": half(p), "z1": half(-p), "a2": F.when(p != q, half(q)), "z2": F.when(p != q, half(-q))}
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2", "line_no")
-    distinct = stored(long.withColumns(sides).groupBy("h1", "h2", "a1", "z1", "a2", "z2").agg(F.min(place).alias("first"), F.count("*").alias("times")))
+    distinct = stored(judged.withColumns(sides).groupBy("h1", "h2", "a1", "z1", "a2", "z2").agg(F.min(place).alias("first"), F.count("*").alias("times")))
 
     # lines that share a half with another line
     halved = distinct.select("h1", "h2", "first", F.explode(F.array_compact(F.array("a1", "z1", "a2", "z2"))).alias("half"))
@@ -139,18 +141,19 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(n == m, changed <= 1).when(F.abs(n - m) == 1, common(long, short) + common(F.reverse(long), F.reverse(short)) >= less).otherwise(False)
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """All columns, the text without its dropped lines, plus ``n_lines`` and ``n_dropped`` (long).
 
     "Earlier" is by id (rows without an id last), then row content, then line number.  A line is kept whole or dropped
-    whole; lines of fewer than ``min_words`` words stay.  A null text stays null with no lines; an empty text is one empty
+    whole; lines of fewer than ``min_words`` words stay or, with ``short``, go where they equal an earlier line, unless they
+    are blank.  A null text stays null with no lines; an empty text is one empty
     line and stays.  Rows equal in id and text count as one and fare alike.  Other columns pass through, whatever their
     names; an empty table gives an empty table.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     c_id, c_text = names[docs.columns.index(id_column)], names[docs.columns.index(text)]
-    lost = dropped_lines(plain, c_id, c_text, min_words)
+    lost = dropped_lines(plain, c_id, c_text, min_words, short)
     joined = keyed(plain.withColumns({"id": F.col(c_id), "text": F.col(c_text)}), "id", "text").join(lost.hint("shuffle_hash"), ["k1", "k2"], "left")
     parts = F.split(c_text, "\n")
     kept = F.when(F.col("gone").isNull(), F.col(c_text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))

@@ -80,6 +80,26 @@ def test_line_dedup_awkward(spark):
     assert line_dedup.dedup_lines(docs.where("doc_id < 0")).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """Exact repeats go at any number of words, text without blanks too; short lines have no near copies, blank lines stay."""
+    docs = [(1, "All rights reserved.\n\n\u5168\u90e8\u306e\u6a29\u5229\u3092\u4fdd\u6709\u3059\u308b\nkeep"), (2, "All rights reserved.\n\n\u5168\u90e8\u306e\u6a29\u5229\u3092\u4fdd\u6709\u3059\u308b\nAll rights kept.\n  \n"), (3, "  \none two three four five\nkeep\nkeep"), (4, "one two three four five six")]
+    frame = spark.createDataFrame(docs, DOCS)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame, short=True).collect()}
+    assert got == {1: docs[0][1], 2: "\n\nAll rights kept.\n  \n".removeprefix("\n"), 3: "  \none two three four five", 4: ""}
+    near = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(texts(3), DOCS), short=True).collect()}
+    seen, want = set(), {}
+    for key, text in sorted(plain_dedup(texts(3)).items()):
+        kept = []
+        for line in text.split("\n"):
+            if line.strip() and len(line.split(" ")) < line_dedup.MIN_WORDS:
+                if line in seen:
+                    continue
+                seen.add(line)
+            kept.append(line)
+        want[key] = "\n".join(kept)
+    assert near == want
+
+
 def test_prefix_sums_over_spans(spark):
     """Lines longer than a span of running sums."""
     w = [f"w{i}" for i in range(700)]

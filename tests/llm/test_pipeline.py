@@ -32,6 +32,11 @@ def test_stages_and_run_agree(spark, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
 
 
+def test_short_repeated_lines_go(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\nfirst"), (2, "second\n\nAll rights reserved."), (3, "All rights reserved.")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()} == {1: "All rights reserved.\nfirst", 2: "second\n"}
+
+
 def test_awkward_documents(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two three four five six seven", "en", "s", 33), (3, "one two three four five six seven", "en", "s", 33), (4, "one two three four five six seven", "fr", None, 33), (None, "no id but some words in it", "en", "s", 26), (5, "long " * 30_000, "en", "s", 150_000)]
     clashing = "quality_score double, n_dropped long, text_hash long, mix_sampled int, c0 string, id string, cls string"
