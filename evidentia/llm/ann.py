@@ -169,7 +169,7 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates every row but those with the query's id.
     Vectors null, zero or holding null or non-finite components take no part, nor do rows without an id; vectors of
-    another dimension than the most common one raise an error.  Rows that repeat an id and vector count once.  Ties of
+    another dimension than the most common one raise an error.  Rows that repeat an id count once, by the best of its vectors.  Ties of
     score go to the smaller id.  ``probes`` caps the lists of a query, but never below those that hold k other ids.  Other columns are left out; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
@@ -256,30 +256,41 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
             cells = np.frombuffer(b"".join(p[1] for p in postings), dtype=kind).reshape(len(postings), -1).astype(float)
             asked = np.frombuffer(b"".join(q[1] for q in queries), dtype=kind).reshape(len(queries), -1).astype(float)
             slack = 1e-9 * max(1.0, float(np.abs(cells).max()) * float(np.abs(asked).max()) * cells.shape[1])
+            start = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1]  # rows of an id stand together
             for at in range(0, len(asked), 256):
                 rough = asked[at : at + 256] @ cells.T
                 for i, row in enumerate(rough):
                     key = queries[at + i][0]
                     row[ids == key] = -np.inf
-                    few = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - slack) if len(row) > k else np.arange(len(row))
+                    each = np.maximum.reduceat(row, start) if len(start) < len(row) else row
+                    few = np.flatnonzero(row >= np.partition(each, len(each) - k)[len(each) - k] - slack) if len(each) > k else np.arange(len(row))
                     few = few[ids[few] != key]
                     # the score itself is one fixed sum of a pair, whatever block it is found in
                     scores = (cells[few] * asked[at + i]).sum(axis=1)
-                    top = np.lexsort((ids[few], -scores))[:k]
-                    held.append([np.full(len(top), key), ids[few[top]], scores[top]])
-
-        def merged():
-            """The k best of each query among all that this task has found; a vector posted twice counts once."""
-            q, v, s = (np.concatenate([found[i], *(h[i] for h in held)]) for i in range(3))
-            held.clear()
-            order = np.lexsort((v, -s, q))
+                    if len(start) < len(row):
+                        held.append(k_best(np.full(len(few), key), ids[few], scores))
+                    else:
+                        top = np.lexsort((ids[few], -scores))[:k]
+                        held.append([np.full(len(top), key), ids[few[top]], scores[top]])
+
+        def k_best(q, v, s):
+            """The k best vectors of each query, each id once by its best score."""
+            order = np.lexsort((-s, v, q))
             q, v, s = q[order], v[order], s[order]
-            new = np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])] if len(q) else np.zeros(0, dtype=bool)  # equal vectors have equal scores
+            new = np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])] if len(q) else np.zeros(0, dtype=bool)
             q, v, s = q[new], v[new], s[new]
+            order = np.lexsort((v, -s, q))
+            q, v, s = q[order], v[order], s[order]
             start = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1] if len(q) else np.zeros(0, dtype=np.int64)
             rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) if len(q) else start
             return [x[rank < k] for x in (q, v, s)]
 
+        def merged():
+            """The k best of each query among all that this task has found; an id posted twice counts once."""
+            q, v, s = (np.concatenate([found[i], *(h[i] for h in held)]) for i in range(3))
+            held.clear()
+            return k_best(q, v, s)
+
         def batch_of():
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
@@ -291,7 +302,9 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
                             solve()
                             rows += len(queries) * k
                         unit, queries, postings = (li, pb, qb), [], []
-                    (postings if posting else queries).append((key, raw))
+                    side = postings if posting else queries
+                    if not side or side[-1] != (key, raw):  # rows that repeat an id and vector follow each other
+                        side.append((key, raw))
                 if rows > FOUND:
                     found, rows = merged(), 0
                     if len(found[0]) > FOUND:
@@ -302,7 +315,7 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
         found = merged()
         yield batch_of()
 
-    dealt = units.repartition(partitions(spark), "list", "pb", "qb").sortWithinPartitions("list", "pb", "qb", "kind", "id")
+    dealt = units.repartition(partitions(spark), "list", "pb", "qb").sortWithinPartitions("list", "pb", "qb", "kind", "id", "v")
     found = dealt.mapInArrow(best, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -145,6 +145,23 @@ def test_neighbours_beyond_small_clusters(spark, monkeypatch):
     assert len(got) == 50 and all(len(v) == 20 for v in got.values())
 
 
+def test_repeated_rows_push_nothing_out(spark):
+    """Every row twice, one neighbour 40 times and one id with 40 vectors: the 20 best ids of brute force."""
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    many = [(501, [2.0 + 0.001 * j] * 8) for j in range(40)]
+    df = spark.createDataFrame([*rows, *rows, *many, *[(500, [2.0] * 8)] * 40], "vec_id long, embedding array<double>")
+    got = found_by(df, query_modulus=20, probe_ratio=50.0)
+    every = {}
+    for key, v in [*rows, *many, (500, [2.0] * 8)]:
+        every.setdefault(key, []).append(np.array(v))
+    asked = [q for q in every if q % 20 == 0]
+    for q in asked:
+        score = {i: max(float((x * y).sum()) for x in every[q] for y in vs) for i, vs in every.items() if i != q}
+        assert got[q] == sorted(score, key=lambda i: (-score[i], i))[:20]
+    assert set(got) == set(asked)
+
+
 # --- fingerprints
 
 
