@@ -281,7 +281,7 @@ def linked(rows: list[tuple], least: float) -> list[tuple]:
     return out
 
 
-def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str = "fingerprint", band_bits: int = 32, least: float = 0.8) -> DataFrame:
+def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str = "fingerprint", band_bits: int = 16, least: float = 0.8) -> DataFrame:
     """(id, class_id): fingerprints linked where they share a band of sampled bits and their likeness is at least ``least``.
 
     Equal fingerprints are one entry, so copies are never paired.  A band's entries are compared with each other in one task,

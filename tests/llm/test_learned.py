@@ -193,6 +193,24 @@ def test_fingerprints_follow_edits(spark):
     assert fingerprint.edit_pairs(df.where("doc_id < 0")).count() == 0
 
 
+def test_near_classes_find_pairs_at_the_threshold(spark):
+    """Fingerprints of which a tenth of the bits differ, against all pairs."""
+    rng = np.random.default_rng(12)
+    n = fingerprint.WALKS * fingerprint.BITS
+    rows = []
+    for i in range(300):
+        bits = rng.random(n) < 0.5
+        other = bits.copy()
+        other[rng.choice(n, n // 10, replace=False)] ^= True
+        rows += [(2 * i, bits), (2 * i + 1, other)]
+    every = np.array([b for _, b in rows], dtype=np.int32)
+    apart = every.sum(axis=1)[:, None] + every.sum(axis=1)[None, :] - 2 * every @ every.T
+    want = {(i, j) for i, j in zip(*np.nonzero(apart <= 0.1 * n), strict=True) if i < j}
+    got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_classes(spark.createDataFrame([(i, fingerprint.hexed(b)) for i, b in rows], "doc_id long, fingerprint string")).collect()}
+    assert len(want) == 300 and np.mean([got[i] == got[j] for i, j in want]) >= 0.98
+    assert all((min(i, c), max(i, c)) in want for i, c in got.items() if i != c)
+
+
 def test_lockstep_equals_single_walks(monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc déf") for _ in range(rng.randint(0, 300))) for _ in range(150)] + ["x" * 5000]
