@@ -1,86 +1,226 @@
-"""Title mentions and their provisions in text nodes, as one row-wise expression.
+"""Title mentions and their provisions in text nodes.
 
 Titles are chosen longest first, ties by text, occurrences left to right; an occurrence counts where it touches no chosen one.
-The dictionary is a literal of the plan while its size is checked to be small, so extraction needs no shuffle; beyond that,
-titles are found through an equi-join on their first characters.
+One automaton finds all titles of a dictionary in one pass over a text, in an Arrow table function over nodes; a dictionary
+that is too large for a worker is met through an equi-join on hashed leading characters instead, of which only keys and
+positions travel.  Either way a node's occurrences fall into runs that overlap, and each run is settled by itself, so the
+work of a text grows in proportion to its length and its occurrences.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from evidentia.workers import ready
 
 #: The default provision form, look-ahead and markers of unnamed references, and the work budgets.
 PROVISION, LOOKAHEAD = r"(?U)제\d+조(?:의\d+)?", 32
 MARKERS = ["법", "규정", "고시", "훈령", "예규"]
 MATCHES_PER_NODE = MATCHES_PER_DOCUMENT = 100_000
 CANDIDATES_PER_NODE = CANDIDATES_PER_DOCUMENT = 10_000
-#: Titles (and characters of them) up to which the dictionary travels with the plan.
-LITERAL_TITLES, LITERAL_CHARS = 5_000, 500_000
-
-HIT = "array<struct<rank:int,title:string,start:int,end:int>>"
-
-
-def starts_of(text: Column, word: Column) -> Column:
-    """0-based starts of the leftmost, not self-overlapping occurrences of a word."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
-    sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p))
-    running = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, n: F.struct((acc["at"] + n + F.length(word)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + n)).alias("starts")))
-    return F.when(F.contains(text, word), running["starts"]).otherwise(F.array().cast("array<int>"))
-
-
-def greedy(hits: Column) -> Column:
-    """Accept hits in their order where they touch none accepted before; the result is sorted by start."""
-    kept = F.aggregate(hits, F.array().cast(HIT), lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["title"].alias("title"))))
-
-
-def ranked_titles(titles: DataFrame) -> DataFrame:
-    """(title, rank) of the distinct non-empty titles, longest first."""
-    return titles.select("title").where("title <> ''").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.length("title")), "title")))
+#: Titles, and characters of them, up to which a worker holds the dictionary as an automaton.
+AUTOMATON_TITLES, AUTOMATON_CHARS = 200_000, 4_000_000
+#: Leading characters by which larger dictionaries are joined: the most of these that a title has.
+LEADS = (16, 8, 4, 2, 1)
+
+HITS = "array<struct<title:string,start:int,end:int>>"
+SELECTED = "array<struct<start:int,end:int,title:string,next:int,tail:string>>"
+
+Hit = tuple[str, int, int]
+
+
+class Automata:
+    """The automaton of a dictionary, built once in a Python process."""
+
+    built: dict[int, tuple[list[str], object]] = {}
+
+    @classmethod
+    def of(cls, titles: list[str]):
+        import ahocorasick
+
+        kept = cls.built.get(id(titles))
+        if kept is None or kept[0] is not titles:
+            made = ahocorasick.Automaton()
+            for t in titles:
+                made.add_word(t, t)
+            made.make_automaton()
+            kept = cls.built[id(titles)] = (titles, made)
+        return kept[1]
+
+
+def examined(found: Iterable[tuple[str, int]]) -> Iterator[Hit]:
+    """Of each title, whose (title, start) come in ascending order, those that do not overlap its last examined one."""
+    free: dict[str, int] = {}
+    for title, start in found:
+        if start >= free.get(title, 0):
+            free[title] = start + len(title)
+            yield title, start, start + len(title)
+
+
+def occurrences(text: str, titles: list[str]) -> list[Hit]:
+    """All examined occurrences of the titles of a dictionary in a text."""
+    if not titles:
+        return []
+    return list(examined((t, last - len(t) + 1) for last, t in Automata.of(titles).iter(text)))
+
+
+def runs(hits: list[Hit]) -> Iterator[list[Hit]]:
+    """Hits by start, cut where no hit reaches over; hits of different runs cannot touch."""
+    run: list[Hit] = []
+    reach = 0
+    for h in sorted(hits, key=lambda h: h[1]):
+        if run and h[1] >= reach:
+            yield run
+            run, reach = [], 0
+        run.append(h)
+        reach = max(reach, h[2])
+    if run:
+        yield run
+
+
+class Spans:
+    """Disjoint spans by start."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether no span touches [start, end): the last one that begins before its end is the only one that could."""
+        i = bisect_right(self.starts, end - 1)
+        return i == 0 or self.ends[i - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
+def chosen(hits: list[Hit]) -> list[Hit]:
+    """The selected hits by start."""
+    out: list[Hit] = []
+    for run in runs(hits):
+        if len(run) == 1:
+            out += run
+            continue
+        taken, kept = Spans(), []
+        for h in sorted(run, key=lambda h: (h[1] - h[2], h[0], h[1])):
+            if taken.free(h[1], h[2]):
+                taken.add(h[1], h[2])
+                kept.append(h)
+        out += sorted(kept, key=lambda h: h[1])
+    return out
+
+
+def first_free(text: str, marker: str, taken: Spans) -> tuple[int | None, int]:
+    """The first occurrence of a marker that touches no selected title, and how many were examined for it."""
+    n = 0
+    for m in re.finditer(re.escape(marker), text):
+        n += 1
+        if taken.free(m.start(), m.end()):
+            return m.start(), n
+    return None, n
+
+
+def settled(text: str, hits: list[Hit], markers: list[str], lookahead: int) -> tuple[list[dict], int | None, int]:
+    """(selected, start of the unnamed reference, occurrences examined) of one node."""
+    picked, taken = chosen(hits), Spans()
+    taken.starts, taken.ends = [h[1] for h in picked], [h[2] for h in picked]
+    following = taken.starts[1:] + [len(text)]
+    selected = [{"start": s, "end": e, "title": t, "next": n, "tail": text[e : min(e + lookahead, n)]} for (t, s, e), n in zip(picked, following, strict=False)]
+    marks = [first_free(text, m, taken) for m in markers]
+    return selected, min((at for at, _ in marks if at is not None), default=None), len(hits) + sum(n for _, n in marks)
+
+
+def known_titles(titles: DataFrame) -> list[str] | None:
+    """The distinct non-empty titles, or None where they are too many or too long for a worker to hold."""
+    distinct = titles.select("title").where("title <> ''").distinct().limit(AUTOMATON_TITLES + 1)
+    size = distinct.agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("chars")).first()
+    if size["n"] > AUTOMATON_TITLES or (size["chars"] or 0) > AUTOMATON_CHARS:
+        return None
+    return sorted(r["title"] for r in distinct.collect())
+
+
+def joined_hits(nodes: DataFrame, titles: DataFrame, key: list[str]) -> DataFrame:
+    """(key, found array<struct<start, title>>) by an equi-join on hashed leading characters, verified on the text."""
+    n = F.length("title")
+    lead = F.when(n >= LEADS[0], LEADS[0])
+    for size in LEADS[1:]:
+        lead = lead.when(n >= size, size)
+    wanted = titles.select("title").where("title <> ''").distinct().withColumn("lead", lead).withColumn("gram", F.xxhash64("lead", F.expr("substring(title, 1, lead)")))
+    at = F.explode(F.sequence(F.lit(1), F.length("text") - F.col("lead") + 1)).alias("at")
+    sizes = nodes.select(*key, "text", F.explode(F.array(*map(F.lit, LEADS))).alias("lead")).where(F.length("text") >= F.col("lead"))
+    grams = sizes.select(*key, "text", "lead", at).select(*key, "at", F.xxhash64("lead", F.expr("substring(text, at, lead)")).alias("gram"))
+    met = grams.join(wanted.select("gram", "title"), "gram").groupBy(*key).agg(F.collect_list(F.struct((F.col("at") - 1).alias("start"), "title")).alias("met"))
+    verified = F.sort_array(F.filter("met", lambda h: F.substring(F.col("text"), h["start"] + 1, F.length(h["title"])) == h["title"]))
+    return nodes.join(met, key).select(*key, verified.alias("found"))
+
+
+def _found(nodes: DataFrame, titles: DataFrame, key: list[str]) -> tuple[DataFrame, list[str] | None]:
+    """Nodes, with ``found`` where the dictionary is joined, and the dictionary where it is carried."""
+    nodes = nodes.select(*key, "text")
+    words = known_titles(titles)
+    if words is not None:
+        return nodes, words
+    return nodes.join(joined_hits(nodes, titles, key), key, "left"), None
+
+
+def _each_node(nodes: DataFrame, key: list[str], words: list[str] | None, columns: str, work) -> DataFrame:
+    """Nodes with what ``work(text, hits)`` gives for each as further columns."""
+    added = T.StructType.fromDDL(columns)
+    schema = T.StructType([nodes.schema[c] for c in (*key, "text")] + added.fields)
+    shared = nodes.sparkSession.sparkContext.broadcast(words)
+    arrow = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        titles = shared.value
+        for batch in batches:
+            rows = []
+            found = None if titles is not None else batch.column("found").to_pylist()
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                text = text or ""
+                hits = occurrences(text, titles) if titles is not None else list(examined((h["title"], h["start"]) for h in found[i] or []))
+                rows.append(work(text, hits))
+            made = pa.RecordBatch.from_pylist(rows, schema=arrow)
+            kept = [batch.column(c) for c in (*key, "text")]
+            yield pa.RecordBatch.from_arrays(kept + made.columns, names=[*key, "text", *arrow.names])
+
+    ready(nodes.sparkSession)
+    return nodes.mapInArrow(run, schema)
 
 
 def with_hits(nodes: DataFrame, titles: DataFrame, key: list[str]) -> DataFrame:
-    """Nodes plus ``hits``: all examined occurrences in the order of selection."""
-    distinct = titles.select("title").where("title <> ''").distinct()
-    size = distinct.agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("chars")).first()
-    if size["n"] <= LITERAL_TITLES and (size["chars"] or 0) <= LITERAL_CHARS:
-        dictionary = sorted((r["title"] for r in distinct.collect()), key=lambda t: (-len(t), t))
-        if not dictionary:
-            return nodes.withColumn("hits", F.array().cast(HIT))
-        each = F.transform(F.lit(dictionary), lambda t, i: F.transform(starts_of(F.col("text"), t), lambda s: F.struct(i.cast("int").alias("rank"), t.alias("title"), s.alias("start"), (s + F.length(t)).alias("end"))))
-        return nodes.withColumn("hits", F.flatten(each))
-    wanted = ranked_titles(titles)
-    gram = min(8, wanted.agg(F.min(F.length("title"))).first()[0])
-    at = F.explode(F.sequence(F.lit(1), F.length("text") - gram + 1)).alias("at")
-    grams = nodes.where(F.length("text") >= gram).select(*key, "text", at).select(*key, "at", F.substring("text", F.col("at"), F.lit(gram)).alias("gram"), "text")
-    found = grams.join(wanted.withColumn("gram", F.substring("title", 1, gram)), "gram").where(F.substring("text", F.col("at"), F.length("title")) == F.col("title"))
-    raw = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "title", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("title")).alias("end")))).alias("every"))
-    # of one title only occurrences behind the end of its last examined one are examined
-    examined = F.aggregate("every", F.array().cast(HIT), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1))["rank"] == x["rank"]) & (F.element_at(acc, -1)["end"] > x["start"]), acc).otherwise(F.concat(acc, F.array(x))))
-    return nodes.join(raw.select(*key, examined.alias("hits")), key, "left").withColumn("hits", F.coalesce("hits", F.array().cast(HIT)))
+    """Nodes plus ``hits``: all examined occurrences of the titles."""
+    found, words = _found(nodes, titles, key)
+    return _each_node(found, key, words, f"hits {HITS}", lambda text, hits: {"hits": [{"title": t, "start": s, "end": e} for t, s, e in hits]})
 
 
 def mentions(nodes: DataFrame, titles: DataFrame, key: list[str], provision: str = PROVISION, lookahead: int = LOOKAHEAD, markers: list[str] = MARKERS) -> DataFrame:
     """Nodes (``key`` and ``text``) plus selected, candidates, matches.
 
-    selected: array<struct<start, end, title, next>>; candidates: array<struct<start, title, provision>> in text order, where a
-    node has at most one without a title, at the first marker that touches no selected title; matches: occurrences examined.
+    selected: array<struct<start, end, title, next, tail>>, tail being the text in which a provision is looked for; candidates:
+    array<struct<start, title, provision>> in text order, where a node has at most one without a title, at the first marker
+    that touches no selected title; matches: occurrences examined.  A null text is empty.
     """
-    hit = with_hits(nodes.select(*key, "text"), titles, key)
-    chosen = hit.withColumn("chosen", greedy(F.col("hits")))
-    following = F.transform("chosen", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["title"].alias("title"), F.coalesce(F.get("chosen", i + 1)["start"], F.length("text")).alias("next")))
-    chosen = chosen.withColumn("selected", following)
-    marks = F.array(*(F.struct(F.lit(m).alias("word"), starts_of(F.col("text"), F.lit(m)).alias("starts")) for m in markers)) if markers else F.array().cast("array<struct<word:string,starts:array<int>>>")
-    free = F.transform(marks, lambda m: F.struct(m["starts"].alias("starts"), F.array_min(F.filter(m["starts"], lambda s: ~F.exists("chosen", lambda y: (y["start"] < s + F.length(m["word"])) & (s < y["end"])))).alias("first")))
-    chosen = chosen.withColumn("free", free)
-    examined = F.aggregate("free", F.size("hits"), lambda acc, m: acc + F.size(F.filter(m["starts"], lambda s: m["first"].isNull() | (s <= m["first"]))))
-    ambiguous = F.array_min(F.transform("free", lambda m: m["first"]))
-    bound = F.transform("selected", lambda x: F.struct(x["start"].alias("start"), x["title"].alias("title"), F.nullif(F.regexp_extract(F.substring(F.col("text"), x["end"] + 1, F.least(F.lit(lookahead), x["next"] - x["end"])), provision, 0), F.lit("")).alias("provision")))
-    unnamed = F.when(ambiguous.isNotNull(), F.array(F.struct(ambiguous.alias("start"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("provision")))).otherwise(F.array().cast("array<struct<start:int,title:string,provision:string>>"))
-    return chosen.select(*key, "text", "selected", F.array_sort(F.concat(bound, unnamed)).alias("candidates"), examined.alias("matches"))
+    found, words = _found(nodes, titles, key)
+
+    def work(text: str, hits: list[Hit]) -> dict:
+        selected, unnamed, matches = settled(text, hits, markers, lookahead)
+        return {"selected": selected, "unnamed": unnamed, "matches": matches}
+
+    node = _each_node(found, key, words, f"selected {SELECTED}, unnamed int, matches int", work)
+    bound = F.transform("selected", lambda x: F.struct(x["start"].alias("start"), x["title"].alias("title"), F.nullif(F.regexp_extract(x["tail"], provision, 0), F.lit("")).alias("provision")))
+    nothing = F.lit(None).cast("string")
+    alone = F.filter(F.array(F.struct(F.col("unnamed").alias("start"), nothing.alias("title"), nothing.alias("provision"))), lambda x: x["start"].isNotNull())
+    return node.select(*key, "text", "selected", F.array_sort(F.concat(bound, alone)).alias("candidates"), "matches")
 
 
 def candidates(found: DataFrame, document: str, order: list[str]) -> DataFrame:

@@ -9,13 +9,13 @@ import pytest
 
 from evidentia.errors import EvidenceError
 from evidentia.operators import extract, resolve
-from evidentia.plans.demo import AS_OF, CATALOG, create_demo, record, version
+from evidentia.plans.demo import AS_OF, CATALOG, catalog_of, create_demo
 from evidentia.plans.scan import scan_document
 from evidentia.sources import hwpx
 from evidentia.sources.catalog import catalog_frames, parse_catalog
 
 
-def report_of(spark, tmp_path, texts, catalog=CATALOG, as_of=date(2024, 12, 31)):
+def report_of(spark, tmp_path, texts, catalog=CATALOG, as_of=date.fromisoformat(AS_OF)):
     hwpx.write_document(tmp_path / "d.hwpx", texts)
     (tmp_path / "c.json").write_text(json.dumps(catalog, ensure_ascii=False))
     return scan_document(spark, tmp_path / "d.hwpx", as_of, tmp_path / "c.json")
@@ -26,23 +26,23 @@ def test_demo_shows_four_statuses(spark, tmp_path):
     report = scan_document(spark, tmp_path / "demo" / made["document"], date.fromisoformat(AS_OF), tmp_path / "demo" / made["catalog"])
     assert [i["status"] for i in report["items"]] == ["CURRENT", "HISTORY", "REVIEW", "UNKNOWN"]
     assert [i["reason_code"] for i in report["items"]] == ["EXACT_CURRENT_MATCH", "EXACT_HISTORICAL_MATCH", "PROVISION_MISMATCH", "AMBIGUOUS_CITATION"]
-    assert report["items"][1]["evidence"][0]["version_transition"] == {"effective_from": "2025-02-01", "title": "가상업무규정", "provision": "제9조"}
+    assert report["items"][1]["evidence"][0]["version_transition"] == {"effective_from": "2024-01-15", "title": "모의열람규칙", "provision": "제5조"}
     assert report["items"][2]["evidence"][0]["matched_provision"] is None
     with pytest.raises(EvidenceError):
         create_demo(tmp_path / "demo")
 
 
 def test_text_order_lookahead_and_ordinals(spark, tmp_path):
-    catalog = {"schema_version": "1", "records": [record("a", version("2020-01-01", None, "가상규정고시", "x", "제7조")), record("b", version("2020-01-01", None, "규정", "x", "제9조"))]}
-    report = report_of(spark, tmp_path, ["", "예규 가상규정고시 제7조 규정 제9조 관계 법", "", "규정" + " " * 31 + "제9조"], catalog)
+    catalog = catalog_of([("a", "2020-01-01", None, "서고규정고시", "x", "제2조"), ("b", "2020-01-01", None, "규정", "x", "제4조")])
+    report = report_of(spark, tmp_path, ["", "예규 서고규정고시 제2조 규정 제4조 다른 법", "", "규정" + " " * 31 + "제4조"], catalog)
     told = [(i["locator"], i["reference"]["title"], i["reference"]["provision"]) for i in report["items"]]
     place = "Contents/section0.xml:t"
-    assert told == [(f"{place}[2]", None, None), (f"{place}[2]", "가상규정고시", "제7조"), (f"{place}[2]", "규정", "제9조"), (f"{place}[4]", "규정", None)]
+    assert told == [(f"{place}[2]", None, None), (f"{place}[2]", "서고규정고시", "제2조"), (f"{place}[2]", "규정", "제4조"), (f"{place}[4]", "규정", None)]
 
 
 def test_conflict_and_future_version(spark, tmp_path):
     twice = {"schema_version": "1", "records": [CATALOG["records"][1], CATALOG["records"][1] | {"record_id": "copy"}]}
-    report = report_of(spark, tmp_path, ["가상행정규칙 제7조", "가상업무규정 제9조", "가상업무규정 제1조"], twice)
+    report = report_of(spark, tmp_path, ["모의열람지침 제3조", "모의열람규칙 제5조", "모의열람규칙 제1조"], twice)
     assert [(i["reason_code"], len(i["evidence"])) for i in report["items"]] == [("CONFLICTING_EVIDENCE", 2), ("CONFLICTING_EVIDENCE", 2), ("CATALOG_NO_MATCH", 0)]
 
 
@@ -99,7 +99,7 @@ def test_over_budget_voids_the_document(spark, tmp_path):
         (lambda c: c.update(more=1), "CATALOG_SCHEMA_INVALID"),
         (lambda c: c["records"][0]["versions"][0].pop("effective_to"), "CATALOG_SCHEMA_INVALID"),
         (lambda c: c["records"][0]["versions"][0].update(effective_from="20200101"), "CATALOG_SCHEMA_INVALID"),
-        (lambda c: c["records"][1]["versions"][0].update(effective_to="2025-02-02"), "CATALOG_SCHEMA_INVALID"),
+        (lambda c: c["records"][1]["versions"][0].update(effective_to="2024-01-16"), "CATALOG_SCHEMA_INVALID"),
         (lambda c: c["records"][1]["versions"][1].update(effective_to="2026-02-02"), "CATALOG_SCHEMA_INVALID"),
         (lambda c: c["records"][0]["official_source"].update(url="http://example.com"), "CATALOG_SCHEMA_INVALID"),
         (lambda c: c["records"][0]["official_source"].update(url="https://u@example.com"), "CATALOG_SCHEMA_INVALID"),
@@ -163,7 +163,7 @@ def plain_mentions(text, titles, markers, form, ahead):
     return sorted(out + ([(min(free), None, None)] if free else []), key=lambda x: x[0])
 
 
-def test_mentions_against_plain_rule(spark):
+def test_mentions_against_plain_rule(spark, monkeypatch):
     import re
 
     rng = random.Random(5)
@@ -172,17 +172,36 @@ def test_mentions_against_plain_rule(spark):
     nodes = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
     words = spark.createDataFrame([(t,) for t in titles], "title string")
     options = {"provision": "1+", "lookahead": 4, "markers": markers}
-    for literal in (extract.LITERAL_TITLES, 0):
-        extract.LITERAL_TITLES, keep = literal, extract.LITERAL_TITLES
+    for held in (extract.AUTOMATON_TITLES, 0):
+        monkeypatch.setattr(extract, "AUTOMATON_TITLES", held)
         got = {r["n"]: [tuple(c) for c in r["candidates"]] for r in extract.mentions(nodes, words, ["n"], **options).collect()}
-        extract.LITERAL_TITLES = keep
         for n, text in enumerate(texts):
-            assert got[n] == plain_mentions(text, titles, markers, re.compile("1+"), 4), (literal, text)
+            assert got[n] == plain_mentions(text, titles, markers, re.compile("1+"), 4), (held, text)
+
+
+def test_one_line_of_a_hundred_thousand_hits():
+    """Work grows with the hits: all in one run of overlapping ones, and all apart."""
+    import time
+
+    began = time.perf_counter()
+    for text, titles, n in (("ab" * 50_000 + "a", ["aba", "ab", "ba"], 25_000), ("a " * 100_000, ["a"], 100_000)):
+        hits = extract.occurrences(text, titles)
+        selected, unnamed, matches = extract.settled(text, hits, ["z", "b"], 32)
+        assert len(selected) >= n and matches >= 100_000 and all(x["end"] <= y["start"] for x, y in zip(selected, selected[1:]))
+    assert time.perf_counter() - began < 20
+
+
+def test_empty_dictionary_null_text_and_no_nodes(spark):
+    nodes = spark.createDataFrame([(1, None), (2, ""), (3, "법")], "n int, text string")
+    none = spark.createDataFrame([], "title string")
+    got = {r["n"]: [tuple(c) for c in r["candidates"]] for r in extract.mentions(nodes, none, ["n"]).collect()}
+    assert got == {1: [], 2: [], 3: [(0, None, None)]}
+    assert extract.mentions(nodes.where("n > 9"), none, ["n"]).count() == 0
 
 
 def test_null_title_and_provision_resolve(spark):
     c = catalog_frames(spark, json.dumps(CATALOG).encode())
-    refs = spark.createDataFrame([(None, None), ("가상현행규정", None), ("가상현행규정", "제1조"), ("가상현행규정", "제2조"), ("없는규정", "제1조")], "title string, provision string")
-    want = {(None, None): "AMBIGUOUS_CITATION", ("가상현행규정", None): "PROVISION_MISMATCH", ("가상현행규정", "제1조"): "EXACT_CURRENT_MATCH", ("가상현행규정", "제2조"): "PROVISION_MISMATCH", ("없는규정", "제1조"): "CATALOG_NO_MATCH"}
+    refs = spark.createDataFrame([(None, None), ("모의장서기준", None), ("모의장서기준", "제12조"), ("모의장서기준", "제2조"), ("없는규정", "제1조")], "title string, provision string")
+    want = {(None, None): "AMBIGUOUS_CITATION", ("모의장서기준", None): "PROVISION_MISMATCH", ("모의장서기준", "제12조"): "EXACT_CURRENT_MATCH", ("모의장서기준", "제2조"): "PROVISION_MISMATCH", ("없는규정", "제1조"): "CATALOG_NO_MATCH"}
     for found in (resolve.resolve(refs, c.versions, c.provisions, AS_OF), resolve.attach(refs, c.versions, c.provisions, AS_OF)):
         assert {(r["title"], r["provision"]): r["reason_code"] for r in found.collect()} == want
