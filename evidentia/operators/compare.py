@@ -6,7 +6,7 @@ pair of reports; many pairs are compared at once.  Nulls in locator, title and p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Why an item is left unresolved, with and without possible partners.
@@ -14,88 +14,94 @@ UNCONFIRMED, MOVED = "candidate_identity_unconfirmed", "moved_or_ambiguous"
 IDENTITY, REFERENCE = ["locator", "title", "provision"], ["title", "provision"]
 
 
-def null_safe(a: str, b: str, keys: list[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return out
-
-
 def counted(items: DataFrame) -> DataFrame:
     """Items with the number of items in their report that have the same identity, and the same reference."""
     return items.withColumns({"identities": F.count("*").over(Window.partitionBy("pair", *IDENTITY)), "references": F.count("*").over(Window.partitionBy("pair", *REFERENCE))})
 
 
-def positional(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Items that stand at the same number with the same identity: columns of old as ``o``, of new as ``n``."""
-    o, n = old.select("pair", "item_number", F.struct("*").alias("o")), new.select("pair", "item_number", F.struct("*").alias("n"))
-    return o.join(n, ["pair", "item_number"]).where(null_safe("o", "n", IDENTITY))
+def sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both reports in one frame, shuffled once by pair, below which all windows and groups only sort.
+
+    ``side`` is 0 for old and 1 for new; ``matched`` tells items that stand at the same number with the same identity on the
+    other side, ``after`` is that item's status, reason and evidence (for old items); ``old_identities`` and
+    ``new_identities`` count the items of either side that share the identity.  A report has a bounded number of items, so a
+    pair is no hot key.
+    """
+    both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1))).repartition("pair")
+    place, identity = Window.partitionBy("pair", "item_number", *IDENTITY), Window.partitionBy("pair", *IDENTITY)
+    return both.withColumns(
+        {
+            "matched": F.min("side").over(place) < F.max("side").over(place),
+            "after": F.lead(F.struct("status", "reason_code", "evidence")).over(place.orderBy("side")),
+            "old_identities": F.count_if(F.col("side") == 0).over(identity),
+            "new_identities": F.count_if(F.col("side") == 1).over(identity),
+        }
+    )
 
 
 def in_place_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(pair, type, before_item_number, after_item_number): status changes (status or reason) and evidence changes."""
-    m = positional(old, new)
-    kinds = F.array_compact(F.array(F.when((F.col("o.status") != F.col("n.status")) | (F.col("o.reason_code") != F.col("n.reason_code")), "status"), F.when(~F.col("o.evidence").eqNullSafe(F.col("n.evidence")), "evidence")))
-    return m.select("pair", F.explode(kinds).alias("type"), F.col("item_number").alias("before_item_number"), F.col("item_number").alias("after_item_number"))
+    a, at = F.col("after"), F.col("item_number")
+    kinds = F.array_compact(F.array(F.when((F.col("status") != a["status"]) | (F.col("reason_code") != a["reason_code"]), "status"), F.when(~F.col("evidence").eqNullSafe(a["evidence"]), "evidence")))
+    return sides(old, new).where((F.col("side") == 0) & a.isNotNull()).select("pair", F.explode(kinds).alias("type"), at.alias("before_item_number"), at.alias("after_item_number"))
 
 
-def unmatched(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What positional matching leaves on either side."""
-    m = positional(old, new).select("pair", "item_number")
-    return old.join(m, ["pair", "item_number"], "left_anti"), new.join(m, ["pair", "item_number"], "left_anti")
+def unmatched_findings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(pair, type, reason, before_item_numbers, after_item_numbers) of what positional matching leaves.
 
+    An unmatched old item's partners are the unmatched new items of its reference, all claimed by the first such old item;
+    without partners it is ``removed`` where nothing repeats, else unresolved.  New items that none claims are ``added`` where
+    nothing repeats and the old report knows no such item, else unresolved.  Unresolved rows have a reason instead of a type.
+    """
+    item = F.struct(F.col("item_number").alias("n"), F.col("old_identities").alias("old"), F.col("new_identities").alias("new"))
+    left = lambda side: F.sort_array(F.collect_list(F.when((F.col("side") == side) & ~F.col("matched"), item)))
+    groups = sides(old, new).groupBy("pair", *REFERENCE).agg(F.count_if(F.col("side") == 0).alias("n_old"), F.count_if(F.col("side") == 1).alias("n_new"), left(0).alias("olds"), left(1).alias("news"))
+    empty, text = F.array().cast("array<int>"), F.lit(None).cast("string")
+
+    def row(kind: str | None, reason: str | None, before, after):
+        return F.struct((F.lit(kind) if kind else text).alias("type"), (F.lit(reason) if reason else text).alias("reason"), before.alias("before_item_numbers"), after.alias("after_item_numbers"))
 
-def side_counts(items: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return items.groupBy("pair", *keys).agg(F.count("*").alias(name))
+    partners = F.transform("news", lambda y: y["n"])
+    lone = lambda x: (F.col("n_old") <= 1) & (F.col("n_new") <= 1) & (x["old"] <= 1) & (x["new"] <= 1)
+    gone = lambda x, i: F.when((i == 0) & (F.size("news") > 0), row(None, UNCONFIRMED, F.array(x["n"]), partners)).when(lone(x), row("removed", None, F.array(x["n"]), empty)).otherwise(row(None, MOVED, F.array(x["n"]), empty))
+    come = lambda x: F.when(lone(x) & (F.col("n_old") == 0) & (x["old"] == 0), row("added", None, empty, F.array(x["n"]))).otherwise(row(None, UNCONFIRMED, empty, F.array(x["n"])))
+    return groups.select("pair", F.inline(F.when(F.size("olds") > 0, F.transform("olds", gone)).otherwise(F.transform("news", come))))
 
 
-def with_count(items: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Items with how many items of the other report share their keys."""
-    c = side_counts(other, keys, name).alias("c")
-    i = items.alias("i")
-    return i.join(c, (F.col("i.pair") == F.col("c.pair")) & null_safe("i", "c", keys), "left").select("i.*", F.coalesce(f"c.{name}", F.lit(0)).alias(name))
+def as_changes(findings: DataFrame) -> DataFrame:
+    """The removed and added items among unmatched findings."""
+    return findings.where("type IS NOT NULL").select("pair", "type", F.get("before_item_numbers", 0).alias("before_item_number"), F.get("after_item_numbers", 0).alias("after_item_number"))
 
 
 def same_document(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changes, unresolved) of two reports of one document.
 
     changes: (pair, type, before_item_number, after_item_number); unresolved: (pair, reason, before_item_numbers,
-    after_item_numbers).  An unmatched old item's partners are the unmatched new items of its reference, all claimed by the
-    first such old item; without partners it is removed where nothing repeats, else unresolved.
+    after_item_numbers).
     """
-    o, n = counted(old), counted(new)
-    uo, un = unmatched(o, n)
-    uo = uo.withColumn("rk", F.row_number().over(Window.partitionBy("pair", *REFERENCE).orderBy("item_number")))
-    partners = un.groupBy("pair", *REFERENCE).agg(F.sort_array(F.collect_list("item_number")).alias("partners"))
-    joined = uo.alias("i").join(partners.alias("c"), (F.col("i.pair") == F.col("c.pair")) & null_safe("i", "c", REFERENCE) & (F.col("i.rk") == 1), "left").select("i.*", "c.partners")
-    joined = with_count(with_count(joined, new, IDENTITY, "new_identities"), new, REFERENCE, "new_references")
-    lone = (F.col("identities") <= 1) & (F.col("references") <= 1) & (F.col("new_identities") <= 1) & (F.col("new_references") <= 1)
-    gone = joined.where(F.col("partners").isNull() & lone)
-    left = joined.where(F.col("partners").isNotNull() | ~lone)
-    claimed = uo.select("pair", *REFERENCE).distinct().alias("c")
-    free = un.alias("i").join(claimed, (F.col("i.pair") == F.col("c.pair")) & null_safe("i", "c", REFERENCE), "left_anti").select("i.*")
-    free = with_count(with_count(free, old, IDENTITY, "old_identities"), old, REFERENCE, "old_references")
-    fresh = (F.col("old_identities") == 0) & (F.col("old_references") == 0) & (F.col("identities") <= 1) & (F.col("references") <= 1)
-    none, empty = F.lit(None).cast("int"), F.array().cast("array<int>")
-    changes = (
-        in_place_changes(old, new)
-        .unionByName(gone.select("pair", F.lit("removed").alias("type"), F.col("item_number").alias("before_item_number"), none.alias("after_item_number")))
-        .unionByName(free.where(fresh).select("pair", F.lit("added").alias("type"), none.alias("before_item_number"), F.col("item_number").alias("after_item_number")))
-    )
-    reason = F.when(F.col("partners").isNull(), MOVED).otherwise(UNCONFIRMED).alias("reason")
-    unresolved = left.select("pair", reason, F.array("item_number").alias("before_item_numbers"), F.coalesce("partners", empty).alias("after_item_numbers")).unionByName(free.where(~fresh).select("pair", F.lit(UNCONFIRMED).alias("reason"), empty.alias("before_item_numbers"), F.array("item_number").alias("after_item_numbers")))
-    return changes, unresolved
+    findings = unmatched_findings(old, new)
+    return in_place_changes(old, new).unionByName(as_changes(findings)), findings.where("reason IS NOT NULL").drop("type")
+
+
+def in_order(changes: DataFrame) -> DataFrame:
+    """Changes with their ``place`` in the pair: in place by number, status before evidence, then removed, then added ones."""
+    kind = F.array_position(F.array(*map(F.lit, ["status", "evidence"])), F.col("type"))
+    group = F.when(kind > 0, 0).when(F.col("type") == "removed", 1).otherwise(2)
+    w = Window.partitionBy("pair").orderBy(group, F.coalesce("before_item_number", "after_item_number"), kind)
+    return changes.withColumn("place", F.row_number().over(w))
 
 
 def related_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     """(pair, reason, before_item_numbers, after_item_numbers): every item, paired where its identity and unique reference agree."""
-    o, n = counted(old).where("references = 1"), counted(new).where("references = 1")
-    both = o.alias("o").join(n.alias("n"), (F.col("o.pair") == F.col("n.pair")) & null_safe("o", "n", IDENTITY)).select(F.col("o.pair").alias("pair"), F.col("o.item_number").alias("b"), F.col("n.item_number").alias("a"))
+    both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1))).repartition("pair")
+    numbers = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("item_number", "locator")))
+    g = both.groupBy("pair", *REFERENCE).agg(numbers(0).alias("olds"), numbers(1).alias("news"))
+    alone = (F.size("olds") == 1) & (F.size("news") == 1) & F.get("olds", 0)["locator"].eqNullSafe(F.get("news", 0)["locator"])
     empty = F.array().cast("array<int>")
-    reason = F.when(F.col("a").isNull(), MOVED).otherwise(UNCONFIRMED).alias("reason")
-    before = old.select("pair", F.col("item_number").alias("b")).join(both, ["pair", "b"], "left").select("pair", reason, F.array("b").alias("before_item_numbers"), F.when(F.col("a").isNull(), empty).otherwise(F.array("a")).alias("after_item_numbers"))
-    after = new.select("pair", F.col("item_number").alias("a")).join(both, ["pair", "a"], "left_anti").select("pair", F.lit(UNCONFIRMED).alias("reason"), empty.alias("before_item_numbers"), F.array("a").alias("after_item_numbers"))
-    return before.unionByName(after)
+    row = lambda reason, b, a: F.struct(F.lit(reason).alias("reason"), b.alias("before_item_numbers"), a.alias("after_item_numbers"))
+    met = F.array(row(UNCONFIRMED, F.array(F.get("olds", 0)["item_number"]), F.array(F.get("news", 0)["item_number"])))
+    apart = F.concat(F.transform("olds", lambda x: row(MOVED, F.array(x["item_number"]), empty)), F.transform("news", lambda x: row(UNCONFIRMED, empty, F.array(x["item_number"]))))
+    return g.select("pair", F.inline(F.when(alone, met).otherwise(apart)))
 
 
 def headers(before: DataFrame, after: DataFrame, related: bool = False) -> DataFrame:

@@ -113,6 +113,17 @@ def attach(candidates: DataFrame, versions: DataFrame, provisions: DataFrame, as
     return joined.select(*candidates.columns, told.alias("told")).select(*candidates.columns, "told.*")
 
 
+def as_of_day(rows: DataFrame, versions: DataFrame, key: str, day: str, columns: list[str]) -> DataFrame:
+    """Rows with the columns of the version of their key that is in force on their day; rows without one are left out.
+
+    The versions of a key are bounded, so they become one row and no row meets a version that is not its own: rows of a hot
+    key stay single rows, which the planner may split or join to a broadcast side.
+    """
+    spans = versions.groupBy(key).agg(F.collect_list(F.struct("effective_from", "effective_to", *columns)).alias("spans"))
+    force = F.filter("spans", lambda v: effective(F.col(day), v["effective_from"], v["effective_to"]))
+    return rows.join(spans, key).select(*rows.columns, F.explode(force).alias("v")).select(*rows.columns, *(F.col(f"v.{c}").alias(c) for c in columns))
+
+
 def version_faults(versions: DataFrame) -> DataFrame:
     """Versions that break the order of their record: empty interval, start before the last end, open before the last, closed last."""
     w = Window.partitionBy("record_seq").orderBy("version_seq")

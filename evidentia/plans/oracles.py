@@ -113,7 +113,7 @@ lines AS (SELECT l_orderkey AS pair, 'L' || l_linenumber AS locator, 'S' || (l_s
     l_returnflag AS status, l_linestatus AS reason_code, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice, l_quantity FROM lineitem),
 old AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)::INT AS item_number FROM lines),
 new AS (
-  SELECT pair, locator, CASE WHEN l_partkey % 19 = 0 THEN 'S9' ELSE title END AS title, provision, CASE WHEN l_suppkey % 5 = 0 THEN 'X' ELSE status END AS status, reason_code,
+  SELECT pair, locator, CASE WHEN l_partkey % 19 = 0 THEN 'S9' ELSE title END AS title, provision, CASE WHEN l_suppkey % 5 = 0 THEN 'X' ELSE status END AS status, reason_code, l_partkey,
     row_number() OVER (PARTITION BY pair ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)::INT AS item_number
   FROM lines WHERE l_partkey % 17 <> 0),
 pos AS (SELECT o.pair, o.item_number FROM old o JOIN new n USING (pair, item_number) WHERE o.locator = n.locator AND o.title = n.title AND o.provision IS NOT DISTINCT FROM n.provision),

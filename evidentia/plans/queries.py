@@ -206,8 +206,7 @@ JOIN versions v ON v.record_seq = o_custkey AND v.effective_from <= l_shipdate::
 def asof_interval_join(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("ship_day"))
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("record_seq"))
-    v = histories(spark, sf_dir)
-    hit = lines.join(owner, "l_orderkey").join(v, "record_seq").where(checks.effective(F.col("ship_day"), F.col("effective_from"), F.col("effective_to")))
+    hit = resolve.as_of_day(lines.join(owner, "l_orderkey"), histories(spark, sf_dir), "record_seq", "ship_day", ["version_seq"])
     return hit.select("l_orderkey", "l_linenumber", "l_partkey", "ship_day", "version_seq")
 
 
@@ -317,14 +316,32 @@ def compare_status_changes(spark, sf_dir):
     return compare.in_place_changes(*item_tables(spark, sf_dir)).where("type = 'status'")
 
 
-@query(WITH_COMPARE + "SELECT pair, item_number AS before_item_number FROM jo WHERE ns IS NULL AND ids <= 1 AND refs <= 1 AND nids <= 1 AND nrefs <= 1")
+EVIDENCE_CHANGES = "SELECT o.pair, 'evidence' AS type, o.item_number AS before_item_number, o.item_number AS after_item_number FROM old o JOIN new n USING (pair, item_number) JOIN pos USING (pair, item_number) WHERE o.l_partkey % 13 <> n.l_partkey % 13"
+REMOVED = "SELECT pair, item_number AS before_item_number FROM jo WHERE ns IS NULL AND ids <= 1 AND refs <= 1 AND nids <= 1 AND nrefs <= 1"
+ADDED = "SELECT pair, item_number AS after_item_number FROM fr WHERE oids = 0 AND orefs = 0 AND ids <= 1 AND refs <= 1"
+
+
+@query(WITH_COMPARE + EVIDENCE_CHANGES)
+def compare_evidence_changes(spark, sf_dir):
+    return compare.in_place_changes(*item_tables(spark, sf_dir)).where("type = 'evidence'")
+
+
+@query(WITH_COMPARE + f""", every AS (SELECT pair, 0 AS g, o.item_number AS n, 1 AS k, 'status' AS type FROM old o JOIN new n USING (pair, item_number) JOIN pos USING (pair, item_number) WHERE o.status <> n.status OR o.reason_code <> n.reason_code
+UNION ALL SELECT pair, 0, before_item_number, 2, 'evidence' FROM ({EVIDENCE_CHANGES}) UNION ALL SELECT pair, 1, before_item_number, 0, 'removed' FROM ({REMOVED}) UNION ALL SELECT pair, 2, after_item_number, 0, 'added' FROM ({ADDED}))
+SELECT pair, type, n AS item_number, row_number() OVER (PARTITION BY pair ORDER BY g, n, k)::INT AS place FROM every""")
+def compare_change_order(spark, sf_dir):
+    ordered = compare.in_order(compare.same_document(*item_tables(spark, sf_dir))[0])
+    return ordered.select("pair", "type", F.coalesce("before_item_number", "after_item_number").alias("item_number"), "place")
+
+
+@query(WITH_COMPARE + REMOVED)
 def compare_removed(spark, sf_dir):
-    return compare.same_document(*item_tables(spark, sf_dir))[0].where("type = 'removed'").select("pair", "before_item_number")
+    return compare.as_changes(compare.unmatched_findings(*item_tables(spark, sf_dir))).where("type = 'removed'").select("pair", "before_item_number")
 
 
-@query(WITH_COMPARE + "SELECT pair, item_number AS after_item_number FROM fr WHERE oids = 0 AND orefs = 0 AND ids <= 1 AND refs <= 1")
+@query(WITH_COMPARE + ADDED)
 def compare_added(spark, sf_dir):
-    return compare.same_document(*item_tables(spark, sf_dir))[0].where("type = 'added'").select("pair", "after_item_number")
+    return compare.as_changes(compare.unmatched_findings(*item_tables(spark, sf_dir))).where("type = 'added'").select("pair", "after_item_number")
 
 
 @query(WITH_COMPARE + """SELECT pair, CASE WHEN ns IS NULL THEN 'moved_or_ambiguous' ELSE 'candidate_identity_unconfirmed' END AS reason, item_number::VARCHAR AS before_item_numbers, coalesce(ns, '') AS after_item_numbers FROM jo WHERE ns IS NOT NULL OR NOT (ids <= 1 AND refs <= 1 AND nids <= 1 AND nrefs <= 1)

@@ -26,9 +26,7 @@ def compare_reports(spark: SparkSession, before: dict, after: dict, related: boo
     changes = []
     if h["relationship"] == "same_document":
         found, unresolved = compare.same_document(old, new)
-        place = F.array_position(F.array(*map(F.lit, ["status", "evidence"])), F.col("type"))
-        group = F.when(place > 0, 0).when(F.col("type") == "removed", 1).otherwise(2)
-        for c in found.orderBy(group, F.coalesce("before_item_number", "after_item_number"), place).collect():
+        for c in compare.in_order(found).orderBy("place").collect():
             b, a = (items[n - 1] if n else None for items, n in ((before["items"], c["before_item_number"]), (after["items"], c["after_item_number"])))
             if c["type"] == "status":
                 b, a = ({k: x[k] for k in ("status", "reason_code")} for x in (b, a))
