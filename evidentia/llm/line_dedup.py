@@ -1,10 +1,12 @@
 """Line dedup by a deletion-neighbourhood join, in Spark expressions only.
 
-Lines are sequences of words, divided by single blanks.  A line goes when an earlier line of the corpus is within one word edit of it (a word
-inserted, left out or replaced; equal lines included).  Equal lines meet by hash.  Two lines one edit apart have the first
-or the last half of the shorter one's words in common, so only lines that share such a half with another line emit variants:
-the line without each of its words, and the whole line, as hashed keys.  Equal variants are joined, each group to its
-earliest line and each shortened line to the line it becomes, and every pair's edit distance is verified on the words.
+A line is a sequence of units: of words, divided by single blanks, where it has MIN_WORDS or more, else of characters where it
+has MIN_CHARS or more, so that text without blanks has units too.  A line goes when an earlier line of the corpus equals it,
+whatever its length, or is a sequence of the same kind of unit within one edit (a unit inserted, left out or replaced).  Blank
+lines stay.  Equal lines meet by hash.  Two lines one edit apart have the first or the last half of the shorter one's units in
+common, so only lines that share such a half with another line emit variants: the line without each of its units, and the whole
+line, as hashed keys.  Equal variants are joined, each group to its earliest line and each shortened line to the line it
+becomes, and every pair's edit distance is verified on the units.
 """
 
 from __future__ import annotations
@@ -14,17 +16,18 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import checkpointed, stored
 
-#: Lines of fewer words have no near copies: one word edit would be a large part of them.
-MIN_WORDS = 5
+#: Units are words from this number of words on, else characters from this number of characters on; one edit of a shorter line
+#: would be a large part of it, so of those only exact repeats go.
+MIN_WORDS, MIN_CHARS = 5, 20
 #: Sums of hashes are kept below this power of two; running sums are built in spans.
 MASK, SPAN = (1 << 62) - 1, 256
 #: Bits of the filter that spares most lines the way to the join: 16 a line, at most 2**24 (262,144 rows of 64 bits).
 FILTER_BITS = 1 << 24
 
 
-def words_of(line: Column) -> Column:
-    """What stands between single blanks."""
-    return F.split(line, " ")
+def units_of(line: Column, worded: Column) -> Column:
+    """Words, or characters behind a line feed, which no word holds."""
+    return F.when(worded, F.split(line, " ")).otherwise(F.transform(F.split(line, ""), lambda c: F.concat(F.lit("\n"), c)))
 
 
 def running(values: Column) -> Column:
@@ -68,15 +71,17 @@ def passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("slot", slot).join(F.broadcast(table), F.shiftright("slot", 6) == F.col("cell")).where(F.expr("shiftright(bits, cast(slot & 63 AS int)) & 1") == 1).drop("slot", "cell", "bits")
 
 
-def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, gone array<int>): for each row that loses lines their numbers, from 0."""
     lines = lines_of(docs, id_column, text)
-    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    counted = lines.withColumn("n", (blanks + 1).cast("int"))
-    long = F.col("n") >= min_words
-    judged = counted.where(long | F.col("line").rlike(r"\S") if short else long)
+    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    worded = F.col("words") >= min_words
+    n = F.when(worded, F.col("words")).when(F.length("line") >= min_chars, F.length("line"))
+    judged = lines.where(F.col("line").rlike(r"[^ \t\r\f]")).withColumn("words", words.cast("int")).withColumn("n", n.cast("int"))
     p, q = F.shiftright("n", 1), F.shiftright(F.col("n") - 1, 1)
-    half = lambda m: F.when(long, F.xxhash64(m, F.call_function("substring_index", F.col("line"), F.lit(" "), m)))
+    of_words = lambda m: F.xxhash64(m, F.call_function("substring_index", F.col("line"), F.lit(" "), m))
+    of_chars = lambda m: F.xxhash64(m, F.lit(0), F.when(m > 0, F.substring("line", F.lit(1), m)).otherwise(F.substring("line", m, -m)))
+    half = lambda m: F.when(F.col("n").isNotNull(), F.when(worded, of_words(m)).otherwise(of_chars(m)))
     sides = {"a1": half(p), "z1": half(-p), "a2": F.when(p != q, half(q)), "z2": F.when(p != q, half(-q))}
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2", "line_no")
     distinct = stored(judged.withColumns(sides).groupBy("h1", "h2", "a1", "z1", "a2", "z2").agg(F.min(place).alias("first"), F.count("*").alias("times")))
@@ -86,13 +91,13 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     shared = halved.select("half").groupBy("half").agg(F.count("*").alias("m")).where("m > 1").select("half")
     likely = checkpointed(halved.join(shared.hint("shuffle_hash"), "half", "left_semi").select("h1", "h2", "first").dropDuplicates(["h1", "h2"]))
 
-    # their words, from where each stands first
+    # their units, from where each stands first
     first = {x: F.col(f"first.{x}") for x in ("k1", "k2", "line_no")}
     at_first = (F.col("k1") == first["k1"]) & (F.col("k2") == first["k2"]) & (F.col("line_no") == first["line_no"])
     found = passing(lines.select("k1", "k2", "line_no", "line", "h1", "h2"), likely).join(likely, ["h1", "h2"]).where(at_first)
-    near = checkpointed(found.dropDuplicates(["h1", "h2"]).select("h1", "h2", "first", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")))
+    near = checkpointed(found.dropDuplicates(["h1", "h2"]).select("h1", "h2", "first", units_of(F.col("line"), F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1 >= min_words).alias("w")).withColumn("n", F.size("w")))
 
-    # variants: sums of hashes of (word, place) before the missing word, and of (word, place - 1) after it
+    # variants: sums of hashes of (unit, place) before the missing unit, and of (unit, place - 1) after it
     sums = near.select("h1", "h2", "first", "n", *(placed_hashes("w", d).alias(f"g{d}") for d in (0, 1)))
     sums = sums.select("h1", "h2", "first", "n", *(span_sums(F.col(f"g{d}")).alias(f"s{d}") for d in (0, 1)))
     sums = sums.withColumns({f"t{d}": running(F.transform(f"s{d}", lambda x: F.element_at(x, -1))) for d in (0, 1)})
@@ -111,7 +116,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     cut = shorter.select("key", line.alias("x")).join(whole.hint("shuffle_hash"), "key").select(F.greatest("x", "other").alias("late"), F.least("x", "other").alias("early"))
     pairs = replaced.unionByName(cut).distinct()
 
-    # verify on the words
+    # verify on the units
     text_of = near.select("h1", "h2", "w")
     a = text_of.select(F.col("h1").alias("late_1"), F.col("h2").alias("late_2"), F.col("w").alias("wa"))
     b = text_of.select(F.col("h1").alias("early_1"), F.col("h2").alias("early_2"), F.col("w").alias("wb"))
@@ -128,7 +133,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
 
 def within_one(a: Column, b: Column) -> Column:
-    """Whether one word edit at most divides two word arrays."""
+    """Whether one edit at most divides two arrays of units."""
     n, m = F.size(a), F.size(b)
     changed = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
     long, short = F.when(n > m, a).otherwise(b), F.when(n > m, b).otherwise(a)
@@ -141,45 +146,48 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(n == m, changed <= 1).when(F.abs(n - m) == 1, common(long, short) + common(F.reverse(long), F.reverse(short)) >= less).otherwise(False)
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns, the text without its dropped lines, plus ``n_lines`` and ``n_dropped`` (long).
 
     "Earlier" is by id (rows without an id last), then row content, then line number.  A line is kept whole or dropped
-    whole; lines of fewer than ``min_words`` words stay or, with ``short``, go where they equal an earlier line, unless they
-    are blank.  A null text stays null with no lines; an empty text is one empty
-    line and stays.  Rows equal in id and text count as one and fare alike.  Other columns pass through, whatever their
-    names; an empty table gives an empty table.
+    whole; blank lines (of blanks, tabs, carriage returns, form feeds or nothing) stay.  A null text stays null with no
+    lines; an empty text is one empty line and stays.  Texts and lines of any length are treated alike.  Rows equal in id and
+    text count as one and fare alike.  Other columns pass through, whatever their names; an empty table gives an empty table.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     c_id, c_text = names[docs.columns.index(id_column)], names[docs.columns.index(text)]
-    lost = dropped_lines(plain, c_id, c_text, min_words, short)
+    lost = dropped_lines(plain, c_id, c_text, min_words, min_chars)
     joined = keyed(plain.withColumns({"id": F.col(c_id), "text": F.col(c_text)}), "id", "text").join(lost.hint("shuffle_hash"), ["k1", "k2"], "left")
     parts = F.split(c_text, "\n")
-    kept = F.when(F.col("gone").isNull(), F.col(c_text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    # bound once by the outer transform, so that neither array is made again for each line
+    stay = F.struct(parts.alias("parts"), F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")).alias("at"))
+    rest = F.transform(F.array(stay), lambda s: F.array_join(F.transform(s["at"], lambda i: F.get(s["parts"], i)), "\n"))
+    kept = F.when(F.col("gone").isNull(), F.col(c_text)).otherwise(F.get(rest, 0))
     out = joined.select(*(kept.alias(n) if n == c_text else F.col(n) for n in names), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
     out = out.withColumns({"n_lines": F.greatest("n_lines", F.lit(0)), "n_dropped": F.greatest("n_dropped", F.lit(0))})
     return out.toDF(*docs.columns, "n_lines", "n_dropped")
 
 
-#: DuckDB: the same rule on the words themselves.
+#: DuckDB: the same rule on the units themselves; kind 2 is words, 1 characters, 0 lines with exact repeats only.
 ORACLE = r"""
 WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (
   SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts)))::BIGINT AS no FROM cut
-), worded AS (
-  SELECT doc_id, no, string_split(line, ' ') AS w FROM lines
-), part AS (SELECT * FROM worded WHERE len(w) >= 5),
+), part AS (SELECT doc_id, no, line FROM lines WHERE regexp_matches(line, '[^ \t\r\f]')),
 firsts AS (
-  SELECT w, min((doc_id, no)) AS first FROM (SELECT w, {'d': doc_id, 'n': no} AS p, doc_id, no FROM part) GROUP BY w
-), numbered AS (SELECT row_number() OVER (ORDER BY first) AS r, w FROM firsts),
-shorter AS (
-  SELECT r, i, list_concat(w[1:i], w[i+2:]) AS v FROM (SELECT r, w, unnest(range(len(w))) AS i FROM numbered)
+  SELECT line, min((doc_id, no)) AS first FROM part GROUP BY line
+), kinds AS (
+  SELECT row_number() OVER (ORDER BY first) AS r, line, CASE WHEN len(string_split(line, ' ')) >= 5 THEN 2 WHEN len(line) >= 20 THEN 1 ELSE 0 END AS kind FROM firsts
+), numbered AS (
+  SELECT r, line, kind, CASE kind WHEN 2 THEN string_split(line, ' ') WHEN 1 THEN regexp_extract_all(line, '(?s).') END AS w FROM kinds
+), shorter AS (
+  SELECT r, kind, i, list_concat(w[1:i], w[i+2:]) AS v FROM (SELECT r, kind, w, unnest(range(len(w))) AS i FROM numbered WHERE kind > 0)
 ), gone AS (
-  SELECT r FROM (SELECT r, min(r) OVER (PARTITION BY v, i) AS e FROM shorter) WHERE e < r
-  UNION SELECT greatest(s.r, n.r) FROM shorter s JOIN numbered n ON s.v = n.w
+  SELECT r FROM (SELECT r, min(r) OVER (PARTITION BY kind, v, i) AS e FROM shorter) WHERE e < r
+  UNION SELECT greatest(s.r, n.r) FROM shorter s JOIN numbered n ON s.v = n.w AND s.kind = n.kind
 ), lost AS (
-  SELECT p.doc_id, p.no FROM part p JOIN firsts f ON p.w = f.w JOIN numbered n ON n.w = f.w LEFT JOIN gone g ON g.r = n.r
+  SELECT p.doc_id, p.no FROM part p JOIN firsts f ON p.line = f.line JOIN numbered n ON n.line = f.line LEFT JOIN gone g ON g.r = n.r
   WHERE g.r IS NOT NULL OR (p.doc_id, p.no) <> f.first
 ), per AS (SELECT doc_id, list(no) AS nos FROM lost GROUP BY doc_id)
 SELECT c.doc_id,

@@ -45,17 +45,24 @@ def word_edits(a, b):
     return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
-def plain_dedup(docs, least=line_dedup.MIN_WORDS):
+def units(line):
+    """What a line's edits count: its kind and units, or none where only exact repeats go."""
+    if len(w := line.split(" ")) >= line_dedup.MIN_WORDS:
+        return "words", w
+    return ("characters", list(line)) if len(line) >= line_dedup.MIN_CHARS else ("none", None)
+
+
+def plain_dedup(docs):
     seen, out = [], {}
     for key, text in sorted(docs):
         kept = []
         for line in (text or "").split("\n"):
-            w = line.split(" ")
-            if len(w) >= least:
-                if any(word_edits(w, x) for x in seen):
-                    seen.append(w)
+            kind, u = units(line)
+            again = any(line == x or (u and kind == k and word_edits(u, v)) for x, k, v in seen)
+            if line.strip(" \t\r\f"):
+                seen.append((line, kind, u))
+                if again:
                     continue
-                seen.append(w)
             kept.append(line)
         out[key] = "\n".join(kept)
     return out
@@ -80,24 +87,42 @@ def test_line_dedup_awkward(spark):
     assert line_dedup.dedup_lines(docs.where("doc_id < 0")).count() == 0
 
 
-def test_line_dedup_short_lines(spark):
-    """Exact repeats go at any number of words, text without blanks too; short lines have no near copies, blank lines stay."""
-    docs = [(1, "All rights reserved.\n\n\u5168\u90e8\u306e\u6a29\u5229\u3092\u4fdd\u6709\u3059\u308b\nkeep"), (2, "All rights reserved.\n\n\u5168\u90e8\u306e\u6a29\u5229\u3092\u4fdd\u6709\u3059\u308b\nAll rights kept.\n  \n"), (3, "  \none two three four five\nkeep\nkeep"), (4, "one two three four five six")]
-    frame = spark.createDataFrame(docs, DOCS)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame, short=True).collect()}
-    assert got == {1: docs[0][1], 2: "\n\nAll rights kept.\n  \n".removeprefix("\n"), 3: "  \none two three four five", 4: ""}
-    near = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(texts(3), DOCS), short=True).collect()}
-    seen, want = set(), {}
-    for key, text in sorted(plain_dedup(texts(3)).items()):
-        kept = []
-        for line in text.split("\n"):
-            if line.strip() and len(line.split(" ")) < line_dedup.MIN_WORDS:
-                if line in seen:
-                    continue
-                seen.add(line)
-            kept.append(line)
-        want[key] = "\n".join(kept)
-    assert near == want
+def test_line_dedup_short_and_unspaced_lines(spark):
+    """Exact repeats go at any length; lines of few words and text without blanks have near copies by characters; blank lines stay."""
+    rights = "\u5168\u90e8\u306e\u6a29\u5229\u3092\u4fdd\u6709\u3059\u308b" * 2 + "\U0001f600"
+    docs = [
+        (1, f"All rights reserved.\n\n{rights}\nkeep\n\t\na b c d e f g h i j k l m n o p q r s t"),
+        (2, f"All rights reserved.\n\n{rights}\nAll rights reserve.\n  \n{rights}x\n{rights[1:]}\nabcdefghijklmnopqrst"),
+        (3, "  \none two three four five\nkeep\nkeep\nkeep!\nAll rights reserved!\nAll rights preserved"),
+        (4, "one two three four five six"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == plain_dedup(docs)
+    assert got[2] == "\nAll rights reserve.\n  \nabcdefghijklmnopqrst" and got[3].endswith("five\nkeep!\nAll rights preserved") and got[4] == ""
+
+
+def test_line_dedup_characters_at_random(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("ab\u00e9\u4e2d ") for _ in range(rng.randint(16, 26))) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(3):
+            c = list(rng.choice(base))
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(c))
+                c[at : at + rng.randint(0, 1)] = [rng.choice("abx")] * rng.randint(0, 1)
+            lines.append("".join(c))
+        docs.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == plain_dedup(docs)
+
+
+def test_line_dedup_of_one_long_repeating_text(spark):
+    """A text of tens of thousands of lines that all go but the first few."""
+    text = "\n".join(f"line {i % 7}" for i in range(60_000))
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], DOCS)).first()
+    assert got["text"] == "\n".join(f"line {i}" for i in range(7)) and got["n_dropped"] == 59_993
 
 
 def test_prefix_sums_over_spans(spark):
