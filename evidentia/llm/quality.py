@@ -1,8 +1,9 @@
 """Quality classifier by compression: two zstandard dictionaries, one from good and one from bad text.
 
-A text is compressed once with each.  The difference of the compressed sizes, normalised by the raw and by the larger
-compressed size, together with the smaller size per byte and the text's length, is calibrated to a probability by a
-logistic fit.  The dictionaries and the calibration learn from disjoint folds of the labelled rows.
+A whole text is compressed with each in blocks, each block apart, so that a dictionary tells as much of the end of a long text as
+of its beginning.  The difference of the compressed sizes over the raw size is calibrated to a probability by a logistic fit,
+whose curve depends on the length: the difference of a short text is noisier.  The dictionaries and the calibration learn from
+disjoint folds of the labelled rows.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DICT_BYTES, LEVEL = 65_536, 3
-#: Fit bounds: labelled rows per class and fold, and pieces (of characters) taken from each text for a dictionary.
-FIT_ROWS, PIECES, PIECE_CHARS = 2_500, 4, 2_000
+#: Bytes of a dictionary, of a block that is compressed with it, and of the samples that a text is cut into to train one.
+DICT_BYTES, LEVEL, BLOCK, SAMPLE = 262_144, 3, 512, 2_000
+#: Fit bound: labelled rows per class and fold, with their whole texts.
+FIT_ROWS = 2_500
 
 
 def fold(id_column: str):
@@ -44,11 +46,10 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """Rows of (good size, bad size, raw size) to columns and their pairwise products."""
-    good, bad, raw = np.maximum(sizes.astype(float), 1.0).T
-    base = np.stack([(bad - good) / raw, (bad - good) / np.maximum(good, bad), np.minimum(good, bad) / raw, 4 / np.log2(raw + 2)], axis=1)
-    n = base.shape[1]
-    return np.concatenate([base, np.stack([base[:, i] * base[:, j] for i in range(n) for j in range(i, n)], axis=1)], axis=1)
+    """Rows of (good size, bad size, raw size) to the normalised difference, what the length tells of its noise, and products."""
+    good, bad, raw = sizes.astype(float).T
+    difference, short = (bad - good) / np.maximum(raw, 1), 4 / np.log2(raw + 2)
+    return np.stack([difference, short, difference * difference, difference * short, short * short], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 100) -> dict:
@@ -82,11 +83,16 @@ def predict(model: dict, sizes: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ np.asarray(model["w"]) + model["b"], -35, 35)))
 
 
+def compressed_size(c: zstandard.ZstdCompressor, raw: bytes) -> int:
+    return sum(len(c.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK))
+
+
 def measure(texts, good, bad) -> np.ndarray:
+    """(good size, bad size, raw size) of each text; null is empty, and an empty text is (0, 0, 0)."""
     out = np.empty((len(texts), 3), dtype=np.int64)
     for i, t in enumerate(texts):
         raw = (t.as_py() or "").encode()
-        out[i] = len(good.compress(raw)), len(bad.compress(raw)), len(raw)
+        out[i] = compressed_size(good, raw), compressed_size(bad, raw), len(raw)
     return out
 
 
@@ -94,7 +100,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     """Dictionaries and calibration from labelled rows outside the held-out fold.
 
     At most FIT_ROWS rows per class and fold are used, those with the smallest hashes of their ids; null and other labels
-    are left out, an id with both labels counts as bad.  Every bound on what reaches the driver follows from FIT_ROWS, PIECES and PIECE_CHARS.
+    are left out, an id with both labels counts as bad.  FIT_ROWS bounds what reaches the driver: the whole texts of fold 0, and
+    three sizes a row of fold 2.  Empty and null texts teach the dictionaries nothing; without rows of both classes the score
+    is constant; repeated rows count as often as they stand; extra columns are not read.
     """
     spark = docs.sparkSession
     marked = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y"), fold(id_column).alias("fold")).where("id IS NOT NULL AND y IN (0, 1) AND fold <> 1")
@@ -105,10 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
             part = marked.where((F.col("fold") == f) & (F.col("y") == y)).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
             few = part if few is None else few.unionByName(part)
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id")  # at most 4 * FIT_ROWS ids
-    n = F.length("text")
-    pieces = F.when(n <= PIECES * PIECE_CHARS, F.array("text")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("text"), (i * (n - PIECE_CHARS) / (PIECES - 1)).cast("int") + 1, F.lit(PIECE_CHARS))))
-    rows = chosen.where("fold = 0").select("y", "id", F.explode(pieces).alias("piece")).orderBy("y", F.xxhash64("id"), "id", "piece").collect()
-    cut = {y: [r["piece"][i : i + PIECE_CHARS].encode() for r in rows if r["y"] == y for i in range(0, len(r["piece"] or ""), PIECE_CHARS)] for y in (0, 1)}
+    rows = chosen.where("fold = 0").select("y", "id", "text").orderBy("y", F.xxhash64("id"), "id", "text").collect()
+    cut = {y: [raw[i : i + SAMPLE] for r in rows if r["y"] == y for raw in [(r["text"] or "").encode()] for i in range(0, len(raw), SAMPLE)] for y in (0, 1)}
     model = {"good": make_dictionary(cut[1]), "bad": make_dictionary(cut[0])}
     both = spark.sparkContext.broadcast(model)
 
@@ -128,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """Score every whole text: (id, held_out, score, predicted), or with ``keep`` all columns plus ``quality_score``.
 
-    A null text counts as empty and gets the score of an empty text.  Equal texts get equal scores; repeated rows stay;
-    an empty table gives an empty table.  Without labels of both classes the score is constant.
+    A null text counts as empty and gets the score of an empty text; a text of any length is read whole.  Equal texts get equal scores; repeated rows stay;
+    an empty table gives an empty table.  Other columns pass through, whatever their names.  Without labels of both classes the score is constant.
     """
     both = docs.sparkSession.sparkContext.broadcast(model)
 
