@@ -1,38 +1,66 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token masses of the cells source x language x topic are raked until their marginals meet the targets; a document is then
-sampled with a probability in proportion to its cell's factor, the largest being 1, so that the expected token shares of
-the sample are the targets.
+Token masses of the cells source x language x topic are raked until the expected marginals of the sample meet the targets: a
+cell's probability is the product of one factor a category, at most 1, and each step scales the factors of one dimension to its
+targets.  The stated share of all tokens fixes the scale, so a rare cell is kept whole instead of lowering the chance of every
+other document.  Documents are then drawn by a hash.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import checkpointed
+from evidentia.llm.common import checkpointed, stored
 
 DIMS = ("source", "lang", "topic")
-#: Default targets: observed token shares to this power, which lifts the rare without flattening all.
-POWER = 0.95
-#: Cells that are raked on the driver and broadcast; more are raked on the cluster by the same steps.
+#: Parameters of the registered query and the pipeline.  A number is the power of the observed share that a category is to
+#: have (0: equal shares, 1: as observed); ``*`` is what all categories not named share, in proportion to their masses.
+TARGETS = {"source": 0.5, "lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.12, "*": 0.02}, "topic": 1.0}
+#: Share of all tokens to keep.
+KEEP = 0.6
+#: Default topics: beginnings of words, lower case; the topic with most occurrences has the text, ties go to the first.
+TOPICS = {
+    "law": ["licen[cs]", "copyright", "warrant", "rights reserved", "lizenz", "urheber", "derecho", "droit", "trademark", "liab"],
+    "software": ["token", "password", "passwort", "api[ _-]?key", "secret", "https?://", "www[.]", "function", "import ", "github"],
+    "contact": ["e-?mail", "phone", "telephone", "address", "contact", "kontakt", "[0-9a-z._-]+@[0-9a-z]", "call "],
+    "commerce": ["price", "buy ", "sale", "offer", "order", "discount", "subscri", "shipping", "deal", "casino", "bet "],
+    "science": ["theor", "experiment", "measure", "data", "result", "study", "model", "energ", "cell", "equation"],
+}
+OTHER = "general"
+#: Cells that are raked on the driver and broadcast; more are raked on the cluster by the same steps to the same end.
 LOCAL_CELLS = 100_000
-ROUNDS, CLOSE = 200, 1e-9
-#: On the cluster a round is a few jobs: it stops at this error of a share, or after so many rounds.
-CLUSTER_ROUNDS, CLUSTER_CLOSE = 25, 1e-4
+#: Rounds at most, change of a probability at which all have settled, and relative error of a marginal that counts as met.
+ROUNDS, SETTLED, CLOSE = 500, 1e-12, 1e-6
+#: A factor beyond this changes no probability.
+LARGEST = 1e12
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+class NotMet(ValueError):
+    """Targets that no sample of the wanted size can meet."""
+
+
+def topic_pattern(stems: list[str]) -> str:
+    return "(?:^|[^a-z])(?:" + "|".join(stems) + ")"
 
 
-def topic_of(text: Column) -> Column:
-    """A topic by plain rules over the whole text: licence notes, tables, contacts, else prose."""
-    return F.when(F.contains(F.lower(text), F.lit("licen")), "licence").when(F.contains(text, F.lit(" | ")), "table").when(F.contains(text, F.lit("@")) & text.rlike("[A-Za-z0-9]@[A-Za-z0-9]"), "contact").otherwise("prose")
+def topic_of(text: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
+    """The topic whose word beginnings occur most often in the whole text, ``general`` where none does."""
+    plain = F.translate(text, UPPER, LOWER)
+    hits = F.array(*(F.struct(F.regexp_count(plain, F.lit(topic_pattern(stems))).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, stems) in enumerate(topics.items())))
+    best = F.array_max(hits)
+    return F.when(best["n"] > 0, best["name"]).otherwise(F.lit(OTHER))
 
 
 def tokens_of(text: Column) -> Column:
-    """Words divided by single blanks or line feeds, none in a blank text; counted without cutting the text."""
-    breaks = F.length(text) * 2 - F.length(F.replace(text, F.lit(" "), F.lit(""))) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return F.when(F.trim(text) == "", 0).otherwise(breaks + 1).cast("long")
+    """Words: what stands between ASCII white space."""
+    return F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
 
 
 def label(c: Column) -> Column:
@@ -40,53 +68,70 @@ def label(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def shares(masses: dict[str, float], target: dict[str, float] | None, power: float) -> dict[str, float]:
-    """Target share of each category that has mass; targets for absent ones are left out, missing ones are 0."""
+def wanted_shares(masses: dict[str, float], target: dict | float) -> dict[str, float]:
+    """The share of the sample that each category (a label) with mass is to have; they add up to 1."""
     total = sum(masses.values())
-    raw = {k: (m / total) ** power if m > 0 else 0.0 for k, m in masses.items()} if target is None else {k: float(target.get(k[1:] if k[0] == "=" else None, 0.0)) * (m > 0) for k, m in masses.items()}
+    if not isinstance(target, dict):
+        raw = {k: (m / total) ** target for k, m in masses.items()}
+    else:
+        named = {k: target.get(k[1:] if k[0] == "=" else None) for k in masses}
+        rest = sum(masses[k] for k, t in named.items() if t is None)
+        raw = {k: float(target.get("*", 0.0)) * masses[k] / rest if t is None else float(t) for k, t in named.items()}
     if min(raw.values(), default=0) < 0 or not sum(raw.values()):
         raise ValueError("targets are negative, or none has mass")
     return {k: v / sum(raw.values()) for k, v in raw.items()}
 
 
-def rake_local(codes: np.ndarray, mass: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
-    """Factors of the cells: each round scales every marginal to its target in turn."""
-    share, factor = mass / mass.sum(), np.ones(len(mass))
+def rake_local(codes: np.ndarray, share: np.ndarray, targets: list[np.ndarray], keep: float) -> tuple[np.ndarray, float]:
+    """(factors of the cells, largest relative error of a marginal): each round scales every dimension to its targets in turn."""
+    factor = np.full(len(share), keep)
     for _ in range(ROUNDS):
-        off = 0.0
+        before = np.minimum(factor, 1)
         for d, target in enumerate(targets):
-            now = np.bincount(codes[:, d], weights=share * factor, minlength=len(target))
-            off = max(off, float(np.abs(now - target).max()))
-            factor *= np.divide(target, now, out=np.zeros_like(now), where=now > 0)[codes[:, d]]
-        if off < CLOSE:
+            now = np.bincount(codes[:, d], weights=share * np.minimum(factor, 1), minlength=len(target))
+            factor = np.minimum(factor * np.divide(target * keep, now, out=np.zeros_like(now), where=now > 0)[codes[:, d]], LARGEST)
+        if np.abs(np.minimum(factor, 1) - before).max() < SETTLED:
             break
-    return factor
+    off = 0.0
+    for d, target in enumerate(targets):
+        now = np.bincount(codes[:, d], weights=share * np.minimum(factor, 1), minlength=len(target))
+        off = max(off, float((np.abs(now - target * keep) / np.maximum(target * keep, SETTLED)).max()))
+    return factor, off
 
 
-def rake_cluster(cells: DataFrame, target: dict[str, DataFrame]) -> DataFrame:
+def rake_cluster(cells: DataFrame, target: dict[str, DataFrame], keep: float) -> tuple[DataFrame, float]:
     """The same rounds as joins, for more cells than the driver should hold; ``target`` has (label, share) by dimension."""
-    cells = cells.withColumn("factor", F.lit(1.0))
-    for _ in range(CLUSTER_ROUNDS):
-        off = 0.0
+    chance = F.least("factor", F.lit(1.0))
+
+    def marginal(now: DataFrame, d: str) -> DataFrame:
+        sums = now.groupBy(d).agg(F.sum(F.col("share") * chance).alias("now"))
+        return sums.join(target[d].withColumnsRenamed({"label": d, "share": "want"}), d).withColumn("want", F.col("want") * keep)
+
+    cells = cells.withColumn("factor", F.lit(float(keep)))
+    for _ in range(ROUNDS):
+        cells = cells.withColumn("before", chance)
         for d in DIMS:
-            now = cells.groupBy(d).agg(F.sum(F.col("share") * F.col("factor")).alias("now")).join(target[d].withColumnsRenamed({"label": d, "share": "want"}), d)
-            now = checkpointed(now.withColumn("scale", F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(0.0)))
-            off = max(off, now.agg(F.max(F.abs(F.col("now") - F.col("want")))).first()[0] or 0.0)
-            cells = cells.join(now.select(d, "scale"), d).withColumn("factor", F.col("factor") * F.col("scale")).drop("scale")
-        cells = checkpointed(cells)
-        if off < CLUSTER_CLOSE:
+            scale = F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(0.0)
+            step = checkpointed(marginal(cells, d).select(d, scale.alias("scale")))
+            cells = cells.join(step, d).withColumn("factor", F.least(F.col("factor") * F.col("scale"), F.lit(LARGEST))).drop("scale")
+        cells = stored(cells)  # a written table, unlike a checkpoint, hands no constraints of earlier rounds on to the planner
+        if (cells.agg(F.max(F.abs(chance - F.col("before")))).first()[0] or 0.0) < SETTLED:
             break
-    return cells
+    error = F.abs(F.col("now") - F.col("want")) / F.greatest("want", F.lit(SETTLED))
+    return cells, max(marginal(cells, d).agg(F.max(error)).first()[0] or 0.0 for d in DIMS)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, power: float = POWER, seed: int = 17, id_column: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict | float] = TARGETS, keep: float = KEEP, seed: int = 17, id_column: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, local_cells: int = LOCAL_CELLS, strict: bool = True) -> DataFrame:
     """All columns plus topic, tokens, weight, probability and sampled (each named with the prefix ``mix_``).
 
-    ``targets`` has a dict of wanted token shares by dimension (source, lang, topic); a dimension without one gets its observed
-    shares to ``power``.  ``weight`` is the cell's raked factor, ``probability`` the factor over the largest, ``sampled`` 1 where
-    a hash of (seed, id, text) falls below it, so repeated rows fare alike and a rerun draws the same.  Tokens are words divided by
-    blanks or line feeds; a null or blank text has none and belongs to no mass, but is sampled by its cell (probability 0 in a cell
-    without mass).  Null source or language is a category of its own.  An empty table gives an empty table.
+    ``targets`` says by dimension (source, lang, topic) what share of the sample's tokens each category is to have, as in
+    TARGETS; ``keep`` is the share of all tokens that the sample is to have.  ``weight`` is the cell's raked factor,
+    ``probability`` the same but at most 1, ``sampled`` 1 where a hash of the seed and the id (of the text, where there is no
+    id) falls below it, so repeated rows fare alike and a rerun draws the same.  Where the expected marginals miss the targets
+    by more than CLOSE, because a category has too little mass or the cells exclude each other, NotMet is raised; without
+    ``strict`` the nearest the rounds came is used, under a warning that tells the error.  Tokens are words; a null or blank
+    text of any length has none and belongs to no mass, but is sampled by its cell (probability 0 in a cell without mass).
+    Null source or language is a category of its own.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -98,13 +143,13 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, power: float =
         label(F.col(lang)).alias("lang"),
         label(topic_of(body) if topic is None else topic).alias("topic"),
         tokens_of(body).alias("tokens"),
-        F.xxhash64(F.lit(seed), F.col(id_column), F.col(text)).alias("draw"),
+        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("|"), body))).cast("binary")).alias("draw"),
     )
     cells = checkpointed(seen.groupBy(*DIMS).agg(F.sum("tokens").alias("mass")).where("mass > 0"))
     stats = cells.agg(F.count("*").alias("n"), F.sum("mass").alias("mass")).first()
+    off = 0.0
     if not stats["n"]:
         factors = spark.createDataFrame([], "source string, lang string, topic string, factor double")
-        top = 1.0
     elif stats["n"] <= local_cells:
         rows = sorted(cells.collect())
         levels = [sorted({r[d] for r in rows}) for d in DIMS]
@@ -113,28 +158,80 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, power: float =
         mass = np.array([r["mass"] for r in rows], dtype=float)
         wanted = []
         for i, d in enumerate(DIMS):
-            s = shares({k: float(mass[codes[:, i] == j].sum()) for k, j in where[i].items()}, (targets or {}).get(d), power)
+            s = wanted_shares({k: float(mass[codes[:, i] == j].sum()) for k, j in where[i].items()}, targets.get(d, 1.0))
             wanted.append(np.array([s[k] for k in levels[i]]))
-        factor = rake_local(codes, mass, wanted)
-        top = float(factor.max())
+        factor, off = rake_local(codes, mass / mass.sum(), wanted, keep)
         table = pa.table({**{d: [r[d] for r in rows] for d in DIMS}, "factor": factor})
         factors = F.broadcast(spark.createDataFrame(table))  # LOCAL_CELLS rows at most
     else:
         target = {}
         for d in DIMS:
             marginal = cells.groupBy(F.col(d).alias("label")).agg((F.sum("mass") / float(stats["mass"])).alias("s"))
-            if d in (targets or {}):
-                given = spark.createDataFrame([("null" if k is None else f"={k}", float(v)) for k, v in targets[d].items()], "label string, t double")
-                raw = marginal.join(given, "label", "left").select("label", F.coalesce("t", F.lit(0.0)).alias("share"))
+            rule = targets.get(d, 1.0)
+            if isinstance(rule, dict):
+                given = spark.createDataFrame([("null" if k is None else f"={k}", float(v)) for k, v in rule.items() if k != "*"], "label string, t double")
+                known = marginal.join(given, "label", "left")
+                rest = known.where("t IS NULL").agg(F.sum("s")).first()[0] or 1.0
+                raw = known.select("label", F.coalesce("t", F.col("s") * (float(rule.get("*", 0.0)) / rest)).alias("share"))
             else:
-                raw = marginal.select("label", F.pow("s", F.lit(power)).alias("share"))
+                raw = marginal.select("label", F.pow("s", F.lit(float(rule))).alias("share"))
             total = raw.agg(F.sum("share")).first()[0]
+            if not total:
+                raise ValueError("targets are negative, or none has mass")
             target[d] = checkpointed(raw.select("label", (F.col("share") / total).alias("share")))
-        factors = rake_cluster(cells.select(*DIMS, (F.col("mass") / float(stats["mass"])).alias("share")), target).select(*DIMS, "factor")
-        top = factors.agg(F.max("factor")).first()[0]
+        raked, off = rake_cluster(cells.select(*DIMS, (F.col("mass") / float(stats["mass"])).alias("share")), target, keep)
+        factors = raked.select(*DIMS, "factor")
+    if off > CLOSE:
+        told = f"marginals miss their targets by up to {off:.3g} of a target"
+        if strict:
+            raise NotMet(told)
+        warnings.warn(told, stacklevel=2)
     out = seen.join(factors, list(DIMS), "left").withColumn("factor", F.coalesce("factor", F.lit(0.0)))
-    chance = F.least(F.col("factor") / F.lit(top), F.lit(1.0))
-    uniform = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
+    chance = F.least(F.col("factor"), F.lit(1.0))
+    uniform = F.conv(F.substring("draw", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     plain = F.when(F.col("topic") == "null", None).otherwise(F.substring("topic", 2, 1 << 30))
     out = out.select(*names, plain.alias("mix_topic"), F.col("tokens").alias("mix_tokens"), F.col("factor").alias("mix_weight"), chance.alias("mix_probability"), (uniform < chance).cast("int").alias("mix_sampled"))
     return out.toDF(*docs.columns, *out.columns[len(names) :])
+
+
+def _hits(stems: list[str]) -> str:
+    return f"len(regexp_extract_all(low, '{topic_pattern(stems)}'))"
+
+
+def _wanted(d: str) -> str:
+    rule = TARGETS[d]
+    if not isinstance(rule, dict):
+        return f"SELECT {d}, sum(mass) ** {rule} AS raw FROM cells GROUP BY {d}"
+    named = ", ".join(f"('{k}', {v})" for k, v in rule.items() if k != "*")
+    return f"""SELECT {d}, coalesce(t, {rule.get("*", 0.0)} * s / sum(s) FILTER (WHERE t IS NULL) OVER ()) AS raw
+  FROM (SELECT {d}, sum(mass) AS s FROM cells GROUP BY {d}) LEFT JOIN (VALUES {named}) g(k, t) ON k = {d}"""
+
+
+_STEP = """SELECT * REPLACE (least(f * CASE WHEN now > 0 THEN want * {keep} / now ELSE 0 END, {largest}) AS f) FROM
+    (SELECT *, sum(mass * least(f, 1)) OVER (PARTITION BY {d}) AS now, want_{d} AS want FROM ({inner}))"""
+
+
+def _round() -> str:
+    inner = "SELECT * FROM raked WHERE it < 200"
+    for d in DIMS:
+        inner = _STEP.format(keep=KEEP, largest=LARGEST, d=d, inner=inner.replace("SELECT * FROM (", "SELECT * EXCLUDE (now, want) FROM (", 1) if d == DIMS[0] else f"SELECT * EXCLUDE (now, want) FROM ({inner})")
+    return inner
+
+
+#: DuckDB: the same rounds as a recursive query over the cells (200 of them; the factors settle long before).
+ORACLE = f"""
+WITH RECURSIVE low AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
+hits AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens, [{", ".join(_hits(s) for s in TOPICS.values())}] AS h FROM low),
+seen AS (
+  SELECT doc_id, source, lang, tokens, CASE WHEN list_max(h) > 0 THEN [{", ".join(f"'{t}'" for t in TOPICS)}][list_position(h, list_max(h))] ELSE '{OTHER}' END AS topic FROM hits
+), sums AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS m FROM seen GROUP BY ALL HAVING sum(tokens) > 0),
+cells AS (SELECT source, lang, topic, m / sum(m) OVER () AS mass FROM sums),
+{", ".join(f"raw_{d} AS ({_wanted(d)}), want_{d} AS (SELECT {d}, raw / sum(raw) OVER () AS want_{d} FROM raw_{d})" for d in DIMS)},
+raked AS (
+  SELECT 0 AS it, c.*, want_source, want_lang, want_topic, {KEEP}::DOUBLE AS f FROM cells c JOIN want_source USING (source) JOIN want_lang USING (lang) JOIN want_topic USING (topic)
+  UNION ALL SELECT it + 1, source, lang, topic, mass, want_source, want_lang, want_topic, f FROM ({_round()})
+), factors AS (SELECT source, lang, topic, f FROM raked WHERE it = 200)
+SELECT doc_id, s.source, s.lang, s.topic, tokens, round(coalesce(f, 0), 6) AS weight, round(least(coalesce(f, 0), 1), 6) AS probability,
+  CASE WHEN ('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT / {float(1 << 52)} < least(coalesce(f, 0), 1) THEN 1 ELSE 0 END AS sampled
+FROM seen s LEFT JOIN factors c ON s.source = c.source AND s.lang = c.lang AND s.topic = c.topic
+"""

@@ -10,8 +10,9 @@ from evidentia.llm.common import read
 
 
 def op1_mixing(spark, sf_dir):
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return mixed.select("doc_id", "source", "lang", *(F.col(f"mix_{c}").alias(c) for c in ("topic", "tokens", "weight", "probability", "sampled")))
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), mixing.TARGETS, mixing.KEEP, strict=False)
+    told = {c: F.col(f"mix_{c}") for c in ("topic", "tokens", "weight", "probability", "sampled")}
+    return mixed.select("doc_id", "source", "lang", *((F.round(c, 6) if n in ("weight", "probability") else c).alias(n) for n, c in told.items()))
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -55,4 +56,4 @@ def op10_fingerprint(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_bpe, op4_html, op5_quality, op6_url_filter, op7_ngram_join, op8_chat, op9_ann, op10_fingerprint)}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_chat": chat.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_chat": chat.ORACLE}

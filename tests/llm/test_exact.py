@@ -282,23 +282,48 @@ def test_url_rules(spark):
 # --- mixing
 
 
-def test_mixing_meets_targets(spark):
+def mixing_rows():
     rng = random.Random(2)
-    rows = [(i, " ".join(["w"] * rng.randint(1, 30)) + rng.choice(["", " | a", " licensed"]), rng.choice("abc") if i % 50 else None, rng.choice(["en", "fr"]), 3) for i in range(1500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, factor int")
-    want = {"source": {"a": 0.5, "b": 0.25, "c": 0.2, None: 0.05}, "lang": {"en": 0.4, "fr": 0.6}, "topic": {"prose": 0.5, "table": 0.3, "licence": 0.2}}
-    local = mixing.mix(docs, want)
+    return [(i, " ".join(["w"] * rng.randint(1, 30)) + rng.choice(["", " Password", " licensed"]), rng.choice("abc") if i % 50 else None, rng.choice(["en", "fr"]), 3) for i in range(1500)]
+
+
+MIXED = "doc_id long, text string, source string, lang string, factor int"
+
+
+def test_mixing_meets_targets(spark):
+    docs = spark.createDataFrame(mixing_rows(), MIXED)
+    want = {"source": {"a": 0.5, "b": 0.25, "c": 0.23, None: 0.02}, "lang": {"en": 0.4, "fr": 0.6}, "topic": {"general": 0.3, "software": 0.35, "law": 0.35}}
+    local = mixing.mix(docs, want, keep=0.5)
     assert local.columns[:5] == docs.columns
     out = local.toPandas()
-    mass = out["mix_tokens"] * out["mix_weight"]
+    mass = out["mix_tokens"] * out["mix_probability"]
+    assert abs(mass.sum() / out["mix_tokens"].sum() - 0.5) < 1e-6
     for d, column in (("source", "source"), ("lang", "lang"), ("topic", "mix_topic")):
         shares = mass.groupby(out[column].astype(object).where(out[column].notna(), None), dropna=False).sum() / mass.sum()
         for k, v in shares.items():
             assert abs(v - want[d][None if k != k else k]) < 1e-6
-    assert out["mix_probability"].max() == 1.0 and (out["mix_probability"] <= 1).all()
-    assert abs(out["mix_sampled"].mean() - out["mix_probability"].mean()) < 0.05
-    cluster = mixing.mix(docs, want, local_cells=1).toPandas().set_index("doc_id")
-    assert np.abs(cluster["mix_weight"] / cluster["mix_weight"].max() - out.set_index("doc_id")["mix_weight"] / out["mix_weight"].max()).max() < 1e-2
+    assert (out["mix_probability"] <= 1).all() and abs(out["mix_sampled"].mean() - out["mix_probability"].mean()) < 0.05
+    cluster = mixing.mix(docs, want, keep=0.5, local_cells=1).toPandas().set_index("doc_id")
+    assert np.abs(cluster["mix_probability"] - out.set_index("doc_id")["mix_probability"]).max() < 1e-9
+
+
+def test_mixing_of_powers_and_others(spark):
+    docs = spark.createDataFrame(mixing_rows(), MIXED)
+    out = mixing.mix(docs, {"source": 0.0, "lang": {"fr": 0.6, "*": 0.4}, "topic": 1.0}, keep=0.05).toPandas()
+    mass = out["mix_tokens"] * out["mix_probability"]
+    assert np.allclose(mass.groupby(out["source"].fillna("-")).sum() / mass.sum(), 0.25, atol=1e-6)
+    assert np.allclose(mass.groupby(out["mix_topic"]).sum() / mass.sum(), out.groupby("mix_topic")["mix_tokens"].sum() / out["mix_tokens"].sum(), atol=1e-6)
+
+
+def test_rare_cell_does_not_lower_the_others(spark):
+    """A source of one document is kept whole; what cannot be met is told, not passed over."""
+    docs = spark.createDataFrame([*mixing_rows(), (9999, "w w w", "rare", "en", 3)], MIXED)
+    with pytest.raises(mixing.NotMet):
+        mixing.mix(docs, {"source": 0.0}, keep=0.5)
+    with pytest.warns(UserWarning, match="miss"):
+        out = mixing.mix(docs, {"source": 0.5}, keep=0.6, strict=False).toPandas()
+    assert out.set_index("doc_id")["mix_probability"][9999] > 0.9
+    assert abs((out["mix_tokens"] * out["mix_probability"]).sum() / out["mix_tokens"].sum() - 0.6) < 0.02
 
 
 def test_mixing_awkward(spark):
