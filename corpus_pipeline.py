@@ -57,7 +57,7 @@ def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents sampled to raked shares of source, language and topic."""
     ready(spark)
     plain, names = numbered(docs)
-    mixed = mixing.mix(plain, id_column=names["doc_id"], text=names["text"], source=names["source"], lang=names["lang"])
+    mixed = mixing.mix(plain, mixing.TARGETS, mixing.KEEP, strict=False, id_column=names["doc_id"], text=names["text"], source=names["source"], lang=names["lang"])
     return mixed.where("mix_sampled = 1").select(*names.values()).toDF(*docs.columns)
 
 
