@@ -23,15 +23,17 @@ DIMS = ("source", "lang", "topic")
 TARGETS = {"source": 0.5, "lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.12, "*": 0.02}, "topic": 1.0}
 #: Share of all tokens to keep.
 KEEP = 0.6
-#: Default topics: beginnings of words, lower case; the topic with most occurrences has the text, ties go to the first.
+#: Default topics by their words, lower case; the topic with most of a text's words has the text, ties go to the first.
 TOPICS = {
-    "law": ["licen[cs]", "copyright", "warrant", "rights reserved", "lizenz", "urheber", "derecho", "droit", "trademark", "liab"],
-    "software": ["token", "password", "passwort", "api[ _-]?key", "secret", "https?://", "www[.]", "function", "import ", "github"],
-    "contact": ["e-?mail", "phone", "telephone", "address", "contact", "kontakt", "[0-9a-z._-]+@[0-9a-z]", "call "],
-    "commerce": ["price", "buy ", "sale", "offer", "order", "discount", "subscri", "shipping", "deal", "casino", "bet "],
-    "science": ["theor", "experiment", "measure", "data", "result", "study", "model", "energ", "cell", "equation"],
+    "law": "license licensed licence licenses copyright warranty warranties rights reserved liability lizenz urheberrecht licencia derechos droits trademark agreement".split(),
+    "software": "token password passwort secret api_key apikey key function import github software version code server login".split(),
+    "contact": "email e-mail mail phone telephone tel address contact kontakt contacto call reach".split(),
+    "commerce": "price prices buy sale offer order discount subscribe shipping deal casino free click win".split(),
+    "science": "theory experiment measure data result results study model energy cell equation research".split(),
 }
 OTHER = "general"
+#: What may stand behind a word.
+MARKS = ["", ".", ",", ";", ":", "!", "?", ")"]
 #: Cells that are raked on the driver and broadcast; more are raked on the cluster by the same steps to the same end.
 LOCAL_CELLS = 100_000
 #: Rounds at most, change of a probability at which all have settled, and relative error of a marginal that counts as met.
@@ -39,28 +41,27 @@ ROUNDS, SETTLED, CLOSE = 500, 1e-12, 1e-6
 #: A factor beyond this changes no probability.
 LARGEST = 1e12
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 class NotMet(ValueError):
     """Targets that no sample of the wanted size can meet."""
 
 
-def topic_pattern(stems: list[str]) -> str:
-    return "(?:^|[^a-z])(?:" + "|".join(stems) + ")"
+def forms(words: list[str]) -> list[str]:
+    """A word as it stands in texts: in small, initial or large letters, before a mark or none."""
+    return sorted({w + m for x in words for w in (x, x.capitalize(), x.upper()) for m in MARKS})
 
 
-def topic_of(text: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
-    """The topic whose word beginnings occur most often in the whole text, ``general`` where none does."""
-    plain = F.translate(text, UPPER, LOWER)
-    hits = F.array(*(F.struct(F.regexp_count(plain, F.lit(topic_pattern(stems))).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, stems) in enumerate(topics.items())))
-    best = F.array_max(hits)
-    return F.when(best["n"] > 0, best["name"]).otherwise(F.lit(OTHER))
+def told_by_words(text: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
+    """struct<tokens, topic> of a whole text: its words, which blanks and line feeds divide, and the topic most of them name.
 
-
-def tokens_of(text: Column) -> Column:
-    """Words: what stands between ASCII white space."""
-    return F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
+    The text is cut once; each outer transform binds what it holds, so that nothing is computed again for a further use.
+    """
+    pieces = F.array(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1))
+    known = ["", *(f for words in topics.values() for f in forms(words))]
+    cut = F.transform(pieces, lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(known)).alias("found")))
+    count = lambda found, words: F.size(F.filter(found, lambda x: x.isin(words)))
+    hits = F.transform(cut, lambda c: F.struct((c["n"] - count(c["found"], [""])).alias("tokens"), F.array(*(F.struct(count(c["found"], forms(words)).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, words) in enumerate(topics.items()))).alias("hits")))
+    best = F.transform(hits, lambda h: F.struct(h["tokens"].cast("long").alias("tokens"), F.array_max(h["hits"]).alias("best")))
+    return F.get(F.transform(best, lambda b: F.struct(b["tokens"].alias("tokens"), F.when(b["best"]["n"] > 0, b["best"]["name"]).otherwise(F.lit(OTHER)).alias("topic"))), 0)
 
 
 def label(c: Column) -> Column:
@@ -129,7 +130,7 @@ def mix(docs: DataFrame, targets: dict[str, dict | float] = TARGETS, keep: float
     ``probability`` the same but at most 1, ``sampled`` 1 where a hash of the seed and the id (of the text, where there is no
     id) falls below it, so repeated rows fare alike and a rerun draws the same.  Where the expected marginals miss the targets
     by more than CLOSE, because a category has too little mass or the cells exclude each other, NotMet is raised; without
-    ``strict`` the nearest the rounds came is used, under a warning that tells the error.  Tokens are words; a null or blank
+    ``strict`` the nearest the rounds came is used, under a warning that tells the error.  Tokens are words between blanks and line feeds; a null or blank
     text of any length has none and belongs to no mass, but is sampled by its cell (probability 0 in a cell without mass).
     Null source or language is a category of its own.  An empty table gives an empty table.
     """
@@ -141,10 +142,11 @@ def mix(docs: DataFrame, targets: dict[str, dict | float] = TARGETS, keep: float
         *(docs[c].alias(n) for c, n in at.items()),
         label(F.col(source)).alias("source"),
         label(F.col(lang)).alias("lang"),
-        label(topic_of(body) if topic is None else topic).alias("topic"),
-        tokens_of(body).alias("tokens"),
+        label(F.lit(None) if topic is None else topic).alias("topic"),
+        told_by_words(body).alias("told"),
         F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("|"), body))).cast("binary")).alias("draw"),
     )
+    seen = seen.select(*names, "source", "lang", (label(F.col("told.topic")) if topic is None else F.col("topic")).alias("topic"), F.col("told.tokens").alias("tokens"), "draw")
     cells = checkpointed(seen.groupBy(*DIMS).agg(F.sum("tokens").alias("mass")).where("mass > 0"))
     stats = cells.agg(F.count("*").alias("n"), F.sum("mass").alias("mass")).first()
     off = 0.0
@@ -194,8 +196,8 @@ def mix(docs: DataFrame, targets: dict[str, dict | float] = TARGETS, keep: float
     return out.toDF(*docs.columns, *out.columns[len(names) :])
 
 
-def _hits(stems: list[str]) -> str:
-    return f"len(regexp_extract_all(low, '{topic_pattern(stems)}'))"
+def _hits(words: list[str]) -> str:
+    return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{f}'" for f in forms(words)) + ")))"
 
 
 def _wanted(d: str) -> str:
@@ -220,8 +222,8 @@ def _round() -> str:
 
 #: DuckDB: the same rounds as a recursive query over the cells (200 of them; the factors settle long before).
 ORACLE = f"""
-WITH RECURSIVE low AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
-hits AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens, [{", ".join(_hits(s) for s in TOPICS.values())}] AS h FROM low),
+WITH RECURSIVE cut AS (SELECT doc_id, source, lang, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents),
+hits AS (SELECT doc_id, source, lang, len(w)::BIGINT AS tokens, [{", ".join(_hits(s) for s in TOPICS.values())}] AS h FROM cut),
 seen AS (
   SELECT doc_id, source, lang, tokens, CASE WHEN list_max(h) > 0 THEN [{", ".join(f"'{t}'" for t in TOPICS)}][list_position(h, list_max(h))] ELSE '{OTHER}' END AS topic FROM hits
 ), sums AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS m FROM seen GROUP BY ALL HAVING sum(tokens) > 0),
