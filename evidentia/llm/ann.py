@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Vectors are lifted by one coordinate so that largest inner product becomes smallest distance.  Centroids are fitted on a
-bounded sample with a balance penalty and joined in a neighbour graph that every worker holds; all vectors, in lockstep,
-are routed through it.  A vector near a boundary is posted to several lists; a query visits all lists whose centroid
-distance stays within a ratio of its nearest, chosen on vectors held out of the fit, and further ones until they are sure to hold enough vectors.  Scores are inner products of the original vectors in double precision.
+bounded sample, level by level with a balance penalty, and joined in a neighbour graph that is built once and that every worker
+holds; all vectors and queries, in lockstep, search it by beams.  A vector near a boundary is posted to several lists; a query
+visits all lists whose centroid distance stays within a ratio of its nearest, chosen on vectors held out of the fit, and
+further ones until they are sure to hold enough vectors: its beam is widened until it ends beyond the ratio.  Scores are inner
+products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import checkpointed, partitions
 
-#: Fit: vectors sampled, wanted vectors a list, and centroids at most; a quarter of the sample bounds them as well.
-SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 512, 16_384
-#: Routing: neighbours a centroid has in the graph, the least beam of a search, and the share of the centroids that it holds.
-DEGREE, BEAM, BEAM_SHARE = 24, 192, 12
+#: Fit: vectors a list, lists at most, vectors sampled for each list, and clusters that are fitted at once.
+LIST_SIZE, MAX_LISTS, PER_LIST, AT_ONCE = 512, 32_768, 4, 128
+#: Routing: neighbours a centroid has in the graph, entries of a search, and the least beam that it holds.
+DEGREE, ENTRIES, BEAM = 24, 8, 32
 #: Boundary vectors: lists at most, and the distance ratio up to which they are replicated.
 REPLICAS, REPLICA_RATIO = 2, 1.06
 #: Queries: the least distance ratio that prunes, and how many are routed at a time.
 PROBE_RATIO, ASKED = 1.15, 128
+#: Vectors of the fit at least, where the table has them.
+FIT = 20_000
 #: Vectors and queries of them on which the ratio is chosen, and the share of their neighbours whose lists must be visited.
 HELD, TRIED, WANTED = 10_000, 512, 0.99
 #: Postings and queries of a list that meet in one block.
@@ -41,10 +45,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)[None, :], 0)
 
 
-def fit_centroids(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """K-means whose assignment pays for full lists, so that list sizes stay near each other."""
-    k = min(k, len(sample))
-    rng = np.random.default_rng(7)
+def fit_flat(sample: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, owner of each vector): k-means whose assignment pays for full lists, so that list sizes stay near each other."""
     centres = sample[rng.choice(len(sample), k, replace=False)].copy()
     penalty = np.zeros(k)
     for _ in range(rounds):
@@ -58,46 +60,59 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         for j in np.flatnonzero(size == 0):
             centres[j] = sample[rng.integers(len(sample))]
             penalty[j] = 0
-    return np.unique(centres, axis=0)
+    return centres, owner
+
+
+def fit_centroids(sample: np.ndarray, k: int, rng: np.random.Generator | None = None) -> np.ndarray:
+    """Centres of about k lists; more than AT_ONCE are fitted in levels, each cluster taking its share of them."""
+    rng = np.random.default_rng(7) if rng is None else rng
+    k = min(k, len(sample))
+    if k <= AT_ONCE:
+        return np.unique(fit_flat(sample, k, rng)[0], axis=0)
+    _, owner = fit_flat(sample, min(AT_ONCE, int(np.ceil(k / AT_ONCE)) + 1), rng)
+    parts = [sample[owner == j] for j in np.unique(owner)]
+    if len(parts) == 1:  # copies of one vector
+        return parts[0][:1]
+    return np.unique(np.concatenate([fit_centroids(x, max(1, round(k * len(x) / len(sample))), rng) for x in parts]), axis=0)
+
+
+def neighbour_graph(centres: np.ndarray) -> np.ndarray:
+    """(k, degree): the nearest other centroids of each, some replaced by long arcs that keep the graph connected."""
+    k = len(centres)
+    degree = min(DEGREE, k - 1)
+    near = np.empty((k, degree), dtype=np.int32)
+    if degree:
+        for i in range(0, k, 1024):
+            d = distances(centres[i : i + 1024], centres)
+            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+            near[i : i + 1024] = np.argpartition(d, degree - 1, axis=1)[:, :degree]
+        arcs = max(1, degree // 6)
+        near[:, -arcs:] = np.random.default_rng(11).integers(0, k, (k, arcs))
+    return near
 
 
 class Router:
     """Centroids and their neighbour graph, searched by beams in lockstep."""
 
-    def __init__(self, centres: np.ndarray):
-        self.centres = centres
-        k = len(centres)
-        self.degree = min(DEGREE, k - 1)
-        if self.degree:
-            near = np.empty((k, self.degree), dtype=np.int32)
-            for i in range(0, k, 1024):
-                d = distances(centres[i : i + 1024], centres)
-                d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-                near[i : i + 1024] = np.argpartition(d, self.degree - 1, axis=1)[:, : self.degree]
-            rng = np.random.default_rng(11)
-            near[:, -max(1, self.degree // 6) :] = rng.integers(0, k, (k, max(1, self.degree // 6)))  # long arcs keep it connected
-            self.near = near
-        self.beam = max(BEAM, k // BEAM_SHARE)
-        self.entry = np.unique(np.linspace(0, k - 1, min(k, self.beam)).astype(np.int32))
+    def __init__(self, centres: np.ndarray, near: np.ndarray):
+        self.centres, self.near = centres, near
+        self.norms = (centres**2).sum(axis=1)
+        self.entry = np.unique(np.linspace(0, len(centres) - 1, min(len(centres), ENTRIES)).astype(np.int32))
 
     def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``want`` nearest centroids found for each row, nearest first, with squared distances."""
         k = len(self.centres)
         want = min(want, k)
-        if k <= 2 * BEAM:
-            d = distances(x, self.centres)
-            order = np.argsort(d, axis=1, kind="stable")[:, :want]
-            return order.astype(np.int32), np.take_along_axis(d, order, axis=1)
-        rows = np.arange(len(x))
-        beam = np.repeat(self.entry[None, :], len(x), axis=0)
-        dist = distances(x, self.centres[self.entry])
-        norms = (self.centres**2).sum(axis=1)
+        width = min(k, max(BEAM, want))
+        beam = np.zeros((len(x), width), dtype=np.int32)
+        dist = np.full((len(x), width), np.inf)  # places not yet filled are infinitely far
+        first = min(width, len(self.entry))
+        beam[:, :first], dist[:, :first] = self.entry[:first], distances(x, self.centres[self.entry[:first]])
         own = (x**2).sum(axis=1)
-        done = np.zeros((len(x), k), dtype=bool)
-        seen = np.zeros((len(x), k), dtype=bool)
-        seen[:, self.entry] = True
-        live = rows
-        for _ in range(4 * self.beam):
+        done, seen = np.zeros((len(x), k), dtype=bool), np.zeros((len(x), k), dtype=bool)
+        seen[:, self.entry[:first]] = True
+        live = np.arange(len(x))
+        while len(live):
             open_ = np.where(done[live[:, None], beam[live]], np.inf, dist[live])
             j = open_.argmin(axis=1)
             more = np.isfinite(open_[np.arange(len(live)), j])
@@ -107,15 +122,43 @@ class Router:
             node = beam[live, j]
             done[live, node] = True
             new = self.near[node]
-            dn = own[live, None] - 2 * np.einsum("nd,nkd->nk", x[live], self.centres[new]) + norms[new]
+            dn = own[live, None] - 2 * np.einsum("nd,nkd->nk", x[live], self.centres[new]) + self.norms[new]
             dn = np.where(seen[live[:, None], new], np.inf, np.maximum(dn, 0))
+            order = np.argsort(new, axis=1, kind="stable")  # a long arc may repeat a neighbour
+            twice = np.zeros_like(seen[live[:, None], new])
+            np.put_along_axis(twice, order[:, 1:], np.diff(np.take_along_axis(new, order, axis=1), axis=1) == 0, axis=1)
+            dn[twice] = np.inf
             seen[live[:, None], new] = True
             every, dall = np.concatenate([beam[live], new], axis=1), np.concatenate([dist[live], dn], axis=1)
-            keep = np.argpartition(dall, beam.shape[1] - 1, axis=1)[:, : beam.shape[1]] if dall.shape[1] > beam.shape[1] else np.argsort(dall, axis=1)
+            keep = np.argpartition(dall, width - 1, axis=1)[:, :width]
             beam[live], dist[live] = np.take_along_axis(every, keep, axis=1), np.take_along_axis(dall, keep, axis=1)
         order = np.argsort(dist, axis=1, kind="stable")[:, :want]
         return np.take_along_axis(beam, order, axis=1), np.take_along_axis(dist, order, axis=1)
 
+    def visits(self, queries: np.ndarray, radius: float, ratio: float, width: int, adds: np.ndarray, least: int, probes: int | None = None) -> list[np.ndarray]:
+        """The lists of each query, nearest first: those within the ratio, and as many as are sure to hold ``least`` ids.
+
+        A query whose beam ends within the ratio, or holds too few, searches again with twice the beam, in the end all lists.
+        """
+        out: list[np.ndarray | None] = [None] * len(queries)
+        rest = np.arange(len(queries))
+        k = len(self.centres)
+        while len(rest):
+            x = np.concatenate([queries[rest], np.zeros((len(rest), 1))], axis=1)
+            lists, far = self.nearest(x, width)
+            found = np.isfinite(far)
+            d = above_floor(far, queries[rest], radius)
+            within = (d <= ratio**2 * np.maximum(d[:, :1], 0) + 1e-12) & found
+            if probes is not None:
+                within[:, probes:] = False
+            held = np.where(found, adds[lists], 0)
+            keep = within | (found & (np.cumsum(held, axis=1) - held < least))
+            settled = (~within[:, -1] & (held.sum(axis=1) >= least)) | (lists.shape[1] >= k)
+            for i in np.flatnonzero(settled):
+                out[rest[i]] = lists[i][keep[i]]
+            rest, width = rest[~settled], min(k, 2 * width)
+        return out
+
 
 def replicated(d: np.ndarray) -> np.ndarray:
     """Which of the lists nearest to a vector it is posted to."""
@@ -129,14 +172,15 @@ def above_floor(d: np.ndarray, queries: np.ndarray, radius: float) -> np.ndarray
     return d - np.abs(radius - np.sqrt((queries**2).sum(axis=1)))[:, None] ** 2
 
 
-def choose_ratio(router: Router, held: np.ndarray, radius: float, share: float) -> float:
-    """The ratio at which WANTED of the nearest ``share`` of the held vectors to some of them stand in a visited list.
+def choose_ratio(router: Router, held: np.ndarray, radius: float, share: float) -> tuple[float, int]:
+    """(ratio, beam): WANTED of the nearest ``share`` of the held vectors to some of them stand in a list within the ratio.
 
-    The share is that of the wanted neighbours in the table, so the ratio grows with the lists as their neighbours spread.
+    The share is that of the wanted neighbours in the table, so the ratio grows with the lists as their neighbours spread.  The
+    beam is what most of these queries need for it.
     """
     near = max(1, round(share * len(held)))
     if len(held) <= near + 1:
-        return PROBE_RATIO
+        return PROBE_RATIO, BEAM
     queries = held[:TRIED]
     scores = queries @ held.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
@@ -147,9 +191,11 @@ def choose_ratio(router: Router, held: np.ndarray, radius: float, share: float)
     away = np.maximum(above_floor(distances(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), router.centres), queries, radius), 0)
     at = np.searchsorted(spots, who)
     need = np.where(posted[at], away[np.arange(len(queries))[:, None, None], lists[at]], np.inf).min(axis=2)
-    least = np.broadcast_to(away.min(axis=1)[:, None], need.shape)
-    told = least > 1e-12
-    return max(PROBE_RATIO, float(np.sqrt(np.quantile((need[told] / least[told]), WANTED)))) if told.any() else PROBE_RATIO
+    least = away.min(axis=1)[:, None]
+    every = np.broadcast_to(least, need.shape)
+    told = every > 1e-12
+    ratio = max(PROBE_RATIO, float(np.sqrt(np.quantile((need[told] / every[told]), WANTED)))) if told.any() else PROBE_RATIO
+    return ratio, max(BEAM, int(np.quantile((away <= ratio**2 * least).sum(axis=1), 0.9)) + 8)
 
 
 def valid(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -168,27 +214,29 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
     """The k nearest vectors of every query: (query_id, rank, vec_id, score).
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates every row but those with the query's id.
-    Vectors null, zero or holding null or non-finite components take no part, nor do rows without an id; vectors of
-    another dimension than the most common one raise an error.  Rows that repeat an id count once, by the best of its vectors.  Ties of
+    Vectors null, zero or holding null or non-finite components take no part, nor do rows without an id, nor vectors of
+    another dimension than the most common one (of two as common, the larger).  Rows that repeat an id count once, by the best of its vectors.  Ties of
     score go to the smaller id.  ``probes`` caps the lists of a query, but never below those that hold k other ids.  Other columns are left out; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
-    base = valid(vectors, id_column, column)
-    stats = base.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("r"), F.min(F.size("v")).alias("d"), F.max(F.size("v")).alias("e")).first()
+    fine = valid(vectors, id_column, column)
     schema = "query_id long, rank int, vec_id long, score double"
-    if not stats["n"]:
+    sizes = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("r")).orderBy(F.desc("n"), F.desc("d")).first()
+    if sizes is None:
         return spark.createDataFrame([], schema)
-    if stats["d"] != stats["e"]:
-        raise ValueError("vectors of different dimensions")
-    radius = float(np.sqrt(stats["r"]))
-    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE + HELD).toArrow()
+    n, radius = sizes["n"], float(np.sqrt(sizes["r"]))
+    base = fine.where(F.size("v") == sizes["d"])
+    n_lists = min(MAX_LISTS, max(1, n // LIST_SIZE))
+    fitted = n_lists * max(PER_LIST, min(FIT, n) // n_lists)
+    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(fitted + HELD).toArrow()
     picked = matrix(picked.column(0).combine_chunks())
-    sample = lift(picked[:SAMPLE], radius)
-    centres = fit_centroids(sample, int(min(MAX_LISTS, max(1, stats["n"] // LIST_SIZE), max(1, len(sample) // 4))))
+    centres = fit_centroids(lift(picked[:fitted], radius), n_lists)
+    near = neighbour_graph(centres)
+    width = BEAM
     if probe_ratio is None:
-        probe_ratio = choose_ratio(Router(centres), picked[-HELD:], radius, k / stats["n"])
-    shared = sc.broadcast((centres, radius))
+        probe_ratio, width = choose_ratio(Router(centres, near), picked[-HELD:], radius, k / n)
+    shared = sc.broadcast((centres, near, radius))
 
     kind = "<f4" if dict(vectors.dtypes)[column] == "array<float>" else "<f8"  # what the table holds, without loss
 
@@ -196,8 +244,8 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
         return pa.array([c.tobytes() for c in raw.astype(kind)], pa.binary())
 
     def post(batches):
-        centres, radius = shared.value
-        router = Router(centres)
+        centres, near, radius = shared.value
+        router = Router(centres, near)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -216,23 +264,16 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
     held_by = sc.broadcast(adds)
 
     def ask(batches):
-        centres, radius = shared.value
-        adds = held_by.value
+        centres, near, radius = shared.value
+        router, adds = Router(centres, near), held_by.value
         for batch in batches:
             for at in range(0, batch.num_rows, ASKED):
                 part = batch.slice(at, ASKED)
                 ids, raw = part.column(0).to_numpy(), matrix(part.column(1))
                 if not len(ids):
                     continue
-                d = distances(np.concatenate([raw, np.zeros((len(raw), 1))], axis=1), centres)
-                order = np.argsort(d, axis=1, kind="stable").astype(np.int32)
-                d = np.take_along_axis(d, order, axis=1)
-                d = above_floor(d, raw, radius)
-                keep = d <= probe_ratio**2 * np.maximum(d[:, :1], 0) + 1e-12
-                if probes is not None:
-                    keep[:, probes:] = False
-                keep |= np.cumsum(adds[order], axis=1) - adds[order] < k + 1  # the query's own id is one of them
-                yield pa.RecordBatch.from_arrays([pa.array(ids), packed(raw), pa.array([o[x] for o, x in zip(order, keep, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "lists"])
+                lists = router.visits(raw, radius, probe_ratio, width, adds, k + 1, probes)  # the query's own id is one of them
+                yield pa.RecordBatch.from_arrays([pa.array(ids), packed(raw), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "lists"])
 
     asking = checkpointed(base.where(F.col("vec_id") % query_modulus == 0).mapInArrow(ask, "id long, v binary, lists array<int>"))
     asked = asking.select(F.explode("lists").alias("list"), F.lit(0).alias("kind"), "id", "v")
