@@ -7,29 +7,48 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import checkpointed
 
+#: A key that more than one row in so many has is hot; a table has no more hot keys than this.
+HOT = 256
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Rows joined to the one row of their key in ``one``; rows of a hot key stay where they are.
+
+    Hot keys are fewer than HOT, so their side is broadcast whatever the size of the tables; the other keys are joined by
+    shuffle.  Both frames should be checkpointed or cheap, since they are read more than once.
+    """
+    total = rows.count() if total is None else total
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("rows_of_key")).where(F.col("rows_of_key") > total / HOT).select(key, F.lit(True).alias("is_hot")))
+    marked = rows.join(hot, key, "left")
+    columns = [*rows.columns, *(c for c in one.columns if c != key)]
+    apart = F.broadcast(one.join(hot, key, "left_semi"))
+    return marked.where("is_hot").drop("is_hot").join(apart, key).select(columns).unionByName(marked.where("is_hot IS NULL").drop("is_hot").join(one, key).select(columns))
+
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of its component.
 
     Large stars hang each node's greater neighbours under the least of all its neighbours, small stars its smaller ones; rounds
     repeat until nothing changes, each checkpointed.  Nodes of any comparable type; null ends, loops and repeated edges
-    change nothing; an empty table gives an empty table.
+    change nothing; an empty table gives an empty table.  Edges of a node with very many neighbours stay spread over the tasks.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = checkpointed(e)
+    total = e.count()
     mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        up = join_one(both.where("v > u"), least, "u", total)
+        large = checkpointed(up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(down, "u")
+        joined = join_one(large, down, "u", total)
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         e = checkpointed(small.where("u <> v").distinct())
         now = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if now == mark:
             break
-        mark = now
+        mark, total = now, now["n"]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

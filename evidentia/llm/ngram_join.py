@@ -4,7 +4,7 @@
 2. Grams are counted on the cluster by packed arrays.  A gram that one class alone has can be in no overlap: it is dropped,
    but counted.  The others get a global order, rare first.
 3. A class needs an index entry only for the grams of its prefix that are left.  Classes that share one fall into a cluster.
-4. Each cluster, or pair of blocks of a large one, is joined in a prefix tree over the ordered sets: a walk carries the
+4. Each cluster, pair of blocks of a large one, or gram of one larger still, is joined in a prefix tree over the ordered sets: a walk carries the
    overlaps with all members down shared paths and leaves subtrees that remaining lengths rule out, or that could only
    link what is linked already.
 5. Links join the classes to components.
@@ -19,12 +19,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.llm.common import checkpointed, partitions
-from evidentia.llm.components import components
+from evidentia.llm.components import components, join_one
 
 #: Grams a task holds before it sends them, slices that a bucket is sorted in, members of a block.
 FLUSH, SUB, BLOCK = 400_000, 4, 1024
+#: Classes of a cluster beyond which grams are joined instead of it.
+WIDE = 8 * BLOCK
 #: Words, and a quarter as many sets, that a worker remembers.
 MEMO = 150_000
 #: A gram in more than this share of a task's classes is counted there and does not travel by class.
@@ -76,29 +79,19 @@ def sizes_of(keys: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 16)[:, 12:].copy().view(">u4").ravel().astype(np.int64)
 
 
-def keyed(docs: DataFrame, k: int, id_column: str, text: str) -> DataFrame:
-    """(id, n, cls) of every row."""
-
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                keys = [class_key(gram_set(t.as_py(), k, hashes)) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int.from_bytes(x[12:], "big") for x in keys], pa.int64()), pa.array(keys, pa.binary())], names=["id", "n", "cls"])
-
-    return docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_column]}, n long, cls binary")
+PACKED = "bucket int, kind int, classes binary, counts binary, values binary, ids array<{}>"
+#: Kinds of packed rows: grams by class; grams hot in a task; a class's grams with their places in the order; class keys; the
+#: ids of documents with their class keys.
+GRAMS, HOT, KNOWN, CLASS, ROWS = 0, 1, 2, 3, 4
+MOST = 0xFFFF
 
 
-PACKED = "bucket int, kind int, classes binary, counts binary, values binary"
-#: Kinds of packed rows: grams by class; grams hot in a task; a class's grams with their places in the order; class keys.
-GRAMS, HOT, KNOWN, CLASS = 0, 1, 2, 3
-MOST = 0xFFFF
+NAMES = ["bucket", "kind", "classes", "counts", "values", "ids"]
 
 
-def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+def as_batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "classes", "counts", "values"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:5]), pa.array([r[5] if len(r) > 5 else None for r in rows], pa.list_(ids))], names=NAMES)
 
 
 def by_run(bucket: np.ndarray, ids: np.ndarray, values: np.ndarray, width: int, kind: int) -> list[tuple]:
@@ -149,11 +142,12 @@ def scaled(x: np.ndarray, parts: int) -> np.ndarray:
     return ((x & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
-def spread(docs: DataFrame, k: int, text: str, n: int) -> DataFrame:
-    """Packed grams of all sets, to the buckets of their hashes.
+def spread(docs: DataFrame, k: int, id_column: str, text: str, n: int) -> DataFrame:
+    """Packed grams of all sets, to the buckets of their hashes, and the ids of all rows with their class keys.
 
-    In transit a class is the first 64 bits of its key; the key itself travels once.
+    In transit a class is the first 64 bits of its key; the key itself travels once.  Rows of ids are dealt out in turn.
     """
+    kind_of_id = to_arrow_type(docs.schema[id_column].dataType)
 
     def run(batches):
         hashes, seen = WordHashes(), set()
@@ -190,33 +184,39 @@ def spread(docs: DataFrame, k: int, text: str, n: int) -> DataFrame:
             o = np.argsort(bucket, kind="stable")  # sets stand one after another, so classes stay together
             return out + by_run(bucket[o], cls[o], token[o], 6, GRAMS)
 
+        turn = 0
         for batch in batches:
-            for t in batch.column(0):
-                s = gram_set(t.as_py(), k, hashes)
-                if not len(s):
-                    continue
-                key = class_key(s)
-                if key in seen:
-                    continue
-                if len(seen) > MEMO // 4:
-                    seen.clear()
-                seen.add(key)
-                sets.append(s)
-                keys.append(key)
-                held += len(s)
-                if held >= FLUSH:
-                    yield as_batch(flush())
-                    sets.clear()
-                    keys.clear()
-                    held = 0
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                all_keys = []
+                for t in part.column(1):
+                    s = gram_set(t.as_py(), k, hashes)
+                    key = class_key(s)
+                    all_keys.append(key)
+                    if not len(s) or key in seen:
+                        continue
+                    if len(seen) > MEMO // 4:
+                        seen.clear()
+                    seen.add(key)
+                    sets.append(s)
+                    keys.append(key)
+                    held += len(s)
+                    if held >= FLUSH:
+                        yield as_batch(flush(), kind_of_id)
+                        sets.clear()
+                        keys.clear()
+                        held = 0
+                yield as_batch([(turn % n, ROWS, b"", b"", b"".join(all_keys), part.column(0).to_pylist())], kind_of_id)
+                turn += 1
         if sets:
-            yield as_batch(flush())
+            yield as_batch(flush(), kind_of_id)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, PACKED)
+    return docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, PACKED.format(dict(docs.dtypes)[id_column]))
 
 
 def count_grams(rows: DataFrame, n: int) -> DataFrame:
     """Per bucket: drop grams of one class, give the rest their place in the order, send them on to their classes."""
+    kind_of_id = to_arrow_type(rows.schema["ids"].dataType.elementType)
 
     def placed(token, cls, hot_tokens):
         if not len(token):
@@ -243,8 +243,8 @@ def count_grams(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for held in buckets_of(batches):
-            if on := [r for r in held if r[1] in (KNOWN, CLASS)]:
-                yield as_batch(on)
+            if on := [r for r in held if r[1] in (KNOWN, CLASS, ROWS)]:
+                yield as_batch(on, kind_of_id)
             hot = [r for r in held if r[1] == HOT]
             grams = [r for r in held if r[1] == GRAMS]
             del held
@@ -255,17 +255,27 @@ def count_grams(rows: DataFrame, n: int) -> DataFrame:
             slices = [placed(token[part], cls[part], hot_tokens) for part in (token % np.uint64(SUB) == i for i in range(SUB))]
             code, cls = (np.concatenate([s[i] for s in slices]) for i in (0, 1))
             o = np.lexsort((cls, scaled(cls, n)))
-            yield as_batch(by_run(scaled(cls, n)[o], cls[o], code[o], 8, KNOWN))
+            yield as_batch(by_run(scaled(cls, n)[o], cls[o], code[o], 8, KNOWN), kind_of_id)
 
     dealt = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, PACKED)
+    return dealt.mapInArrow(run, rows.schema)
 
 
 def index_classes(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(cls, n, codes, prefix) of the classes whose prefix holds a gram that another class has too."""
+    """(cls, n, codes, prefix) of the classes whose prefix holds a gram that another class has too, and (cls, n, id) of all rows.
+
+    ``codes`` is null in the rows of documents.
+    """
+    kind_of_id = to_arrow_type(rows.schema["ids"].dataType.elementType)
+    names = ["cls", "n", "codes", "prefix", "id"]
 
     def run(batches):
         for held in buckets_of(batches):
+            for r in held:
+                if r[1] == ROWS:
+                    own = np.frombuffer(r[4], dtype=KEY)
+                    none = [None] * len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in own], pa.binary()), pa.array(sizes_of(own)), pa.array(none, pa.binary()), pa.array(none, pa.list_(pa.int64())), pa.array(r[5], kind_of_id)], names=names)
             keys = np.unique(np.frombuffer(b"".join(r[4] for r in held if r[1] == CLASS), dtype=KEY))
             known = [r for r in held if r[1] == KNOWN]
             if not known:
@@ -287,10 +297,10 @@ def index_classes(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 if left > 0:
                     for column, v in zip(out, (keys[c].tobytes(), total, code[a:b].astype("<u8").tobytes(), code[a : min(b, a + left)].view(np.int64).tolist()), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], names=["cls", "n", "codes", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64())), pa.array([None] * len(out[0]), kind_of_id)], names=names)
 
     dealt = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "cls binary, n long, codes binary, prefix array<long>")
+    return dealt.mapInArrow(run, f"cls binary, n long, codes binary, prefix array<long>, id {rows.schema['ids'].dataType.elementType.simpleString()}")
 
 
 def trie_join(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -344,7 +354,7 @@ def trie_join(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) ->
 
 
 def join_units(units: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span what is linked within each unit of rows (root, i, j, cls, n, codes)."""
+    """Links (a, b) that span what is linked within each unit of rows (unit, i, j, cls, n, codes)."""
 
     def solve(held):
         sets = [np.frombuffer(x[2], dtype="<u8") for x in held]
@@ -355,11 +365,11 @@ def join_units(units: DataFrame, n: int, num: int, den: int) -> DataFrame:
         now, held = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                for root, i, j, cls, size, codes in zip(*(c.slice(at, 1024).to_pylist() for c in batch.columns), strict=True):
-                    if (root, i, j) != now:
+                for unit, i, j, cls, size, codes in zip(*(c.slice(at, 1024).to_pylist() for c in batch.columns), strict=True):
+                    if (unit, i, j) != now:
                         if len(held) > 1:
                             yield links(solve(held))
-                        now, held = (root, i, j), []
+                        now, held = (unit, i, j), []
                     held.append((cls, size, codes))
         if len(held) > 1:
             yield links(solve(held))
@@ -367,22 +377,29 @@ def join_units(units: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def links(pairs):
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    dealt = units.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "cls")
+    dealt = units.repartition(n, "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "cls")
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def link_classes(docs: DataFrame, k: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """(node, root) of the classes that are linked to another class."""
-    n = partitions(docs.sparkSession)
-    indexed = checkpointed(index_classes(count_grams(spread(docs, k, text, n), n), n, num, den))
+def link_classes(indexed: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root) of the classes that are linked to another class.
+
+    A cluster is a unit, in blocks if it is large.  In a cluster of more than WIDE classes, which grams that few of them share
+    have strung together, the unit is a gram instead: linked classes share one of their prefixes.
+    """
+    n = partitions(indexed.sparkSession)
     entries = indexed.select("cls", F.explode("prefix").alias("code"))
-    heads = entries.groupBy("code").agg(F.min("cls").alias("head"), F.count("*").alias("m")).where("m > 1").select("code", "head")
+    heads = checkpointed(entries.groupBy("code").agg(F.min("cls").alias("head"), F.count("*").alias("m")).where("m > 1"))
     clusters = checkpointed(components(entries.join(heads, "code").select(F.col("cls").alias("a"), F.col("head").alias("b"))))
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(blocks.where("blocks > 1"), "root", "left").select(F.col("node").alias("cls"), "root", F.coalesce("blocks", F.lit(1)).alias("blocks")).join(indexed.select("cls", "n", "codes"), "cls")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
+    placed = join_one(clusters, sizes, "root")
+    whole = placed.where(F.col("m") <= WIDE).select(F.col("node").alias("cls"), F.concat(F.lit("c"), F.hex("root")).alias("unit"), "m")
+    wide = placed.where(F.col("m") > WIDE).select(F.col("node").alias("cls"))
+    by_gram = entries.join(wide, "cls", "left_semi").join(heads.select("code", "m"), "code").select("cls", F.concat(F.lit("g"), F.hex("code")).alias("unit"), "m")
+    members = whole.unionByName(by_gram).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).join(indexed.select("cls", "n", "codes"), "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    units = members.withColumn("u", F.explode(pairs)).select("root", "u.i", "u.j", "cls", "n", "codes")
+    units = members.withColumn("u", F.explode(pairs)).select("unit", "u.i", "u.j", "cls", "n", "codes")
     return components(join_units(units, n, num, den))
 
 
@@ -394,11 +411,31 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
     reachable.  Repeated rows repeat; a row without an id counts as a link but names no component.  Other columns are
     left out; an empty table gives an empty table; texts are never cut.
     """
-    seen = checkpointed(keyed(docs, k, id_column, text))
-    linked = link_classes(docs, k, num, den, text)
+    n = partitions(docs.sparkSession)
+    found = checkpointed(index_classes(count_grams(spread(docs, k, id_column, text, n), n), n, num, den))
+    seen = found.where("codes IS NULL").select("id", "n", "cls")
+    linked = link_classes(found.where("codes IS NOT NULL").drop("id"), num, den)
     first = seen.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
     rooted = checkpointed(first.join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", "root"))
     groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("group_least"))
-    named = rooted.join(groups, "root", "left").select("cls", F.coalesce("group_least", "least").alias("component_id"))
-    out = seen.join(named, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    grouped = join_one(rooted.where("root IS NOT NULL"), groups, "root").select("cls", F.col("group_least").alias("component_id"))
+    named = checkpointed(grouped.unionByName(rooted.where("root IS NULL").select("cls", F.col("least").alias("component_id"))))
+    out = join_one(seen.where("n > 0"), named, "cls").select("id", F.col("n").alias("n_shingles"), "component_id")
+    out = out.unionByName(seen.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
     return out.withColumnRenamed("id", id_column)
+
+
+#: DuckDB, for sets of three words linked at 0.9, on the words themselves.
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS gram FROM worded)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS id, doc_id AS to_id FROM sizes UNION SELECT r.id, w.b FROM reached r JOIN ways w ON r.to_id = w.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT id, min(to_id) AS m FROM reached GROUP BY id) r ON r.id = d.doc_id
+"""

@@ -56,4 +56,4 @@ def op10_fingerprint(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_bpe, op4_html, op5_quality, op6_url_filter, op7_ngram_join, op8_chat, op9_ann, op10_fingerprint)}
-ORACLES = {"op1_mixing": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_chat": chat.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op8_chat": chat.ORACLE}

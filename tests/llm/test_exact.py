@@ -165,11 +165,13 @@ def test_ngram_groups(spark, seed, k, num, den):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_groups(docs, k, num, den)
 
 
-def test_ngram_hot_grams_and_blocks(spark, monkeypatch):
-    """Grams counted apart because many classes of a task have them, and clusters joined block by block."""
+@pytest.mark.parametrize("wide", [10_000, 6])
+def test_ngram_hot_grams_and_blocks(spark, monkeypatch, wide):
+    """Grams counted apart because many classes of a task have them; clusters joined block by block, and gram by gram."""
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "FLUSH", 500)
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
     docs = texts(6, 80)
     got = ngram_join.near_groups(spark.createDataFrame(docs, DOCS).coalesce(2), 3, 7, 10).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_groups(docs, 3, 7, 10)
@@ -187,6 +189,8 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    star = [(0, i) for i in range(1, 700)] + [(2000 - i, 2000) for i in range(1, 700)] + [(699, 1999)]
+    assert {r["root"] for r in components(spark.createDataFrame(star, "a long, b long")).collect()} == {0}
 
 
 # --- BPE
