@@ -50,3 +50,11 @@ def test_awkward_documents(spark, tmp_path):
     assert out["near_duplicates"].where("doc_id = 3").count() == 1
     empty = stages(spark, docs.where("doc_id < 0"), str(folder), tmp_path / "empty")
     assert all(d.count() == 0 for d in empty.values())
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    """Only the row that leads its group stays; of equal rows with other columns a fixed one."""
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, long, "a"), (2, long + " more", "b"), (2, "quite another text of some other words", "c"), (3, "a text that stands twice in the table", "d"), (3, "a text that stands twice in the table", "e"), (None, long, "f")], "doc_id long, text string, source string")
+    kept = [sorted(r["source"] for r in corpus_pipeline.one_of_each_group(spark, d, SF).collect()) for d in (docs, docs.repartition(5), docs.orderBy("source", ascending=False))]
+    assert kept[0] == kept[1] == kept[2] and set(kept[0]) - {"d", "e"} == {"a", "c", "f"} and len(kept[0]) == 4
