@@ -1,8 +1,9 @@
 """HTML main-text extraction by two passes over blocks.
 
-The page is cut into blocks at block-level tags.  The first pass decides a block by its place (menus, forms, asides and
-the like are out), its words, its link density and its density of stop words.  Blocks too short to tell stay open; the
-second pass gives each the label of the nearest decided neighbours.
+The page is cut into blocks at block-level tags.  The first pass decides what it can: a block in a menu, form, aside or the like
+is out, and so is one of links; a long block with the stop words of prose is in.  Short blocks, and long ones without stop
+words, are ambiguous; the second pass gives each the label of its nearest decided neighbours in the same region, a region
+being an article or all that stands outside of one.  Where the articles hold most of a page's text, what stands outside is out.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ OUT_WORDS = frozenset("ad adbar adblock adbox adcontainer ads adslot adspace adu
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 STOP_WORDS = frozenset("a al an and are as at au aus auf avec be but by con dans das de del dem den der des die du ein eine el en es est et für from he her his im in is ist it la las le les los mit nicht of on or ou par pas para por pour qui que se sein sich su sur that the this to un una und une von was were which with y zu".split())
 
-TOKEN = regex.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", regex.S)
-ATTRIBUTE = regex.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+TOKEN = regex.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=\s*[^\s\"'>][^\s>]*|[^>])*+)(?:>|\Z)", regex.S)
+ATTRIBUTE = regex.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: First pass: words from which a block is long, and the densities that decide.
-LONG, LINKS_MOST, STOPS_LEAST = 8, 0.5, 0.05
+#: First pass: words from which a block is long, the share of links that puts it out, and the density of stop words that puts it in.
+LONG, LINKS_MOST, STOPS_LEAST = 8, 0.5, 0.08
+REGIONS = ("article", "main")
 
 
 def marked_out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -52,25 +54,91 @@ def marked_out(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, int, bool]]:
-    """(text, kind, out, characters in links, in the article) of each block, in page order; kind is the innermost block element."""
-    stack: list[tuple[str, bool]] = []  # open elements and whether each is marked out
-    outs = articles = links = linked = 0
+class Open:
+    """The open elements.  Each step costs the same at any depth: an element that is closed out of turn stays as a gap."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int]] = []  # tag, whether marked out, region around it
+        self.at: dict[str, list[int]] = {}  # places of the open elements of a tag
+        self.block_at: list[int] = []
+        self.gaps: set[int] = set()
+        self.outs = self.links = self.regions = self.region = 0
+
+    def has(self, tag: str) -> bool:
+        return bool(self.at.get(tag))
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def kind(self) -> str:
+        return self.stack[self.block_at[-1]][0] if self.block_at else ""
+
+    def push(self, tag: str, out: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            self.block_at.append(len(self.stack))
+        self.stack.append((tag, out, self.region))
+        self.outs += out
+        self.links += tag == "a"
+        if tag in REGIONS and not self.region:
+            self.regions += 1
+            self.region = self.regions
+
+    def _left(self, tag: str, out: bool, around: int) -> None:
+        self.outs -= out
+        self.links -= tag == "a"
+        if tag in REGIONS:
+            self.region = around
+
+    def pop(self) -> None:
+        tag, out, around = self.stack.pop()
+        if len(self.stack) in self.gaps:
+            self.gaps.remove(len(self.stack))
+            return
+        self.at[tag].pop()
+        if tag in BLOCK_TAGS:
+            self.block_at.pop()
+        self._left(tag, out, around)
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of a tag with what is open in it; an inline one never closes the blocks in it."""
+        i = self.at[tag][-1]
+        if tag not in BLOCK_TAGS and self.block_at and self.block_at[-1] > i:
+            self.at[tag].pop()
+            self.gaps.add(i)
+            self._left(*self.stack[i])
+            return
+        while len(self.stack) > i:
+            self.pop()
+        while self.stack and len(self.stack) - 1 in self.gaps:
+            self.pop()
+
+
+#: An open element that a starting one ends.
+ENDS = {("dt", "dd"), ("dd", "dt"), ("td", "th"), ("th", "td"), ("td", "tr"), ("th", "tr"), ("head", "body")} | {(t, t) for t in ("li", "dt", "dd", "option", "tr", "td", "th")}
+
+
+def blocks(page: str) -> Iterator[tuple[str, str, bool, int, int]]:
+    """(text, kind, out, characters in links, region) of each block, in page order; kind is the innermost block element.
+
+    The region is the number of the outermost article around the block, 0 outside of articles.
+    """
+    open_ = Open()
+    linked = 0
     text: list[str] = []
-    kind = ""
 
     def ended():
         nonlocal linked
         t = " ".join(html.unescape("".join(text)).split())
         text.clear()
         got, linked = linked, 0
-        return (t, kind, outs > 0, min(got, len(t)), articles > 0) if t else None
+        return (t, open_.kind(), open_.outs > 0, min(got, len(t)), open_.region) if t else None
 
     def put(chars: str) -> None:
         nonlocal linked
         if chars:
             text.append(chars)
-            if links:
+            if open_.links:
                 linked += len(chars.strip())
 
     at, size = 0, len(page)
@@ -90,24 +158,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, int, bool]]:
             if b := ended():
                 yield b
         if closing:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                continue
-            if any(t == tag for t, _ in stack):
-                # an inline end tag never closes the blocks around it
-                if tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _ in stack[max(i for i, (t, _) in enumerate(stack) if t == tag) :]):
-                    i = max(i for i, (t, _) in enumerate(stack) if t == tag)
-                    gone = [stack.pop(i)]
-                else:
-                    gone = []
-                    while True:
-                        gone.append(stack.pop())
-                        if gone[-1][0] == tag:
-                            break
-                for t, o in gone:
-                    outs -= o
-                    articles -= t in ("article", "main")
-                    links -= t == "a"
-            kind = next((t for t, _ in reversed(stack) if t in BLOCK_TAGS), "")
+            if open_.has(tag):
+                open_.close(tag)
             continue
         if tag in RAW_TAGS:
             end = regex.compile(rf"</{tag}(?=[\s/>])[^>]*>", regex.I).search(page, at)
@@ -115,46 +167,28 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, int, bool]]:
             continue
         if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in BLOCK_TAGS and any(t == "p" for t, _ in stack) and tag not in ("button", "option", "select"):
-            while stack and any(t == "p" for t, _ in stack):  # a block ends an open paragraph and what is open in it
-                t, o = stack.pop()
-                outs -= o
-                articles -= t in ("article", "main")
-                links -= t == "a"
-        while stack and (tag == stack[-1][0] and tag in ("li", "dt", "dd", "option", "tr", "td", "th") or (stack[-1][0], tag) in (("dt", "dd"), ("dd", "dt"), ("td", "th"), ("th", "td"), ("td", "tr"), ("th", "tr"), ("head", "body"))):
-            t, o = stack.pop()
-            outs -= o
-            articles -= t in ("article", "main")
-            links -= t == "a"
-        out = marked_out(tag, attributes, articles > 0)
-        stack.append((tag, out))
-        outs += out
-        articles += tag in ("article", "main")
-        links += tag == "a"
-        if tag in BLOCK_TAGS:
-            kind = tag
+        if tag in BLOCK_TAGS and tag not in ("button", "option", "select"):
+            while open_.has("p"):  # a block ends an open paragraph and what is open in it
+                open_.pop()
+        while (open_.top(), tag) in ENDS:
+            open_.pop()
+        open_.push(tag, marked_out(tag, attributes, open_.region > 0))
     if b := ended():
         yield b
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page; blocks in page order, joined by line feeds."""
-    found = list(blocks(page or ""))
-    labels: list[bool | None] = []
-    for text, kind, out, linked, _ in found:
-        words = WORD.findall(text)
-        link_share = linked / max(1, len(text))
-        if out or link_share > LINKS_MOST:
-            labels.append(False)
-        elif len(words) >= LONG or kind in ("p", "pre", "blockquote", "h1"):
-            labels.append(True)
-        elif words and sum(w.lower() in STOP_WORDS for w in words) >= max(2, STOPS_LEAST * len(words)):
-            labels.append(True)
-        else:
-            labels.append(None)
-    if any(x and inside for x, (*_, inside) in zip(labels, found, strict=True)):
-        labels = [x if inside else False for x, (*_, inside) in zip(labels, found, strict=True)]  # the page says where its article is
-    decided = [i for i, x in enumerate(labels) if x is not None]
+def first_pass(text: str, out: bool, linked: int) -> bool | None:
+    """In, out, or ambiguous by a block's own place, links, length and stop words."""
+    if out or linked > LINKS_MOST * len(text):
+        return False
+    words = WORD.findall(text)
+    if len(words) >= LONG and sum(w.lower() in STOP_WORDS for w in words) >= STOPS_LEAST * len(words):
+        return True
+    return None
+
+
+def inherited(labels: list[bool | None], default: bool) -> list[bool]:
+    """Each open label becomes that of the nearest decided one, in where two as near differ; the default where none is decided."""
     before, after, last = [None] * len(labels), [None] * len(labels), None
     for i, x in enumerate(labels):
         last = i if x is not None else last
@@ -163,16 +197,33 @@ def extract(page: str | None) -> str:
     for i in range(len(labels) - 1, -1, -1):
         last = i if labels[i] is not None else last
         after[i] = last
-    kept = []
+    out = []
     for i, x in enumerate(labels):
         if x is None:
             near = [j for j in (before[i], after[i]) if j is not None]
             least = min((abs(j - i) for j in near), default=0)
-            votes = [labels[j] for j in near if abs(j - i) == least]
-            x = any(votes) if decided else True
-        if x:
-            kept.append(found[i][0])
-    return "\n".join(kept)
+            x = any(labels[j] for j in near if abs(j - i) == least) if near else default
+        out.append(x)
+    return out
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page; blocks in page order, joined by line feeds."""
+    found = list(blocks(page or ""))
+    labels = [first_pass(text, out, linked) for text, _, out, linked, _ in found]
+    regions: dict[int, list[int]] = {}
+    for i, (*_, region) in enumerate(found):
+        regions.setdefault(region, []).append(i)
+    size = lambda which, told: sum(len(found[i][0]) for i in which if labels[i] in told)
+    inside = sum(size(which, (True, None)) for region, which in regions.items() if region)
+    kept: set[int] = set()
+    for region, which in regions.items():
+        if region or inside < max(1, size(which, (True,))):
+            # what is out in an article (an advert in it) says nothing of the short blocks around it
+            told = [None if region and labels[i] is False else labels[i] for i in which]
+            label = inherited(told, True)
+            kept |= {i for i, x in zip(which, label, strict=True) if x and labels[i] is not False}
+    return "\n".join(found[i][0] for i in sorted(kept))
 
 
 def extract_pages(pages: DataFrame, id_column: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
