@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.line_dedup import running, span_sums, sum_before
+
 START, END, SEP = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 
 
@@ -35,10 +37,10 @@ def unescape_role(c: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: (conv_id, formatted, segments array<struct<text, loss>>).
+    """One row per conversation: (conv_id, formatted, segments array<struct<text, loss>>, loss_spans array<struct<start, length>>).
 
     ``formatted`` is the segments' texts in order; the loss mask covers the segments with ``loss`` true, which are
-    exactly the escaped texts of the loss role.  Turns sort by (turn, role, text), null turns first, so ties have one
+    exactly the escaped texts of the loss role; ``loss_spans`` says where they stand, in bytes of UTF-8 from 0.  Turns sort by (turn, role, text), null turns first, so ties have one
     order and repeated rows stay repeated turns.  Null text or role: empty.  Rows without a conversation id are one
     conversation of their own.  Other columns are left out; an empty table gives an empty table.
     A conversation is one output row, so its rows do meet in one task; nothing else is gathered by key.
@@ -66,7 +68,25 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
         return F.flatten(F.transform(turns, of))
 
     cut = chats.select("conv_id", segments(F.col("turns")).alias("segments"))
-    return cut.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
+    cut = cut.withColumn("sizes", F.transform("segments", lambda s: F.octet_length(s["text"]).cast("long")))
+    cut = cut.withColumn("sums", span_sums(F.col("sizes")))
+    totals = running(F.transform("sums", lambda x: F.element_at(x, -1)))
+    # bound by an outer transform: a plan may otherwise make the totals again for each segment
+    bound = F.array(F.struct("segments", "sums", totals.alias("totals")))
+    place = lambda b, s, i: F.struct(sum_before(b["sums"], b["totals"], i).alias("start"), F.octet_length(s["text"]).cast("long").alias("length"), s["loss"].alias("loss"))
+    placed = F.get(F.transform(bound, lambda b: F.transform(b["segments"], lambda s, i: place(b, s, i))), 0)
+    spans = F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    return cut.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments", spans.alias("loss_spans"))
+
+
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """All text of a formatted conversation under its loss mask, unescaped.
+
+    The outer transform binds the bytes once; a piece of bytes is cut without walking to it.
+    """
+    bound = F.array(F.struct(formatted.cast("binary").alias("raw"), spans.alias("spans")))
+    cut = lambda b, p: unescape(F.substring(b["raw"], (p["start"] + 1).cast("int"), p["length"].cast("int")).cast("string"))
+    return F.get(F.transform(bound, lambda b: F.array_join(F.transform(b["spans"], lambda p: cut(b, p)), "")), 0)
 
 
 def read_back(formatted: Column) -> Column:
@@ -88,7 +108,7 @@ def digests(chats: DataFrame) -> DataFrame:
         "conv_id",
         F.length("formatted").cast("long").alias("formatted_chars"),
         read_back(F.col("formatted")).alias("turns"),
-        F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("loss"),
+        under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"),
     )
     return read.select(
         "conv_id",
