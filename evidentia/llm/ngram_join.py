@@ -25,9 +25,9 @@ from evidentia.llm.common import checkpointed, partitions
 from evidentia.llm.components import components, join_one
 
 #: Grams a task holds before it sends them, slices that a bucket is sorted in, members of a block.
-FLUSH, SUB, BLOCK = 400_000, 4, 1024
+FLUSH, SUB, BLOCK = 400_000, 4, 256
 #: Classes of a cluster beyond which grams are joined instead of it.
-WIDE = 8 * BLOCK
+WIDE = 16 * BLOCK
 #: Words, and a quarter as many sets, that a worker remembers.
 MEMO = 150_000
 #: A gram in more than this share of a task's classes is counted there and does not travel by class.
