@@ -235,7 +235,7 @@ def test_chat_round_trip(spark):
     rows += [(50, None, "user", "x"), (50, 1, "user", "x"), (50, 1, "user", "x"), (None, 0, "assistant", "y")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, segments int")
     made = chat.format_chats(df)
-    got = {r["conv_id"]: r for r in made.select("conv_id", "formatted", "segments", chat.read_back(made["formatted"]).alias("turns")).collect()}
+    got = {r["conv_id"]: r for r in made.select("conv_id", "formatted", "segments", "loss_spans", chat.read_back(made["formatted"]).alias("turns")).collect()}
     want = {}
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         want.setdefault(c, []).append((role or "", text or ""))
@@ -243,10 +243,19 @@ def test_chat_round_trip(spark):
     for c, r in got.items():
         assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
         assert [s["text"].replace("<\\|", "<|").replace("\\\\", "\\") for s in r["segments"] if s["loss"]] == [t for role, t in want[c] if role == "assistant"]
+        raw = r["formatted"].encode()
+        assert [raw[p["start"] : p["start"] + p["length"]].decode() for p in r["loss_spans"]] == [s["text"] for s in r["segments"] if s["loss"]]
         assert r["formatted"].count("<|im_start|>") == r["formatted"].count("<|im_end|>") == 1 + sum(a[0] != b[0] for a, b in zip(want[c], want[c][1:], strict=False))
     assert chat.digests(chat.format_chats(df.where("conv_id < 0"))).count() == 0
 
 
+def test_chat_of_very_many_turns(spark):
+    rows = [(1, i, "user" if i % 3 else "assistant", f"é{i}" + "x" * 50) for i in range(30_000)]
+    got = chat.digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    loss = "".join(t for _, _, role, t in rows if role == "assistant")
+    assert got["n_turns"] == 30_000 and got["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got["loss_chars"] == len(loss)
+
+
 # --- URL filter
 
 

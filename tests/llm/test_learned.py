@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -37,6 +38,44 @@ def test_odd_pages(page, text):
     assert html_extract.extract(page) == text
 
 
+PROSE = "It was the first of the days on which the boats came back from the sea with the men of the town."
+
+
+def test_stop_words_and_neighbours_decide():
+    names = "Arrows Baskets Candles Drums Engines Flutes Gardens Hammers Islands Jackets"
+    links = "<ul><li><a href=/a>Some place</a></li><li><a href=/b>Other place</a></li></ul>"
+    between = f"<div>{PROSE}</div><div>{names}</div><div>Short one</div><div>{PROSE}</div>"
+    assert html_extract.extract(f"{links}<div>{names}</div>{links}{between}{links}<div>{names}</div>") == "\n".join([PROSE, names, "Short one", PROSE])
+    assert html_extract.first_pass(PROSE, False, 0) is True and html_extract.first_pass(names, False, 0) is None and html_extract.first_pass(PROSE, False, 60) is False
+    assert html_extract.extract(f"<div>{names}</div><div>{names}</div>") == f"{names}\n{names}"  # nothing tells: all stays
+
+
+def test_article_is_evidence_only():
+    teaser = "<article><h3>Other news</h3><p>Read on</p></article>"
+    assert html_extract.extract(f"<div>{PROSE}</div><p>{PROSE}</p>{teaser}") == f"{PROSE}\n{PROSE}\nOther news\nRead on"
+    assert html_extract.extract(f"<div>{PROSE}</div><article><h1>A title</h1><p>{PROSE} {PROSE}</p></article>") == f"A title\n{PROSE} {PROSE}"
+
+
+def test_stray_quotes_and_deep_nesting():
+    assert html_extract.extract("<p title=don't>one</p><p title = \"a>b\" id='x>y' \">two</p>") == "one\ntwo"
+    for page in ("<div>" * 60_000 + "x" + "</div>" * 60_000, "<b>" * 30_000 + "<div>" * 30_000 + "x" + "</b>" * 30_000, "<p>" * 60_000 + "x"):
+        assert html_extract.extract(page) == "x"
+
+
+def test_planted_pages_at_random():
+    """Pages put together of known parts: what stands in the article's parts comes out, nothing else."""
+    rng = random.Random(7)
+    prose = lambda: " ".join(rng.choice(PROSE.split()) for _ in range(rng.randint(12, 60)))
+    outside = ["<nav><a href=/>{}</a></nav>", "<footer>{}</footer>", "<div class='ad box'>{}</div>", "<aside><p>{}</p></aside>", "<script>var x='{}'</script>", "<form><p>{}</p></form>", "<!-- {} -->", "<section id=comments><p>{}</p></section>", "<div class=cookie-banner>{}</div>"]
+    inside = ["<p>{}</p>", "<h2>{}</h2>", "<div>{}</div>", "<ul><li>{}</li></ul>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<p>{}"]
+    for _ in range(100):
+        parts = [prose() if rng.random() < 0.7 else "Few words" for _ in range(rng.randint(2, 9))]
+        body = "".join(rng.choice(inside).format(p) + (rng.choice(outside).format(prose()) if rng.random() < 0.3 else "") for p in parts)
+        wall = lambda: "".join(rng.choice(outside).format(prose()) for _ in range(rng.randint(0, 4)))
+        page = f"<html><body>{wall()}<article>{body}</article>{wall()}</body></html>"
+        assert html_extract.extract(page) == "\n".join(parts), page
+
+
 def test_pages_frame(spark):
     rows = [(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (3, "v", "<p>" + "word " * 200_000, "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -65,6 +104,19 @@ def test_quality_held_out(spark):
     assert out["score"].between(0, 1).all()
 
 
+def test_dictionaries_see_whole_texts(spark, monkeypatch):
+    """Every byte of a labelled text goes to the training of its class, however long the text."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 0][:40]
+    texts = [f"{i} " + "words é " * (9_000 if i % 2 else 10) + f"end{i}" for i in ids]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    seen, make = [], quality.make_dictionary
+    monkeypatch.setattr(quality, "make_dictionary", lambda pieces: seen.append(b"".join(pieces)) or make(pieces))
+    quality.train(docs, labels)
+    assert [len(x) for x in seen] == [sum(len(t.encode()) for i, t in zip(ids, texts) if i % 2 == y) for y in (1, 0)]
+    assert all(f"end{i}".encode() in seen[1 - i % 2] for i in ids)
+
+
 def test_quality_awkward(spark):
     docs = spark.createDataFrame([(i, t, 0.5, 1) for i, t in AWKWARD], "doc_id long, text string, quality_score double, c0 int")
     none = spark.createDataFrame([], "doc_id long, quality int")
