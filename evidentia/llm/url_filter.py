@@ -83,8 +83,34 @@ class GlobSet:
 
 #: Listed rules: (host, path, verdict); a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: The method's own rules for URLs that no listed rule fits: any one that matches blocks.
-BLOCK_GLOBS = [f"^{word}*" for word in ("ads-track", "adult-x", "casino", "cheap-pills", "free-bets", "spam-farm")]
+#: The method's own rules by category: parts of host names, for URLs that no listed rule fits.
+UNWANTED = {
+    "gambling": "casino poker-room pokerstars free-bets sportsbet betting-tips online-slots slot-machine jackpot-win roulette bingo-hall lottery-win".split(),
+    "adult": "adult-x adultfriend pornhub porn-tube porno xvideos xhamster sex-cam sexshop camgirl escort-service hentai milf".split(),
+    "pharmacy": "cheap-pills viagra cialis tramadol online-pharmacy pharmacy-online diet-pills weight-loss-pill".split(),
+    "spam": "spam-farm link-farm linkfarm seo-farm article-spinner buy-backlinks free-ringtones make-money-fast get-rich payday-loan replica-watch".split(),
+    "piracy": "warez keygen crackz torrent-download torrentz piratebay free-movies-online nulled-scripts serial-key".split(),
+    "adverts": "ads-track adserver ad-server adservice adclick doubleclick popunder clickbank trackclick affiliate-link banner-exchange".split(),
+    "malware": "phishing free-antivirus-scan trojan-download malware-host botnet".split(),
+}
+BLOCK_GLOBS = [f"^{word}*" for words in UNWANTED.values() for word in words]
+#: Globs that a table of them may hold: a worker keeps two bits a byte value for each of their characters.
+MAX_GLOBS = 20_000
+
+
+def globs_of(rules) -> list[str]:
+    """Globs from a list, or from the first column of a table of at most MAX_GLOBS; null and empty ones are left out."""
+    if isinstance(rules, DataFrame):
+        rows = rules.select(F.col(rules.columns[0]).cast("string").alias("glob")).where("glob <> ''").distinct().limit(MAX_GLOBS + 1).collect()
+        rules = sorted(r["glob"] for r in rows)
+    if len(rules) > MAX_GLOBS:
+        raise ValueError(f"more than {MAX_GLOBS} globs")
+    return [g for g in rules if g]
+
+
+def glob_pattern(glob: str) -> str:
+    """The same glob as a regular expression over a whole URL."""
+    return "".join({"*": ".*", "^": "[^/]*", "?": "."}.get(c, c if c.isalnum() else f"[{c}]") for c in glob)
 
 
 def host_of(url: Column) -> Column:
@@ -102,7 +128,7 @@ def judge(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS, id_column: str
     """Per row (id, host, path, rule, verdict).
 
     The longest listed rule (host and path together; ties: the earlier) that fits decides and is named in ``rule``;
-    otherwise ``rule`` is null and the verdict is ``block`` where a block glob matches, else ``allow``.  A null URL or one
+    otherwise ``rule`` is null and the verdict is ``block`` where one of ``block_globs`` matches (a list, or a table whose first column holds them), else ``allow``.  A null URL or one
     without ``://`` has empty host and path, which no listed rule fits.  Repeated rows are judged alike, other columns
     left out, an empty table gives an empty table; the length of a URL is not limited.
     """
@@ -110,7 +136,7 @@ def judge(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS, id_column: str
     verdicts = [v for _, _, v in rules]
     best = sorted(range(len(rules)), key=lambda i: (-len(names[i]), i))
     listed = len(rules)
-    globs = [f"{h}{p}*" for h, p, _ in rules] + [f"^.{h}{p}*" for h, p, _ in rules] + list(block_globs)
+    globs = [f"{h}{p}*" for h, p, _ in rules] + [f"^.{h}{p}*" for h, p, _ in rules] + globs_of(block_globs)
     for h, p, _ in rules:
         assert not set(h + p) & set("*?^"), "listed rules are literal"
 
@@ -134,7 +160,7 @@ def judge(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS, id_column: str
 
 
 #: DuckDB: the same judgement by string functions.
-ORACLE = r"""
+ORACLE = rf"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
@@ -149,6 +175,6 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, 'ads-track|adult-x|casino|cheap-pills|free-bets|spam-farm') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN regexp_full_match(host || path, '(?s)(?:{"|".join(map(glob_pattern, BLOCK_GLOBS))})') THEN 'block' ELSE 'allow' END AS verdict
 FROM fit
 """

@@ -292,6 +292,16 @@ def test_url_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_globs_from_a_table(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.com/shop/x"), (2, "http://a.com/x"), (3, "http://casino.com/")], "page_id long, url string")
+    table = spark.createDataFrame([("*/shop/*", 1), (None, 2), ("", 3), ("*/shop/*", 4)], "glob string, n int")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, block_globs=table).collect()} == {1: "block", 2: "allow", 3: "allow"}
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, block_globs=[]).collect()} == {1: "allow", 2: "allow", 3: "allow"}
+    monkeypatch.setattr(url_filter, "MAX_GLOBS", 0)
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, block_globs=table)
+
+
 # --- mixing
 
 
