@@ -14,19 +14,24 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import checkpointed
-from evidentia.llm.components import components
+from evidentia.llm.common import checkpointed, partitions, stored
+from evidentia.llm.components import components, join_one
 
 #: Independent walks, sampled bits of each, classes of characters, and the period of a class's random bits.
 WALKS, BITS, CLASSES, PERIOD = 2, 256, 256, 4096
 #: Rows and characters fingerprinted at a time; cells of a lockstep block; fewest texts that walk in lockstep.
 ROWS, CHARS, CELLS, LEAST_LANES = 1024, 8_000_000, 3_000_000, 64
 SLICE = 256
-#: Fingerprints of a band that meet in one block.
-BLOCK = 2048
+#: Likeness from which documents are near, and the share of the pairs just there that a band is to find.
+NEAR, RECALL = 0.8, 0.92
+#: Bits of a band at least; more where the entries that share one by chance would be over 4,096 on average.
+BAND_BITS, CHANCE_BITS = 12, 12
+#: Entries a task holds before it sends them, leaders that a bucket is thinned by, rows compared at a time.
+FLUSH, LEADERS, BLOCK = 100_000, 8, 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -165,21 +170,31 @@ def cuts_below(value, cuts: list[int], width: int = 32):
 
 
 def in_order(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, text, bucket, halo): rows dealt to id ranges, each range followed by the first row of the next lower one.
+    """(id, z, bucket, halo): rows dealt to id ranges, each range followed by the first row of the next lower one.
 
-    Ranges come from quantiles of the ids, so only ids are read for them; texts are shuffled once.  Rows sort by descending
-    id, ties by text; within a partition the order is that of ``bucket``, ``halo``, descending id.
+    Ranges come from quantiles of the ids, so only ids are read for them; texts are shuffled once, compressed (z).  Rows sort
+    by descending id, ties by a hash of the text; within a partition the order is that of ``bucket``, ``halo``, descending id.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = base.select("id").where("id IS NOT NULL")
+    kind = dict(docs.dtypes)[id_column]
+
+    def packed(batches):
+        c = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in part.column(2)], pa.binary())], names=["id", "tie", "z"])
+
+    texts = base.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(packed, f"id {kind}, tie long, z binary")
     cuts = sorted(set(ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     cuts = [int(c) for c in cuts]
     bucket = F.when(F.col("id").isNull(), 0).otherwise(1 + cuts_below(F.col("id"), cuts))
-    placed = base.withColumn("bucket", bucket)
+    placed = texts.withColumn("bucket", bucket)
     # the first row of each range, by id alone: as many rows as ranges
-    tops = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max("id").alias("top")).collect()}
+    tops = {r["bucket"]: r["top"] for r in base.select("id").withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("top")).collect()}
     order = sorted(tops, reverse=True)
     above = {b: order[(i - 1) % len(order)] for i, b in enumerate(order)}  # whose last row is followed by this range's first
     pairs = [F.lit(x) for b in order if tops[b] is not None for x in (int(b), int(above[b]))]
@@ -192,19 +207,21 @@ def in_order(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             is_top = is_top | F.col("id").isNull()
             to = F.create_map(*pairs, F.lit(0), F.lit(int(above[0])))
         dealt = F.when(is_top, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo")), F.struct(to[F.col("bucket")].alias("bucket"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo"))))
-        placed = placed.select("id", "text", F.explode(dealt).alias("d")).select("id", "text", "d.bucket", "d.halo")
+        placed = placed.select("id", "tie", "z", F.explode(dealt).alias("d")).select("id", "z", "d.bucket", "d.halo", "tie")
     else:
-        placed = placed.select("id", "text", "bucket", F.explode(F.array(F.lit(False), F.lit(True))).alias("halo"))
-    return placed.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket", "halo", F.desc_nulls_last("id"), "text")
+        placed = placed.select("id", "z", "bucket", F.explode(F.array(F.lit(False), F.lit(True))).alias("halo"), "tie")
+    return placed.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket", "halo", F.desc_nulls_last("id"), "tie").drop("tie")
 
 
 def with_next(batches) -> Iterator[tuple]:
     """(id, text, next text) from the rows of in_order: one row is held back until its successor is seen."""
     held, done = None, None
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             cols = [c.slice(at, SLICE).to_pylist() for c in batch.columns]
-            for key, text, bucket, halo in zip(*cols, strict=True):
+            for key, z, bucket, halo in zip(*cols, strict=True):
+                text = unpack.decompress(z).decode("utf-8", "surrogatepass")
                 if held is not None and held[2] == bucket:
                     yield held[0], held[1], text
                     held = None
@@ -221,8 +238,9 @@ def edit_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     The edited text replaces the last floor(n/2) code points by the first as many of the next document in descending id
     order (after the last comes the first; a sole document is its own next).  Returns (id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next).  Null texts are empty; an empty text has the zero
-    fingerprint; rows of one id follow each other by text; rows without an id come last.  Equal texts have equal
-    fingerprints.  Other columns are left out; an empty table gives an empty table.
+    fingerprint; rows of one id follow each other by a hash of the text; rows without an id come last.  Equal texts have equal
+    fingerprints.  Texts of any length are walked whole; repeated rows stay.  Other columns are left out; an empty table
+    gives an empty table.
     """
 
     def run(batches):
@@ -265,58 +283,147 @@ def edit_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     return ordered.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
-def linked(rows: list[tuple], least: float) -> list[tuple]:
-    """Links that span what is linked among the (fingerprint, id) rows of a unit, each likeness verified."""
-    if len(rows) < 2:
-        return []
-    bits = np.frombuffer(bytes.fromhex("".join(r[0] for r in rows)), dtype=np.uint8).reshape(len(rows), -1)
-    most = (1.0 - least) / 2 * bits.shape[1] * 8
-    label, out = np.arange(len(rows)), []
-    for i in range(len(rows)):
-        near = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(axis=1, dtype=np.int32) <= most) + i + 1
-        for j in near[label[near] != label[i]].tolist():
+def band_places(n_bits: int, entries: int, least: float = NEAR, recall: float = RECALL) -> np.ndarray:
+    """(bands, bits): sampled places of the fingerprint, as many bands as the recall takes.
+
+    A bit of two fingerprints of likeness l agrees with chance (1 + l) / 2.  Bands grow by a bit when the entries double, so
+    that chance meetings stay in proportion to the entries.
+    """
+    width = min(n_bits, max(BAND_BITS, int(np.ceil(np.log2(max(entries, 2)))) - CHANCE_BITS))
+    agree = ((1 + least) / 2) ** width
+    bands = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))) if agree < 1 else 1
+    rng = np.random.default_rng(23)
+    places = np.concatenate([rng.permutation(n_bits) for _ in range(-(-bands * width // n_bits) + 1)])
+    return np.array([rng.choice(n_bits, width, replace=False) if (b + 1) * width > n_bits else places[b * width : (b + 1) * width] for b in range(bands)])
+
+
+def band_keys(prints: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(entries, bands): the sampled bits of each band as a number."""
+    keys = np.zeros((len(prints), len(places)), dtype=np.uint64)
+    for b, band in enumerate(places):
+        for p in band.tolist():
+            keys[:, b] = keys[:, b] << np.uint64(1) | (prints[:, p >> 3] >> np.uint8(7 - (p & 7)) & np.uint8(1))
+    return keys
+
+
+def linked(prints: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Links that span what is linked among the fingerprints (rows of 64-bit words) of a bucket: at most ``most`` bits differ.
+
+    A few leaders are compared with all first, which joins a family of near copies at once; after that only rows that are not
+    yet joined can link, and all of those are compared.
+    """
+    label, out = np.arange(len(prints)), []
+
+    def merge(i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
-                out.append((rows[i][0], rows[j][0]))
+                out.append((i, j))
+
+    apart = lambda i: np.bitwise_count(prints[i] ^ prints).sum(axis=1, dtype=np.int32) <= most
+    if len(prints) > 2 * LEADERS:
+        for _ in range(LEADERS):
+            alone = np.flatnonzero(np.bincount(label, minlength=len(label))[label] == 1)
+            if not len(alone):
+                break
+            merge(int(alone[0]), np.flatnonzero(apart(int(alone[0]))))
+    for at in range(0, len(prints), BLOCK):
+        if (label == label[0]).all():
+            break
+        rows = prints[at : at + BLOCK]
+        near = np.bitwise_count(rows[:, None, :] ^ prints[None, at:, :]).sum(axis=2, dtype=np.int32) <= most
+        near &= label[at : at + BLOCK, None] != label[None, at:]
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            merge(at + i, np.flatnonzero(near[i]) + at)
     return out
 
 
-def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str = "fingerprint", band_bits: int = 16, least: float = 0.8) -> DataFrame:
-    """(id, class_id): fingerprints linked where they share a band of sampled bits and their likeness is at least ``least``.
-
-    Equal fingerprints are one entry, so copies are never paired.  A band's entries are compared with each other in one task,
-    those of a large band in pairs of blocks; only links that span what is linked leave it.  class_id is the smallest id
-    reachable.  Rows without a fingerprint are classes of their own; rows without an id name no class.
-    """
-    spark = prints.sparkSession
-    n, wide = int(spark.conf.get("spark.sql.shuffle.partitions")), band_bits // 4
-    rows = prints.select(F.col(id_column).alias("id"), F.col(fingerprint).alias("fp"))
-    entries = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("fp") - 1) / wide).cast("int")), lambda i: F.substring(F.col("fp"), i * wide + 1, F.lit(wide)))
-    bands = entries.select("fp", F.posexplode(cut).alias("band", "bits"))
-    shared = bands.groupBy("band", "bits").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    units = bands.join(shared, ["band", "bits"]).withColumn("u", F.explode(pairs)).select("band", "bits", "u.i", "u.j", "fp")
+def near_links(entries: DataFrame, total: int, least: float = NEAR, recall: float = RECALL) -> DataFrame:
+    """(a, b): links that span what is linked, in each bucket of a band, among the distinct fingerprints of ``entries`` (fp binary)."""
+    n = partitions(entries.sparkSession)
+    wide = WALKS * BITS
+    places = band_places(wide, total, least, recall)
+    most = (1.0 - least) / 2 * wide
+
+    def spread(batches):
+        held: list[bytes] = []
+
+        def packed():
+            prints = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(len(held), -1)
+            keys = band_keys(prints, places)
+            with np.errstate(over="ignore"):
+                part = (_mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(places), dtype=np.uint64)) % np.uint64(n)).astype(np.int32).ravel()
+            order = np.argsort(part, kind="stable")
+            cuts = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1, len(part)]
+            cols: list[list] = [[], [], []]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                i, band = np.divmod(order[a:b], len(places))
+                for c, v in zip(cols, (int(part[order[a]]), prints[i].tobytes(), band.astype("<u2").tobytes()), strict=True):
+                    c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["part", "fps", "bands"])
 
-    def run(batches):
-        now, held = None, []
-        links: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for band, bits, i, j, fp in zip(*(c.slice(at, SLICE).to_pylist() for c in batch.columns), strict=True):
-                    if (band, bits, i, j) != now:
-                        links += linked(held, least)
-                        now, held = (band, bits, i, j), []
-                    held.append((fp, None))
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
-                    links.clear()
-        if links := linked(held, least):
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
-
-    found = units.repartition(n, "band", "bits", "i", "j").sortWithinPartitions("band", "bits", "i", "j", "fp").mapInArrow(run, "a string, b string")
-    rooted = checkpointed(entries.join(components(found).withColumnRenamed("node", "fp"), "fp", "left"))
-    groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("group_least"))
-    named = rooted.join(groups, "root", "left").select("fp", F.coalesce("group_least", "least").alias("class_id"))
-    return rows.join(named, "fp", "left").select(F.col("id").alias(id_column), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+            held += batch.column(0).to_pylist()
+            if len(held) * len(places) >= FLUSH:
+                yield packed()
+                held.clear()
+        if held:
+            yield packed()
+
+    def solve(batches):
+        rows = [(f, b) for batch in batches for f, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        if not rows:
+            return
+        prints = np.frombuffer(b"".join(f for f, _ in rows), dtype=np.uint8).reshape(-1, wide // 8)
+        bands = np.frombuffer(b"".join(b for _, b in rows), dtype="<u2")
+        words = prints.view(np.uint64)
+        for band in np.unique(bands).tolist():
+            mine = np.flatnonzero(bands == band)
+            key = band_keys(prints[mine], places[band : band + 1])[:, 0]
+            order = np.argsort(key, kind="stable")
+            cuts = np.r_[0, np.flatnonzero(np.diff(key[order])) + 1, len(order)]
+            found = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b - a > 1:
+                    at = mine[order[a:b]]
+                    found += [(at[i], at[j]) for i, j in linked(words[at], most)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([prints[x[k]].tobytes() for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = entries.select("fp").mapInArrow(spread, "part int, fps binary, bands binary").repartitionById(n, F.col("part"))
+    return dealt.select("part", "fps", "bands").mapInArrow(solve, "a binary, b binary")
+
+
+def classes_of(prints: DataFrame, least: float = NEAR, recall: float = RECALL) -> DataFrame:
+    """(fp, class_id) of the distinct fingerprints in (id, fp binary); class_id is the smallest id reachable by links."""
+    entries = checkpointed(prints.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")))
+    found = components(near_links(entries, entries.count(), least, recall))
+    rooted = checkpointed(entries.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
+    groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"))
+    grouped = join_one(rooted.where("root IS NOT NULL"), groups, "root").select("fp", "class_id")
+    return checkpointed(grouped.unionByName(rooted.where("root IS NULL").select("fp", F.col("least").alias("class_id"))))
+
+
+def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str = "fingerprint", least: float = NEAR, recall: float = RECALL) -> DataFrame:
+    """All columns and class_id: fingerprints linked where they share a band of sampled bits and their likeness is at least ``least``.
+
+    Equal fingerprints are one entry, so copies are never paired; a candidate is verified on the whole fingerprints.  class_id
+    is the smallest id reachable; rows without a fingerprint are classes of their own, rows without an id name no class;
+    repeated rows stay; an empty table gives an empty table.  ``prints`` should be stored: it is read more than once.
+    """
+    names = [f"c{i}" for i in range(len(prints.columns))]
+    at = dict(zip(prints.columns, names, strict=True))
+    plain = prints.toDF(*names).withColumn("fp", F.unhex(at[fingerprint]))
+    classes = classes_of(plain.select(F.col(at[id_column]).alias("id"), "fp"), least, recall)
+    out = join_one(plain.where("fp IS NOT NULL"), classes, "fp").select(*names, "class_id")
+    return out.unionByName(plain.where("fp IS NULL").select(*names, F.col(at[id_column]).alias("class_id"))).toDF(*prints.columns, "class_id")
+
+
+def fingerprinted(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """edit_pairs, stored in bytes, with the class_id of each document's fingerprint."""
+    hexes = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    told = edit_pairs(docs, id_column, text)
+    kept = stored(told.withColumns({c: F.unhex(c) for c in hexes}))
+    classes = classes_of(kept.select(F.col(id_column).alias("id"), F.col("fingerprint").alias("fp")))
+    out = join_one(kept.withColumnRenamed("fingerprint", "fp"), classes, "fp").withColumnRenamed("fp", "fingerprint")
+    return out.select(*(F.lower(F.hex(c)).alias(c) if c in hexes else c for c in told.columns), "class_id")

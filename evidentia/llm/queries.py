@@ -52,7 +52,7 @@ def op9_ann(spark, sf_dir):
 
 
 def op10_fingerprint(spark, sf_dir):
-    return fingerprint.edit_pairs(read(spark, sf_dir, "documents"))
+    return fingerprint.fingerprinted(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_bpe, op4_html, op5_quality, op6_url_filter, op7_ngram_join, op8_chat, op9_ann, op10_fingerprint)}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -256,6 +257,10 @@ def test_fingerprints_follow_edits(spark):
         classes.setdefault(r["doc_id"], r["class_id"])
     assert classes[0] == classes[2000] == classes[2001] == 0 and classes[1] == 1 and len(classes) == len({d for d, _ in docs})
     assert fingerprint.edit_pairs(df.where("doc_id < 0")).count() == 0
+    whole = fingerprint.fingerprinted(df).collect()
+    assert Counter((r["doc_id"], r["edited_sha256"], r["fingerprint"], r["near_edited"]) for r in whole) == Counter((r["doc_id"], r["edited_sha256"], r["fingerprint"], r["near_edited"]) for r in got)
+    assert {r["class_id"] for r in whole if r["doc_id"] in (0, 2000)} == {0} and {r["class_id"] for r in whole if r["doc_id"] in (1000, 1001)} == {1000}
+    assert fingerprint.fingerprinted(df.where("doc_id < 0")).count() == 0
 
 
 def test_near_classes_find_pairs_at_the_threshold(spark):
@@ -272,10 +277,62 @@ def test_near_classes_find_pairs_at_the_threshold(spark):
     apart = every.sum(axis=1)[:, None] + every.sum(axis=1)[None, :] - 2 * every @ every.T
     want = {(i, j) for i, j in zip(*np.nonzero(apart <= 0.1 * n), strict=True) if i < j}
     got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_classes(spark.createDataFrame([(i, fingerprint.hexed(b)) for i, b in rows], "doc_id long, fingerprint string")).collect()}
-    assert len(want) == 300 and np.mean([got[i] == got[j] for i, j in want]) >= 0.98
+    assert len(want) == 300 and np.mean([got[i] == got[j] for i, j in want]) >= 0.9
     assert all((min(i, c), max(i, c)) in want for i, c in got.items() if i != c)
 
 
+def test_bucket_links_span_what_is_linked():
+    """Against all pairs, with a family of near copies, chains and strangers; and the plan of bands at any size."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (40, 8), dtype=np.uint64)
+    rows = [b for b in base]
+    for _ in range(300):
+        x = np.unpackbits((base[0] if rng.random() < 0.6 else rows[rng.integers(len(rows))]).view(np.uint8))
+        x[rng.choice(512, rng.integers(1, 60), replace=False)] ^= 1
+        rows.append(np.packbits(x).view(np.uint64))
+    rows = np.array(rows)[rng.permutation(len(rows))]
+    near = np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=2) <= 51.2
+
+    def roots(links):
+        root = list(range(len(rows)))
+        for _ in range(len(rows)):
+            for i, j in links:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    got = fingerprint.linked(rows, 51.2)
+    assert all(near[i, j] for i, j in got) and roots(got) == roots(list(zip(*np.nonzero(near))))
+    for n in (1, 1000, 10**6, 10**9, 10**12):
+        places = fingerprint.band_places(512, n)
+        assert 1 - (1 - 0.9 ** places.shape[1]) ** len(places) >= fingerprint.RECALL and places.max() < 512 and all(len(set(p)) == len(p) for p in places.tolist())
+
+
+def test_likeness_follows_edit_distance(spark):
+    """Random edits of a text: the more, the less alike, and bands find what brute force over all fingerprints finds."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    docs, edits = [], []
+    for i in range(250):
+        w = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        k = rng.choice([0, 1, 2, 4, 8, 16, 40])
+        v = list(w)
+        for _ in range(k):
+            v[rng.randrange(len(v))] = rng.choice(words)
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        edits.append(k / len(w))
+    out = fingerprint.fingerprinted(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    bits = {r["doc_id"]: np.unpackbits(np.frombuffer(bytes.fromhex(r["fingerprint"]), dtype=np.uint8)) for r in out}
+    cls = {r["doc_id"]: r["class_id"] for r in out}
+    like = [fingerprint.likeness(bits[2 * i], bits[2 * i + 1]) for i in range(250)]
+    assert np.corrcoef(np.argsort(np.argsort(edits)), np.argsort(np.argsort(like)))[0, 1] < -0.85  # equal numbers of edits are ranked at random
+    every = np.array([bits[i] for i in range(500)], dtype=np.int32)
+    apart = every.sum(axis=1)[:, None] + every.sum(axis=1)[None, :] - 2 * every @ every.T
+    pairs = [(i, j) for i, j in zip(*np.nonzero(apart <= 51), strict=True) if i < j]
+    close = [(i, j) for i, j in pairs if apart[i, j] > 38]
+    assert len(pairs) > 100 and np.mean([cls[i] == cls[j] for i, j in pairs]) >= 0.9
+    assert not close or np.mean([cls[i] == cls[j] for i, j in close]) >= 0.85, len(close)
+
+
 def test_lockstep_equals_single_walks(monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc déf") for _ in range(rng.randint(0, 300))) for _ in range(150)] + ["x" * 5000]
