@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import checkpointed
 
-#: A key that more than one row in so many has is hot; a table has no more hot keys than this.
-HOT = 256
+#: A key that more than one row in so many has is hot; a table has no more hot keys than this (twice as many where both ends count).
+HOT = 1024
 
 
 def join_one(rows: DataFrame, one: DataFrame, key: str, total: int | None = None) -> DataFrame:

@@ -307,18 +307,17 @@ def band_keys(prints: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def linked(prints: np.ndarray, most: float) -> list[tuple[int, int]]:
-    """Links that span what is linked among the fingerprints (rows of 64-bit words) of a bucket: at most ``most`` bits differ.
+    """Links (first of a class, other member) among the fingerprints (rows of 64-bit words) of a bucket: at most ``most`` bits differ.
 
     A few leaders are compared with all first, which joins a family of near copies at once; after that only rows that are not
     yet joined can link, and all of those are compared.
     """
-    label, out = np.arange(len(prints)), []
+    label = np.arange(len(prints))
 
     def merge(i: int, others: np.ndarray) -> None:
         for j in others.tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
-                out.append((i, j))
 
     apart = lambda i: np.bitwise_count(prints[i] ^ prints).sum(axis=1, dtype=np.int32) <= most
     if len(prints) > 2 * LEADERS:
@@ -335,11 +334,16 @@ def linked(prints: np.ndarray, most: float) -> list[tuple[int, int]]:
         near &= label[at : at + BLOCK, None] != label[None, at:]
         for i in np.flatnonzero(near.any(axis=1)).tolist():
             merge(at + i, np.flatnonzero(near[i]) + at)
-    return out
+    first = np.full(len(label), len(label))
+    np.minimum.at(first, label, np.arange(len(label)))
+    return [(i, j) for j, i in enumerate(first[label].tolist()) if i != j]
 
 
 def near_links(entries: DataFrame, total: int, least: float = NEAR, recall: float = RECALL) -> DataFrame:
-    """(a, b): links that span what is linked, in each bucket of a band, among the distinct fingerprints of ``entries`` (fp binary)."""
+    """(a, b): links that span what is linked, in each bucket of a band, among the distinct fingerprints of ``entries`` (fp binary).
+
+    A fingerprint is named by its md5: links are many in a family of near copies, and go through many rounds.
+    """
     n = partitions(entries.sparkSession)
     wide = WALKS * BITS
     places = band_places(wide, total, least, recall)
@@ -386,9 +390,10 @@ def near_links(entries: DataFrame, total: int, least: float = NEAR, recall: floa
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a > 1:
                     at = mine[order[a:b]]
+                    at = at[np.lexsort(words[at].T)]  # the same smallest ones head the stars of all bands
                     found += [(at[i], at[j]) for i, j in linked(words[at], most)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([prints[x[k]].tobytes() for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(prints[x[k]].tobytes()).digest() for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     dealt = entries.select("fp").mapInArrow(spread, "part int, fps binary, bands binary").repartitionById(n, F.col("part"))
     return dealt.select("part", "fps", "bands").mapInArrow(solve, "a binary, b binary")
@@ -398,7 +403,7 @@ def classes_of(prints: DataFrame, least: float = NEAR, recall: float = RECALL) -
     """(fp, class_id) of the distinct fingerprints in (id, fp binary); class_id is the smallest id reachable by links."""
     entries = checkpointed(prints.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")))
     found = components(near_links(entries, entries.count(), least, recall))
-    rooted = checkpointed(entries.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
+    rooted = checkpointed(entries.withColumn("node", F.unhex(F.md5("fp"))).join(found, "node", "left").drop("node"))
     groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"))
     grouped = join_one(rooted.where("root IS NOT NULL"), groups, "root").select("fp", "class_id")
     return checkpointed(grouped.unionByName(rooted.where("root IS NULL").select("fp", F.col("least").alias("class_id"))))

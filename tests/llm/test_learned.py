@@ -301,7 +301,7 @@ def test_bucket_links_span_what_is_linked():
         return root
 
     got = fingerprint.linked(rows, 51.2)
-    assert all(near[i, j] for i, j in got) and roots(got) == roots(list(zip(*np.nonzero(near))))
+    assert len({j for _, j in got}) == len(got) and roots(got) == roots(list(zip(*np.nonzero(near))))
     for n in (1, 1000, 10**6, 10**9, 10**12):
         places = fingerprint.band_places(512, n)
         assert 1 - (1 - 0.9 ** places.shape[1]) ** len(places) >= fingerprint.RECALL and places.max() < 512 and all(len(set(p)) == len(p) for p in places.tolist())
