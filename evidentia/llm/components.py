@@ -11,18 +11,17 @@ from evidentia.llm.common import checkpointed
 HOT = 1024
 
 
-def join_one(rows: DataFrame, one: DataFrame, key: str, total: int | None = None) -> DataFrame:
+def join_one(rows: DataFrame, one: DataFrame, key: str, total: int, weight: str) -> DataFrame:
     """Rows joined to the one row of their key in ``one``; rows of a hot key stay where they are.
 
-    Hot keys are fewer than HOT, so their side is broadcast whatever the size of the tables; the other keys are joined by
-    shuffle.  Both frames should be checkpointed or cheap, since they are read more than once.
+    ``weight`` is the column of ``one`` that says how many of the ``total`` rows have its key, which the result leaves out.  Hot
+    keys are fewer than HOT, so their side is broadcast whatever the size of the tables; the other keys are joined by shuffle.
     """
-    total = rows.count() if total is None else total
-    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("rows_of_key")).where(F.col("rows_of_key") > total / HOT).select(key, F.lit(True).alias("is_hot")))
+    more = [c for c in one.columns if c not in (key, weight)]
+    hot = F.broadcast(one.where(F.col(weight) > total / HOT).select(key, F.struct(*more).alias("hot_row")))
     marked = rows.join(hot, key, "left")
-    columns = [*rows.columns, *(c for c in one.columns if c != key)]
-    apart = F.broadcast(one.join(hot, key, "left_semi"))
-    return marked.where("is_hot").drop("is_hot").join(apart, key).select(columns).unionByName(marked.where("is_hot IS NULL").drop("is_hot").join(one, key).select(columns))
+    at_once = marked.where("hot_row IS NOT NULL").select(*rows.columns, *(F.col(f"hot_row.{c}").alias(c) for c in more))
+    return at_once.unionByName(marked.where("hot_row IS NULL").drop("hot_row").join(one.drop(weight), key).select(*rows.columns, *more))
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -38,11 +37,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = join_one(both.where("v > u"), least, "u", total)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        up = join_one(both.where("v > u"), least, "u", total, "n")
         large = checkpointed(up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = join_one(large, down, "u", total)
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = join_one(large, down, "u", total, "n")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         e = checkpointed(small.where("u <> v").distinct())
         now = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()

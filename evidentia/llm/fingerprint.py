@@ -400,13 +400,13 @@ def near_links(entries: DataFrame, total: int, least: float = NEAR, recall: floa
 
 
 def classes_of(prints: DataFrame, least: float = NEAR, recall: float = RECALL) -> DataFrame:
-    """(fp, class_id) of the distinct fingerprints in (id, fp binary); class_id is the smallest id reachable by links."""
-    entries = checkpointed(prints.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")))
+    """(fp, class_id, rows) of the distinct fingerprints in (id, fp binary); class_id is the smallest id reachable by links."""
+    entries = checkpointed(prints.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
     found = components(near_links(entries, entries.count(), least, recall))
     rooted = checkpointed(entries.withColumn("node", F.unhex(F.md5("fp"))).join(found, "node", "left").drop("node"))
-    groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"))
-    grouped = join_one(rooted.where("root IS NOT NULL"), groups, "root").select("fp", "class_id")
-    return checkpointed(grouped.unionByName(rooted.where("root IS NULL").select("fp", F.col("least").alias("class_id"))))
+    groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    grouped = join_one(rooted.where("root IS NOT NULL").select("fp", "root", "rows"), groups, "root", rooted.where("root IS NOT NULL").count(), "n").select("fp", "class_id", "rows")
+    return checkpointed(grouped.unionByName(rooted.where("root IS NULL").select("fp", F.col("least").alias("class_id"), "rows")))
 
 
 def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str = "fingerprint", least: float = NEAR, recall: float = RECALL) -> DataFrame:
@@ -420,7 +420,7 @@ def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str
     at = dict(zip(prints.columns, names, strict=True))
     plain = prints.toDF(*names).withColumn("fp", F.unhex(at[fingerprint]))
     classes = classes_of(plain.select(F.col(at[id_column]).alias("id"), "fp"), least, recall)
-    out = join_one(plain.where("fp IS NOT NULL"), classes, "fp").select(*names, "class_id")
+    out = join_one(plain.where("fp IS NOT NULL"), classes, "fp", plain.count(), "rows").select(*names, "class_id")
     return out.unionByName(plain.where("fp IS NULL").select(*names, F.col(at[id_column]).alias("class_id"))).toDF(*prints.columns, "class_id")
 
 
@@ -430,5 +430,5 @@ def fingerprinted(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     told = edit_pairs(docs, id_column, text)
     kept = stored(told.withColumns({c: F.unhex(c) for c in hexes}))
     classes = classes_of(kept.select(F.col(id_column).alias("id"), F.col("fingerprint").alias("fp")))
-    out = join_one(kept.withColumnRenamed("fingerprint", "fp"), classes, "fp").withColumnRenamed("fp", "fingerprint")
+    out = join_one(kept.withColumnRenamed("fingerprint", "fp"), classes, "fp", kept.count(), "rows").withColumnRenamed("fp", "fingerprint")
     return out.select(*(F.lower(F.hex(c)).alias(c) if c in hexes else c for c in told.columns), "class_id")

@@ -4,7 +4,7 @@
 2. Grams are counted on the cluster by packed arrays.  A gram that one class alone has can be in no overlap: it is dropped,
    but counted.  The others get a global order, rare first.
 3. A class needs an index entry only for the grams of its prefix that are left.  Classes that share one fall into a cluster.
-4. Each cluster, pair of blocks of a large one, or gram of one larger still, is joined in a prefix tree over the ordered sets: a walk carries the
+4. Each cluster, pair of blocks of a large one, or gram of one that few strings hold together, is joined in a prefix tree over the ordered sets: a walk carries the
    overlaps with all members down shared paths and leaves subtrees that remaining lengths rule out, or that could only
    link what is linked already.
 5. Links join the classes to components.
@@ -25,9 +25,9 @@ from evidentia.llm.common import checkpointed, partitions
 from evidentia.llm.components import components, join_one
 
 #: Grams a task holds before it sends them, slices that a bucket is sorted in, members of a block.
-FLUSH, SUB, BLOCK = 400_000, 4, 256
-#: Classes of a cluster beyond which grams are joined instead of it.
-WIDE = 16 * BLOCK
+FLUSH, SUB, BLOCK = 400_000, 4, 512
+#: A cluster is joined gram by gram where that copies its sets so many times less often.
+LESS = 1.0
 #: Words, and a quarter as many sets, that a worker remembers.
 MEMO = 150_000
 #: A gram in more than this share of a task's classes is counted there and does not travel by class.
@@ -384,17 +384,20 @@ def join_units(units: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def link_classes(indexed: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) of the classes that are linked to another class.
 
-    A cluster is a unit, in blocks if it is large.  In a cluster of more than WIDE classes, which grams that few of them share
-    have strung together, the unit is a gram instead: linked classes share one of their prefixes.
+    A cluster is a unit, in blocks if it is large.  Where grams that few classes share have strung a cluster together, a unit
+    is one of its grams instead: linked classes share one of their prefixes, and small units copy sets less often than all
+    pairs of blocks of the cluster would.
     """
     n = partitions(indexed.sparkSession)
     entries = indexed.select("cls", F.explode("prefix").alias("code"))
     heads = checkpointed(entries.groupBy("code").agg(F.min("cls").alias("head"), F.count("*").alias("m")).where("m > 1"))
     clusters = checkpointed(components(entries.join(heads, "code").select(F.col("cls").alias("a"), F.col("head").alias("b"))))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    placed = join_one(clusters, sizes, "root")
-    whole = placed.where(F.col("m") <= WIDE).select(F.col("node").alias("cls"), F.concat(F.lit("c"), F.hex("root")).alias("unit"), "m")
-    wide = placed.where(F.col("m") > WIDE).select(F.col("node").alias("cls"))
+    copies = lambda m: m * F.ceil(m / BLOCK)
+    grams = heads.select(F.col("head").alias("node"), "m").join(clusters, "node").groupBy("root").agg(F.sum(copies(F.col("m"))).alias("by_gram"))
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m")).join(grams, "root").select("root", "m", F.col("m").alias("rows"), (F.col("by_gram") < copies(F.col("m")) * LESS).alias("strung"))
+    placed = checkpointed(join_one(clusters, checkpointed(sizes), "root", clusters.count(), "rows"))
+    whole = placed.where("NOT strung").select(F.col("node").alias("cls"), F.concat(F.lit("c"), F.hex("root")).alias("unit"), "m")
+    wide = placed.where("strung").select(F.col("node").alias("cls"))
     by_gram = entries.join(wide, "cls", "left_semi").join(heads.select("code", "m"), "code").select("cls", F.concat(F.lit("g"), F.hex("code")).alias("unit"), "m")
     members = whole.unionByName(by_gram).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).join(indexed.select("cls", "n", "codes"), "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -415,12 +418,13 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
     found = checkpointed(index_classes(count_grams(spread(docs, k, id_column, text, n), n), n, num, den))
     seen = found.where("codes IS NULL").select("id", "n", "cls")
     linked = link_classes(found.where("codes IS NOT NULL").drop("id"), num, den)
-    first = seen.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
-    rooted = checkpointed(first.join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", "root"))
-    groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("group_least"))
-    grouped = join_one(rooted.where("root IS NOT NULL"), groups, "root").select("cls", F.col("group_least").alias("component_id"))
-    named = checkpointed(grouped.unionByName(rooted.where("root IS NULL").select("cls", F.col("least").alias("component_id"))))
-    out = join_one(seen.where("n > 0"), named, "cls").select("id", F.col("n").alias("n_shingles"), "component_id")
+    first = seen.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    rooted = checkpointed(first.join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", "root", "rows"))
+    sums = rooted.agg(F.count("root").alias("classes"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    groups = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    grouped = join_one(rooted.where("root IS NOT NULL").select("cls", "root", "rows"), groups, "root", sums["classes"], "classes").select("cls", "component_id", "rows")
+    named = checkpointed(grouped.unionByName(rooted.where("root IS NULL").select("cls", F.col("least").alias("component_id"), "rows")))
+    out = join_one(seen.where("n > 0"), named, "cls", sums["rows"], "rows").select("id", F.col("n").alias("n_shingles"), "component_id")
     out = out.unionByName(seen.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
     return out.withColumnRenamed("id", id_column)
 

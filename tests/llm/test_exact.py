@@ -165,13 +165,13 @@ def test_ngram_groups(spark, seed, k, num, den):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_groups(docs, k, num, den)
 
 
-@pytest.mark.parametrize("wide", [10_000, 6])
-def test_ngram_hot_grams_and_blocks(spark, monkeypatch, wide):
+@pytest.mark.parametrize("less", [0, 1, 10**9])
+def test_ngram_hot_grams_and_blocks(spark, monkeypatch, less):
     """Grams counted apart because many classes of a task have them; clusters joined block by block, and gram by gram."""
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "FLUSH", 500)
-    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    monkeypatch.setattr(ngram_join, "LESS", less)
     docs = texts(6, 80)
     got = ngram_join.near_groups(spark.createDataFrame(docs, DOCS).coalesce(2), 3, 7, 10).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_groups(docs, 3, 7, 10)
