@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, line_dedup, mixing, ngram_join, quality
-from evidentia.llm.common import read, shared_folder
+from evidentia.llm.common import checkpointed, read, shared_folder
 from evidentia.workers import ready
 
 
@@ -67,9 +67,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     row = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     marked = plain.where(F.col(key).isNotNull()).withColumn("row_key", row)
     groups = ngram_join.near_groups(marked.select("row_key", F.col(text).alias("text")), id_column="row_key")
-    kept = groups.where(F.col("row_key") == F.col("component_id")).select("row_key").distinct()
+    kept = checkpointed(groups.where(F.col("row_key") == F.col("component_id")).select("row_key").distinct())
     first = Window.partitionBy("row_key").orderBy(F.xxhash64(*names.values()))
-    same = marked.join(kept, "row_key", "left_semi").withColumn("place_of_row", F.row_number().over(first)).where("place_of_row = 1")
+    dealt = marked.repartition("row_key")  # once, for the join and the window
+    same = dealt.join(kept, "row_key", "left_semi").withColumn("place_of_row", F.row_number().over(first)).where("place_of_row = 1")
     return same.select(*names.values()).unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
