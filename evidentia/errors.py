@@ -21,4 +21,7 @@ COLLECTION = {
     "SOURCE_CHANGED_DURING_SCAN": "Source changed during scan.",
     "REFERENCE_LIMIT_EXCEEDED": "Reference extraction exceeds a safety limit.",
 }
+#: Two refusals that share a code with others but tell more.
+LAYOUT_AMBIGUOUS = "HWPX section layout is ambiguous."
+ARCHIVE_UNREADABLE = "Document is not a readable ZIP archive."
 STAGE_OF = {"REFERENCE_LIMIT_EXCEEDED": "extract"}

@@ -229,11 +229,15 @@ def candidates(found: DataFrame, document: str, order: list[str]) -> DataFrame:
     return rows.withColumn("item_number", F.row_number().over(Window.partitionBy(document).orderBy(*order, "start")))
 
 
-def over_budget(found: DataFrame, document: str, matches_node: int = MATCHES_PER_NODE, matches_document: int = MATCHES_PER_DOCUMENT, candidates_node: int = CANDIDATES_PER_NODE, candidates_document: int = CANDIDATES_PER_DOCUMENT) -> DataFrame:
-    """Documents beyond a work budget; such a document is void as a whole."""
+def beyond_budget(over, matches_node: int = MATCHES_PER_NODE, matches_document: int = MATCHES_PER_DOCUMENT, candidates_node: int = CANDIDATES_PER_NODE, candidates_document: int = CANDIDATES_PER_DOCUMENT) -> Column:
+    """Whether a document is beyond a work budget; ``over`` makes an aggregate of its nodes that of the document."""
     n = F.size("candidates")
-    totals = found.groupBy(document).agg(F.max("matches").alias("mn"), F.sum("matches").alias("md"), F.max(n).alias("cn"), F.sum(n).alias("cd"))
-    return totals.where(f"mn > {matches_node} OR md > {matches_document} OR cn > {candidates_node} OR cd > {candidates_document}").select(document)
+    return (over(F.max("matches")) > matches_node) | (over(F.sum("matches")) > matches_document) | (over(F.max(n)) > candidates_node) | (over(F.sum(n)) > candidates_document)
+
+
+def over_budget(found: DataFrame, document: str, *budgets: int, **named: int) -> DataFrame:
+    """Documents beyond a work budget (those of beyond_budget); such a document is void as a whole."""
+    return found.groupBy(document).agg(beyond_budget(lambda c: c, *budgets, **named).alias("void")).where("void").select(document)
 
 
 def lines_as_nodes(docs: DataFrame, document: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,8 +23,12 @@ def reports(documents: DataFrame, items: DataFrame, errors: DataFrame, as_of: st
     """
     faults = errors.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("code", "stage", F.lit(True).alias("fatal"), "locator", "message"))).alias("collection_errors"))
     kept = items.join(faults, "path", "left_anti").groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("item_number", item().alias("item")))), lambda x: x["item"]).alias("items"))
-    out = documents.select("path", "document_sha256").join(kept, "path", "left").join(faults, "path", "left")
-    return out.select(
+    return shaped(documents.select("path", "document_sha256").join(kept, "path", "left").join(faults, "path", "left"), as_of, catalog_sha256)
+
+
+def shaped(documents: DataFrame, as_of: str, catalog_sha256: str) -> DataFrame:
+    """Report rows of (path, document_sha256, items, collection_errors), where missing lists are empty."""
+    return documents.select(
         "path",
         F.lit("1").alias("schema_version"),
         F.concat(F.lit("document-"), F.substring("document_sha256", 1, 12), F.lit(".hwpx")).alias("document_name"),

@@ -509,7 +509,7 @@ ROW_SQL = "'<tr><td>' || item_number || '</td><td>' || status || '</td><td>' ||
 def review_rows_html(spark, sf_dir):
     items = licence_items(spark, sf_dir).select(F.col("doc_id").alias("pair"), "item_number", F.concat(F.lit("n"), F.col("ordinal").cast("string")).alias("locator"), "title", "provision", "status", "reason_code", F.array().cast(resolve.EVIDENCE).alias("evidence"))
     none = spark.createDataFrame([], "ledger long, sequence int, action string, item_number int, disposition string")
-    return render.rows_html(items, none).withColumnRenamed("pair", "doc_id")
+    return render.rows_html(items, none).select(F.col("pair").alias("doc_id"), "place", "html")
 
 
 # --- reports and documents

@@ -24,14 +24,14 @@ def evidence_html(e):
 
 
 def rows_html(items: DataFrame, events: DataFrame) -> DataFrame:
-    """(pair, place, html): items by priority of status, then number, with the latest decision or ``unreviewed``."""
+    """(pair, status, place, html): items by priority of status, then number, with the latest decision or ``unreviewed``."""
     latest = ledgers.latest_decisions(events).withColumnRenamed("ledger", "pair")
     joined = items.join(latest, ["pair", "item_number"], "left")
     order = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("status"))
     cells = [F.col("item_number").cast("string"), F.col("status"), F.col("reason_code"), F.col("locator"), F.col("title"), F.col("provision"), F.coalesce("disposition", F.lit("unreviewed"))]
     evidence = F.concat(F.lit("<td><ul>"), F.array_join(F.transform("evidence", evidence_html), ""), F.lit("</ul></td>"))
     row = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), cell(c), F.lit("</td>")) for c in cells), evidence, F.lit("</tr>"))
-    return joined.select("pair", F.row_number().over(Window.partitionBy("pair").orderBy(order, "item_number")).alias("place"), row.alias("html"))
+    return joined.select("pair", "status", F.row_number().over(Window.partitionBy("pair").orderBy(order, "item_number")).alias("place"), row.alias("html"))
 
 
 #: What a page says above its items.
@@ -45,7 +45,7 @@ def listed(c):
 
 def pages(items: DataFrame, events: DataFrame, heads: DataFrame) -> DataFrame:
     """(pair, html) for heads as in HEADS; one page a report, whose items are bounded in number."""
-    rows = rows_html(items, events).groupBy("pair").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "html"))), lambda x: x["html"]), "\n").alias("rows"))
+    rows = rows_html(items, events).groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("place", "status", "html"))).alias("rows"))
     counts = items.groupBy("pair").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
     joined = heads.join(counts, "pair", "left").join(rows, "pair", "left")
     summary = F.concat_ws(", ", *(F.concat(F.lit(f"{s}: "), F.coalesce(s, F.lit(0)).cast("string")) for s in PRIORITY))
@@ -53,7 +53,12 @@ def pages(items: DataFrame, events: DataFrame, heads: DataFrame) -> DataFrame:
     warning = F.when(F.size("errors") > 0, F.concat(F.lit("<h2>Collection errors: the evidence is incomplete</h2><ul>"), errors, F.lit("</ul>"))).otherwise("")
     empty = F.when(F.col("n_items") == 0, "<p>No candidates: this does not mean that the review is complete.</p>").otherwise("")
     name, para = cell(F.col("document_name")), lambda *c: F.concat(F.lit("<p>"), *(F.lit(x) if isinstance(x, str) else x for x in c), F.lit("</p>"))
-    top = F.concat(F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Evidence review</title></head><body><h1>Evidence review</h1>'), para(name, ", as of ", cell(F.col("as_of")), ", report digest ", cell(F.col("digest"))), para("This page holds identifiers and evidence as they are; it draws no legal conclusion."))
+    top = F.concat(F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Evidence review</title></head><body><h1>Evidence review</h1>'), para(name, ", as of ", cell(F.col("as_of")), ", report digest ", cell(F.col("digest"))), para("Keep this page private: it holds identifiers and evidence as they are. It draws no legal conclusion and vouches for no source."))
     told = F.concat(warning, para("Statuses: ", summary), para("Unreviewed: ", F.col("unreviewed_count").cast("string"), "; decisions: ", listed("disposition_counts")), para("Seconds by stage: ", listed("seconds")), empty)
-    head = F.lit("<table>\n<tr><th>Item</th><th>Status</th><th>Reason</th><th>Place</th><th>Title</th><th>Provision</th><th>Decision</th><th>Evidence</th></tr>\n")
-    return joined.select("pair", F.concat(top, told, head, F.coalesce("rows", F.lit("")), F.lit("\n</table></body></html>\n")).alias("html"))
+    head = "<table>\n<tr><th>Item</th><th>Status</th><th>Reason</th><th>Place</th><th>Title</th><th>Provision</th><th>Decision</th><th>Evidence</th></tr>\n"
+
+    def section(status: str):
+        own = F.transform(F.filter(F.coalesce("rows", F.array().cast("array<struct<place:int,status:string,html:string>>")), lambda x: x["status"] == status), lambda x: x["html"])
+        return F.concat(F.lit(f"<section><h2>{status} ("), F.coalesce(status, F.lit(0)).cast("string"), F.lit(f")</h2>\n{head}"), F.array_join(own, "\n"), F.lit("\n</table></section>\n"))
+
+    return joined.select("pair", F.concat(top, told, *map(section, PRIORITY), F.lit("</body></html>\n")).alias("html"))

@@ -7,7 +7,7 @@ import json
 from datetime import date, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.errors import COLLECTION, STAGE_OF, EvidenceError
@@ -16,25 +16,28 @@ from evidentia.sources import hwpx
 from evidentia.sources.catalog import Catalog, load_catalog
 
 
-def scan(nodes: DataFrame, catalog: Catalog, as_of: str, document: str = "path", order: tuple[str, ...] = ("section_rank", "ordinal"), **options) -> tuple[DataFrame, DataFrame]:
-    """(items, void documents) of text nodes (document, order..., locator, text)."""
-    budgets = {k: options.pop(k) for k in list(options) if k.startswith(("matches_", "candidates_"))}
-    found = extract.mentions(nodes, catalog.versions.select("title"), [document, *order, "locator"], **options)
-    void = extract.over_budget(found, document, **budgets)
-    rows = extract.candidates(found, document, [*order, "locator"]).join(void, document, "left_anti")
-    return resolve.attach(rows, catalog.versions, catalog.provisions, as_of), void
-
-
 def scan_documents(spark: SparkSession, files: DataFrame, catalog: Catalog, as_of: str, limits: hwpx.Limits = hwpx.Limits(), **options) -> DataFrame:
-    """One report row per archive of a ``binaryFile`` frame; parse and budget errors void a document as a whole."""
-    parsed = hwpx.parse_documents(files, limits)
-    documents = parsed.select("path", "document_sha256").distinct()
-    nodes = parsed.where("text IS NOT NULL").select("path", "section_rank", "ordinal", "locator", "text")
-    items, void = scan(nodes, catalog, as_of, **options)
-    errors = parsed.where("error_code IS NOT NULL").select("path", F.col("error_code").alias("code"), F.lit("parse").alias("stage"), F.col("error_locator").alias("locator"), F.col("error_message").alias("message"))
-    code = "REFERENCE_LIMIT_EXCEEDED"
-    limited = void.select("path", F.lit(code).alias("code"), F.lit(STAGE_OF[code]).alias("stage"), F.lit(None).cast("string").alias("locator"), F.lit(COLLECTION[code]).alias("message"))
-    return report.reports(documents, items, errors.unionByName(limited), as_of, catalog.sha256)
+    """One report row per archive of a ``binaryFile`` frame; parse and budget errors void a document as a whole.
+
+    An archive is read and parsed once: its nodes, or its error, are rows that are dealt by path once, where budgets are summed,
+    items numbered and the report put together.
+    """
+    budgets = {k: options.pop(k) for k in list(options) if k.startswith(("matches_", "candidates_"))}
+    keys = ["path", "document_sha256", "section_rank", "ordinal", "locator", "error_code", "error_locator", "error_message"]
+    found = extract.mentions(hwpx.parse_documents(files, limits), catalog.versions.select("title"), keys, **options)
+    document = Window.partitionBy("path")
+    counted = found.withColumns({"void": extract.beyond_budget(lambda c: c.over(document), **budgets)})
+    free = F.when(~F.col("void") & F.col("error_code").isNull(), F.col("candidates"))
+    rows = counted.select(*keys, "void", F.explode_outer(free).alias("c")).select(*keys, "void", "c.start", "c.title", "c.provision")
+    numbered = rows.withColumn("item_number", F.row_number().over(document.orderBy(F.col("start").isNull(), "section_rank", "ordinal", "start")))
+    told = resolve.attach(numbered, catalog.versions, catalog.provisions, as_of)
+    code, none = "REFERENCE_LIMIT_EXCEEDED", F.lit(None).cast("string")
+    fault = lambda *c: F.struct(*(x.alias(n) for n, x in zip(("code", "stage", "fatal", "locator", "message"), c, strict=True)))
+    parse = F.when(F.col("error_code").isNotNull(), fault(F.col("error_code"), F.lit("parse"), F.lit(True), F.col("error_locator"), F.col("error_message")))
+    limited = F.when(F.col("void"), fault(F.lit(code), F.lit(STAGE_OF[code]), F.lit(True), none, F.lit(COLLECTION[code])))
+    items = F.sort_array(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("item_number", report.item().alias("item")))))
+    grouped = told.groupBy("path", "document_sha256").agg(F.transform(items, lambda x: x["item"]).alias("items"), F.sort_array(F.collect_set(F.coalesce(parse, limited))).alias("collection_errors"))
+    return report.shaped(grouped, as_of, catalog.sha256)
 
 
 def strict_as_of(value) -> str:
@@ -53,7 +56,10 @@ def scan_document(spark: SparkSession, path: str | Path, as_of: date, catalog: s
         before = hashlib.sha256(path.read_bytes()).hexdigest()
     except OSError:
         raise EvidenceError("DOCUMENT_NOT_READABLE", "Document cannot be read.") from None
-    loaded = load_catalog(spark, catalog) if strict_as_of(as_of) else None
+    if not Path(catalog).is_file():
+        raise EvidenceError("CATALOG_NOT_FOUND", "Catalog was not found.")
+    strict_as_of(as_of)
+    loaded = load_catalog(spark, catalog)
     files = spark.read.format("binaryFile").load(path.absolute().as_uri())
     out = json.loads(report.as_json(scan_documents(spark, files, loaded, as_of.isoformat())).first()["json"])
     try:

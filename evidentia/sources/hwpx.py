@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.errors import COLLECTION
+from evidentia.errors import ARCHIVE_UNREADABLE, COLLECTION, LAYOUT_AMBIGUOUS
 from evidentia.workers import ready
 
 MIMETYPE = b"application/hwp+zip"
@@ -43,9 +43,9 @@ class Limits:
 
 
 class Refused(Exception):
-    def __init__(self, code: str, locator: str | None = None):
+    def __init__(self, code: str, locator: str | None = None, message: str | None = None):
         super().__init__(code)
-        self.code, self.locator = code, locator
+        self.code, self.locator, self.message = code, locator, message or COLLECTION[code]
 
 
 def _plain(name: str) -> str:
@@ -69,7 +69,7 @@ def _sections(entries: list[zipfile.ZipInfo], limits: Limits) -> list[zipfile.Zi
                 raise Refused("HWPX_LIMIT_EXCEEDED")
             digits = m[1].lstrip("0") or "0"
             if found.setdefault((len(digits), digits), e) is not e:
-                raise Refused("HWPX_XML_INVALID")
+                raise Refused("HWPX_XML_INVALID", message=LAYOUT_AMBIGUOUS)
     if any(e.file_size > limits.section_bytes for e in found.values()):
         raise Refused("HWPX_LIMIT_EXCEEDED")
     if names.count("mimetype") != 1:
@@ -164,10 +164,12 @@ def parse(content: bytes, limits: Limits = Limits()) -> tuple[list[tuple], Refus
             return rows, None
     except Refused as e:
         return [], e
-    except (zipfile.BadZipFile, EOFError, NotImplementedError, OSError, RuntimeError, UnicodeDecodeError, zlib.error):
-        return [], Refused("DOCUMENT_NOT_ZIP")
+    except (zipfile.BadZipFile, EOFError, NotImplementedError, OSError, RuntimeError, UnicodeDecodeError, zlib.error):  # what zipfile, its streams and names raise on damage
+        return [], Refused("DOCUMENT_NOT_ZIP", message=ARCHIVE_UNREADABLE)
 
 
+#: Files up to this size are read, if only for their hash; larger ones, which no binary column could hold, are refused unread.
+READ_BYTES = 1 << 30
 PARSED = "path string, document_sha256 string, section_rank int, section_name string, ordinal int, locator string, text string, error_code string, error_locator string, error_message string"
 
 
@@ -182,18 +184,24 @@ def parse_documents(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 nodes, error = parse(content, limits)
                 rows = [(path, sha, r, s, n, f"{s}:t[{n}]", t, None, None, None) for r, s, n, t in nodes]
                 if not rows:
-                    told = (error.code, error.locator, COLLECTION[error.code]) if error else (None, None, None)
+                    told = (error.code, error.locator, error.message) if error else (None, None, None)
                     rows = [(path, sha, None, None, None, None, None, *told)]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
 
     names = [x.split()[0] for x in PARSED.split(", ")]
     arrow = pa.schema([(n, pa.int32() if n in ("section_rank", "ordinal") else pa.string()) for n in names])
     ready(files.sparkSession)
-    return files.select("path", "content").mapInArrow(run, PARSED)
+    if "length" not in files.columns:
+        return files.select("path", "content").mapInArrow(run, PARSED)
+    # the source reads no content of files that the filter on their length leaves out
+    parsed = files.where(F.col("length") <= READ_BYTES).select("path", "content").mapInArrow(run, PARSED)
+    told = {"path": F.col("path"), "error_code": F.lit("HWPX_LIMIT_EXCEEDED"), "error_message": F.lit(COLLECTION["HWPX_LIMIT_EXCEEDED"])}
+    unread = files.where(F.col("length") > READ_BYTES).select(*(told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in parsed.schema))
+    return parsed.unionByName(unread)
 
 
 def read_documents(spark: SparkSession, folder: str, limits: Limits = Limits()) -> DataFrame:
-    """All ``*.hwpx`` below a folder, parsed; archives beyond the size budget are refused unread."""
+    """All ``*.hwpx`` below a folder, parsed; archives beyond the size budget are refused, those beyond READ_BYTES unread and without a hash."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hwpx").option("recursiveFileLookup", "true").load(folder)
     return parse_documents(files, limits)
 

@@ -10,7 +10,7 @@ import pytest
 from evidentia.errors import EvidenceError
 from evidentia.operators import extract, resolve
 from evidentia.plans.demo import AS_OF, CATALOG, catalog_of, create_demo
-from evidentia.plans.scan import scan_document
+from evidentia.plans.scan import scan_document, scan_documents
 from evidentia.sources import hwpx
 from evidentia.sources.catalog import catalog_frames, parse_catalog
 
@@ -81,6 +81,30 @@ def test_budgets_of_documents(tmp_path):
     assert hwpx.parse(data, hwpx.Limits(elements=9, texts=4, depth=4, characters=3, entries=4))[1] is None
 
 
+def test_refusals_that_tell_more_and_unread_archives(spark, tmp_path, monkeypatch):
+    archive(tmp_path / "a", {"mimetype": hwpx.MIMETYPE, "Contents/section0.xml": b"<s/>", "Contents/section00.xml": b"<s/>"})
+    assert hwpx.parse((tmp_path / "a").read_bytes())[1].message == "HWPX section layout is ambiguous."
+    assert hwpx.parse(b"no archive")[1].message == "Document is not a readable ZIP archive."
+    hwpx.write_document(tmp_path / "big.hwpx", ["x" * 99])
+    hwpx.write_document(tmp_path / "d.hwpx", ["x"])
+    monkeypatch.setattr(hwpx, "READ_BYTES", (tmp_path / "d.hwpx").stat().st_size)
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in hwpx.read_documents(spark, str(tmp_path)).collect()}
+    assert got["big.hwpx"]["error_code"] == "HWPX_LIMIT_EXCEEDED" and got["big.hwpx"]["document_sha256"] is None and got["d.hwpx"]["text"] == "x"
+
+
+def test_scan_parses_once_and_voids_over_budget(spark, tmp_path):
+    catalog = catalog_frames(spark, json.dumps(CATALOG).encode())
+    hwpx.write_document(tmp_path / "a.hwpx", ["모의장서기준 제12조", "다른 훈령"])
+    hwpx.write_document(tmp_path / "b.hwpx", ["nothing of note"])
+    (tmp_path / "c.hwpx").write_bytes(b"no archive")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    plan = scan_documents(spark, files, catalog, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("binaryFile") <= 2  # read files, and those too large to read
+    told = lambda **budgets: {r["path"].rsplit("/", 1)[-1]: (len(r["items"]), [e["code"] for e in r["collection_errors"]]) for r in scan_documents(spark, files, catalog, AS_OF, **budgets).collect()}
+    assert told() == {"a.hwpx": (2, []), "b.hwpx": (0, []), "c.hwpx": (0, ["DOCUMENT_NOT_ZIP"])}
+    assert told(candidates_document=1) == {"a.hwpx": (0, ["REFERENCE_LIMIT_EXCEEDED"]), "b.hwpx": (0, []), "c.hwpx": (0, ["DOCUMENT_NOT_ZIP"])}
+
+
 def test_over_budget_voids_the_document(spark, tmp_path):
     rows = [("a", 0, "x규정 규정"), ("b", 0, "규정")]
     nodes = spark.createDataFrame(rows, "path string, ordinal int, text string")
@@ -127,12 +151,14 @@ def test_requests(spark, tmp_path):
         scan_document(spark, tmp_path / "none", date(2024, 1, 1), tmp_path / "c")
     assert e.value.code == "DOCUMENT_NOT_FOUND"
     hwpx.write_document(tmp_path / "d.hwpx", ["x"])
+    (tmp_path / "c").write_text("{")
     with pytest.raises(EvidenceError) as e:
         scan_document(spark, tmp_path / "d.hwpx", datetime(2024, 1, 1), tmp_path / "c")
     assert e.value.code == "AS_OF_TYPE_INVALID"
+    (tmp_path / "c").unlink()
     with pytest.raises(EvidenceError) as e:
-        scan_document(spark, tmp_path / "d.hwpx", date(2024, 1, 1), tmp_path / "c")
-    assert e.value.code == "CATALOG_NOT_FOUND"
+        scan_document(spark, tmp_path / "d.hwpx", datetime(2024, 1, 1), tmp_path / "c")
+    assert e.value.code == "CATALOG_NOT_FOUND"  # the request is checked in this order: document, catalog, date
 
 
 def plain_mentions(text, titles, markers, form, ahead):
