@@ -17,11 +17,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable checkpoint folder that the session names; our own only where it is unset (tests on one machine)."""
+    """The reliable checkpoint folder that the session names; a temporary one only on a single machine that names none (tests)."""
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if named.isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
         named = sc._jsc.sc().getCheckpointDir()
     return named.get()
 
