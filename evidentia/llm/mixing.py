@@ -214,13 +214,13 @@ _STEP = """SELECT * REPLACE (least(f * CASE WHEN now > 0 THEN want * {keep} / no
 
 
 def _round() -> str:
-    inner = "SELECT * FROM raked WHERE it < 200"
+    inner = f"SELECT * FROM raked WHERE it < {ROUNDS}"
     for d in DIMS:
         inner = _STEP.format(keep=KEEP, largest=LARGEST, d=d, inner=inner.replace("SELECT * FROM (", "SELECT * EXCLUDE (now, want) FROM (", 1) if d == DIMS[0] else f"SELECT * EXCLUDE (now, want) FROM ({inner})")
     return inner
 
 
-#: DuckDB: the same rounds as a recursive query over the cells (200 of them; the factors settle long before).
+#: DuckDB: the same rounds as a recursive query over the cells, all of them, settled or not.
 ORACLE = f"""
 WITH RECURSIVE cut AS (SELECT doc_id, source, lang, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents),
 hits AS (SELECT doc_id, source, lang, len(w)::BIGINT AS tokens, [{", ".join(_hits(s) for s in TOPICS.values())}] AS h FROM cut),
@@ -232,7 +232,7 @@ cells AS (SELECT source, lang, topic, m / sum(m) OVER () AS mass FROM sums),
 raked AS (
   SELECT 0 AS it, c.*, want_source, want_lang, want_topic, {KEEP}::DOUBLE AS f FROM cells c JOIN want_source USING (source) JOIN want_lang USING (lang) JOIN want_topic USING (topic)
   UNION ALL SELECT it + 1, source, lang, topic, mass, want_source, want_lang, want_topic, f FROM ({_round()})
-), factors AS (SELECT source, lang, topic, f FROM raked WHERE it = 200)
+), factors AS (SELECT source, lang, topic, f FROM raked WHERE it = {ROUNDS})
 SELECT doc_id, s.source, s.lang, s.topic, tokens, round(coalesce(f, 0), 6) AS weight, round(least(coalesce(f, 0), 1), 6) AS probability,
   CASE WHEN ('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT / {float(1 << 52)} < least(coalesce(f, 0), 1) THEN 1 ELSE 0 END AS sampled
 FROM seen s LEFT JOIN factors c ON s.source = c.source AND s.lang = c.lang AND s.topic = c.topic
