@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidentia.llm import ann, bpe, chat, fingerprint, html_extract, line_dedup, mixing, ngram_join, pack, quality, runs, url_filter
+from evidentia.llm import ann, bpe, chat, fingerprint, html_extract, line_dedup, mixing, ngram_join, pack, quality, runs, url_filter, whiten
 from evidentia.llm.common import read
 
 
@@ -55,6 +55,10 @@ def op10_fingerprint(spark, sf_dir):
     return fingerprint.fingerprinted(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whiten.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     return runs.collapse_runs(read(spark, sf_dir, "documents"), reread=runs.periodic_tail)
 
@@ -63,5 +67,5 @@ def op13_packing(spark, sf_dir):
     return pack.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_bpe, op4_html, op5_quality, op6_url_filter, op7_ngram_join, op8_chat, op9_ann, op10_fingerprint, op12_periodic_runs, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_bpe, op4_html, op5_quality, op6_url_filter, op7_ngram_join, op8_chat, op9_ann, op10_fingerprint, op11_whitening, op12_periodic_runs, op13_packing)}
 ORACLES = {"op1_mixing": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op8_chat": chat.ORACLE}
