@@ -1,8 +1,8 @@
 """URL filters: all glob rules at once by bit-parallel Shift-And over canonical URLs.
 
-A rule is one string over the canonical URL ``host + path``.  Its positions are bits in 64-bit words:
-a literal byte, ``?`` (any byte), ``*`` (any run of bytes) or ``^`` (any run of bytes but ``/``).  One
-step moves the states of all rules: shift, mask with the byte's table, and stay where a run allows it.
+A rule is one string over ``.`` and the canonical URL, ``host + path``.  Its positions are bits in 64-bit words: a literal
+byte, ``?`` (any byte), ``~`` (a byte between words: ``. - _ :``), ``*`` (any run of bytes) or ``^`` (any run of bytes but
+``/``).  One step moves the states of all rules: shift, mask with the byte's table, and stay where a run allows it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 22
 
 
+#: Bytes that stand between words of a host.
+BETWEEN = b".-_:"
+
+
 class GlobSet:
     """Shift-And masks of many anchored globs."""
 
@@ -23,11 +27,14 @@ class GlobSet:
         offsets, last, width = [], [], 0
         cells: list[list[tuple[bytes | None, str]]] = []
         for g in globs:
-            atoms: list[tuple[bytes | None, str]] = []  # (byte or None for any, the run that may stand before it)
+            atoms: list[tuple[bytes | None, str]] = []  # (bytes that fit or None for any, the run that may stand before it)
             run = ""
             for ch in g:
                 if ch in "*^":
                     run = "*" if "*" in (ch, run) else "^"
+                elif ch == "~":
+                    atoms.append((BETWEEN, run))
+                    run = ""
                 else:
                     atoms += [(None if ch == "?" else bytes([b]), run if i == 0 else "") for i, b in enumerate(ch.encode())]
                     run = ""
@@ -83,17 +90,26 @@ class GlobSet:
 
 #: Listed rules: (host, path, verdict); a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: The method's own rules by category: parts of host names, for URLs that no listed rule fits.
+#: The method's own rules by category, for URLs that no listed rule fits: words of host names.
 UNWANTED = {
-    "gambling": "casino poker-room pokerstars free-bets sportsbet betting-tips online-slots slot-machine jackpot-win roulette bingo-hall lottery-win".split(),
+    "gambling": "casino casinos poker-room pokerstars free-bets sportsbet betting-tips online-slots slot-machine slot-machines jackpot-win roulette bingo-hall lottery-win".split(),
     "adult": "adult-x adultfriend pornhub porn-tube porno xvideos xhamster sex-cam sexshop camgirl escort-service hentai milf".split(),
-    "pharmacy": "cheap-pills viagra cialis tramadol online-pharmacy pharmacy-online diet-pills weight-loss-pill".split(),
-    "spam": "spam-farm link-farm linkfarm seo-farm article-spinner buy-backlinks free-ringtones make-money-fast get-rich payday-loan replica-watch".split(),
+    "pharmacy": "cheap-pills viagra cialis tramadol online-pharmacy pharmacy-online diet-pills weight-loss-pill weight-loss-pills".split(),
+    "spam": "spam-farm link-farm linkfarm seo-farm article-spinner buy-backlinks free-ringtones make-money-fast get-rich get-rich-quick payday-loan payday-loans replica-watch replica-watches".split(),
     "piracy": "warez keygen crackz torrent-download torrentz piratebay free-movies-online nulled-scripts serial-key".split(),
     "adverts": "ads-track adserver ad-server adservice adclick doubleclick popunder clickbank trackclick affiliate-link banner-exchange".split(),
     "malware": "phishing free-antivirus-scan trojan-download malware-host botnet".split(),
 }
-BLOCK_GLOBS = [f"^{word}*" for words in UNWANTED.values() for word in words]
+#: Further globs, over host and path: hosts of adverts, and parts of paths.
+UNWANTED_GLOBS = ["^.ads.*", "^.ad?server.*", "*/cgi-bin/ad*", "*/adclick/*", "*/affiliate/?*", "*/doorway~*", "*/popunder~*", "*/wp-content/uploads/*.exe"]
+
+
+def host_globs(words: list[str]) -> list[str]:
+    """Globs of hosts that hold one of these words whole, between dots, hyphens or the like, or at the URL's end."""
+    return [g for w in words for g in (f"^~{w}~*", f"^~{w}/*", f"^~{w}")]
+
+
+BLOCK_GLOBS = [*host_globs([w for words in UNWANTED.values() for w in words]), *UNWANTED_GLOBS]
 #: Globs that a table of them may hold: a worker keeps two bits a byte value for each of their characters.
 MAX_GLOBS = 20_000
 
@@ -109,8 +125,8 @@ def globs_of(rules) -> list[str]:
 
 
 def glob_pattern(glob: str) -> str:
-    """The same glob as a regular expression over a whole URL."""
-    return "".join({"*": ".*", "^": "[^/]*", "?": "."}.get(c, c if c.isalnum() else f"[{c}]") for c in glob)
+    """The same glob as a regular expression over ``.`` and a whole URL."""
+    return "".join({"*": ".*", "^": "[^/]*", "?": ".", "~": "[-._:]"}.get(c, c if c.isalnum() else f"[{c}]") for c in glob)
 
 
 def host_of(url: Column) -> Column:
@@ -128,7 +144,8 @@ def judge(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS, id_column: str
     """Per row (id, host, path, rule, verdict).
 
     The longest listed rule (host and path together; ties: the earlier) that fits decides and is named in ``rule``;
-    otherwise ``rule`` is null and the verdict is ``block`` where one of ``block_globs`` matches (a list, or a table whose first column holds them), else ``allow``.  A null URL or one
+    otherwise ``rule`` is null and the verdict is ``block`` where one of ``block_globs`` matches (a list, or a table whose first
+    column holds them), else ``allow``.  A null URL or one
     without ``://`` has empty host and path, which no listed rule fits.  Repeated rows are judged alike, other columns
     left out, an empty table gives an empty table; the length of a URL is not limited.
     """
@@ -136,17 +153,17 @@ def judge(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS, id_column: str
     verdicts = [v for _, _, v in rules]
     best = sorted(range(len(rules)), key=lambda i: (-len(names[i]), i))
     listed = len(rules)
-    globs = [f"{h}{p}*" for h, p, _ in rules] + [f"^.{h}{p}*" for h, p, _ in rules] + globs_of(block_globs)
+    globs = [f"^.{h}{p}*" for h, p, _ in rules] + globs_of(block_globs)
     for h, p, _ in rules:
-        assert not set(h + p) & set("*?^"), "listed rules are literal"
+        assert not set(h + p) & set("*?^~"), "listed rules are literal"
 
     def run(batches):
         made = GlobSet(globs)
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            hit = made.match([(h + p).encode() for h, p in zip(hosts, paths, strict=True)])
-            fits = hit[:, :listed] | hit[:, listed : 2 * listed]
-            blocked = hit[:, 2 * listed :].any(axis=1)
+            hit = made.match([f".{h}{p}".encode() for h, p in zip(hosts, paths, strict=True)])
+            fits = hit[:, :listed]
+            blocked = hit[:, listed:].any(axis=1)
             rule: list = [None] * len(hosts)
             verdict = np.where(blocked, "block", "allow").tolist()
             for i in np.flatnonzero(fits.any(axis=1)).tolist():
@@ -175,6 +192,6 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_full_match(host || path, '(?s)(?:{"|".join(map(glob_pattern, BLOCK_GLOBS))})') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN regexp_full_match('.' || host || path, '(?s)(?:{"|".join(map(glob_pattern, BLOCK_GLOBS))})') THEN 'block' ELSE 'allow' END AS verdict
 FROM fit
 """

@@ -271,14 +271,14 @@ def plain_glob(glob, url):
                     more.add(p)
             places = more
         else:
-            places = {p + 1 for p in places if p < len(url) and ch in ("?", url[p])}
+            places = {p + 1 for p in places if p < len(url) and (ch in ("?", url[p]) or ch == "~" and url[p] in ".-_:")}
     return len(url) in places
 
 
 def test_globs_against_backtracking():
     rng = random.Random(4)
-    globs = ["", "*", "^", "a*", "*a", "^.b/*", "?a^b*", "ab", "a**b", "*^/"] + ["".join(rng.choice("ab./*^?") for _ in range(rng.randint(1, 9))) for _ in range(60)]
-    urls = ["", "a", "/", "a" * 500] + ["".join(rng.choice("ab./") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    globs = ["", "*", "^", "a*", "*a", "^.b/*", "?a^b*", "ab", "a**b", "*^/", "^~ab~*", "^~ab"] + ["".join(rng.choice("ab./*^?~") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    urls = ["", "a", "/", "a" * 500] + ["".join(rng.choice("ab./-") for _ in range(rng.randint(1, 14))) for _ in range(300)]
     hit = url_filter.GlobSet(globs).match([u.encode() for u in urls])
     for i, u in enumerate(urls):
         for j, g in enumerate(globs):
@@ -292,6 +292,16 @@ def test_url_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_words_of_hosts_and_paths(spark):
+    urls = {
+        "https://www.specialist-clinic.org.uk/x": "allow", "https://socialistparty.example/": "allow", "https://milford-library.example/a": "allow", "http://antiphishing.example/": "allow", "http://adsl.example.com/": "allow",
+        "http://www.cialis.com/": "block", "http://buy-cialis-now.com:80/": "block", "http://cialis": "block", "http://m.free-bets.example.com/en/1": "block", "http://ads.example.com/": "block", "http://x.com/free-bets/": "allow",
+        "http://x.com/cgi-bin/adv.pl": "block", "http://x.com/a/adclick?to=y": "allow", "http://x.com/a/adclick/1": "block", "http://x.com/affiliate/": "allow", "http://x.com/affiliate/7": "block", "http://a1.adxserver.com/": "block",
+    }
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {list(urls)[r["page_id"]]: r["verdict"] for r in got} == urls
+
+
 def test_globs_from_a_table(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "http://a.com/shop/x"), (2, "http://a.com/x"), (3, "http://casino.com/")], "page_id long, url string")
     table = spark.createDataFrame([("*/shop/*", 1), (None, 2), ("", 3), ("*/shop/*", 4)], "glob string, n int")

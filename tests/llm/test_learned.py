@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from evidentia.llm import ann, fingerprint, html_extract, quality
 
@@ -57,6 +58,76 @@ def test_article_is_evidence_only():
     assert html_extract.extract(f"<div>{PROSE}</div><article><h1>A title</h1><p>{PROSE} {PROSE}</p></article>") == f"A title\n{PROSE} {PROSE}"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><div class="social-science">prose</div></article>', "prose"),
+        ('<div id="search-engine-history">prose prose</div>', "prose prose"),
+        (f"<article><h1>T</h1><div class=social-science><h2>Start</h2><p>{PROSE}</p></div><div class=share-this-now><a href=/>Tell a friend</a></div></article>", f"T\nStart\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><div class='reader-comments'><p>{PROSE}</p></div><div class='cookie-notice--fixed'><p>{PROSE}</p></div></article>", PROSE),
+        (f"<div class='page menu'><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p><div class=ad>{PROSE}</div></div>", f"T\n{PROSE}\n{PROSE}\n{PROSE}"),
+        (f"<div class=comments><p>{PROSE}</p></div>", ""),
+        (f"<body class='has-sidebar no-ads'><table><tr><td id=nav><a href=/>Home</a></td><td><h1>T</h1><p>{PROSE}</p></td></tr></table></body>", f"T\n{PROSE}"),
+        (f"<main><div class=with-sidebar><h1>T</h1><p>{PROSE}</p></div></main>", f"T\n{PROSE}"),
+        ("<p>AT&<i>amp;</i>T &amp;amp; x&#<b>65;</b></p>", "AT&amp;T &amp; x&#65;"),
+    ],
+)
+def test_class_words_take_no_prose_away(page, text):
+    assert html_extract.extract(page) == text
+
+
+def slow_extract(found):
+    """The two passes over blocks again, each block asking all others."""
+    P, L = html_extract.PAGE_BLOCKS, []
+    for x in found:
+        words = regex.findall(r"[\p{L}\p{N}]+", x.text)
+        prose = len(words) >= 8 and sum(w.lower() in html_extract.STOP_WORDS for w in words) / len(words) >= 0.08
+        L.append(False if x.out or x.linked > len(x.text) / 2 else True if prose else None)
+    believed = {x.named for x in found} - {None}
+    if all(x.named is not None for x, y in zip(found, L, strict=True) if y):
+        count = lambda n: sum(1 for x, y in zip(found, L, strict=True) if y and x.named == n and not x.twice)
+        order = list(dict.fromkeys(x.named for x, y in zip(found, L, strict=True) if y and not x.twice))
+        page = max(order, key=count, default=None)
+        if page is not None and count(page) >= P:
+            believed.discard(page)
+    L = [False if x.named is not None and (x.named in believed or x.twice) else y for x, y in zip(found, L, strict=True)]
+    L = [False if x.hint is not None and not any(z and w.hint == x.hint for w, z in zip(found, L, strict=True)) and x.linked > 0.2 * len(x.text) else y for x, y in zip(found, L, strict=True)]
+    articles = sum(len(x.text) for x, y in zip(found, L, strict=True) if x.region and y is not False)
+    outside = sum(len(x.text) for x, y in zip(found, L, strict=True) if not x.region and y)
+    out = []
+    for i, (x, y) in enumerate(zip(found, L, strict=True)):
+        if not x.region and articles and articles >= outside:
+            continue
+        if y is None:
+            mine = [j for j, w in enumerate(found) if w.region == x.region]
+            at = mine.index(i)
+            told = [(abs(mine.index(j) - at), L[j]) for j in mine if L[j] is True or L[j] is False and not x.region]
+            nearest = min((d for d, _ in told), default=None)
+            y = True if nearest is None else any(v for d, v in told if d == nearest)
+        if y:
+            out.append(x.text)
+    return "\n".join(out)
+
+
+def test_second_implementation_agrees_on_random_pages():
+    rng = random.Random(11)
+    texts = [PROSE, "Few words", "Arrows Baskets Candles Drums Engines Flutes Gardens Hammers Islands", "One of the two"]
+    names = ["ad", "social-science", "comments", "menu-items", "share-this", "plain", "has-sidebar", "site-header", "promo box"]
+
+    def part(depth):
+        kind = rng.choice(["text", "text", "p", "div", "a", "article", "main", "nav", "class", "class", "h2", "li"])
+        inner = lambda: "".join(part(depth + 1) for _ in range(rng.randint(1, 3))) if depth < 4 else rng.choice(texts)
+        if kind == "text":
+            return rng.choice(texts) + " "
+        if kind == "a":
+            return f"<a href=/>{rng.choice(texts)}</a>"
+        return f"<div class='{rng.choice(names)}'>{inner()}</div>" if kind == "class" else f"<{kind}>{inner()}</{kind}>"
+
+    for _ in range(500):
+        page = "".join(part(0) for _ in range(rng.randint(1, 6)))
+        assert html_extract.extract(page) == slow_extract(list(html_extract.blocks(page))), page
+
+
 def test_stray_quotes_and_deep_nesting():
     assert html_extract.extract("<p title=don't>one</p><p title = \"a>b\" id='x>y' \">two</p>") == "one\ntwo"
     for page in ("<div>" * 60_000 + "x" + "</div>" * 60_000, "<b>" * 30_000 + "<div>" * 30_000 + "x" + "</b>" * 30_000, "<p>" * 60_000 + "x"):
