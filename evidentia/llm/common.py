@@ -10,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from evidentia.workers import ready
 
 
+#: Splits below which a table is dealt anew; a large one is always read as it lies.
+FEW_SPLITS = 8
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One table of a data folder; only Spark opens the path, so any store will do."""
+    """One table of a data folder; only Spark opens the path, so any store will do.
+
+    A small table can be one split however many cores wait; such a one is dealt to all of them.
+    """
     ready(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
