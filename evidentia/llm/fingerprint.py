@@ -32,6 +32,8 @@ NEAR, RECALL = 0.8, 0.92
 BAND_BITS, CHANCE_BITS = 12, 12
 #: Entries a task holds before it sends them, leaders that a bucket is thinned by, rows compared at a time.
 FLUSH, LEADERS, BLOCK = 100_000, 8, 128
+#: Rows of a bucket from which only those that share a piece of their fingerprints are compared.
+CROWD = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -189,9 +191,11 @@ def in_order(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in part.column(2)], pa.binary())], names=["id", "tie", "z"])
 
     texts = base.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(packed, f"id {kind}, tie long, z binary")
-    cuts = sorted(set(ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    # a text is placed by the number that its first six bytes make, which rises with it
+    place = F.conv(F.rpad(F.hex(F.substring(F.col("id").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long") if kind == "string" else F.col("id")
+    cuts = sorted(set(ids.select(place.alias("id")).approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     cuts = [int(c) for c in cuts]
-    bucket = F.when(F.col("id").isNull(), 0).otherwise(1 + cuts_below(F.col("id"), cuts))
+    bucket = F.when(F.col("id").isNull(), 0).otherwise(1 + cuts_below(place, cuts))
     placed = texts.withColumn("bucket", bucket)
     # the first row of each range, by id alone: as many rows as ranges
     tops = {r["bucket"]: r["top"] for r in base.select("id").withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("top")).collect()}
@@ -199,7 +203,7 @@ def in_order(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     above = {b: order[(i - 1) % len(order)] for i, b in enumerate(order)}  # whose last row is followed by this range's first
     pairs = [F.lit(x) for b in order if tops[b] is not None for x in (int(b), int(above[b]))]
     if pairs:
-        top = F.create_map(*[F.lit(x) for b in order if tops[b] is not None for x in (int(b), int(tops[b]))])
+        top = F.create_map(*[F.lit(x) for b in order if tops[b] is not None for x in (int(b), tops[b])])
         to = F.create_map(*pairs)
         is_top = F.col("id") == top[F.col("bucket")]
         is_top = F.coalesce(is_top, F.lit(False))
@@ -310,7 +314,7 @@ def linked(prints: np.ndarray, most: float) -> list[tuple[int, int]]:
     """Links (first of a class, other member) among the fingerprints (rows of 64-bit words) of a bucket: at most ``most`` bits differ.
 
     A few leaders are compared with all first, which joins a family of near copies at once; after that only rows that are not
-    yet joined can link, and all of those are compared.
+    yet joined can link, and all of those are compared, in a crowd those that share a piece of the fingerprint.
     """
     label = np.arange(len(prints))
 
@@ -326,14 +330,31 @@ def linked(prints: np.ndarray, most: float) -> list[tuple[int, int]]:
             if not len(alone):
                 break
             merge(int(alone[0]), np.flatnonzero(apart(int(alone[0]))))
-    for at in range(0, len(prints), BLOCK):
-        if (label == label[0]).all():
-            break
-        rows = prints[at : at + BLOCK]
-        near = np.bitwise_count(rows[:, None, :] ^ prints[None, at:, :]).sum(axis=2, dtype=np.int32) <= most
-        near &= label[at : at + BLOCK, None] != label[None, at:]
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            merge(at + i, np.flatnonzero(near[i]) + at)
+
+    def compare(rows: np.ndarray) -> None:
+        """Link all near pairs of these rows."""
+        for at in range(0, len(rows), BLOCK):
+            now = label[rows]
+            if (now == now[0]).all():
+                break
+            some = rows[at : at + BLOCK]
+            near = np.bitwise_count(prints[some][:, None, :] ^ prints[rows[at:]][None, :, :]).sum(axis=2, dtype=np.int32) <= most
+            near &= label[some][:, None] != label[rows[at:]][None, :]
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                merge(int(some[i]), rows[at:][np.flatnonzero(near[i])])
+
+    if len(prints) <= CROWD:
+        compare(np.arange(len(prints)))
+    else:
+        # near ones differ in ``most`` bits at most, so of one more piece of the fingerprint than that they share one whole
+        bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
+        for piece in np.array_split(np.arange(bits.shape[1]), int(most) + 1):
+            key = bits[:, piece].astype(np.int64) @ (1 << np.arange(len(piece)))
+            order = np.argsort(key, kind="stable")
+            cuts = np.r_[0, np.flatnonzero(np.diff(key[order])) + 1, len(order)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b - a > 1:
+                    compare(order[a:b])
     first = np.full(len(label), len(label))
     np.minimum.at(first, label, np.arange(len(label)))
     return [(i, j) for j, i in enumerate(first[label].tolist()) if i != j]
@@ -425,7 +446,12 @@ def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str
 
 
 def fingerprinted(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """edit_pairs, stored in bytes, with the class_id of each document's fingerprint."""
+    """edit_pairs with the class_id of each document's fingerprint, the smallest id reachable by near fingerprints.
+
+    A null text is an empty one, with the zero fingerprint; empty texts are one class.  Texts are walked whole.  Rows of one id
+    follow each other by a hash of the text; repeated rows stay and are one class; rows without an id come last and name no
+    class.  Ids are numbers or text.  Other columns are left out, so their names cannot clash; an empty table gives an empty table.
+    """
     hexes = ("edited_sha256", "fingerprint", "edited_fingerprint")
     told = edit_pairs(docs, id_column, text)
     kept = stored(told.withColumns({c: F.unhex(c) for c in hexes}))

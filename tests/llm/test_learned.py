@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -352,7 +353,7 @@ def test_near_classes_find_pairs_at_the_threshold(spark):
     assert all((min(i, c), max(i, c)) in want for i, c in got.items() if i != c)
 
 
-def test_bucket_links_span_what_is_linked():
+def test_bucket_links_span_what_is_linked(monkeypatch):
     """Against all pairs, with a family of near copies, chains and strangers; and the plan of bands at any size."""
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**64, (40, 8), dtype=np.uint64)
@@ -373,11 +374,41 @@ def test_bucket_links_span_what_is_linked():
 
     got = fingerprint.linked(rows, 51.2)
     assert len({j for _, j in got}) == len(got) and roots(got) == roots(list(zip(*np.nonzero(near))))
+    monkeypatch.setattr(fingerprint, "CROWD", 50)
+    assert roots(fingerprint.linked(rows, 51.2)) == roots(got)
     for n in (1, 1000, 10**6, 10**9, 10**12):
         places = fingerprint.band_places(512, n)
         assert 1 - (1 - 0.9 ** places.shape[1]) ** len(places) >= fingerprint.RECALL and places.max() < 512 and all(len(set(p)) == len(p) for p in places.tolist())
 
 
+def test_a_crowd_of_strangers_in_one_bucket():
+    """40,000 that share a band but are not near each other, with some near pairs among them."""
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 2**64, (40_000, 8), dtype=np.uint64)
+    rows[:, 0] &= np.uint64((1 << 52) - 1)
+    for i in range(0, 200, 2):
+        x = np.unpackbits(rows[i].view(np.uint8))
+        x[rng.choice(512, rng.integers(1, 52), replace=False)] ^= 1
+        rows[i + 1] = np.packbits(x).view(np.uint64)
+    order = rng.permutation(len(rows))
+    began = time.process_time()
+    got = {tuple(sorted(order[list(p)].tolist())) for p in fingerprint.linked(rows[order], 51.2)}
+    assert got == {(i, i + 1) for i in range(0, 200, 2)}
+    assert time.process_time() - began < 15  # all pairs took 50
+
+
+def test_text_ids_keep_their_order(spark):
+    texts = {f"doc-{i:03}": f"text number {i} of many, with words {i * 7}" for i in range(40)} | {"": "the first of all", "é": "the last of all"}
+    df = spark.createDataFrame([*texts.items(), (None, "no id")], "name string, body string").repartition(5)
+    got = {r["name"]: r for r in fingerprint.edit_pairs(df, "name", "body").collect()}
+    order = [*sorted(texts, key=lambda k: k.encode(), reverse=True), None]
+    body = texts | {None: "no id"}
+    for i, key in enumerate(order):
+        own, after = body[key], body[order[(i + 1) % len(order)]]
+        edited = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        assert got[key]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_likeness_follows_edit_distance(spark):
     """Random edits of a text: the more, the less alike, and bands find what brute force over all fingerprints finds."""
     rng = random.Random(3)
