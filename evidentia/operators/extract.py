@@ -1,24 +1,30 @@
 """Title mentions and their provisions in text nodes.
 
 Titles are chosen longest first, ties by text, occurrences left to right; an occurrence counts where it touches no chosen one.
-One automaton finds all titles of a dictionary in one pass over a text, in an Arrow table function over nodes; a dictionary
-that is too large for a worker is met through an equi-join on hashed leading characters instead, of which only keys and
-positions travel.  Either way a node's occurrences fall into runs that overlap, and each run is settled by itself, so the
-work of a text grows in proportion to its length and its occurrences.
+One automaton finds all titles of a dictionary in one pass over a text, in an Arrow table function that returns the nodes' keys
+and flat arrays of what is asked for; texts never come back.  A dictionary that is too large for a worker is met by rolling
+hashes of the text: a bitmap of title hashes that every task holds lets few places through, and only those are joined.  Nodes of
+many catalogs meet their own dictionary in groups of both.  Either way a node's occurrences fall into runs that overlap, and each
+run is settled by itself, so the work of a text grows in proportion to its length and its occurrences.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections import OrderedDict, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from evidentia.operators import rolling
 from evidentia.workers import ready
 
 #: The default provision form, look-ahead and markers of unnamed references, and the work budgets.
@@ -26,50 +32,80 @@ PROVISION, LOOKAHEAD = r"(?U)제\d+조(?:의\d+)?", 32
 MARKERS = ["법", "규정", "고시", "훈령", "예규"]
 MATCHES_PER_NODE = MATCHES_PER_DOCUMENT = 100_000
 CANDIDATES_PER_NODE = CANDIDATES_PER_DOCUMENT = 10_000
-#: Titles, and characters of them, up to which a worker holds the dictionary as an automaton.
+#: Titles, and characters of them, up to which a worker holds a dictionary as an automaton.
 AUTOMATON_TITLES, AUTOMATON_CHARS = 200_000, 4_000_000
-#: Leading characters by which larger dictionaries are joined: the most of these that a title has.
-LEADS = (16, 8, 4, 2, 1)
+#: Automata that a worker keeps, and characters of their titles in all; the least recently used goes first.
+KEPT_AUTOMATA, KEPT_CHARS = 64, 4_000_000
+#: Characters of a title that an automaton holds; of a longer one the rest is compared where they stand.
+LONG_TITLE = 256
+#: Nodes of one catalog that meet its dictionary in one group.
+GROUP_NODES = 20_000
 
-HITS = "array<struct<title:string,start:int,end:int>>"
-SELECTED = "array<struct<start:int,end:int,title:string,next:int,tail:string>>"
+Hit = tuple[object, int, int]  # title (its number in a dictionary, or the text itself), start, end
+
+
+class Dictionary(NamedTuple):
+    """The distinct non-empty titles in order, and a digest of them."""
 
-Hit = tuple[str, int, int]
+    titles: list[str]
+    digest: bytes
+
+    @classmethod
+    def of(cls, titles: Iterable[str | None]) -> Dictionary:
+        known = sorted({t for t in titles if t})
+        return cls(known, hashlib.sha256("\0".join(known).encode("utf-8", "surrogatepass")).digest())
 
 
 class Automata:
-    """The automaton of a dictionary, built once in a Python process."""
+    """Automata of dictionaries in a Python process, by what they hold."""
 
-    built: dict[int, tuple[list[str], object]] = {}
+    built: OrderedDict[bytes, tuple[object, int]] = OrderedDict()
 
     @classmethod
-    def of(cls, titles: list[str]):
-        import ahocorasick
-
-        kept = cls.built.get(id(titles))
-        if kept is None or kept[0] is not titles:
-            made = ahocorasick.Automaton()
-            for t in titles:
-                made.add_word(t, t)
+    def of(cls, dictionary: Dictionary):
+        kept = cls.built.pop(dictionary.digest, None)
+        if kept is None:
+            made, long = ahocorasick.Automaton(), defaultdict(list)
+            for i, t in enumerate(dictionary.titles):
+                if len(t) < LONG_TITLE:
+                    made.add_word(t, (i, len(t)))
+                else:
+                    long[t[:LONG_TITLE]].append(i)
+            for t, numbers in long.items():
+                made.add_word(t, numbers)
             made.make_automaton()
-            kept = cls.built[id(titles)] = (titles, made)
-        return kept[1]
+            kept = made, sum(map(len, dictionary.titles))
+        cls.built[dictionary.digest] = kept
+        while len(cls.built) > 1 and (len(cls.built) > KEPT_AUTOMATA or sum(n for _, n in cls.built.values()) > KEPT_CHARS):
+            cls.built.popitem(last=False)
+        return kept[0]
 
 
-def examined(found: Iterable[tuple[str, int]]) -> Iterator[Hit]:
-    """Of each title, whose (title, start) come in ascending order, those that do not overlap its last examined one."""
-    free: dict[str, int] = {}
-    for title, start in found:
+def examined(found: Iterable[tuple[object, int, int]]) -> Iterator[Hit]:
+    """Of each title, whose (title, start, end) come in ascending order, those that do not overlap its last examined one."""
+    free: dict[object, int] = {}
+    for title, start, end in found:
         if start >= free.get(title, 0):
-            free[title] = start + len(title)
-            yield title, start, start + len(title)
+            free[title] = end
+            yield title, start, end
 
 
-def occurrences(text: str, titles: list[str]) -> list[Hit]:
-    """All examined occurrences of the titles of a dictionary in a text."""
-    if not titles:
+def occurrences(text: str, dictionary: Dictionary) -> list[Hit]:
+    """All examined occurrences of the titles of a dictionary in a text, titles by number."""
+    if not dictionary.titles:
         return []
-    return list(examined((t, last - len(t) + 1) for last, t in Automata.of(titles).iter(text)))
+
+    def found() -> Iterator[Hit]:
+        for last, what in Automata.of(dictionary).iter(text):
+            if what.__class__ is tuple:
+                yield what[0], last + 1 - what[1], last + 1
+            else:
+                start = last + 1 - LONG_TITLE
+                for i in what:
+                    if text.startswith(dictionary.titles[i], start):
+                        yield i, start, start + len(dictionary.titles[i])
+
+    return list(examined(found()))
 
 
 def runs(hits: list[Hit]) -> Iterator[list[Hit]]:
@@ -112,7 +148,7 @@ def chosen(hits: list[Hit]) -> list[Hit]:
             out += run
             continue
         taken, kept = Spans(), []
-        for h in sorted(run, key=lambda h: (h[1] - h[2], h[0], h[1])):
+        for h in sorted(run, key=lambda h: (h[1] - h[2], h[0], h[1])):  # numbers of titles rise with their texts
             if taken.free(h[1], h[2]):
                 taken.add(h[1], h[2])
                 kept.append(h)
@@ -130,97 +166,192 @@ def first_free(text: str, marker: str, taken: Spans) -> tuple[int | None, int]:
     return None, n
 
 
-def settled(text: str, hits: list[Hit], markers: list[str], lookahead: int) -> tuple[list[dict], int | None, int]:
-    """(selected, start of the unnamed reference, occurrences examined) of one node."""
+def settled(text: str, hits: list[Hit], markers: list[str]) -> tuple[list[Hit], int | None, int]:
+    """(selected hits, start of the unnamed reference, occurrences examined) of one node."""
     picked, taken = chosen(hits), Spans()
     taken.starts, taken.ends = [h[1] for h in picked], [h[2] for h in picked]
-    following = taken.starts[1:] + [len(text)]
-    selected = [{"start": s, "end": e, "title": t, "next": n, "tail": text[e : min(e + lookahead, n)]} for (t, s, e), n in zip(picked, following, strict=False)]
     marks = [first_free(text, m, taken) for m in markers]
-    return selected, min((at for at, _ in marks if at is not None), default=None), len(hits) + sum(n for _, n in marks)
+    return picked, min((at for at, _ in marks if at is not None), default=None), len(hits) + sum(n for _, n in marks)
 
 
-def known_titles(titles: DataFrame) -> list[str] | None:
-    """The distinct non-empty titles, or None where they are too many or too long for a worker to hold."""
+#: What can be asked for, as columns of the table function.
+HITS = "array<struct<title:string,start:int,end:int>>"
+COLUMNS = {
+    "hits": f"hits {HITS}",
+    "selected": "selected array<struct<start:int,end:int,title:string,next:int>>",
+    "candidates": "bound array<struct<start:int,title:string,tail:string>>, unnamed int",
+    "matches": "matches int",
+}
+
+
+class Asked(NamedTuple):
+    """What is worked out for each node."""
+
+    columns: tuple[str, ...]
+    markers: list[str]
+    lookahead: int
+
+    def schema(self) -> str:
+        return ", ".join(COLUMNS[c] for c in self.columns)
+
+    def batch(self, texts: list[str | None], hits_of: Callable[[int, str], list[Hit]], name: Callable[[list], pa.Array]) -> list[pa.Array]:
+        """The asked columns of some nodes as flat arrays with offsets; ``name`` gives the titles' texts."""
+        every: list[Hit] = []
+        picked: list[Hit] = []
+        following: list[int] = []
+        tails: list[str] = []
+        hit_ends, pick_ends, unnamed, matches = [0], [0], [], []
+        settle, tail = set(self.columns) - {"hits"}, "candidates" in self.columns
+        for i, text in enumerate(texts):
+            text = text or ""
+            hits = hits_of(i, text)
+            if "hits" in self.columns:
+                every += hits
+                hit_ends.append(len(every))
+            if settle:
+                mine, mark, n = settled(text, hits, self.markers)
+                unnamed.append(mark)
+                matches.append(n)
+                if settle - {"matches"}:
+                    then = [h[1] for h in mine[1:]] + [len(text)]
+                    picked += mine
+                    following += then[: len(mine)]
+                    pick_ends.append(len(picked))
+                    if tail:
+                        tails += [text[e : min(e + self.lookahead, n)] for (_, _, e), n in zip(mine, then, strict=False)]
+        ints = lambda values: pa.array(values, pa.int32())
+        lists = lambda ends, **parts: pa.ListArray.from_arrays(ints(ends), pa.StructArray.from_arrays(list(parts.values()), list(parts)))
+        starts, titles = ints([h[1] for h in picked]), name([h[0] for h in picked])
+        out: list[pa.Array] = []
+        for c in self.columns:
+            if c == "hits":
+                out.append(lists(hit_ends, title=name([h[0] for h in every]), start=ints([h[1] for h in every]), end=ints([h[2] for h in every])))
+            elif c == "selected":
+                out.append(lists(pick_ends, start=starts, end=ints([h[2] for h in picked]), title=titles, next=ints(following)))
+            elif c == "candidates":
+                out += [lists(pick_ends, start=starts, title=titles, tail=pa.array(tails, pa.string())), ints(unnamed)]
+            else:
+                out.append(ints(matches))
+        return out
+
+    def shaped(self, found: DataFrame, keep: list[str], provision: str) -> DataFrame:
+        """The asked columns by their names; a provision is looked for in the tails."""
+        columns = [c for c in self.columns if c != "candidates"]
+        if "candidates" in self.columns:
+            bound = F.transform("bound", lambda x: F.struct(x["start"].alias("start"), x["title"].alias("title"), F.nullif(F.regexp_extract(x["tail"], provision, 0), F.lit("")).alias("provision")))
+            nothing = F.lit(None).cast("string")
+            alone = F.struct(F.col("unnamed").alias("start"), nothing.alias("title"), nothing.alias("provision"))
+            columns.append(F.when(F.col("unnamed").isNull(), bound).otherwise(F.array_sort(F.array_append(bound, alone))).alias("candidates"))
+        return found.select(*keep, *columns)
+
+
+def texts_of(titles: list[str]) -> Callable[[list], pa.Array]:
+    """Title numbers to their texts."""
+    known = pa.array(titles, pa.string())
+    return lambda numbers: known.take(pa.array(numbers, pa.int32()))
+
+
+def dictionary_of(titles: DataFrame | Dictionary) -> Dictionary | None:
+    """The dictionary of a table's titles, or None where they are too many or too long for a worker to hold."""
+    if isinstance(titles, Dictionary):
+        return titles if len(titles.titles) <= AUTOMATON_TITLES and sum(map(len, titles.titles)) <= AUTOMATON_CHARS else None
     distinct = titles.select("title").where("title <> ''").distinct().limit(AUTOMATON_TITLES + 1)
     size = distinct.agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("chars")).first()
     if size["n"] > AUTOMATON_TITLES or (size["chars"] or 0) > AUTOMATON_CHARS:
         return None
-    return sorted(r["title"] for r in distinct.collect())
-
-
-def joined_hits(nodes: DataFrame, titles: DataFrame, key: list[str]) -> DataFrame:
-    """(key, found array<struct<start, title>>) by an equi-join on hashed leading characters, verified on the text."""
-    n = F.length("title")
-    lead = F.when(n >= LEADS[0], LEADS[0])
-    for size in LEADS[1:]:
-        lead = lead.when(n >= size, size)
-    wanted = titles.select("title").where("title <> ''").distinct().withColumn("lead", lead).withColumn("gram", F.xxhash64("lead", F.expr("substring(title, 1, lead)")))
-    at = F.explode(F.sequence(F.lit(1), F.length("text") - F.col("lead") + 1)).alias("at")
-    sizes = nodes.select(*key, "text", F.explode(F.array(*map(F.lit, LEADS))).alias("lead")).where(F.length("text") >= F.col("lead"))
-    grams = sizes.select(*key, "text", "lead", at).select(*key, "at", F.xxhash64("lead", F.expr("substring(text, at, lead)")).alias("gram"))
-    met = grams.join(wanted.select("gram", "title"), "gram").groupBy(*key).agg(F.collect_list(F.struct((F.col("at") - 1).alias("start"), "title")).alias("met"))
-    verified = F.sort_array(F.filter("met", lambda h: F.substring(F.col("text"), h["start"] + 1, F.length(h["title"])) == h["title"]))
-    return nodes.join(met, key).select(*key, verified.alias("found"))
-
-
-def _found(nodes: DataFrame, titles: DataFrame, key: list[str]) -> tuple[DataFrame, list[str] | None]:
-    """Nodes, with ``found`` where the dictionary is joined, and the dictionary where it is carried."""
-    nodes = nodes.select(*key, "text")
-    words = known_titles(titles)
-    if words is not None:
-        return nodes, words
-    return nodes.join(joined_hits(nodes, titles, key), key, "left"), None
+    return Dictionary.of(r["title"] for r in distinct.collect())
+
 
+def _schema(nodes: DataFrame, keep: list[str], asked: Asked) -> T.StructType:
+    return T.StructType([nodes.schema[c] for c in keep] + T.StructType.fromDDL(asked.schema()).fields)
 
-def _each_node(nodes: DataFrame, key: list[str], words: list[str] | None, columns: str, work) -> DataFrame:
-    """Nodes with what ``work(text, hits)`` gives for each as further columns."""
-    added = T.StructType.fromDDL(columns)
-    schema = T.StructType([nodes.schema[c] for c in (*key, "text")] + added.fields)
-    shared = nodes.sparkSession.sparkContext.broadcast(words)
-    arrow = to_arrow_schema(added)
+
+def _batches(nodes: DataFrame, keep: list[str], asked: Asked, hits_of, name) -> DataFrame:
+    """``asked`` of nodes with ``text``: ``hits_of(batch)`` gives a function of row and text, ``name(batch)`` one of titles."""
+    names = [f.name for f in _schema(nodes, keep, asked).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        titles = shared.value
         for batch in batches:
-            rows = []
-            found = None if titles is not None else batch.column("found").to_pylist()
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                text = text or ""
-                hits = occurrences(text, titles) if titles is not None else list(examined((h["title"], h["start"]) for h in found[i] or []))
-                rows.append(work(text, hits))
-            made = pa.RecordBatch.from_pylist(rows, schema=arrow)
-            kept = [batch.column(c) for c in (*key, "text")]
-            yield pa.RecordBatch.from_arrays(kept + made.columns, names=[*key, "text", *arrow.names])
+            made = asked.batch(batch.column("text").to_pylist(), hits_of(batch), name(batch))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=names)
 
     ready(nodes.sparkSession)
-    return nodes.mapInArrow(run, schema)
+    return nodes.mapInArrow(run, _schema(nodes, keep, asked))
+
+
+def _found(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str], asked: Asked, text: bool) -> DataFrame:
+    keep = [*key, *(["text"] if text else [])]
+    nodes = nodes.select(*key, "text")
+    dictionary = dictionary_of(titles)
+    if dictionary is not None:
+        shared = nodes.sparkSession.sparkContext.broadcast(dictionary)
+        return _batches(nodes, keep, asked, lambda _: lambda i, t: occurrences(t, shared.value), lambda _: texts_of(shared.value.titles))
+    if isinstance(titles, Dictionary):
+        titles = nodes.sparkSession.createDataFrame([(t,) for t in titles.titles], "title string")
+    places = rolling.meetings(nodes, titles, key).withColumnsRenamed({c: f"met_{i}" for i, c in enumerate(key)})
+    met = nodes.join(places, [nodes[c].eqNullSafe(places[f"met_{i}"]) for i, c in enumerate(key)], "left")
+
+    def hits_of(batch: pa.RecordBatch):
+        found = batch.column("met")
+        # hashes can meet by chance, so the text itself has the say
+        return lambda i, text: list(examined((t, s, s + len(t)) for s, t in sorted((m["start"], m["title"]) for m in found[i].as_py() or []) if text.startswith(t, s)))
 
+    return _batches(met, keep, asked, hits_of, lambda _: lambda texts: pa.array(texts, pa.string()))
 
-def with_hits(nodes: DataFrame, titles: DataFrame, key: list[str]) -> DataFrame:
-    """Nodes plus ``hits``: all examined occurrences of the titles."""
-    found, words = _found(nodes, titles, key)
-    return _each_node(found, key, words, f"hits {HITS}", lambda text, hits: {"hits": [{"title": t, "start": s, "end": e} for t, s, e in hits]})
 
+def with_hits(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str]) -> DataFrame:
+    """(key, hits): all examined occurrences of the titles in nodes (``key`` and ``text``)."""
+    return _found(nodes, titles, key, Asked(("hits",), [], 0), False)
 
-def mentions(nodes: DataFrame, titles: DataFrame, key: list[str], provision: str = PROVISION, lookahead: int = LOOKAHEAD, markers: list[str] = MARKERS) -> DataFrame:
-    """Nodes (``key`` and ``text``) plus selected, candidates, matches.
 
-    selected: array<struct<start, end, title, next, tail>>, tail being the text in which a provision is looked for; candidates:
-    array<struct<start, title, provision>> in text order, where a node has at most one without a title, at the first marker
-    that touches no selected title; matches: occurrences examined.  A null text is empty.
+def mentions(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str], provision: str = PROVISION, lookahead: int = LOOKAHEAD, markers: list[str] = MARKERS, columns: tuple[str, ...] = ("candidates", "matches"), text: bool = False) -> DataFrame:
+    """Keys of nodes (``key`` and ``text``) with the asked ``columns``, and with the text on request.
+
+    selected: array<struct<start, end, title, next>>; candidates: array<struct<start, title, provision>> in text order, where a
+    provision is looked for in the ``lookahead`` characters after a title and before the next, and where a node has at most one
+    candidate without a title, at the first marker that touches no selected title; matches: occurrences examined.  A null
+    text is empty.
     """
-    found, words = _found(nodes, titles, key)
+    asked = Asked(tuple(columns), markers, lookahead)
+    keep = [*key, *(["text"] if text else [])]
+    return asked.shaped(_found(nodes, titles, key, asked, text), keep, provision)
+
 
-    def work(text: str, hits: list[Hit]) -> dict:
-        selected, unnamed, matches = settled(text, hits, markers, lookahead)
-        return {"selected": selected, "unnamed": unnamed, "matches": matches}
+def catalog_mentions(nodes: DataFrame, titles: DataFrame, key: list[str], catalog: str = "catalog", provision: str = PROVISION, lookahead: int = LOOKAHEAD, markers: list[str] = MARKERS, columns: tuple[str, ...] = ("candidates", "matches"), group_nodes: int = GROUP_NODES) -> DataFrame:
+    """``mentions`` where each node names its catalog and ``titles`` has (catalog, title): many dictionaries in one plan.
 
-    node = _each_node(found, key, words, f"selected {SELECTED}, unnamed int, matches int", work)
-    bound = F.transform("selected", lambda x: F.struct(x["start"].alias("start"), x["title"].alias("title"), F.nullif(F.regexp_extract(x["tail"], provision, 0), F.lit("")).alias("provision")))
-    nothing = F.lit(None).cast("string")
-    alone = F.filter(F.array(F.struct(F.col("unnamed").alias("start"), nothing.alias("title"), nothing.alias("provision"))), lambda x: x["start"].isNotNull())
-    return node.select(*key, "text", "selected", F.array_sort(F.concat(bound, alone)).alias("candidates"), "matches")
+    Nodes and dictionaries meet in groups of a catalog, those of a catalog with many nodes in as many groups as keep a group below
+    ``group_nodes`` nodes on average, its titles being copied to each; a dictionary that is longer than that makes groups as much
+    larger, so copies never outweigh the nodes.  A worker keeps the automata of the catalogs it met last.  ``key`` must include
+    what tells nodes apart; nodes of a catalog without titles, or without a catalog, have markers only.  Returns key and catalog
+    with the asked columns.  A dictionary beyond what a worker holds is refused; such a catalog goes through ``mentions``.
+    """
+    asked = Asked(tuple(columns), markers, lookahead)
+    keep = [*key, catalog] if catalog not in key else list(key)
+    spark = nodes.sparkSession
+    nodes = nodes.select(*keep, "text")
+    known = titles.select(F.col(catalog).alias("c"), "title").where("title <> '' AND c IS NOT NULL").distinct()
+    sizes = known.groupBy("c").agg(F.count("*").alias("n_titles"), F.sum(F.length("title")).alias("chars"))
+    counted = nodes.groupBy(F.col(catalog).alias("c")).agg(F.count("*").alias("n_nodes")).join(sizes, "c", "left")
+    groups = counted.select("c", F.greatest(F.lit(1), F.ceil(F.col("n_nodes") / F.greatest(F.lit(group_nodes), F.coalesce("n_titles", F.lit(0))))).cast("int").alias("groups"), (F.coalesce("n_titles", F.lit(0)) > AUTOMATON_TITLES).alias("large"))
+    groups = groups.select("c", F.when(F.col("large"), F.raise_error(F.lit("a catalog has too many titles"))).otherwise(F.col("groups")).cast("int").alias("groups"))
+    salt = F.pmod(F.xxhash64(*keep), F.coalesce("groups", F.lit(1))).cast("int")
+    left = nodes.join(groups.where("c IS NOT NULL"), nodes[catalog] == F.col("c"), "left").select(*keep, "text", salt.alias("salt"))
+    right = known.join(groups, "c").select(F.col("c").alias("of_catalog"), "title", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
+    schema = _schema(left, keep, asked)
+    names = [f.name for f in schema.fields]
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        dictionary = Dictionary.of(theirs.column("title").to_pylist())
+        name, out = texts_of(dictionary.titles), []
+        for batch in mine.to_batches(max_chunksize=1000):
+            made = asked.batch(batch.column("text").to_pylist(), lambda i, text: occurrences(text, dictionary), name)
+            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=names))
+        return pa.Table.from_batches(out, to_arrow_schema(schema)) if out else to_arrow_schema(schema).empty_table()
+
+    ready(spark)
+    met = left.groupBy(catalog, "salt").cogroup(right.groupBy("of_catalog", "salt")).applyInArrow(run, schema)
+    return asked.shaped(met, keep, provision)
 
 
 def candidates(found: DataFrame, document: str, order: list[str]) -> DataFrame:
@@ -229,9 +360,12 @@ def candidates(found: DataFrame, document: str, order: list[str]) -> DataFrame:
     return rows.withColumn("item_number", F.row_number().over(Window.partitionBy(document).orderBy(*order, "start")))
 
 
-def beyond_budget(over, matches_node: int = MATCHES_PER_NODE, matches_document: int = MATCHES_PER_DOCUMENT, candidates_node: int = CANDIDATES_PER_NODE, candidates_document: int = CANDIDATES_PER_DOCUMENT) -> Column:
-    """Whether a document is beyond a work budget; ``over`` makes an aggregate of its nodes that of the document."""
-    n = F.size("candidates")
+def beyond_budget(over, matches_node: int = MATCHES_PER_NODE, matches_document: int = MATCHES_PER_DOCUMENT, candidates_node: int = CANDIDATES_PER_NODE, candidates_document: int = CANDIDATES_PER_DOCUMENT, n: Column | None = None) -> Column:
+    """Whether a document is beyond a work budget; ``over`` makes an aggregate of its nodes that of the document.
+
+    ``n`` is the number of a node's candidates, where those are not at hand.
+    """
+    n = F.size("candidates") if n is None else n
     return (over(F.max("matches")) > matches_node) | (over(F.sum("matches")) > matches_document) | (over(F.max(n)) > candidates_node) | (over(F.sum(n)) > candidates_document)
 
 

@@ -33,10 +33,20 @@ LICENCE_VERSIONS = [
 LICENCE_PROVISIONS = [(0, 0, 0, "v", "Version 2.0"), (0, 1, 0, "v", "Version 3.0"), (1, 0, 0, "v", "version 2"), (1, 1, 0, "v", "version 3"), (2, 0, 0, "v", "version 1"), (3, 0, 0, "v", "Version 4.0"), (4, 0, 0, "v", "Version 4.0"), (5, 0, 0, "v", "version 0")]
 
 
+#: Splits below which texts are dealt anew to all cores; a large table is read as it lies.
+FEW_SPLITS = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of long texts, which may be small and yet one split however many cores wait."""
+    rows, cores = table(spark, sf_dir, name).select(*columns), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else rows
+
+
 def licences(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     day = lambda x: None if x is None else date.fromisoformat(x)
     versions = [(*r[:5], day(r[5]), day(r[6]), r[7]) for r in LICENCE_VERSIONS]
@@ -44,24 +54,25 @@ def licences(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def nodes(spark, sf_dir):
-    return extract.lines_as_nodes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return extract.lines_as_nodes(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def words(spark):
     return spark.createDataFrame([(w,) for w in COMMON], "title string")
 
 
-def word_mentions(spark, sf_dir):
-    return extract.mentions(nodes(spark, sf_dir), words(spark), ["doc_id", "ordinal"], **WORD_FORM)
+def word_mentions(spark, sf_dir, *columns):
+    return extract.mentions(nodes(spark, sf_dir), extract.Dictionary.of(COMMON), ["doc_id", "ordinal"], **WORD_FORM, columns=columns)
 
 
-def licence_mentions(spark, sf_dir):
-    return extract.mentions(nodes(spark, sf_dir), licences(spark)[0].select("title"), ["doc_id", "ordinal"], **LICENCE_FORM)
+def licence_candidates(spark, sf_dir):
+    titles = extract.Dictionary.of(r[7] for r in LICENCE_VERSIONS)
+    return extract.mentions(nodes(spark, sf_dir), titles, ["doc_id", "ordinal"], **LICENCE_FORM, columns=("candidates",))
 
 
 def licence_items(spark, sf_dir):
     v, p = licences(spark)
-    rows = extract.candidates(licence_mentions(spark, sf_dir), "doc_id", ["ordinal"])
+    rows = extract.candidates(licence_candidates(spark, sf_dir), "doc_id", ["ordinal"])
     return resolve.attach(rows, v, p, AS_OF)
 
 
@@ -120,41 +131,42 @@ def title_candidates_theta_join(spark, sf_dir):
 
 @query(WITH_WORDS + 'SELECT doc_id, ordinal, start, stop, title FROM flat')
 def greedy_longest_title(spark, sf_dir):
-    return word_mentions(spark, sf_dir).select("doc_id", "ordinal", F.explode("selected").alias("s")).select("doc_id", "ordinal", "s.start", F.col("s.end").alias("stop"), "s.title")
+    return word_mentions(spark, sf_dir, "selected").select("doc_id", "ordinal", F.explode("selected").alias("s")).select("doc_id", "ordinal", "s.start", F.col("s.end").alias("stop"), "s.title")
 
 
 @query(WITH_WORDS + "SELECT doc_id, ordinal, start, next::INT AS next_start FROM selected")
 def next_title_start(spark, sf_dir):
-    return word_mentions(spark, sf_dir).select("doc_id", "ordinal", F.explode("selected").alias("s")).select("doc_id", "ordinal", "s.start", F.col("s.next").alias("next_start"))
+    return word_mentions(spark, sf_dir, "selected").select("doc_id", "ordinal", F.explode("selected").alias("s")).select("doc_id", "ordinal", "s.start", F.col("s.next").alias("next_start"))
 
 
 @query(WITH_ITEMS + "SELECT doc_id, ordinal, start, title, provision FROM candidates")
 def provision_binding(spark, sf_dir):
-    return licence_mentions(spark, sf_dir).select("doc_id", "ordinal", F.explode("candidates").alias("c")).select("doc_id", "ordinal", "c.start", "c.title", "c.provision")
+    return licence_candidates(spark, sf_dir).select("doc_id", "ordinal", F.explode("candidates").alias("c")).select("doc_id", "ordinal", "c.start", "c.title", "c.provision")
 
 
 @query(WITH_WORDS + "SELECT doc_id, ordinal, start, title, provision FROM candidates WHERE provision IS NOT NULL")
 def provision_truncation(spark, sf_dir):
-    return word_mentions(spark, sf_dir).select("doc_id", "ordinal", F.explode("candidates").alias("c")).select("doc_id", "ordinal", "c.start", "c.title", "c.provision").where("provision IS NOT NULL")
+    return word_mentions(spark, sf_dir, "candidates").select("doc_id", "ordinal", F.explode("candidates").alias("c")).select("doc_id", "ordinal", "c.start", "c.title", "c.provision").where("provision IS NOT NULL")
 
 
 @query(WITH_WORDS + "SELECT doc_id, ordinal, min(first) AS start FROM uncovered GROUP BY doc_id, ordinal")
 def ambiguous_markers(spark, sf_dir):
-    return word_mentions(spark, sf_dir).select("doc_id", "ordinal", F.explode("candidates").alias("c")).where("c.title IS NULL").select("doc_id", "ordinal", "c.start")
+    return word_mentions(spark, sf_dir, "candidates").select("doc_id", "ordinal", F.explode("candidates").alias("c")).where("c.title IS NULL").select("doc_id", "ordinal", "c.start")
 
 
 @query(WITH_WORDS + "SELECT doc_id, ordinal, matches FROM examined")
 def match_budget(spark, sf_dir):
-    return word_mentions(spark, sf_dir).select("doc_id", "ordinal", "matches")
+    return word_mentions(spark, sf_dir, "matches").select("doc_id", "ordinal", "matches")
 
 
 @query(WITH_WORDS + """, n AS (SELECT doc_id, ordinal, count(*) AS c FROM candidates GROUP BY ALL), m AS (SELECT doc_id, max(matches) AS mn, sum(matches) AS md FROM examined GROUP BY 1),
 k AS (SELECT doc_id, max(c) AS cn, sum(c) AS cd FROM n GROUP BY 1)
 SELECT c.doc_id, count(*)::BIGINT AS items FROM candidates c JOIN m USING (doc_id) JOIN k USING (doc_id) WHERE mn <= 60 AND md <= 200 AND cn <= 30 AND cd <= 100 GROUP BY 1""")
 def candidate_budget_fail_closed(spark, sf_dir):
-    found = word_mentions(spark, sf_dir)
-    void = extract.over_budget(found, "doc_id", 60, 200, 30, 100)
-    return found.join(void, "doc_id", "left_anti").select("doc_id", F.explode("candidates")).groupBy("doc_id").agg(F.count("*").alias("items"))
+    """Candidates of the documents within all budgets; nodes meet in their document once, below one shuffle of numbers."""
+    found = word_mentions(spark, sf_dir, "candidates", "matches").select("doc_id", "matches", F.size("candidates").alias("n"))
+    documents = found.groupBy("doc_id").agg(extract.beyond_budget(lambda c: c, 60, 200, 30, 100, n=F.col("n")).alias("void"), F.sum("n").alias("items"))
+    return documents.where("NOT void AND items > 0").select("doc_id", "items")
 
 
 # --- resolution

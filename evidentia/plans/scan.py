@@ -24,7 +24,7 @@ def scan_documents(spark: SparkSession, files: DataFrame, catalog: Catalog, as_o
     """
     budgets = {k: options.pop(k) for k in list(options) if k.startswith(("matches_", "candidates_"))}
     keys = ["path", "document_sha256", "section_rank", "ordinal", "locator", "error_code", "error_locator", "error_message"]
-    found = extract.mentions(hwpx.parse_documents(files, limits), catalog.versions.select("title"), keys, **options)
+    found = extract.mentions(hwpx.parse_documents(files, limits), extract.Dictionary.of(catalog.titles), keys, **options)
     document = Window.partitionBy("path")
     counted = found.withColumns({"void": extract.beyond_budget(lambda c: c.over(document), **budgets)})
     free = F.when(~F.col("void") & F.col("error_code").isNull(), F.col("candidates"))

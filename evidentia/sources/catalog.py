@@ -101,10 +101,10 @@ def _flatten(raw: Any) -> tuple[list[tuple], list[tuple]]:
 
 
 class Catalog:
-    """A validated catalog as two DataFrames and the hash of its bytes."""
+    """A validated catalog as two DataFrames, the hash of its bytes, and its titles."""
 
-    def __init__(self, versions: DataFrame, provisions: DataFrame, sha256: str):
-        self.versions, self.provisions, self.sha256 = versions, provisions, sha256
+    def __init__(self, versions: DataFrame, provisions: DataFrame, sha256: str, titles: list[str]):
+        self.versions, self.provisions, self.sha256, self.titles = versions, provisions, sha256, titles
 
 
 def parse_catalog(data: bytes) -> tuple[list[tuple], list[tuple]]:
@@ -130,7 +130,7 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
 
 def catalog_frames(spark: SparkSession, data: bytes) -> Catalog:
     versions, provisions = parse_catalog(data)
-    return Catalog(local_frame(spark, versions, VERSIONS), local_frame(spark, provisions, PROVISIONS), hashlib.sha256(data).hexdigest())
+    return Catalog(local_frame(spark, versions, VERSIONS), local_frame(spark, provisions, PROVISIONS), hashlib.sha256(data).hexdigest(), sorted({v[-1] for v in versions}))
 
 
 def load_catalog(spark: SparkSession, path: str | Path) -> Catalog:

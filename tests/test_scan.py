@@ -205,15 +205,102 @@ def test_mentions_against_plain_rule(spark, monkeypatch):
             assert got[n] == plain_mentions(text, titles, markers, re.compile("1+"), 4), (held, text)
 
 
+def test_large_dictionary_with_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(extract, "AUTOMATON_TITLES", 0)
+    nodes = spark.createDataFrame([(1, None, "x규정 규정"), (1, "a", "규정집은 규정"), (None, None, None)], "n int, m string, text string")
+    titles = spark.createDataFrame([("규정",), ("규정집은",), ("none of these, a long title",), (None,), ("",)], "title string")
+    got = {(r["n"], r["m"]): [tuple(h) for h in r["hits"]] for r in extract.with_hits(nodes, titles, ["n", "m"]).collect()}
+    assert {k: sorted(v) for k, v in got.items()} == {(1, None): [("규정", 1, 3), ("규정", 4, 6)], (1, "a"): [("규정", 0, 2), ("규정", 5, 7), ("규정집은", 0, 4)], (None, None): []}
+
+
+def test_windows_cost_grows_with_the_text():
+    """All windows of a long text that is not ASCII, and their hashes against each window taken by itself."""
+    import time
+
+    import numpy as np
+
+    from evidentia.operators import rolling
+
+    rng = random.Random(9)
+    text = "".join(rng.choice("가나다라 ab") for _ in range(160_000))
+
+    def seconds(n):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            windows = rolling.Windows([text[:n]])
+            for lead in rolling.LEADS:
+                windows.hashes(lead)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    seconds(160_000)
+    assert seconds(160_000) <= 5 * seconds(40_000) + 0.02
+    parts = [text[:50], "", text[:5], text[7:60]]
+    for lead in rolling.LEADS:
+        at, grams = rolling.Windows(parts).hashes(lead)
+        alone = [rolling.Windows([p[i : i + lead]]).hashes(lead)[1][0] for p in parts for i in range(len(p) - lead + 1)]
+        assert grams.tolist() == alone and len(at) == len(alone) and len(np.unique(grams)) == len({p[i : i + lead] for p in parts for i in range(len(p) - lead + 1)})
+
+
+def test_large_dictionary_against_the_automaton(spark, monkeypatch):
+    rng = random.Random(12)
+    syllable = lambda n: "".join(rng.choice("가나다라마바사") for _ in range(n))
+    titles = spark.createDataFrame([(syllable(rng.randint(1, 30)),) for _ in range(400)] + [("가나",), ("가나다라마바사" * 4,)], "title string")
+    nodes = spark.createDataFrame([(i, syllable(rng.randint(0, 300)) + ("가나다라마바사" * 5 if i % 9 == 0 else "")) for i in range(60)] + [(99, syllable(40_000))], "n int, text string").repartition(4)
+    told = lambda: sorted((r["n"], r["matches"], [tuple(x) for x in r["selected"]]) for r in extract.mentions(nodes, titles, ["n"], columns=("selected", "matches")).collect())
+    want = told()
+    monkeypatch.setattr(extract, "AUTOMATON_TITLES", 100)
+    assert told() == want and sum(n for _, n, _ in want) > 1000
+
+
+def test_few_automata_stay():
+    """A hundred dictionaries leave a bounded number of automata, the last ones; equal ones share theirs."""
+    extract.Automata.built.clear()
+    for i in range(100):
+        assert extract.occurrences(f"see t{i} here", extract.Dictionary.of([f"t{i}", "see"]))[1][0] == 1
+    assert len(extract.Automata.built) == extract.KEPT_AUTOMATA
+    kept = extract.Automata.of(extract.Dictionary.of(["see", "t99", "t99"]))
+    assert kept is extract.Automata.of(extract.Dictionary.of(["t99", "see"])) and len(extract.Automata.built) == extract.KEPT_AUTOMATA
+    extract.Automata.of(extract.Dictionary.of(["x" * extract.KEPT_CHARS]))
+    assert len(extract.Automata.built) == 1
+
+
+def test_titles_longer_than_an_automaton_holds():
+    long = ["ab" * 130, "ab" * 128, "ab" * 128 + "c", "ab" * 127 + "a", "b" * 100_000]
+    d = extract.Dictionary.of(long)
+    text = "ab" * 130 + " " + "ab" * 128 + "c" + "b" * 100_000
+    plain = sorted((text.find(t, at), t) for t in long for at in [0] if text.find(t, at) >= 0)
+    got = extract.occurrences(text, d)
+    assert {(s, d.titles[i]) for i, s, _ in got} >= set(plain) and all(text[s:e] == d.titles[i] for i, s, e in got)
+
+
+def test_many_catalogs_each_with_its_own_dictionary(spark):
+    """10,000 catalogs, one of them with half of the nodes, against one dictionary at a time."""
+    rng = random.Random(3)
+    words = [a + b for a in "가나다라마" for b in "바사아자차"]
+    titles = {c: rng.sample(words, 2) for c in range(10_000)}
+    rows = [(i, 0 if i % 2 else rng.randrange(10_000), " ".join(rng.choice(words + ["법"]) for _ in range(6))) for i in range(12_000)]
+    rows += [(50_000, None, "no catalog 법"), (50_001, 77_777, "unknown 법"), (50_002, 5, None)]
+    nodes = spark.createDataFrame(rows, "n int, catalog int, text string").repartition(6)
+    known = spark.createDataFrame([(c, t) for c, ts in titles.items() for t in ts] + [(None, "법"), (3, None)], "catalog int, title string")
+    got = {r["n"]: (r["catalog"], [(c["start"], c["title"]) for c in r["candidates"]]) for r in extract.catalog_mentions(nodes, known, ["n"], group_nodes=1000, columns=("candidates",)).collect()}
+    assert len(got) == len(rows)
+    for n, catalog, text in rows:
+        hits = extract.occurrences(text or "", d := extract.Dictionary.of(titles.get(catalog, [])))
+        picked, unnamed, _ = extract.settled(text or "", hits, extract.MARKERS)
+        assert got[n] == (catalog, sorted([(s, d.titles[t]) for t, s, _ in picked] + ([(unnamed, None)] if unnamed is not None else []), key=lambda c: c[0]))
+
+
 def test_one_line_of_a_hundred_thousand_hits():
     """Work grows with the hits: all in one run of overlapping ones, and all apart."""
     import time
 
     began = time.perf_counter()
     for text, titles, n in (("ab" * 50_000 + "a", ["aba", "ab", "ba"], 25_000), ("a " * 100_000, ["a"], 100_000)):
-        hits = extract.occurrences(text, titles)
-        selected, unnamed, matches = extract.settled(text, hits, ["z", "b"], 32)
-        assert len(selected) >= n and matches >= 100_000 and all(x["end"] <= y["start"] for x, y in zip(selected, selected[1:]))
+        hits = extract.occurrences(text, extract.Dictionary.of(titles))
+        selected, unnamed, matches = extract.settled(text, hits, ["z", "b"])
+        assert len(selected) >= n and matches >= 100_000 and all(x[2] <= y[1] for x, y in zip(selected, selected[1:]))
     assert time.perf_counter() - began < 20
 
 
