@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.checks import effective
 
+#: Rows of a key from which an as-of lookup cuts its days into ranges.
+HOT_ROWS = 200_000
 EVIDENCE = "array<struct<record_id:string,official_source:string,retrieved_at:string,as_of:string,matched_effective_from:string,matched_effective_to:string,matched_title:string,matched_provision:string,version_transition:struct<effective_from:string,title:string,provision:string>>>"
 
 
@@ -113,15 +115,51 @@ def attach(candidates: DataFrame, versions: DataFrame, provisions: DataFrame, as
     return joined.select(*candidates.columns, told.alias("told")).select(*candidates.columns, "told.*")
 
 
+def hot_ranges(rows: DataFrame, key: str, day: str) -> DataFrame | None:
+    """(key, cuts array<date>) of the keys with over HOT_ROWS rows, at most 4 a shuffle partition; None where there are none.
+
+    The cuts part a key's rows into ranges of days of like size.  A key that is not listed has fewer rows than a quarter of an
+    average partition, or than HOT_ROWS.
+    """
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(n).collect()
+    if not hot:
+        return None
+    each = max(HOT_ROWS, sum(r["n"] for r in hot) // n)
+    parts = {r[key]: -(-r["n"] // each) for r in hot}
+    most = max(parts.values())
+    kept = rows.where(F.col(key).isin(list(parts))).groupBy(key).agg(F.percentile_approx(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")), [i / most for i in range(1, most)] or [0.5], 10_000).alias("at"))
+    return kept.select(key, F.transform(F.filter("at", lambda d: d.isNotNull()), lambda d: F.date_add(F.lit("1970-01-01").cast("date"), d)).alias("cuts"))
+
+
 def as_of_day(rows: DataFrame, versions: DataFrame, key: str, day: str, columns: list[str]) -> DataFrame:
     """Rows with the columns of the version of their key that is in force on their day; rows without one are left out.
 
-    The versions of a key are bounded, so they become one row and no row meets a version that is not its own: rows of a hot
-    key stay single rows, which the planner may split or join to a broadcast side.
+    Versions of a key must not overlap (``version_faults`` tells).  Rows and versions are merged: in one frame, sorted by key and
+    day, each row takes the last version before it, so it meets one version however many there are.  The days of a hot key are
+    cut into ranges of like many rows, to each of which the versions in force in it are dealt, that at its beginning included;
+    a day that alone fills several ranges is spread over them by a hash.
     """
-    spans = versions.groupBy(key).agg(F.collect_list(F.struct("effective_from", "effective_to", *columns)).alias("spans"))
-    force = F.filter("spans", lambda v: effective(F.col(day), v["effective_from"], v["effective_to"]))
-    return rows.join(spans, key).select(*rows.columns, F.explode(force).alias("v")).select(*rows.columns, *(F.col(f"v.{c}").alias(c) for c in columns))
+    cuts = hot_ranges(rows, key, day)
+    told = F.struct("effective_from", "effective_to", *columns)
+    mine = rows.select(F.col(key).alias("k"), F.col(day).alias("d"), F.struct(*rows.columns).alias("row"))
+    theirs = versions.select(F.col(key).alias("k"), F.col("effective_from").alias("d"), told.alias("v"))
+    piece = F.lit(0)
+    if cuts is not None:
+        ranges = F.broadcast(cuts.select(F.col(key).alias("k"), "cuts"))  # at most 4 rows a shuffle partition
+        before = lambda day, also: F.coalesce(F.size(F.filter("cuts", lambda c: (c <= day) if also else (c < day))), F.lit(0))
+        first, last = before(F.col("d"), False), before(F.col("d"), True)
+        spread = F.pmod(F.xxhash64("row"), (last - first + 1).cast("long")).cast("int")
+        mine = mine.join(ranges, "k", "left").select("k", "d", "row", F.when(F.col("cuts").isNull(), 0).otherwise(first + spread).alias("piece"))
+        upto = F.when(F.col("v.effective_to").isNull(), F.size("cuts")).otherwise(before(F.col("v.effective_to"), False))
+        theirs = theirs.join(ranges, "k", "left").select("k", "d", "v", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(first, F.greatest(first, upto)))).alias("piece"))
+    else:
+        mine, theirs = mine.withColumn("piece", piece), theirs.withColumn("piece", piece)
+    both = mine.withColumn("v", F.lit(None).cast(theirs.schema["v"].dataType)).unionByName(theirs.withColumn("row", F.lit(None).cast(mine.schema["row"].dataType)))
+    order = Window.partitionBy("k", "piece").orderBy("d", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = both.where("k IS NOT NULL AND d IS NOT NULL").withColumn("v", F.last("v", ignorenulls=True).over(order))
+    force = F.col("row").isNotNull() & F.col("v").isNotNull() & effective(F.col("d"), F.col("v.effective_from"), F.col("v.effective_to"))
+    return merged.where(force).select("row.*", *(F.col(f"v.{c}").alias(c) for c in columns))
 
 
 def version_faults(versions: DataFrame) -> DataFrame:
