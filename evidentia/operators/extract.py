@@ -347,7 +347,7 @@ def catalog_mentions(nodes: DataFrame, titles: DataFrame, key: list[str], catalo
         for batch in mine.to_batches(max_chunksize=1000):
             made = asked.batch(batch.column("text").to_pylist(), lambda i, text: occurrences(text, dictionary), name)
             out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=names))
-        return pa.Table.from_batches(out, to_arrow_schema(schema)) if out else to_arrow_schema(schema).empty_table()
+        return pa.Table.from_batches(out) if out else to_arrow_schema(schema).empty_table()
 
     ready(spark)
     met = left.groupBy(catalog, "salt").cogroup(right.groupBy("of_catalog", "salt")).applyInArrow(run, schema)

@@ -12,41 +12,42 @@ HOT_ROWS = 200_000
 EVIDENCE = "array<struct<record_id:string,official_source:string,retrieved_at:string,as_of:string,matched_effective_from:string,matched_effective_to:string,matched_title:string,matched_provision:string,version_transition:struct<effective_from:string,title:string,provision:string>>>"
 
 
-def latest_versions(versions: DataFrame) -> DataFrame:
+def latest_versions(versions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The last version of each record by its place in the record, whatever its dates."""
-    return versions.withColumn("last", F.max("version_seq").over(Window.partitionBy("record_seq"))).where("version_seq = last").drop("last")
+    return versions.withColumn("last", F.max("version_seq").over(Window.partitionBy(*by, "record_seq"))).where("version_seq = last").drop("last")
 
 
 def iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def transitions(versions: DataFrame, provisions: DataFrame) -> DataFrame:
+def transitions(versions: DataFrame, provisions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per provision of a version: whether the last version has its canonical id, whether unchanged, and the transition.
 
-    The transition is null where the last version lacks the id or has the same title and label.
+    The transition is null where the last version lacks the id or has the same title and label.  ``by`` names what tells the
+    catalogs of a table of many apart, here and below.
     """
-    last = latest_versions(versions).select("record_seq", F.col("version_seq").alias("last_seq"), F.col("effective_from").alias("last_from"), F.col("title").alias("last_title"))
-    labels = provisions.select("record_seq", F.col("version_seq").alias("last_seq"), "canonical_id", F.col("label").alias("last_label"))
-    now = last.join(labels, ["record_seq", "last_seq"])
-    joined = provisions.join(versions.select("record_seq", "version_seq", "title"), ["record_seq", "version_seq"]).join(now.drop("last_seq"), ["record_seq", "canonical_id"], "left")
+    last = latest_versions(versions, by).select(*by, "record_seq", F.col("version_seq").alias("last_seq"), F.col("effective_from").alias("last_from"), F.col("title").alias("last_title"))
+    labels = provisions.select(*by, "record_seq", F.col("version_seq").alias("last_seq"), "canonical_id", F.col("label").alias("last_label"))
+    now = last.join(labels, [*by, "record_seq", "last_seq"])
+    joined = provisions.join(versions.select(*by, "record_seq", "version_seq", "title"), [*by, "record_seq", "version_seq"]).join(now.drop("last_seq"), [*by, "record_seq", "canonical_id"], "left")
     same = (F.col("last_title") == F.col("title")) & (F.col("last_label") == F.col("label"))
     change = F.when(F.col("last_title").isNotNull() & ~same, F.struct(iso(F.col("last_from")).alias("effective_from"), F.col("last_title").alias("title"), F.col("last_label").alias("provision")))
-    return joined.select("record_seq", "version_seq", "provision_seq", "label", F.col("last_title").isNull().alias("ended"), F.coalesce(same, F.lit(False)).alias("unchanged"), change.alias("version_transition"))
+    return joined.select(*by, "record_seq", "version_seq", "provision_seq", "label", F.col("last_title").isNull().alias("ended"), F.coalesce(same, F.lit(False)).alias("unchanged"), change.alias("version_transition"))
 
 
-def resolve(references: DataFrame, versions: DataFrame, provisions: DataFrame, as_of: str) -> DataFrame:
-    """(title, provision, status, reason_code, evidence) of the distinct references.
+def resolve(references: DataFrame, versions: DataFrame, provisions: DataFrame, as_of: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., title, provision, status, reason_code, evidence) of the distinct references.
 
     Equal references have equal answers, so only distinct ones are joined; callers join back null-safely.  The catalog sides
     are left to the planner, which broadcasts them while they are small.
     """
     day = F.lit(as_of).cast("date")
-    pairs = references.select("title", "provision").distinct()
+    pairs = references.select(*by, "title", "provision").distinct()
     known = pairs.where("title IS NOT NULL")
     v = versions.withColumn("eff", effective(day, F.col("effective_from"), F.col("effective_to")))
-    p = transitions(versions, provisions).withColumn("label_hit", F.lit(True))
-    hits = known.join(v, "title").join(p.withColumnRenamed("label", "provision"), ["record_seq", "version_seq", "provision"], "left").withColumn("label_hit", F.coalesce("label_hit", F.lit(False)))
+    p = transitions(versions, provisions, by).withColumn("label_hit", F.lit(True))
+    hits = known.join(v, [*by, "title"]).join(p.withColumnRenamed("label", "provision"), [*by, "record_seq", "version_seq", "provision"], "left").withColumn("label_hit", F.coalesce("label_hit", F.lit(False)))
 
     def proof(provision: Column, change: Column) -> Column:
         return F.struct(
@@ -57,7 +58,7 @@ def resolve(references: DataFrame, versions: DataFrame, provisions: DataFrame, a
     none, no_change = F.lit(None).cast("string"), F.lit(None).cast("struct<effective_from:string,title:string,provision:string>")
     labelled = proof(F.when(F.col("label_hit"), F.col("provision")), F.when(F.col("label_hit"), F.col("version_transition")))
     gather = lambda cond, what: F.sort_array(F.collect_list(F.when(cond, what)))
-    counted = hits.groupBy("title", "provision").agg(
+    counted = hits.groupBy(*by, "title", "provision").agg(
         F.count_if(F.col("eff")).alias("tm"),
         F.count_if(F.col("eff") & F.col("label_hit")).alias("ex"),
         F.count_if(F.col("label_hit")).alias("hi"),
@@ -68,8 +69,9 @@ def resolve(references: DataFrame, versions: DataFrame, provisions: DataFrame, a
         gather(F.col("eff"), proof(none, no_change)).alias("bare"),
         gather(F.col("label_hit"), labelled).alias("ever"),
     )
-    counted = counted.withColumnsRenamed({"title": "t", "provision": "p"})
-    answer = pairs.join(counted, F.col("title").eqNullSafe(F.col("t")) & F.col("provision").eqNullSafe(F.col("p")), "left").drop("t", "p")
+    keys = [*by, "title", "provision"]
+    counted = counted.withColumnsRenamed({k: f"found_{k}" for k in keys})
+    answer = pairs.join(counted, [F.col(k).eqNullSafe(F.col(f"found_{k}")) for k in keys], "left").drop(*(f"found_{k}" for k in keys))
     tm, ex, hi = (F.coalesce(c, F.lit(0)) for c in ("tm", "ex", "hi"))
     rules = [
         (F.col("title").isNull(), "UNKNOWN", "AMBIGUOUS_CITATION", None),
@@ -90,26 +92,27 @@ def resolve(references: DataFrame, versions: DataFrame, provisions: DataFrame, a
         return out
 
     proofs = lattice(lambda a: F.transform(a[2], lambda x: x["e"]).cast(EVIDENCE) if a[2] else F.array().cast(EVIDENCE))
-    return answer.select("title", "provision", lattice(lambda a: F.lit(a[0])).alias("status"), lattice(lambda a: F.lit(a[1])).alias("reason_code"), proofs.alias("evidence"))
+    return answer.select(*keys, lattice(lambda a: F.lit(a[0])).alias("status"), lattice(lambda a: F.lit(a[1])).alias("reason_code"), proofs.alias("evidence"))
 
 
-def catalog_answers(versions: DataFrame, provisions: DataFrame, as_of: str) -> DataFrame:
+def catalog_answers(versions: DataFrame, provisions: DataFrame, as_of: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Answers for every reference that the catalog can tell apart: each title with each label of its versions, and with none."""
-    labels = versions.select("record_seq", "version_seq", "title").join(provisions.select("record_seq", "version_seq", "label"), ["record_seq", "version_seq"])
-    references = labels.select("title", F.col("label").alias("provision")).unionByName(versions.select("title", F.lit(None).cast("string").alias("provision")))
-    return resolve(references, versions, provisions, as_of)
+    record = [*by, "record_seq", "version_seq"]
+    labels = versions.select(*record, "title").join(provisions.select(*record, "label"), record)
+    references = labels.select(*by, "title", F.col("label").alias("provision")).unionByName(versions.select(*by, "title", F.lit(None).cast("string").alias("provision")))
+    return resolve(references, versions, provisions, as_of, by)
 
 
-def attach(candidates: DataFrame, versions: DataFrame, provisions: DataFrame, as_of: str) -> DataFrame:
+def attach(candidates: DataFrame, versions: DataFrame, provisions: DataFrame, as_of: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Candidates with their status, reason and evidence.
 
     A provision that is no label of its title is answered like no provision, so answers are as many as the catalog has titles and
     labels; the candidates are read once, and joined with what the planner broadcasts while the catalog is small.
     """
-    answers = catalog_answers(versions, provisions, as_of).select("title", "provision", F.struct("status", "reason_code", "evidence").alias("answer"))
+    answers = catalog_answers(versions, provisions, as_of, by).select(*by, "title", "provision", F.struct("status", "reason_code", "evidence").alias("answer"))
     exact = answers.where("provision IS NOT NULL").withColumnRenamed("answer", "exact")
-    bare = answers.where("provision IS NULL").select("title", F.col("answer").alias("bare"))
-    joined = candidates.join(exact, ["title", "provision"], "left").join(bare, "title", "left")
+    bare = answers.where("provision IS NULL").select(*by, "title", F.col("answer").alias("bare"))
+    joined = candidates.join(exact, [*by, "title", "provision"], "left").join(bare, [*by, "title"], "left")
     unnamed = F.when(F.col("title").isNull(), "AMBIGUOUS_CITATION").otherwise("CATALOG_NO_MATCH")
     told = F.coalesce("exact", "bare", F.struct(F.lit("UNKNOWN").alias("status"), unnamed.alias("reason_code"), F.array().cast(EVIDENCE).alias("evidence")))
     return joined.select(*candidates.columns, told.alias("told")).select(*candidates.columns, "told.*")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import checks
-from evidentia.operators import compare, extract, ledger, report, resolve
+from evidentia.operators import binding, compare, extract, ledger, report, resolve
 from evidentia.plans import oracles as o
 from evidentia.plans import render
 from evidentia.plans.registry import query
-from evidentia.sources import catalog, hwpx
+from evidentia.sources import bulk, catalog, hwpx
 
 AS_OF = "2025-01-01"
 COMMON = ["the", "there", "on", "onen", "ing the", "nting"]
@@ -567,3 +567,48 @@ def event_coherence(spark, sf_dir):
     s = F.col("sequence")
     bent = ledger_events(spark, sf_dir).withColumns({"item_number": F.when(s % 5 == 0, 11).otherwise(F.col("item_number")), "stage": F.when(s % 7 == 0, "triage").otherwise(F.col("stage"))})
     return bent.select("ledger", "sequence", ledger.coherent(F.lit(10)).alias("coherent"))
+
+
+# --- many catalogs, reports and ledgers
+
+
+def source_catalogs(spark, sf_dir):
+    """A catalog a source of the documents, as the JSON text that a file of it would hold; of each five, two are refused."""
+    sources = table(spark, sf_dir, "documents").select("source").where("source IS NOT NULL").distinct()
+    record = lambda w: F.when(F.substring(F.md5(F.concat("source", F.lit(w)).cast("binary")), 1, 1) < "8", F.lit('{"record_id":"%s","official_source":{"url":"https://c.example.org/","retrieved_at":"2024-01-01T00:00:00Z"},"versions":[{"effective_from":"2000-01-01","effective_to":null,"title":"%s","provisions":[{"canonical_id":"p","label":"thing"}]}]}' % (w, w)))
+    k = F.regexp_extract("source", "[0-9]+", 0).cast("int") % 5
+    text = F.concat(F.lit('{"schema_version":"'), F.when(k == 0, "2").otherwise("1"), F.lit('","records":['), F.array_join(F.array_compact(F.array(*map(record, COMMON))), ","), F.when(k == 1, "],}").otherwise("]}"))
+    return sources.select(F.col("source").alias("path"), text.cast("binary").alias("content"))
+
+
+RECORD_SQL = ", ".join("CASE WHEN substr(md5(source || '%s'), 1, 1) < '8' THEN '{\"record_id\":\"%s\",\"official_source\":{\"url\":\"https://c.example.org/\",\"retrieved_at\":\"2024-01-01T00:00:00Z\"},\"versions\":[{\"effective_from\":\"2000-01-01\",\"effective_to\":null,\"title\":\"%s\",\"provisions\":[{\"canonical_id\":\"p\",\"label\":\"thing\"}]}]}' END" % (w, w, w) for w in COMMON)
+MANY = f"""
+sources AS (SELECT DISTINCT source, regexp_extract(source, '[0-9]+')::INT % 5 AS k FROM documents WHERE source IS NOT NULL),
+texts AS (SELECT source, k, [{", ".join(f"'{w}'" for w in COMMON)}] AS w, [{RECORD_SQL}] AS r FROM sources),
+catalogs AS (
+  SELECT source, list_filter(r, lambda x: x IS NOT NULL) AS kept, list_filter(w, lambda x: substr(md5(source || x), 1, 1) < '8') AS titles,
+    CASE WHEN k = 0 THEN 'CATALOG_SCHEMA_UNSUPPORTED' WHEN k = 1 THEN 'CATALOG_JSON_INVALID' WHEN len(list_filter(r, lambda x: x IS NOT NULL)) = 0 THEN 'CATALOG_SCHEMA_INVALID' END AS error_code FROM texts)"""
+
+
+@query(f"""WITH {MANY.strip()} SELECT source, error_code, CASE WHEN error_code IS NULL THEN len(kept) END::INT AS versions,
+CASE WHEN error_code IS NULL THEN sha256('{{"schema_version":"1","records":[' || array_to_string(kept, ',') || ']}}') END AS catalog_sha256 FROM catalogs""")
+def catalogs_bulk(spark, sf_dir):
+    """The catalogs of all sources, validated on the cluster; two of five are refused."""
+    read = bulk.catalogs(source_catalogs(spark, sf_dir))
+    return read.select(F.col("path").alias("source"), "error_code", F.when(F.col("error_code").isNull(), F.size("versions")).alias("versions"), "catalog_sha256")
+
+
+@query(f"""WITH {MANY.strip()}, {o.NODES.strip()},
+titles AS (SELECT DISTINCT d.doc_id, unnest(titles) AS title FROM documents d JOIN catalogs c USING (source) WHERE error_code IS NULL),
+{o.mentions(WORD_FORM["markers"], 12, "[a-z]+ing").strip().replace("nodes JOIN titles ON contains(text, title)", "nodes JOIN titles USING (doc_id) WHERE contains(text, title)")}
+SELECT doc_id, ordinal, start, title, CASE WHEN title IS NULL THEN 'UNKNOWN' WHEN provision = 'thing' THEN 'CURRENT' ELSE 'REVIEW' END AS status,
+  CASE WHEN title IS NULL THEN 'AMBIGUOUS_CITATION' WHEN provision = 'thing' THEN 'EXACT_CURRENT_MATCH' ELSE 'PROVISION_MISMATCH' END AS reason_code FROM candidates""")
+def catalogs_many(spark, sf_dir):
+    """Every line of every document against the catalog of its own source, found and resolved in one plan."""
+    kept = bulk.accepted(bulk.catalogs(source_catalogs(spark, sf_dir)))
+    v, p = bulk.versions(kept, "source"), bulk.provisions(kept, "source")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "text")
+    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "text")).where("text <> ''").withColumn("ordinal", F.col("at") + 1)
+    found = extract.catalog_mentions(lines, v, ["doc_id", "ordinal"], "source", **WORD_FORM, columns=("candidates",))
+    rows = found.select("doc_id", "source", "ordinal", F.explode("candidates").alias("c")).select("doc_id", "source", "ordinal", "c.start", "c.title", "c.provision")
+    return resolve.attach(rows, v, p, AS_OF, by=("source",)).select("doc_id", "ordinal", "start", "title", "status", "reason_code")

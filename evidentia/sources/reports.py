@@ -103,27 +103,38 @@ def _whole(x: Any) -> bool:
     return isinstance(x, int) and not isinstance(x, bool)
 
 
-def validate_ledger(ledger: Any, report: dict) -> dict:
-    """The ledger itself if it belongs to the report and its chain is whole."""
-    bad = EvidenceError("REVIEW_LEDGER_INVALID", "Review ledger is invalid or does not match the report.")
+LEDGER_INVALID = ("REVIEW_LEDGER_INVALID", "Review ledger is invalid or does not match the report.")
+
+
+def validate_events(ledger: Any) -> dict:
+    """The ledger itself if it has a ledger's keys and its events are coherent and chained, whatever report it belongs to."""
     try:
         _keys(ledger, "schema report_digest document_sha256 catalog_sha256 as_of events")
-        bound = {"schema": LEDGER_SCHEMA, "report_digest": strict_json.digest(report)} | {k: report[k] for k in ("document_sha256", "catalog_sha256", "as_of")}
-        _need(all(ledger[k] == v for k, v in bound.items()))
+        _need(ledger["schema"] == LEDGER_SCHEMA and all(isinstance(ledger[k], str) for k in ("report_digest", "document_sha256", "catalog_sha256", "as_of")))
         events = ledger["events"]
         _need(isinstance(events, list) and len(events) <= MAX_EVENTS)
         last = None
         for n, e in enumerate(events, 1):
             _need(isinstance(e, dict) and set(e) == EVENT_KEYS and _whole(e["sequence"]) and e["sequence"] == n)
             if e["action"] == "decide":
-                _need(_whole(e["item_number"]) and 1 <= e["item_number"] <= len(report["items"]) and e["disposition"] in DISPOSITIONS and e["stage"] is None)
+                _need(_whole(e["item_number"]) and e["item_number"] >= 1 and e["disposition"] in DISPOSITIONS and e["stage"] is None)
             else:
                 _need(e["action"] in ("start", "finish") and e["stage"] in STAGES and e["item_number"] is None and e["disposition"] is None)
             event_time(e["at"])
             _need(e["previous_event_digest"] == last and e["digest"] == strict_json.digest({k: v for k, v in e.items() if k != "digest"}))
             last = e["digest"]
     except (ValueError, TypeError):
-        raise bad from None
+        raise EvidenceError(*LEDGER_INVALID) from None
+    return ledger
+
+
+def validate_ledger(ledger: Any, report: dict) -> dict:
+    """The ledger itself if it belongs to the report and its chain is whole."""
+    validate_events(ledger)
+    bound = {"report_digest": strict_json.digest(report)} | {k: report[k] for k in ("document_sha256", "catalog_sha256", "as_of")}
+    most = max((e["item_number"] or 0 for e in ledger["events"]), default=0)
+    if any(ledger[k] != v for k, v in bound.items()) or most > len(report["items"]):
+        raise EvidenceError(*LEDGER_INVALID)
     return ledger
 
 
