@@ -612,3 +612,63 @@ def catalogs_many(spark, sf_dir):
     found = extract.catalog_mentions(lines, v, ["doc_id", "ordinal"], "source", **WORD_FORM, columns=("candidates",))
     rows = found.select("doc_id", "source", "ordinal", F.explode("candidates").alias("c")).select("doc_id", "source", "ordinal", "c.start", "c.title", "c.provision")
     return resolve.attach(rows, v, p, AS_OF, by=("source",)).select("doc_id", "ordinal", "start", "title", "status", "reason_code")
+
+
+#: How the reports of ``document_reports`` are bent: by the id modulo 20, 1 to 10; the rest stand.
+BENT_JSON, BENT_REPORT = (1, 2, 3, 4, 8, 9, 10), (5, 6, 7)
+ITEM_JSON = '{"locator":"n1","reference":{"title":null,"provision":null},"status":"UNKNOWN","reason_code":"AMBIGUOUS_CITATION","evidence":[]}'
+ITEM_CANONICAL = '{"evidence":[],"locator":"n1","reason_code":"AMBIGUOUS_CITATION","reference":{"provision":null,"title":null},"status":"UNKNOWN"}'
+
+
+def document_reports(spark, sf_dir):
+    """(doc_id, path, content, report_digest, document_sha256): a report file a document, half of them bent, and the digest of the report meant."""
+    sha, k = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.col("doc_id") % 20
+    rows = table(spark, sf_dir, "documents").select("doc_id", k.cast("int").alias("k"), (F.col("doc_id") % 4).cast("int").alias("n"), sha.alias("document_sha256"))
+    name = F.concat(F.lit("document-"), F.substring("document_sha256", 1, 12), F.lit(".hwpx"))
+    listed = lambda item: F.array_join(F.array_repeat(F.lit(item), F.col("n")), ",")
+    k = F.col("k")
+    text = F.concat(
+        F.when(k == 8, "\ufeff").when(k == 9, "[").otherwise(""), F.lit("{"), F.when(k == 7, "").otherwise('"schema_version":"1",'), F.when(k == 5, '"more":1,').otherwise(""), F.when(k == 1, '"items":[],').otherwise(""),
+        F.lit('"document_name":"'), F.when(k == 4, "\\ud800").otherwise(""), name, F.lit('","document_sha256":"'), F.col("document_sha256"), F.lit('","as_of":'), F.when(k == 2, "NaN").when(k == 6, '"20250101"').otherwise('"2025-01-01"'),
+        F.lit(',"catalog_sha256":"' + "c" * 64 + '","items":['), listed(ITEM_JSON), F.lit('],"collection_errors":'), F.when(k == 3, "[" * 40 + "]" * 40).otherwise("[]"), F.lit("}"), F.when(k == 9, "]").otherwise(""),
+    )
+    meant = F.concat(F.lit('{"as_of":"2025-01-01","catalog_sha256":"' + "c" * 64 + '","collection_errors":[],"document_name":"'), name, F.lit('","document_sha256":"'), F.col("document_sha256"), F.lit('","items":['), listed(ITEM_CANONICAL), F.lit('],"schema_version":"1"}'))
+    content = F.when(k == 10, F.concat(text.cast("binary"), F.unhex(F.lit("FF")))).otherwise(text.cast("binary"))
+    return rows.select("doc_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"), F.sha2(meant.cast("binary"), 256).alias("report_digest"), "document_sha256")
+
+
+MEANT = f"""
+r AS (SELECT doc_id, doc_id % 20 AS k, doc_id % 4 AS n, sha256(coalesce(text, '')) AS sha FROM documents),
+meant AS (SELECT *, CASE WHEN k IN {BENT_JSON} THEN 'REVIEW_JSON_INVALID' WHEN k IN {BENT_REPORT} THEN 'REVIEW_REPORT_INVALID' END AS report_error,
+  sha256('{{"as_of":"2025-01-01","catalog_sha256":"{"c" * 64}","collection_errors":[],"document_name":"document-' || substr(sha, 1, 12) || '.hwpx","document_sha256":"' || sha || '","items":[' || array_to_string(list_transform(range(n), lambda i: '{ITEM_CANONICAL}'), ',') || '],"schema_version":"1"}}') AS digest FROM r)"""
+
+
+@query(f"""WITH {MEANT.strip()} SELECT 'r' || doc_id AS path, report_error AS error_code, CASE WHEN report_error IS NULL THEN n END::INT AS items,
+CASE WHEN report_error IS NULL THEN digest END AS report_digest, CASE WHEN report_error IS NULL THEN digest END AS column_digest FROM meant""")
+def reports_bulk(spark, sf_dir):
+    """A report file a document read on the cluster: repeated keys, NaN, depth, lone surrogates, byte order marks, bytes that are no text,
+    unknown and missing keys and bad days are refused; the digest of the bytes' value and that of the typed columns are the same."""
+    read = bulk.reports(document_reports(spark, sf_dir))
+    good = F.col("error_code").isNull()
+    return read.select("path", "error_code", F.when(good, F.size("items")).alias("items"), "report_digest", F.when(good, binding.report_digest()).alias("column_digest"))
+
+
+def document_ledgers(spark, sf_dir):
+    """(path, content): a ledger file a document, of one event; some name another day, some have a wrong digest."""
+    event = '{"action":"decide","at":"2025-02-01T00:00:00Z","disposition":"confirm","item_number":1,"previous_event_digest":null,"sequence":1,"stage":null}'
+    k = F.col("doc_id")
+    digest = F.sha2(F.lit(event).cast("binary"), 256)
+    text = F.concat(
+        F.lit('{"schema":"citation-review/1","report_digest":"'), F.col("report_digest"), F.lit('","document_sha256":"'), F.col("document_sha256"), F.lit('","catalog_sha256":"' + "c" * 64 + '","as_of":"'), F.when(k % 7 == 0, "2025-01-02").otherwise("2025-01-01"),
+        F.lit('","events":[' + event[:-1] + ',"digest":"'), F.when(k % 11 == 0, F.reverse(digest)).otherwise(digest), F.lit('"}]}'),
+    )
+    return document_reports(spark, sf_dir).select(F.concat(F.lit("l"), k.cast("string")).alias("path"), text.cast("binary").alias("content"))
+
+
+@query(f"""WITH {MEANT.strip()}, known AS (SELECT digest, min('r' || doc_id) AS report_path FROM meant WHERE report_error IS NULL GROUP BY digest),
+fit AS (SELECT m.*, k.report_path, m.doc_id % 7 <> 0 AND m.doc_id % 11 <> 0 AND k.report_path IS NOT NULL AND n >= 1 AS ok FROM meant m LEFT JOIN known k USING (digest))
+SELECT 'l' || doc_id AS path, CASE WHEN ok THEN report_path END AS report_path, CASE WHEN ok THEN n END::INT AS n_items, CASE WHEN ok THEN 1 END::INT AS events, CASE WHEN NOT ok THEN 'REVIEW_LEDGER_INVALID' END AS error_code FROM fit""")
+def ledgers_bound(spark, sf_dir):
+    """Every ledger file with the report it belongs to, or its refusal."""
+    bound = binding.bind(bulk.ledgers(document_ledgers(spark, sf_dir)), bulk.reports(document_reports(spark, sf_dir)))
+    return bound.select("path", "report_path", "n_items", F.when(F.col("error_code").isNull(), F.size("events")).alias("events"), "error_code")
