@@ -20,7 +20,7 @@ def counted(items: DataFrame) -> DataFrame:
 
 
 def sides(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Both reports in one frame, shuffled once by pair, below which all windows and groups only sort.
+    """Both reports in one frame, shuffled once by pair and sorted once by identity, place and side.
 
     ``side`` is 0 for old and 1 for new; ``matched`` tells items that stand at the same number with the same identity on the
     other side, ``after`` is that item's status, reason and evidence (for old items); ``old_identities`` and
@@ -28,49 +28,48 @@ def sides(old: DataFrame, new: DataFrame) -> DataFrame:
     pair is no hot key.
     """
     both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1))).repartition("pair")
-    place, identity = Window.partitionBy("pair", "item_number", *IDENTITY), Window.partitionBy("pair", *IDENTITY)
-    return both.withColumns(
-        {
-            "matched": F.min("side").over(place) < F.max("side").over(place),
-            "after": F.lead(F.struct("status", "reason_code", "evidence")).over(place.orderBy("side")),
-            "old_identities": F.count_if(F.col("side") == 0).over(identity),
-            "new_identities": F.count_if(F.col("side") == 1).over(identity),
-        }
-    )
+    place, identity = Window.partitionBy("pair", *IDENTITY, "item_number").orderBy("side"), Window.partitionBy("pair", *IDENTITY)
+    placed = both.withColumns({"after": F.lead(F.struct("status", "reason_code", "evidence")).over(place), "before_it": F.lag("side").over(place)})
+    told = placed.withColumns({"old_identities": F.count_if(F.col("side") == 0).over(identity), "new_identities": F.count_if(F.col("side") == 1).over(identity)})
+    return told.withColumn("matched", F.col("after").isNotNull() | F.col("before_it").isNotNull()).drop("before_it")
 
 
-def in_place_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(pair, type, before_item_number, after_item_number): status changes (status or reason) and evidence changes."""
-    a, at = F.col("after"), F.col("item_number")
-    kinds = F.array_compact(F.array(F.when((F.col("status") != a["status"]) | (F.col("reason_code") != a["reason_code"]), "status"), F.when(~F.col("evidence").eqNullSafe(a["evidence"]), "evidence")))
-    return sides(old, new).where((F.col("side") == 0) & a.isNotNull()).select("pair", F.explode(kinds).alias("type"), at.alias("before_item_number"), at.alias("after_item_number"))
-
+def findings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(pair, type, reason, before_item_numbers, after_item_numbers): all that two reports of one document differ in, in one pass.
 
-def unmatched_findings(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(pair, type, reason, before_item_numbers, after_item_numbers) of what positional matching leaves.
-
-    An unmatched old item's partners are the unmatched new items of its reference, all claimed by the first such old item;
-    without partners it is ``removed`` where nothing repeats, else unresolved.  New items that none claims are ``added`` where
-    nothing repeats and the old report knows no such item, else unresolved.  Unresolved rows have a reason instead of a type.
+    Items matched in place have a row of type ``status`` (status or reason) and one of type ``evidence`` where these changed.  An
+    unmatched old item's partners are the unmatched new items of its reference, all claimed by the first such old item; without
+    partners it is ``removed`` where nothing repeats, else unresolved.  New items that none claims are ``added`` where nothing
+    repeats and the old report knows no such item, else unresolved.  Unresolved rows have a reason instead of a type.
     """
+    a = F.col("after")
     item = F.struct(F.col("item_number").alias("n"), F.col("old_identities").alias("old"), F.col("new_identities").alias("new"))
     left = lambda side: F.sort_array(F.collect_list(F.when((F.col("side") == side) & ~F.col("matched"), item)))
-    groups = sides(old, new).groupBy("pair", *REFERENCE).agg(F.count_if(F.col("side") == 0).alias("n_old"), F.count_if(F.col("side") == 1).alias("n_new"), left(0).alias("olds"), left(1).alias("news"))
+    kinds = F.array_compact(F.array(F.when((F.col("status") != a["status"]) | (F.col("reason_code") != a["reason_code"]), "status"), F.when(~F.col("evidence").eqNullSafe(a["evidence"]), "evidence")))
+    changed = F.collect_list(F.when((F.col("side") == 0) & a.isNotNull() & (F.size(kinds) > 0), F.struct(F.col("item_number").alias("n"), kinds.alias("kinds"))))
+    groups = sides(old, new).groupBy("pair", *REFERENCE).agg(F.count_if(F.col("side") == 0).alias("n_old"), F.count_if(F.col("side") == 1).alias("n_new"), left(0).alias("olds"), left(1).alias("news"), changed.alias("changed"))
     empty, text = F.array().cast("array<int>"), F.lit(None).cast("string")
 
-    def row(kind: str | None, reason: str | None, before, after):
-        return F.struct((F.lit(kind) if kind else text).alias("type"), (F.lit(reason) if reason else text).alias("reason"), before.alias("before_item_numbers"), after.alias("after_item_numbers"))
+    def row(kind, reason: str | None, before, after):
+        return F.struct((text if kind is None else F.lit(kind) if isinstance(kind, str) else kind).alias("type"), (F.lit(reason) if reason else text).alias("reason"), before.alias("before_item_numbers"), after.alias("after_item_numbers"))
 
     partners = F.transform("news", lambda y: y["n"])
     lone = lambda x: (F.col("n_old") <= 1) & (F.col("n_new") <= 1) & (x["old"] <= 1) & (x["new"] <= 1)
     gone = lambda x, i: F.when((i == 0) & (F.size("news") > 0), row(None, UNCONFIRMED, F.array(x["n"]), partners)).when(lone(x), row("removed", None, F.array(x["n"]), empty)).otherwise(row(None, MOVED, F.array(x["n"]), empty))
     come = lambda x: F.when(lone(x) & (F.col("n_old") == 0) & (x["old"] == 0), row("added", None, empty, F.array(x["n"]))).otherwise(row(None, UNCONFIRMED, empty, F.array(x["n"])))
-    return groups.select("pair", F.inline(F.when(F.size("olds") > 0, F.transform("olds", gone)).otherwise(F.transform("news", come))))
+    apart = F.when(F.size("olds") > 0, F.transform("olds", gone)).otherwise(F.transform("news", come))
+    here = F.flatten(F.transform("changed", lambda x: F.transform(x["kinds"], lambda k: row(k, None, F.array(x["n"]), F.array(x["n"])))))
+    return groups.select("pair", F.inline(F.concat(here, apart)))
 
 
-def as_changes(findings: DataFrame) -> DataFrame:
-    """The removed and added items among unmatched findings."""
-    return findings.where("type IS NOT NULL").select("pair", "type", F.get("before_item_numbers", 0).alias("before_item_number"), F.get("after_item_numbers", 0).alias("after_item_number"))
+def as_changes(found: DataFrame) -> DataFrame:
+    """(pair, type, before_item_number, after_item_number) of the findings that are changes."""
+    return found.where("type IS NOT NULL").select("pair", "type", F.get("before_item_numbers", 0).alias("before_item_number"), F.get("after_item_numbers", 0).alias("after_item_number"))
+
+
+def in_place_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The status and evidence changes alone."""
+    return as_changes(findings(old, new)).where("type IN ('status', 'evidence')")
 
 
 def same_document(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,14 +78,22 @@ def same_document(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
     changes: (pair, type, before_item_number, after_item_number); unresolved: (pair, reason, before_item_numbers,
     after_item_numbers).
     """
-    findings = unmatched_findings(old, new)
-    return in_place_changes(old, new).unionByName(as_changes(findings)), findings.where("reason IS NOT NULL").drop("type")
+    found = findings(old, new)
+    return as_changes(found), found.where("reason IS NOT NULL").drop("type")
+
+
+def metadata_changes(before: DataFrame, after: DataFrame, related: bool = False) -> DataFrame:
+    """(pair, type, before, after): the ``catalog`` and ``as_of`` values that differ, of heads as for ``headers``, where the documents are related."""
+    told = headers(before, after, related).select("pair", F.explode("metadata").alias("type"))
+    value = lambda heads, name: heads.select("pair", F.create_map(F.lit("catalog"), "catalog_sha256", F.lit("as_of"), "as_of").alias(name))
+    joined = told.join(value(before, "b"), "pair").join(value(after, "a"), "pair")
+    return joined.select("pair", "type", F.col("b")[F.col("type")].alias("before"), F.col("a")[F.col("type")].alias("after"))
 
 
 def in_order(changes: DataFrame) -> DataFrame:
-    """Changes with their ``place`` in the pair: in place by number, status before evidence, then removed, then added ones."""
-    kind = F.array_position(F.array(*map(F.lit, ["status", "evidence"])), F.col("type"))
-    group = F.when(kind > 0, 0).when(F.col("type") == "removed", 1).otherwise(2)
+    """Changes with their ``place`` in the pair: in place by number, status before evidence, then removed, then added ones, then metadata."""
+    kind = F.array_position(F.array(*map(F.lit, ["status", "evidence", "catalog", "as_of"])), F.col("type"))
+    group = F.when(F.col("type").isin("status", "evidence"), 0).when(F.col("type") == "removed", 1).when(F.col("type") == "added", 2).otherwise(3)
     w = Window.partitionBy("pair").orderBy(group, F.coalesce("before_item_number", "after_item_number"), kind)
     return changes.withColumn("place", F.row_number().over(w))
 

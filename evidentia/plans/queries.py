@@ -348,12 +348,12 @@ def compare_change_order(spark, sf_dir):
 
 @query(WITH_COMPARE + REMOVED)
 def compare_removed(spark, sf_dir):
-    return compare.as_changes(compare.unmatched_findings(*item_tables(spark, sf_dir))).where("type = 'removed'").select("pair", "before_item_number")
+    return compare.as_changes(compare.findings(*item_tables(spark, sf_dir))).where("type = 'removed'").select("pair", "before_item_number")
 
 
 @query(WITH_COMPARE + ADDED)
 def compare_added(spark, sf_dir):
-    return compare.as_changes(compare.unmatched_findings(*item_tables(spark, sf_dir))).where("type = 'added'").select("pair", "after_item_number")
+    return compare.as_changes(compare.findings(*item_tables(spark, sf_dir))).where("type = 'added'").select("pair", "after_item_number")
 
 
 @query(WITH_COMPARE + """SELECT pair, CASE WHEN ns IS NULL THEN 'moved_or_ambiguous' ELSE 'candidate_identity_unconfirmed' END AS reason, item_number::VARCHAR AS before_item_numbers, coalesce(ns, '') AS after_item_numbers FROM jo WHERE ns IS NOT NULL OR NOT (ids <= 1 AND refs <= 1 AND nids <= 1 AND nrefs <= 1)
