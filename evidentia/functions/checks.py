@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the reports and ledgers.
@@ -85,3 +85,8 @@ def section_key(name: Column) -> Column:
     digits = F.regexp_extract(plain, r"\A(?:\./)*Contents/section([0-9]+)\.xml\z", 1)
     bare = F.regexp_replace(digits, "\\A0+(?=[0-9])", "")
     return F.when(digits != "", F.struct(F.length(bare).alias("size"), bare.alias("digits")))
+
+
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """(key..., n): keys that more than one row has; nulls equal each other.  Counts meet after they are made up in each task."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

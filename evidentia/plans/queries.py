@@ -105,13 +105,20 @@ def content_sha256(spark, sf_dir):
 
 
 @query(r"""
-WITH names(name) AS (VALUES ('Contents/section0.xml'), ('Contents/section007.xml'), ('Contents//section12.xml'), ('./Contents/./section3.xml'), ('Contents/section.xml'), ('Contents/sectionA.xml'), ('x/Contents/section1.xml'), ('Contents/section000.xml'), ('{ns}t'), ('t'))
-SELECT name, nullif(CASE WHEN d = '' THEN '' WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END, '') AS digits, regexp_extract(name, '[^}]*$') AS local_name
-FROM (SELECT name, regexp_extract(regexp_replace(regexp_replace(name, '/([.]/)+', '/', 'g'), '/+', '/', 'g'), '^(?:[.]/)*Contents/section([0-9]+)[.]xml$', 1) AS d FROM names)""")
+WITH names AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Contents/section' || doc_id || '.xml' WHEN 1 THEN 'Contents/section00' || doc_id || '.xml' WHEN 2 THEN 'Contents//section' || doc_id || '.xml' WHEN 3 THEN './Contents/./section' || doc_id || '.xml'
+  WHEN 4 THEN 'Contents/section.xml' WHEN 5 THEN 'x/Contents/section' || doc_id || '.xml' WHEN 6 THEN '{' || source || '}' || lang ELSE lang END AS name FROM documents)
+SELECT doc_id, nullif(CASE WHEN d = '' THEN '' WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END, '') AS digits, regexp_extract(name, '[^}]*$') AS local_name
+FROM (SELECT doc_id, name, regexp_extract(regexp_replace(regexp_replace(name, '/([.]/)+', '/', 'g'), '/+', '/', 'g'), '^(?:[.]/)*Contents/section([0-9]+)[.]xml$', 1) AS d FROM names)""")
 def section_names(spark, sf_dir):
-    names = ["Contents/section0.xml", "Contents/section007.xml", "Contents//section12.xml", "./Contents/./section3.xml", "Contents/section.xml", "Contents/sectionA.xml", "x/Contents/section1.xml", "Contents/section000.xml", "{ns}t", "t"]
-    rows = spark.createDataFrame([(n,) for n in names], "name string")
-    return rows.select("name", checks.section_key(F.col("name"))["digits"].alias("digits"), checks.local_name(F.col("name")).alias("local_name"))
+    """Names made of ids, sources and languages: those of sections, near ones, and tags with and without a namespace."""
+    k, i = F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    kinds = [text("Contents/section", i, ".xml"), text("Contents/section00", i, ".xml"), text("Contents//section", i, ".xml"), text("./Contents/./section", i, ".xml"), F.lit("Contents/section.xml"), text("x/Contents/section", i, ".xml"), text("{", F.col("source"), "}", F.col("lang"))]
+    name = F.col("lang")
+    for n, kind in enumerate(kinds):
+        name = F.when(k == n, kind).otherwise(name)
+    rows = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
+    return rows.select("doc_id", checks.section_key(F.col("name"))["digits"].alias("digits"), checks.local_name(F.col("name")).alias("local_name"))
 
 
 @query("SELECT doc_id, contains(upper(text), '<!DOCTYPE') OR contains(upper(text), '<!ENTITY') AS rejected FROM (SELECT page_id AS doc_id, html AS text FROM pages)")
@@ -286,7 +293,7 @@ def sha_format(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_violations(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return checks.repeated(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query(r"WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN chr(9) || chr(10) WHEN 2 THEN '' ELSE text END AS t FROM documents) SELECT doc_id, regexp_matches(t, '\S') AS filled FROM t")
@@ -387,6 +394,19 @@ def compare_gates(spark, sf_dir):
     return compare.headers(before, after).select("pair", "reason", "comparable", "relationship", F.array_join("metadata", ",").alias("metadata"))
 
 
+@query("""WITH h AS (SELECT o_custkey AS pair, CASE WHEN o_custkey % 3 = 0 THEN 'b' ELSE 'a' END AS doc, CASE WHEN o_custkey % 2 = 0 THEN 'c' ELSE 'd' END AS cat, max(o_orderdate::DATE)::VARCHAR AS day FROM orders GROUP BY o_custkey),
+c AS (SELECT pair, 'catalog' AS type, 'c' AS before, cat AS after FROM h WHERE doc = 'a' UNION ALL SELECT pair, 'as_of', '1998-01-01', day FROM h WHERE doc = 'a')
+SELECT pair, type, before, after, row_number() OVER (PARTITION BY pair ORDER BY CASE type WHEN 'catalog' THEN 0 ELSE 1 END)::INT AS place FROM c WHERE before <> after""")
+def compare_metadata_changes(spark, sf_dir):
+    """Customers as pairs of reports, the later one as of their last order: which catalog and day differ, with both values, in order."""
+    k = F.col("pair")
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("pair")).agg(F.max(F.to_date("o_orderdate")).cast("string").alias("day"))
+    head = lambda doc, cat, day: n.select("pair", doc.alias("document_sha256"), cat.alias("catalog_sha256"), day.alias("as_of"), F.lit(1).alias("n_items"), F.lit(0).alias("n_errors"))
+    found = compare.metadata_changes(head(F.lit("a"), F.lit("c"), F.lit("1998-01-01")), head(F.when(k % 3 == 0, "b").otherwise("a"), F.when(k % 2 == 0, "c").otherwise("d"), F.col("day")))
+    numbered = found.withColumns({"before_item_number": F.lit(None).cast("int"), "after_item_number": F.lit(None).cast("int")})
+    return compare.in_order(numbered).select("pair", "type", "before", "after", "place")
+
+
 # --- ledgers
 
 
@@ -443,15 +463,12 @@ def ledger_event_digest(spark, sf_dir):
     WITH_LEDGER
     + f""", first AS (SELECT *, sha256({EVENT_SQL}) AS d FROM events0),
 linked AS (SELECT *, lag(d) OVER (PARTITION BY ledger ORDER BY sequence) AS p FROM first)
-SELECT ledger, count(*)::BIGINT AS events, bool_and(sequence <= 1 AND NOT (ledger % 3 = 0 AND sequence = 1)) AS valid FROM linked WHERE sequence <= CASE WHEN ledger % 2 = 0 THEN 1 ELSE 3 END GROUP BY 1"""
+SELECT ledger, count(*)::BIGINT AS events, bool_and(sequence <= 1 AND NOT (ledger % 3 = 0 AND sequence = 1)) AS valid FROM linked GROUP BY 1"""
 )
 def ledger_hash_chain_link(spark, sf_dir):
-    """Ledgers of one event that stand, and of more whose later events carry digests of the wrong text.
-
-    Reads three events of a ledger at most, as its SQL does; ``ledger_chain_whole`` chains and validates all of them.
-    """
+    """All events of every ledger, where later ones carry digests of the wrong text: a ledger of one event stands, if that is not bent."""
     e = ledger_events(spark, sf_dir).withColumn("previous_event_digest", F.lit(None).cast("string"))
-    e = e.withColumn("digest", ledger.event_digest()).where((F.col("sequence") <= F.when(F.col("ledger") % 2 == 0, 1).otherwise(3)))
+    e = e.withColumn("digest", ledger.event_digest())
     linked = e.withColumn("previous_event_digest", F.lag("digest").over(Window.partitionBy("ledger").orderBy("sequence")))
     bent = linked.withColumn("digest", F.when((F.col("ledger") % 3 == 0) & (F.col("sequence") == 1), F.reverse("digest")).otherwise(F.col("digest")))
     return ledger.validate(bent, 10)
@@ -506,6 +523,25 @@ def measured_seconds(spark, sf_dir):
     return ledger.timings(ledger_events(spark, sf_dir)).select("ledger", "stage", "status", F.round(F.col("seconds") * 1e6).cast("long").alias("us"))
 
 
+TIMED = """, per AS (SELECT ledger, stage, bool_or(bad) AS bad, bool_or(open) AS open, count(end_us) AS n, sum(end_us - start_us)::BIGINT AS us FROM steps GROUP BY ALL),
+timed AS (SELECT p.ledger, p.stage, bad OR open OR n = 0 OR o.stage IS NOT NULL AS unknown, us FROM per p LEFT JOIN ov o USING (ledger, stage)),
+told AS (SELECT h.ledger, string_agg(s.stage || '=' || CASE WHEN coalesce(unknown, true) THEN 'unknown' ELSE 'measured ' || us END, ',' ORDER BY s.stage) AS timing
+  FROM heads h CROSS JOIN (VALUES ('triage'), ('evidence'), ('decision')) s(stage) LEFT JOIN timed t ON t.ledger = h.ledger AND t.stage = s.stage GROUP BY 1),
+decided AS (SELECT ledger, string_agg(item_number || '=' || disposition, ',' ORDER BY item_number::VARCHAR) AS latest, count(*) AS n,
+  'confirm=' || count_if(disposition = 'confirm') || ',defer=' || count_if(disposition = 'defer') || ',investigate=' || count_if(disposition = 'investigate') || ',reject=' || count_if(disposition = 'reject') AS counts
+  FROM (SELECT ledger, item_number, arg_max(disposition, sequence) AS disposition FROM events0 WHERE action = 'decide' GROUP BY ALL) GROUP BY 1)"""
+
+
+@query(WITH_LEDGER + STEPS + TIMED + """ SELECT h.ledger, coalesce(latest, '') AS latest_decisions, (10 - coalesce(n, 0))::BIGINT AS unreviewed_count,
+coalesce(counts, 'confirm=0,defer=0,investigate=0,reject=0') AS disposition_counts, timing FROM heads h LEFT JOIN decided d USING (ledger) JOIN told USING (ledger)""")
+def ledger_summaries(spark, sf_dir):
+    """The whole summary of every ledger, those without events too: decisions, counts and the timing of each stage."""
+    out = ledger.summary(ledger_events(spark, sf_dir), ledger_heads(spark, sf_dir))
+    pairs = lambda c, value: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), value(x["value"]))), ",")
+    spent = lambda v: F.when(v["status"] == "unknown", "unknown").otherwise(F.concat(F.lit("measured "), F.round(v["seconds"] * 1e6).cast("long").cast("string")))
+    return out.select("ledger", pairs("latest_decisions", lambda v: v).alias("latest_decisions"), F.col("unreviewed_count").cast("long").alias("unreviewed_count"), pairs("disposition_counts", lambda v: v.cast("string")).alias("disposition_counts"), pairs("timing", spent).alias("timing"))
+
+
 # --- rendering
 
 
@@ -524,6 +560,41 @@ def review_rows_html(spark, sf_dir):
     return render.rows_html(items, none).select(F.col("pair").alias("doc_id"), "place", "html")
 
 
+PAGE_TOP = '<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Evidence review</title></head><body><h1>Evidence review</h1><p>'
+PAGE_PRIVATE = "<p>Keep this page private: it holds identifiers and evidence as they are. It draws no legal conclusion and vouches for no source.</p>"
+PAGE_HEAD = "<table>\n<tr><th>Item</th><th>Status</th><th>Reason</th><th>Place</th><th>Title</th><th>Provision</th><th>Decision</th><th>Evidence</th></tr>\n"
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _section_sql(status: str) -> str:
+    rows = f"coalesce(string_agg(row, chr(10) ORDER BY item_number) FILTER (WHERE status = '{status}'), '')"
+    return f"'<section><h2>{status} (' || count(*) FILTER (WHERE status = '{status}') || ')</h2>' || chr(10) || {_sql_text(PAGE_HEAD)} || {rows} || chr(10) || '</table></section>' || chr(10)"
+
+
+@query(WITH_ITEMS + f""", drawn AS (SELECT doc_id, item_number, status, {ROW_SQL} AS row FROM items),
+grouped AS (SELECT doc_id, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in checks.PRIORITY)}, {" || ".join(map(_section_sql, checks.PRIORITY))} AS sections FROM drawn GROUP BY doc_id)
+SELECT d.doc_id, {_sql_text(PAGE_TOP)} || 'document-' || substr(sha256(d.text), 1, 12) || '.hwpx, as of 2025-01-01, report digest ' || sha256(d.text) || '</p>' || {_sql_text(PAGE_PRIVATE)}
+  || CASE WHEN d.doc_id % 3 = 0 THEN '<h2>Collection errors: the evidence is incomplete</h2><ul><li>A&amp;B (parse): &lt;none&gt;</li></ul>' ELSE '' END
+  || '<p>Statuses: ' || {" || ', ' || ".join(f"'{x}: ' || coalesce({x}, 0)" for x in checks.PRIORITY)} || '</p><p>Unreviewed: ' || coalesce(n, 0) || '; decisions: confirm: 0, reject: 0</p><p>Seconds by stage: triage: unknown</p>'
+  || CASE WHEN n IS NULL THEN '<p>No candidates: this does not mean that the review is complete.</p>' ELSE '' END
+  || coalesce(sections, {" || ".join(f"'<section><h2>{x} (0)</h2>' || chr(10) || {_sql_text(PAGE_HEAD)} || chr(10) || '</table></section>' || chr(10)" for x in checks.PRIORITY)}) || '</body></html>' || chr(10) AS html
+FROM documents d LEFT JOIN grouped g USING (doc_id)""")
+def review_pages(spark, sf_dir):
+    """The whole page of every document, those without items and those with an error too."""
+    items = licence_items(spark, sf_dir).select(F.col("doc_id").alias("pair"), "item_number", F.concat(F.lit("n"), F.col("ordinal").cast("string")).alias("locator"), "title", "provision", "status", "reason_code", F.array().cast(resolve.EVIDENCE).alias("evidence"))
+    none = spark.createDataFrame([], "ledger long, sequence int, action string, item_number int, disposition string")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    fault = F.array(F.struct(F.lit("A&B").alias("code"), F.lit("parse").alias("stage"), F.lit("<none>").alias("message")))
+    n = items.groupBy("pair").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair"), sha.alias("digest"), checks.document_name(sha).alias("document_name"), F.when(F.col("doc_id") % 3 == 0, fault).otherwise(F.array().cast("array<struct<code:string,stage:string,message:string>>")).alias("errors"))
+    zero = F.create_map(F.lit("confirm"), F.lit(0).cast("long"), F.lit("reject"), F.lit(0).cast("long"))
+    heads = docs.join(n, "pair", "left").select("pair", "document_name", F.lit(AS_OF).alias("as_of"), "digest", F.coalesce("n", F.lit(0)).cast("int").alias("n_items"), F.coalesce("n", F.lit(0)).alias("unreviewed_count"), zero.alias("disposition_counts"), F.create_map(F.lit("triage"), F.lit(None).cast("double")).alias("seconds"), "errors")
+    return render.pages(items, none, heads).select(F.col("pair").alias("doc_id"), "html")
+
+
 # --- reports and documents
 
 
@@ -551,6 +622,21 @@ def hwpx_nodes(spark, sf_dir):
     return hwpx.parse_documents(hwpx.as_archives(docs)).where("text IS NOT NULL").select("path", "ordinal", "locator", "text")
 
 
+#: How the archives of ``archives_refused`` are bent, by the id modulo 10, and what becomes of them; the rest stand.
+BENT_ARCHIVES = {1: "DOCUMENT_NOT_ZIP", 2: "HWPX_MIMETYPE_INVALID", 3: "HWPX_SECTION_MISSING", 4: "HWPX_XML_INVALID", 5: "HWPX_XML_INVALID", 6: "HWPX_XML_INVALID", 7: "HWPX_XML_INVALID", 8: "DOCUMENT_NOT_ZIP", 9: "HWPX_MIMETYPE_INVALID"}
+
+
+@query(f"""WITH n AS (SELECT doc_id, count(*) AS nodes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE t <> '' GROUP BY doc_id),
+e AS (SELECT doc_id, CASE doc_id % 10 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in BENT_ARCHIVES.items())} END AS error_code FROM documents)
+SELECT doc_id::VARCHAR AS path, error_code, CASE WHEN error_code IS NULL THEN coalesce(nodes, 0) ELSE 0 END::BIGINT AS nodes FROM e LEFT JOIN n USING (doc_id)""")
+def archives_refused(spark, sf_dir):
+    """Every document as an archive, nine of ten of them bent: no archive, a wrong or missing type, no section, a document type
+    declaration, open or misplaced tags, another encoding, two sections of one number, a cut file."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("lines"), (F.col("doc_id") % 10).cast("int").alias("bend"))
+    read = hwpx.parse_documents(hwpx.bent_archives(docs))
+    return read.groupBy("path").agg(F.max("error_code").alias("error_code"), F.count("text").alias("nodes"))
+
+
 @query(WITH_LEDGER + f""", d AS (SELECT ledger, max(sequence) AS n, arg_max(sha256({EVENT_SQL}), sequence) AS prev FROM events0 GROUP BY ledger),
 e AS (SELECT ledger, n + 1 AS sequence, prev, 'finish' AS action, '2030-01-01T00:00:00Z' AS "at", NULL AS disposition, NULL::INT AS item_number, 'triage' AS stage FROM d)
 SELECT ledger, sequence::INT AS sequence, prev AS previous_event_digest, sha256({CHAINED_SQL}) AS digest FROM e""")

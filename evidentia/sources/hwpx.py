@@ -228,6 +228,36 @@ def as_archives(documents: DataFrame) -> DataFrame:
     return documents.select("path", "lines").mapInArrow(run, "path string, content binary")
 
 
+def bent_archives(documents: DataFrame) -> DataFrame:
+    """(path, content) from (path, lines, bend): archives with one fault each, by number; 0 for none."""
+
+    def bent(lines: list[str], bend: int) -> bytes:
+        good = archive(lines)
+        if bend == 0:
+            return good
+        if bend == 1:
+            return b"no archive"
+        if bend == 8:
+            return good[: len(good) // 2]
+        section = zipfile.ZipFile(io.BytesIO(good)).read("Contents/section0.xml")
+        name = "Contents/sectionA.xml" if bend == 3 else "Contents/section0.xml"
+        changed = {4: b"<!DOCTYPE x>" + section, 5: section + b"<open>", 6: section.replace(b"<hs:t>", b"<hs:t><b>", 1) if b"<hs:t>" in section else section + b"</b>", 7: section.replace(b"UTF-8", b"UTF-16", 1)}
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            if bend != 9:
+                z.writestr("mimetype", b"text/plain" if bend == 2 else MIMETYPE)
+            z.writestr(name, changed.get(bend, section))
+        return out.getvalue()
+
+    def run(batches):
+        for batch in batches:
+            made = [bent(lines or [], bend) for lines, bend in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    ready(documents.sparkSession)
+    return documents.select("path", "lines", "bend").mapInArrow(run, "path string, content binary")
+
+
 def write_document(path, texts: list[str]) -> None:
     """One such document as a new file."""
     with open(path, "xb") as f:

@@ -74,7 +74,11 @@ def update_ledger(path: str | Path, report_path: str | Path, **event) -> dict:
                 except FileExistsError:
                     raise EvidenceError("REVIEW_CONFLICT", "Review ledger changed during update.") from None
             else:
-                if strict_json.read_object(path) != before:
+                try:
+                    same = strict_json.read_object(path) == before
+                except EvidenceError:  # it vanished, or is no ledger any more
+                    same = False
+                if not same:
                     raise EvidenceError("REVIEW_CONFLICT", "Review ledger changed during update.")
                 os.replace(temp, path)
         except OSError:
