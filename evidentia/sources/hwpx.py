@@ -54,8 +54,9 @@ def _plain(name: str) -> str:
     return ("/" if name.startswith("/") else "") + "/".join(parts)
 
 
-def _sections(entries: list[zipfile.ZipInfo], limits: Limits) -> list[zipfile.ZipInfo]:
+def section_entries(archive: zipfile.ZipFile, limits: Limits) -> list[zipfile.ZipInfo]:
     """The section entries in numeric order, once the whole directory is found in order."""
+    entries = archive.infolist()
     if len(entries) > limits.entries or sum(e.file_size for e in entries) > limits.total_bytes:
         raise Refused("HWPX_LIMIT_EXCEEDED")
     names = [e.filename for e in entries]
@@ -94,7 +95,7 @@ def _check_encoding(data: bytes, where: str) -> None:
         raise Refused("HWPX_XML_INVALID", where)
 
 
-class _Texts:
+class Texts:
     """An expat handler that numbers ``t`` elements as they end and keeps what stands before their first child."""
 
     def __init__(self, limits: Limits):
@@ -143,24 +144,33 @@ class _Texts:
         return out
 
 
+def check_mimetype(archive: zipfile.ZipFile) -> None:
+    with archive.open("mimetype") as f:
+        if f.read(len(MIMETYPE) + 1) != MIMETYPE:
+            raise Refused("HWPX_MIMETYPE_INVALID")
+
+
+def section_texts(archive: zipfile.ZipFile, entry: zipfile.ZipInfo, texts: Texts, limits: Limits) -> list[tuple[int, str]]:
+    """(ordinal, text) of one section; ``texts`` counts what it uses."""
+    with archive.open(entry) as f:
+        data = f.read(limits.section_bytes + 1)
+    if len(data) > limits.section_bytes:
+        raise Refused("HWPX_LIMIT_EXCEEDED")
+    _check_encoding(data, entry.filename)
+    return texts.section(data, entry.filename)
+
+
 def parse(content: bytes, limits: Limits = Limits()) -> tuple[list[tuple], Refused | None]:
     """([(section_rank, section_name, ordinal, text)], error) of one archive."""
     try:
         if len(content) > limits.archive_bytes:
             raise Refused("HWPX_LIMIT_EXCEEDED")
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            sections = _sections(archive.infolist(), limits)
-            with archive.open("mimetype") as f:
-                if f.read(len(MIMETYPE) + 1) != MIMETYPE:
-                    raise Refused("HWPX_MIMETYPE_INVALID")
-            texts, rows = _Texts(limits), []
+            sections = section_entries(archive, limits)
+            check_mimetype(archive)
+            texts, rows = Texts(limits), []
             for rank, entry in enumerate(sections):
-                with archive.open(entry) as f:
-                    data = f.read(limits.section_bytes + 1)
-                if len(data) > limits.section_bytes:
-                    raise Refused("HWPX_LIMIT_EXCEEDED", entry.filename)
-                _check_encoding(data, entry.filename)
-                rows += [(rank, entry.filename, n, t) for n, t in texts.section(data, entry.filename)]
+                rows += [(rank, entry.filename, n, t) for n, t in section_texts(archive, entry, texts, limits)]
             return rows, None
     except Refused as e:
         return [], e
@@ -173,19 +183,22 @@ READ_BYTES = 1 << 30
 PARSED = "path string, document_sha256 string, section_rank int, section_name string, ordinal int, locator string, text string, error_code string, error_locator string, error_message string"
 
 
+def document_rows(path: str, content: bytes, limits: Limits = Limits()) -> list[tuple]:
+    """Rows of one archive as in PARSED."""
+    sha = hashlib.sha256(content).hexdigest()
+    nodes, error = parse(content, limits)
+    if nodes:
+        return [(path, sha, r, s, n, f"{s}:t[{n}]", t, None, None, None) for r, s, n, t in nodes]
+    return [(path, sha, None, None, None, None, None, *((error.code, error.locator, error.message) if error else (None, None, None)))]
+
+
 def parse_documents(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Rows of ``binaryFile`` (path, content) to text nodes or one error row each; a document without text gives one empty row."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for i in range(batch.num_rows):
-                path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                sha = hashlib.sha256(content).hexdigest()
-                nodes, error = parse(content, limits)
-                rows = [(path, sha, r, s, n, f"{s}:t[{n}]", t, None, None, None) for r, s, n, t in nodes]
-                if not rows:
-                    told = (error.code, error.locator, error.message) if error else (None, None, None)
-                    rows = [(path, sha, None, None, None, None, None, *told)]
+                rows = document_rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), limits)
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
 
     names = [x.split()[0] for x in PARSED.split(", ")]
