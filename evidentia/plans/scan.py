@@ -40,6 +40,53 @@ def scan_documents(spark: SparkSession, files: DataFrame, catalog: Catalog, as_o
     return report.shaped(grouped, as_of, catalog.sha256)
 
 
+def snapshot(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame:
+    """(path, length, time) of the files below a folder as they are now; no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("time"))
+
+
+def hashes(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame:
+    """(path, sha256) of the same files, read again."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.where(F.col("length") <= hwpx.READ_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path): files of ``before`` that are gone in ``after``, or have another length or time."""
+    now = after.select("path", F.col("length").alias("length_now"), F.col("time").alias("time_now"))
+    joined = before.join(now, "path", "left")
+    return joined.where(~(F.col("length").eqNullSafe(F.col("length_now")) & F.col("time").eqNullSafe(F.col("time_now")))).select("path")
+
+
+def without_changed(reports: DataFrame, paths: DataFrame) -> DataFrame:
+    """Reports, where those of the given paths have no items but one error that tells that the source changed."""
+    code = "SOURCE_CHANGED_DURING_SCAN"
+    fault = F.array(F.struct(F.lit(code).alias("code"), F.lit("parse").alias("stage"), F.lit(True).alias("fatal"), F.lit(None).cast("string").alias("locator"), F.lit(COLLECTION[code]).alias("message")))
+    told = reports.join(paths.select("path").distinct().withColumn("source_changed", F.lit(True)), "path", "left")
+    void = F.coalesce("source_changed", F.lit(False))
+    columns = {"items": F.when(void, F.array().cast(reports.schema["items"].dataType)).otherwise(F.col("items")), "collection_errors": F.when(void, fault.cast(reports.schema["collection_errors"].dataType)).otherwise(F.col("collection_errors"))}
+    return told.withColumns(columns).select(*reports.columns)
+
+
+def scan_whole_folder(spark: SparkSession, folder: str, catalog: Catalog, as_of: str, output: str, rehash: bool = False, **options) -> DataFrame:
+    """Scan a folder once, and void what changed meanwhile: the reports, also written below ``output``.
+
+    Lengths and times are taken before and after; with ``rehash`` every file is read and hashed again as well, which finds
+    changes that leave both alike.  ``output`` must be free and seen by all machines.
+    """
+    snapshot(spark, folder).write.parquet(f"{output}/before")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hwpx").option("recursiveFileLookup", "true").load(folder)
+    scan_documents(spark, files, catalog, as_of, **options).write.parquet(f"{output}/scanned")
+    scanned = spark.read.parquet(f"{output}/scanned")
+    gone = changed(spark.read.parquet(f"{output}/before"), snapshot(spark, folder))
+    if rehash:
+        other = scanned.join(hashes(spark, folder), "path", "left").where(F.col("document_sha256").isNotNull() & ~F.col("document_sha256").eqNullSafe(F.col("sha256")))
+        gone = gone.unionByName(other.select("path"))
+    without_changed(scanned, gone).write.parquet(f"{output}/reports")
+    return spark.read.parquet(f"{output}/reports")
+
+
 def strict_as_of(value) -> str:
     """The review date: a date, not a time stamp."""
     if isinstance(value, datetime) or not isinstance(value, date):
