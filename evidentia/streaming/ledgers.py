@@ -41,7 +41,7 @@ class Chain(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", LAST)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         sequence, digest = self.last.get() if self.last.exists() else (0, None)
         out = []
         events = sorted(({c: plain(r[c]) for c in EVENT} for frame in rows for r in frame.to_dict("records")), key=lambda e: (e["sequence"] is None, e["sequence"] or 0, strict_json.canonical(e)))
