@@ -435,7 +435,8 @@ def near_classes(prints: DataFrame, id_column: str = "doc_id", fingerprint: str
 
     Equal fingerprints are one entry, so copies are never paired; a candidate is verified on the whole fingerprints.  class_id
     is the smallest id reachable; rows without a fingerprint are classes of their own, rows without an id name no class;
-    repeated rows stay; an empty table gives an empty table.  ``prints`` should be stored: it is read more than once.
+    repeated rows stay; other columns pass through, one called ``class_id`` before the added one; an empty table gives an empty
+    table.  ``prints`` should be stored: it is read more than once.
     """
     names = [f"c{i}" for i in range(len(prints.columns))]
     at = dict(zip(prints.columns, names, strict=True))

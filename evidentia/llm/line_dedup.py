@@ -152,7 +152,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     "Earlier" is by id (rows without an id last), then row content, then line number.  A line is kept whole or dropped
     whole; blank lines (of blanks, tabs, carriage returns, form feeds or nothing) stay.  A null text stays null with no
     lines; an empty text is one empty line and stays.  Texts and lines of any length are treated alike.  Rows equal in id and
-    text count as one and fare alike.  Other columns pass through, whatever their names; an empty table gives an empty table.
+    text count as one and fare alike.  Other columns pass through, whatever their names; one called like an added one stands before
+    it.  An empty table gives an empty table.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)

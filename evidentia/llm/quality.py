@@ -135,7 +135,8 @@ def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text: str = "
     """Score every whole text: (id, held_out, score, predicted), or with ``keep`` all columns plus ``quality_score``.
 
     A null text counts as empty and gets the score of an empty text; a text of any length is read whole.  Equal texts get equal scores; repeated rows stay;
-    an empty table gives an empty table.  Other columns pass through, whatever their names.  Without labels of both classes the score is constant.
+    an empty table gives an empty table.  Other columns pass through, whatever their names; one called
+    ``quality_score`` stands before the added one.  Without labels of both classes the score is constant.
     """
     both = docs.sparkSession.sparkContext.broadcast(model)
 
