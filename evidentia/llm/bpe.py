@@ -31,8 +31,10 @@ from evidentia.llm.common import checkpointed
 SLICE = 256
 #: Entries of a worker's memo of words, emptied when full.
 MEMO = 150_000
-#: The order of a pair that is never merged.
-NEVER = 1 << 62
+#: The order of a pair that is never merged, its rank where ranks are 32 bits, and bits of the bucket of a pair.
+NEVER, NO_PAIR, BUCKETS = 1 << 62, np.iinfo(np.int32).max, 18
+#: Words merged at once, and the bytes beyond which a word is merged alone.
+AT_ONCE, LONG = 4_096, 32
 
 
 def byte_letters() -> list[str]:
@@ -133,6 +135,95 @@ class Bpe:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class PairTable:
+    """What each pair of adjacent ids merges to, for many pairs at a time."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        key = np.array([a << 32 | b for a, b in bpe.merges] or [NEVER], dtype=np.int64)
+        order = np.array([*bpe.merges.values()] or [NEVER], dtype=np.int64)
+        made = np.argsort(self.bucket(key), kind="stable")
+        self.key, self.rank = np.append(key[made], -1), np.append((order[made] >> 32).astype(np.int32), NO_PAIR)
+        self.begin = np.searchsorted(self.bucket(key[made]), np.arange((1 << BUCKETS) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.begin).max())
+        self.made = np.zeros(int(self.rank[:-1].max()) + 1 if bpe.merges else 1, dtype=np.int32)
+        if bpe.merges:
+            self.made[self.rank[:-1]] = order[made] & 0xFFFFFFFF
+        self.first = np.array(bpe.first, dtype=np.int32)
+
+    @staticmethod
+    def bucket(key: np.ndarray) -> np.ndarray:
+        return (((key ^ (key >> 29)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; NO_PAIR where it does not merge or an id is missing (-1)."""
+        want = a.astype(np.int64) << 32 | b
+        bucket = self.bucket(want)
+        at, stop = self.begin[bucket], self.begin[bucket + 1]
+        out = np.full(len(want), NO_PAIR, dtype=np.int32)
+        live = np.flatnonzero(at < stop)
+        for step in range(self.longest):
+            live = live[at[live] + step < stop[live]]
+            hit = live[self.key[at[live] + step] == want[live]]
+            out[hit] = self.rank[at[hit] + step]
+        return out
+
+    def merge(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of the words data[start : start + size], which are of like size.
+
+        All words take one merge a round, the leftmost of the lowest rank.
+        """
+        width = max(int(size.max()), 1)
+        column = np.arange(width + 1, dtype=np.int32)
+        inside = column < size[:, None]
+        ids = np.where(inside, self.first[data[np.where(inside, start[:, None] + column, start[:, None])]], -1).astype(np.int32)
+        rank = np.full(ids.shape, NO_PAIR, dtype=np.int32)
+        some = np.flatnonzero(inside[:, 1:].ravel())
+        some += some // width  # each row has one column more
+        rank.ravel()[some] = self.ranks(ids.ravel()[some], ids.ravel()[some + 1])
+        final, place = np.full_like(ids, -1), np.arange(len(ids))
+        while len(ids):
+            at = rank.argmin(axis=1)
+            row = np.arange(len(ids))
+            least = rank[row, at]
+            goes = least < NO_PAIR
+            if not goes.all():
+                final[place[~goes]] = ids[~goes]
+                ids, rank, place, at, least = ids[goes], rank[goes], place[goes], at[goes], least[goes]
+                row = row[: len(ids)]
+            right = column > at[:, None]  # what stands right of the pair moves left by one
+            ids[:, :-1] = np.where(right[:, :-1], ids[:, 1:], ids[:, :-1])
+            rank[:, :-1] = np.where(right[:, :-1], rank[:, 1:], rank[:, :-1])
+            ids[row, at] = self.made[least]
+            rank[row, at] = self.ranks(ids[row, at], ids[row, at + 1])
+            left = np.flatnonzero(at)
+            rank[left, at[left] - 1] = self.ranks(ids[left, at[left] - 1], ids[left, at[left]])
+        kept = final >= 0
+        return final[kept], kept.sum(axis=1)
+
+    def ids_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, how many): the ids of word i are ids[first[i] : first[i] + how_many[i]]."""
+        n = len(words)
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int32, count=n + 1, offset=4 * words.offset) if n else np.zeros(1, dtype=np.int32)
+        data = np.append(np.frombuffer(data or b"", dtype=np.uint8), np.uint8(0))  # an empty word may start where the last one ends
+        size = np.diff(offsets)
+        order = np.argsort(size, kind="stable")
+        parts, many = [], np.zeros(n, dtype=np.int64)
+        short = int(np.searchsorted(size[order], LONG, side="right"))
+        for at in range(0, short, AT_ONCE):
+            some = order[at : min(at + AT_ONCE, short)]
+            made, many[some] = self.merge(data, offsets[some], size[some])
+            parts.append(made)
+        for i in order[short:].tolist():
+            made = np.asarray(self.bpe.merge(data[offsets[i] : offsets[i + 1]].tobytes()), dtype=np.int32)
+            many[i] = len(made)
+            parts.append(made)
+        first = np.zeros(n, dtype=np.int64)
+        first[order] = np.cumsum(many[order]) - many[order]
+        return np.concatenate([np.zeros(0, np.int32), *parts]), first, many
+
+
 class Lexicon:
     """A minimal acyclic transducer from words to id sequences, as flat arrays over one block of bytes.
 
@@ -250,15 +341,24 @@ class Encoder:
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon, self.memo = bpe, lexicon, {}
+        self.pairs = PairTable(bpe)
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of words, written in decimal with commas, in the memo."""
         new = [w for w in words if w not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, list(words)
-        raw = [w.encode() for w in new]
-        for w, b, ids in zip(new, raw, self.lexicon.look_up(raw), strict=True):
-            self.memo[w] = ",".join(map(str, self.bpe.merge(b) if ids is None else ids))
+        unseen = []
+        for w, ids in zip(new, self.lexicon.look_up([w.encode() for w in new]), strict=True):
+            if ids is None:
+                unseen.append(w)
+            else:
+                self.memo[w] = ",".join(map(str, ids))
+        if unseen:  # merged together, a merge of each a round
+            ids, first, many = self.pairs.ids_of(pa.array(unseen, pa.string()))
+            text = list(map(str, ids.tolist()))
+            for w, at, n in zip(unseen, first.tolist(), many.tolist(), strict=True):
+                self.memo[w] = ",".join(text[at : at + n])
 
     def encode(self, texts: list[str]) -> list[str]:
         """All ids of each text, in decimal, joined by commas."""
