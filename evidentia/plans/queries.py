@@ -13,6 +13,7 @@ from evidentia.plans import oracles as o
 from evidentia.plans import render
 from evidentia.plans.registry import query
 from evidentia.sources import bulk, catalog, hwpx
+from evidentia.workers import checkpointed
 
 AS_OF = "2025-01-01"
 COMMON = ["the", "there", "on", "onen", "ing the", "nting"]
@@ -691,7 +692,7 @@ SELECT doc_id, ordinal, start, title, CASE WHEN title IS NULL THEN 'UNKNOWN' WHE
   CASE WHEN title IS NULL THEN 'AMBIGUOUS_CITATION' WHEN provision = 'thing' THEN 'EXACT_CURRENT_MATCH' ELSE 'PROVISION_MISMATCH' END AS reason_code FROM candidates""")
 def catalogs_many(spark, sf_dir):
     """Every line of every document against the catalog of its own source, found and resolved in one plan."""
-    kept = bulk.accepted(bulk.catalogs(source_catalogs(spark, sf_dir)))
+    kept = checkpointed(bulk.accepted(bulk.catalogs(source_catalogs(spark, sf_dir))))  # parsed once, asked for often
     v, p = bulk.versions(kept, "source"), bulk.provisions(kept, "source")
     docs = texts(spark, sf_dir, "documents", "doc_id", "source", "text")
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "text")).where("text <> ''").withColumn("ordinal", F.col("at") + 1)

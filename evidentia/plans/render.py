@@ -46,8 +46,8 @@ def listed(c):
 def pages(items: DataFrame, events: DataFrame, heads: DataFrame) -> DataFrame:
     """(pair, html) for heads as in HEADS; one page a report, whose items are bounded in number."""
     rows = rows_html(items, events).groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("place", "status", "html"))).alias("rows"))
-    counts = items.groupBy("pair").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
-    joined = heads.join(counts, "pair", "left").join(rows, "pair", "left")
+    of = lambda s: F.size(F.filter("rows", lambda x: x["status"] == s))
+    joined = heads.join(rows, "pair", "left").withColumns({s: F.when(F.col("rows").isNotNull(), of(s)) for s in STATUSES})
     summary = F.concat_ws(", ", *(F.concat(F.lit(f"{s}: "), F.coalesce(s, F.lit(0)).cast("string")) for s in PRIORITY))
     errors = F.array_join(F.transform("errors", lambda e: F.concat(F.lit("<li>"), cell(e["code"]), F.lit(" ("), cell(e["stage"]), F.lit("): "), cell(e["message"]), F.lit("</li>"))), "")
     warning = F.when(F.size("errors") > 0, F.concat(F.lit("<h2>Collection errors: the evidence is incomplete</h2><ul>"), errors, F.lit("</ul>"))).otherwise("")
