@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.workers import ready
+from evidentia.workers import checkpointed, ready, shared_folder
 
+__all__ = ["checkpointed", "partitions", "read", "shared_folder", "stored"]
 
 #: Splits below which a table is dealt anew; a large one is always read as it lies.
 FEW_SPLITS = 8
@@ -24,25 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else rows
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The reliable checkpoint folder that the session names; a temporary one only on a single machine that names none (tests)."""
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    if named.isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-        named = sc._jsc.sc().getCheckpointDir()
-    return named.get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: what is computed so far is written to the shared folder and survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The same as checkpointed, as compressed Parquet: for larger intermediate tables of which columns are read."""
     spark = df.sparkSession
