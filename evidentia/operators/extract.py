@@ -251,13 +251,13 @@ def texts_of(titles: list[str]) -> Callable[[list], pa.Array]:
     return lambda numbers: known.take(pa.array(numbers, pa.int32()))
 
 
-def dictionary_of(titles: DataFrame | Dictionary) -> Dictionary | None:
-    """The dictionary of a table's titles, or None where they are too many or too long for a worker to hold."""
+def dictionary_of(titles: DataFrame | Dictionary, most: int) -> Dictionary | None:
+    """The dictionary of a table's titles, or None where they are more than ``most`` or too long for a worker to hold."""
     if isinstance(titles, Dictionary):
-        return titles if len(titles.titles) <= AUTOMATON_TITLES and sum(map(len, titles.titles)) <= AUTOMATON_CHARS else None
-    distinct = titles.select("title").where("title <> ''").distinct().limit(AUTOMATON_TITLES + 1)
+        return titles if len(titles.titles) <= most and sum(map(len, titles.titles)) <= AUTOMATON_CHARS else None
+    distinct = titles.select("title").where("title <> ''").distinct().limit(most + 1)
     size = distinct.agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("chars")).first()
-    if size["n"] > AUTOMATON_TITLES or (size["chars"] or 0) > AUTOMATON_CHARS:
+    if size["n"] > most or (size["chars"] or 0) > AUTOMATON_CHARS:
         return None
     return Dictionary.of(r["title"] for r in distinct.collect())
 
@@ -279,10 +279,10 @@ def _batches(nodes: DataFrame, keep: list[str], asked: Asked, hits_of, name) ->
     return nodes.mapInArrow(run, _schema(nodes, keep, asked))
 
 
-def _found(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str], asked: Asked, text: bool) -> DataFrame:
+def _found(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str], asked: Asked, text: bool, most: int | None = None) -> DataFrame:
     keep = [*key, *(["text"] if text else [])]
     nodes = nodes.select(*key, "text")
-    dictionary = dictionary_of(titles)
+    dictionary = dictionary_of(titles, AUTOMATON_TITLES if most is None else most)
     if dictionary is not None:
         shared = nodes.sparkSession.sparkContext.broadcast(dictionary)
         return _batches(nodes, keep, asked, lambda _: lambda i, t: occurrences(t, shared.value), lambda _: texts_of(shared.value.titles))
@@ -299,9 +299,12 @@ def _found(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str], ask
     return _batches(met, keep, asked, hits_of, lambda _: lambda texts: pa.array(texts, pa.string()))
 
 
-def with_hits(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str]) -> DataFrame:
-    """(key, hits): all examined occurrences of the titles in nodes (``key`` and ``text``)."""
-    return _found(nodes, titles, key, Asked(("hits",), [], 0), False)
+def with_hits(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str], held: int | None = None) -> DataFrame:
+    """(key, hits): all examined occurrences of the titles in nodes (``key`` and ``text``).
+
+    ``held`` is how many titles a worker may hold as an automaton, AUTOMATON_TITLES at first; more are joined.
+    """
+    return _found(nodes, titles, key, Asked(("hits",), [], 0), False, held)
 
 
 def mentions(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str], provision: str = PROVISION, lookahead: int = LOOKAHEAD, markers: list[str] = MARKERS, columns: tuple[str, ...] = ("candidates", "matches"), text: bool = False) -> DataFrame:

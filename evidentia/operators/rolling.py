@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from evidentia.workers import ready
 
 #: Leading characters by which titles are known.
-LEADS = (16, 8, 4, 2, 1)
+LEADS = (16, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 #: Bits of the bitmap that every task holds, as a power of two, and of one piece of it as Spark builds it.
 BITMAP, PIECE = 26, 32_768
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse

@@ -137,6 +137,16 @@ def title_candidates_theta_join(spark, sf_dir):
     return hit.select("doc_id", "ordinal", F.explode("hits").alias("h")).groupBy("doc_id", "ordinal", F.col("h.title").alias("title")).agg(F.count("*").alias("hits"))
 
 
+@query(r"""WITH titles AS (SELECT DISTINCT title FROM (SELECT unnest(string_split(text, ' ')) AS title FROM benchmark) WHERE len(title) >= 6),
+""" + o.NODES.strip() + ", hits AS (SELECT doc_id, ordinal, title, (len(text) - len(replace(text, title, ''))) // len(title) AS n FROM nodes JOIN titles ON contains(text, title)) SELECT title, sum(n)::BIGINT AS hits, count(*)::BIGINT AS lines FROM hits GROUP BY title")
+def large_dictionary_join(spark, sf_dir):
+    """The longer words of the benchmark passages in all lines, none of them held by a worker: windows that pass a bitmap of hashes are joined."""
+    titles = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("title")).where(F.length("title") >= 6)
+    found = extract.with_hits(nodes(spark, sf_dir), titles, ["doc_id", "ordinal"], held=0)
+    each = found.select("doc_id", "ordinal", F.explode("hits.title").alias("title")).groupBy("title", "doc_id", "ordinal").agg(F.count("*").alias("n"))
+    return each.groupBy("title").agg(F.sum("n").alias("hits"), F.count("*").alias("lines"))
+
+
 @query(WITH_WORDS + 'SELECT doc_id, ordinal, start, stop, title FROM flat')
 def greedy_longest_title(spark, sf_dir):
     return word_mentions(spark, sf_dir, "selected").select("doc_id", "ordinal", F.explode("selected").alias("s")).select("doc_id", "ordinal", "s.start", F.col("s.end").alias("stop"), "s.title")
