@@ -26,15 +26,15 @@ def reports(documents: DataFrame, items: DataFrame, errors: DataFrame, as_of: st
     return shaped(documents.select("path", "document_sha256").join(kept, "path", "left").join(faults, "path", "left"), as_of, catalog_sha256)
 
 
-def shaped(documents: DataFrame, as_of: str, catalog_sha256: str) -> DataFrame:
-    """Report rows of (path, document_sha256, items, collection_errors), where missing lists are empty."""
+def shaped(documents: DataFrame, as_of: str, catalog_sha256: str | Column) -> DataFrame:
+    """Report rows of (path, document_sha256, items, collection_errors), where missing lists are empty; one catalog, or a column of them."""
     return documents.select(
         "path",
         F.lit("1").alias("schema_version"),
         F.concat(F.lit("document-"), F.substring("document_sha256", 1, 12), F.lit(".hwpx")).alias("document_name"),
         "document_sha256",
         F.lit(as_of).alias("as_of"),
-        F.lit(catalog_sha256).alias("catalog_sha256"),
+        (F.lit(catalog_sha256) if isinstance(catalog_sha256, str) else catalog_sha256).alias("catalog_sha256"),
         F.coalesce("items", F.array().cast(f"array<{ITEM}>")).alias("items"),
         F.coalesce("collection_errors", F.array().cast(f"array<{ERROR}>")).alias("collection_errors"),
     )

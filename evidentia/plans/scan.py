@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from datetime import date, datetime
 from pathlib import Path
 
@@ -12,34 +13,73 @@ from pyspark.sql import functions as F
 
 from evidentia.errors import COLLECTION, STAGE_OF, EvidenceError
 from evidentia.operators import extract, report, resolve
-from evidentia.sources import hwpx
+from evidentia.sources import bulk, hwpx
 from evidentia.sources.catalog import Catalog, load_catalog
+from evidentia.workers import checkpointed
 
 
-def scan_documents(spark: SparkSession, files: DataFrame, catalog: Catalog, as_of: str, limits: hwpx.Limits = hwpx.Limits(), **options) -> DataFrame:
-    """One report row per archive of a ``binaryFile`` frame; parse and budget errors void a document as a whole.
+KEYS = ["path", "document_sha256", "section_rank", "ordinal", "locator", "error_code", "error_locator", "error_message"]
 
-    An archive is read and parsed once: its nodes, or its error, are rows that are dealt by path once, where budgets are summed,
-    items numbered and the report put together.
+
+def _budgets(options: dict) -> dict:
+    """Takes the work budgets out of the options."""
+    return {k: options.pop(k) for k in list(options) if k.startswith(("matches_", "candidates_"))}
+
+
+def _grouped(found: DataFrame, budgets: dict, answered: Callable[[DataFrame], DataFrame], *more: str) -> DataFrame:
+    """(path, document_sha256, more..., items, collection_errors) of nodes with candidates, dealt by path once.
+
+    Budgets are summed and items numbered there; a document beyond a budget, or with a parse error, has that error alone.
     """
-    budgets = {k: options.pop(k) for k in list(options) if k.startswith(("matches_", "candidates_"))}
-    keys = ["path", "document_sha256", "section_rank", "ordinal", "locator", "error_code", "error_locator", "error_message"]
-    found = extract.mentions(hwpx.parse_documents(files, limits), extract.Dictionary.of(catalog.titles), keys, **options)
+    keys = [*KEYS, *more]
     document = Window.partitionBy("path")
     counted = found.withColumns({"void": extract.beyond_budget(lambda c: c.over(document), **budgets)})
     free = F.when(~F.col("void") & F.col("error_code").isNull(), F.col("candidates"))
     rows = counted.select(*keys, "void", F.explode_outer(free).alias("c")).select(*keys, "void", "c.start", "c.title", "c.provision")
-    numbered = rows.withColumn("item_number", F.row_number().over(document.orderBy(F.col("start").isNull(), "section_rank", "ordinal", "start")))
-    told = resolve.attach(numbered, catalog.versions, catalog.provisions, as_of)
+    told = answered(rows.withColumn("item_number", F.row_number().over(document.orderBy(F.col("start").isNull(), "section_rank", "ordinal", "start"))))
     code, none = "REFERENCE_LIMIT_EXCEEDED", F.lit(None).cast("string")
     fault = lambda *c: F.struct(*(x.alias(n) for n, x in zip(("code", "stage", "fatal", "locator", "message"), c, strict=True)))
     parse = F.when(F.col("error_code").isNotNull(), fault(F.col("error_code"), F.lit("parse"), F.lit(True), F.col("error_locator"), F.col("error_message")))
     limited = F.when(F.col("void"), fault(F.lit(code), F.lit(STAGE_OF[code]), F.lit(True), none, F.lit(COLLECTION[code])))
     items = F.sort_array(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("item_number", report.item().alias("item")))))
-    grouped = told.groupBy("path", "document_sha256").agg(F.transform(items, lambda x: x["item"]).alias("items"), F.sort_array(F.collect_set(F.coalesce(parse, limited))).alias("collection_errors"))
+    return told.groupBy("path", "document_sha256", *more).agg(F.transform(items, lambda x: x["item"]).alias("items"), F.sort_array(F.collect_set(F.coalesce(parse, limited))).alias("collection_errors"))
+
+
+def scan_documents(spark: SparkSession, files: DataFrame, catalog: Catalog, as_of: str, limits: hwpx.Limits = hwpx.Limits(), **options) -> DataFrame:
+    """One report row per archive of a ``binaryFile`` frame; parse and budget errors void a document as a whole.
+
+    An archive is read and parsed once: its nodes, or its error, are rows that are dealt by path once, where budgets are summed,
+    items numbered and the report put together.
+    """
+    budgets = _budgets(options)
+    found = extract.mentions(hwpx.parse_documents(files, limits), extract.Dictionary.of(catalog.titles), KEYS, **options)
+    grouped = _grouped(found, budgets, lambda rows: resolve.attach(rows, catalog.versions, catalog.provisions, as_of))
     return report.shaped(grouped, as_of, catalog.sha256)
 
 
+def scan_by_catalog(spark: SparkSession, files: DataFrame, catalogs: DataFrame, as_of: str, limits: hwpx.Limits = hwpx.Limits(), **options) -> tuple[DataFrame, DataFrame]:
+    """(reports, refused) of archives (path, content, catalog) against the catalogs (``bulk.catalogs``) that each names by its path.
+
+    Any number of catalogs and documents go through one plan: catalogs are parsed once, nodes and dictionaries meet by catalog,
+    and answers by catalog, title and provision.  ``refused`` has (path, error_code, error_message) of documents whose catalog
+    was refused, or is not there; those have no report.  Paths of either table must not repeat.
+    """
+    budgets = _budgets(options)
+    read = checkpointed(catalogs)
+    kept = bulk.accepted(read)
+    named = files.select("path", F.col("catalog").alias("catalog"))
+    told = named.join(read.select(F.col("path").alias("catalog"), F.lit(True).alias("there"), "error_code", "error_message"), "catalog", "left")
+    missing = [F.when(F.col("there").isNull(), v).otherwise(F.col(c)).alias(c) for c, v in zip(("error_code", "error_message"), ("CATALOG_NOT_FOUND", "Catalog was not found."), strict=True)]
+    refused = told.where("there IS NULL OR error_code IS NOT NULL").select("path", *missing)
+    known = kept.select(F.col("path").alias("catalog"), "catalog_sha256")
+    nodes = hwpx.parse_documents(files, limits).join(named.join(known, "catalog"), "path")
+    v, p = bulk.versions(kept), bulk.provisions(kept)
+    more = ("catalog", "catalog_sha256")
+    found = extract.catalog_mentions(nodes, v, [*KEYS, *more], **options)
+    grouped = _grouped(found, budgets, lambda rows: resolve.attach(rows, v, p, as_of, by=("catalog",)), *more)
+    return report.shaped(grouped, as_of, F.col("catalog_sha256")), refused
+
+
 def snapshot(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame:
     """(path, length, time) of the files below a folder as they are now; no content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)

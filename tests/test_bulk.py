@@ -138,3 +138,29 @@ def test_catalogs_and_items_as_tables(spark):
     rows = bulk.items(bulk.accepted(bulk.reports(files(spark, [json.dumps(r).encode() for r in made])))).orderBy("path", "item_number").collect()
     assert [(r["path"], r["item_number"], r["locator"], r["title"]) for r in rows] == [(f"f{i:03}", n, x["locator"], x["reference"]["title"]) for i, r in enumerate(made) for n, x in enumerate(r["items"], 1)]
     assert bulk.events(bulk.accepted(bulk.ledgers(files(spark, [json.dumps(new_ledger(made[0])).encode()])))).count() == 0
+
+
+def test_documents_each_with_their_own_catalog(spark):
+    """In one plan what scanning each document with its catalog alone gives; refused and missing catalogs are told."""
+    from evidentia.operators.report import as_json
+    from evidentia.plans import scan
+    from evidentia.plans.demo import CATALOG
+    from evidentia.sources import hwpx
+    from evidentia.sources.catalog import catalog_frames
+
+    other = json.loads(json.dumps(CATALOG))
+    other["records"] = other["records"][:1]
+    catalogs = {"one": json.dumps(CATALOG).encode(), "two": json.dumps(other).encode(), "bad": b"{"}
+    texts = [["모의장서기준 제12조"], ["다른 훈령", "모의장서기준 제12조, 모의장서기준"], ["none"]]
+    archives = [(f"d{i}", hwpx.archive(texts[i % 3]), c) for i, c in enumerate(["one", "two", "one", "two", "one", "bad", "gone", None, "two"])] + [("x", b"no archive", "one")]
+    frame = spark.createDataFrame([(p, bytearray(a), c) for p, a, c in archives], "path string, content binary, catalog string")
+    files_of = spark.createDataFrame([(p, bytearray(c)) for p, c in catalogs.items()], "path string, content binary")
+    for budgets in ({}, {"candidates_document": 1}):
+        reports, refused = scan.scan_by_catalog(spark, frame, bulk.catalogs(files_of), "2025-06-30", **budgets)
+        got = {r["path"]: json.loads(r["json"]) for r in as_json(reports).collect()}
+        assert {r["path"]: r["error_code"] for r in refused.collect()} == {"d5": "CATALOG_JSON_INVALID", "d6": "CATALOG_NOT_FOUND", "d7": "CATALOG_NOT_FOUND"}
+        want = {}
+        for name in ("one", "two"):
+            alone = scan.scan_documents(spark, frame.where(f"catalog = '{name}'").drop("catalog"), catalog_frames(spark, catalogs[name]), "2025-06-30", **budgets)
+            want |= {r["path"]: json.loads(r["json"]) for r in as_json(alone).collect()}
+        assert got == want and len(got) == 7 and any(r["items"] for r in got.values())
