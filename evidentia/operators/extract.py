@@ -63,22 +63,23 @@ class Automata:
 
     @classmethod
     def of(cls, dictionary: Dictionary):
-        kept = cls.built.pop(dictionary.digest, None)
-        if kept is None:
-            made, long = ahocorasick.Automaton(), defaultdict(list)
-            for i, t in enumerate(dictionary.titles):
-                if len(t) < LONG_TITLE:
-                    made.add_word(t, (i, len(t)))
-                else:
-                    long[t[:LONG_TITLE]].append(i)
-            for t, numbers in long.items():
-                made.add_word(t, numbers)
-            made.make_automaton()
-            kept = made, sum(map(len, dictionary.titles))
-        cls.built[dictionary.digest] = kept
+        kept = cls.built.get(dictionary.digest)
+        if kept is not None:
+            cls.built.move_to_end(dictionary.digest)
+            return kept[0]
+        made, long = ahocorasick.Automaton(), defaultdict(list)
+        for i, t in enumerate(dictionary.titles):
+            if len(t) < LONG_TITLE:
+                made.add_word(t, (i, len(t)))
+            else:
+                long[t[:LONG_TITLE]].append(i)
+        for t, numbers in long.items():
+            made.add_word(t, numbers)
+        made.make_automaton()
+        cls.built[dictionary.digest] = made, sum(map(len, dictionary.titles))
         while len(cls.built) > 1 and (len(cls.built) > KEPT_AUTOMATA or sum(n for _, n in cls.built.values()) > KEPT_CHARS):
             cls.built.popitem(last=False)
-        return kept[0]
+        return made
 
 
 def examined(found: Iterable[tuple[object, int, int]]) -> Iterator[Hit]:
