@@ -15,6 +15,7 @@ from evidentia.errors import COLLECTION, STAGE_OF, EvidenceError
 from evidentia.operators import extract, report, resolve
 from evidentia.sources import bulk, hwpx
 from evidentia.sources.catalog import Catalog, load_catalog
+from evidentia.sources.snapshots import changed, hashes, snapshot
 from evidentia.workers import checkpointed
 
 
@@ -80,25 +81,6 @@ def scan_by_catalog(spark: SparkSession, files: DataFrame, catalogs: DataFrame,
     return report.shaped(grouped, as_of, F.col("catalog_sha256")), refused
 
 
-def snapshot(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame:
-    """(path, length, time) of the files below a folder as they are now; no content is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", F.col("modificationTime").alias("time"))
-
-
-def hashes(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame:
-    """(path, sha256) of the same files, read again."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.where(F.col("length") <= hwpx.READ_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
-
-
-def changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path): files of ``before`` that are gone in ``after``, or have another length or time."""
-    now = after.select("path", F.col("length").alias("length_now"), F.col("time").alias("time_now"))
-    joined = before.join(now, "path", "left")
-    return joined.where(~(F.col("length").eqNullSafe(F.col("length_now")) & F.col("time").eqNullSafe(F.col("time_now")))).select("path")
-
-
 def without_changed(reports: DataFrame, paths: DataFrame) -> DataFrame:
     """Reports, where those of the given paths have no items but one error that tells that the source changed."""
     code = "SOURCE_CHANGED_DURING_SCAN"

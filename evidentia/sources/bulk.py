@@ -22,6 +22,7 @@ from evidentia.operators.report import ERROR, ITEM
 from evidentia.sources import strict_json
 from evidentia.sources.catalog import parse_catalog
 from evidentia.sources.reports import MAX_ITEMS, validate_events, validate_report
+from evidentia.sources.snapshots import changed, snapshot
 from evidentia.workers import ready
 
 REFUSED = "error_code string, error_message string"
@@ -135,6 +136,22 @@ def catalogs(files: DataFrame) -> DataFrame:
     return validated(files, catalog_row, CATALOGS)
 
 
+def read_stable(spark: SparkSession, folder: str, read: Callable[[DataFrame], DataFrame], output: str, pattern: str = "*.json") -> DataFrame:
+    """What ``read`` (reports, ledgers, catalogs) makes of the files below a folder, where those that change meanwhile are refused.
+
+    Lengths and times are taken before the files are read and once all are; ``output`` must be free and seen by all machines.
+    """
+    snapshot(spark, folder, pattern).write.parquet(f"{output}/before")
+    read(read_files(spark, folder, pattern)).write.parquet(f"{output}/read")
+    rows = spark.read.parquet(f"{output}/read")
+    gone = changed(spark.read.parquet(f"{output}/before"), snapshot(spark, folder, pattern)).withColumn("changed", F.lit(True))
+    told = rows.join(gone, "path", "left")
+    refusal = dict(zip(("error_code", "error_message"), TOO_LARGE, strict=True))
+    columns = [F.col(c) if c == "path" else F.when(F.col("changed"), F.lit(refusal.get(c))).otherwise(F.col(c)).alias(c) for c in rows.columns]
+    told.select(*columns).write.parquet(f"{output}/stable")
+    return spark.read.parquet(f"{output}/stable")
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     return rows.where("error_code IS NULL").drop("error_code", "error_message")
 

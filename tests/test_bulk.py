@@ -164,3 +164,24 @@ def test_documents_each_with_their_own_catalog(spark):
             alone = scan.scan_documents(spark, frame.where(f"catalog = '{name}'").drop("catalog"), catalog_frames(spark, catalogs[name]), "2025-06-30", **budgets)
             want |= {r["path"]: json.loads(r["json"]) for r in as_json(alone).collect()}
         assert got == want and len(got) == 7 and any(r["items"] for r in got.values())
+
+
+def test_files_that_change_while_they_are_read_are_refused(spark, tmp_path):
+    rng = random.Random(8)
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    made = {n: random_report(rng) for n in ("a", "b", "deep/c", "d")}
+    for n, r in made.items():
+        (folder / f"{n}.json").write_text(json.dumps(r))
+    (folder / "e.json").write_text("{")
+
+    def meanwhile(files):
+        rows = bulk.reports(files).persist()
+        assert rows.count() == 5
+        (folder / "b.json").write_text(json.dumps(made["b"]) + " ")
+        (folder / "deep/c.json").unlink()
+        return rows
+
+    got = {r["path"].split("/in/")[1]: r for r in bulk.read_stable(spark, str(folder), meanwhile, str(tmp_path / "out")).collect()}
+    assert {k: r["error_code"] for k, r in got.items()} == {"a.json": None, "b.json": "REVIEW_JSON_INVALID", "deep/c.json": "REVIEW_JSON_INVALID", "d.json": None, "e.json": "REVIEW_JSON_INVALID"}
+    assert got["b.json"]["items"] is None and got["a.json"]["report_digest"] == strict_json.digest(made["a"])
