@@ -102,25 +102,41 @@ def rake_local(codes: np.ndarray, share: np.ndarray, targets: list[np.ndarray],
 
 
 def rake_cluster(cells: DataFrame, target: dict[str, DataFrame], keep: float) -> tuple[DataFrame, float]:
-    """The same rounds as joins, for more cells than the driver should hold; ``target`` has (label, share) by dimension."""
-    chance = F.least("factor", F.lit(1.0))
+    """The same rounds for more cells than the driver should hold; ``target`` has (label, share) by dimension.
 
-    def marginal(now: DataFrame, d: str) -> DataFrame:
-        sums = now.groupBy(d).agg(F.sum(F.col("share") * chance).alias("now"))
+    Cells are read in each step and never written again: what changes is one factor a category, in a small table a dimension that
+    the planner copies to all tasks while it is small.  Rounds end when no factor, or, asked for every few rounds, no probability
+    changes any more.
+    """
+    factors = {d: stored(target[d].select(F.col("label").alias(d), F.lit(1.0).alias(f"f_{d}"))) for d in DIMS}
+
+    def weighed(now: dict[str, DataFrame], name: str = "factor") -> DataFrame:
+        out = cells
+        for d in DIMS:
+            out = out.join(now[d], d)
+        product = F.col(f"f_{DIMS[0]}") * F.col(f"f_{DIMS[1]}") * F.col(f"f_{DIMS[2]}")
+        return out.withColumn(name, F.least(product * keep, F.lit(LARGEST))).drop(*(f"f_{d}" for d in DIMS))
+
+    def marginal(d: str) -> DataFrame:
+        sums = weighed(factors).groupBy(d).agg(F.sum(F.col("share") * F.least("factor", F.lit(1.0))).alias("now"))
         return sums.join(target[d].withColumnsRenamed({"label": d, "share": "want"}), d).withColumn("want", F.col("want") * keep)
 
-    cells = cells.withColumn("factor", F.lit(float(keep)))
-    for _ in range(ROUNDS):
-        cells = cells.withColumn("before", chance)
+    for n in range(ROUNDS):
+        before, moved = dict(factors), 0.0
         for d in DIMS:
             scale = F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(0.0)
-            step = checkpointed(marginal(cells, d).select(d, scale.alias("scale")))
-            cells = cells.join(step, d).withColumn("factor", F.least(F.col("factor") * F.col("scale"), F.lit(LARGEST))).drop("scale")
-        cells = stored(cells)  # a written table, unlike a checkpoint, hands no constraints of earlier rounds on to the planner
-        if (cells.agg(F.max(F.abs(chance - F.col("before")))).first()[0] or 0.0) < SETTLED:
+            step = marginal(d).join(factors[d], d).select(d, scale.alias("scale"), F.least(F.col(f"f_{d}") * scale, F.lit(LARGEST)).alias(f"f_{d}"))
+            step = stored(step)
+            moved = max(moved, step.agg(F.max(F.abs(F.col("scale") - 1))).first()[0] or 0.0)
+            factors[d] = step.drop("scale")
+        if moved < SETTLED:
             break
+        if n % 5 == 4:
+            both = weighed(factors).join(weighed(before, "earlier").drop("share"), list(DIMS))
+            if (both.agg(F.max(F.abs(F.least("factor", F.lit(1.0)) - F.least("earlier", F.lit(1.0))))).first()[0] or 0.0) < SETTLED:
+                break
     error = F.abs(F.col("now") - F.col("want")) / F.greatest("want", F.lit(SETTLED))
-    return cells, max(marginal(cells, d).agg(F.max(error)).first()[0] or 0.0 for d in DIMS)
+    return weighed(factors), max(marginal(d).agg(F.max(error)).first()[0] or 0.0 for d in DIMS)
 
 
 def mix(docs: DataFrame, targets: dict[str, dict | float] = TARGETS, keep: float = KEEP, seed: int = 17, id_column: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, local_cells: int = LOCAL_CELLS, strict: bool = True) -> DataFrame:
