@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,8 @@ from evidentia.plans import oracles as o
 from evidentia.plans import render
 from evidentia.plans.registry import query
 from evidentia.sources import bulk, catalog, hwpx
-from evidentia.workers import checkpointed
+from evidentia.streaming import ledgers, stages
+from evidentia.workers import checkpointed, shared_folder
 
 AS_OF = "2025-01-01"
 COMMON = ["the", "there", "on", "onen", "ing the", "nting"]
@@ -553,6 +555,37 @@ def ledger_summaries(spark, sf_dir):
     return out.select("ledger", pairs("latest_decisions", lambda v: v).alias("latest_decisions"), F.col("unreviewed_count").cast("long").alias("unreviewed_count"), pairs("disposition_counts", lambda v: v.cast("string")).alias("disposition_counts"), pairs("timing", spent).alias("timing"))
 
 
+def streamed(spark, events, work):
+    """Runs what ``work`` makes of these events as a stream, to its end, in the shared folder; its rows."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    events.write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+    query = work(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    WITH_LEDGER.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", chain AS (SELECT *, NULL::VARCHAR AS prev, sha256({EVENT_SQL}) AS d FROM events0 WHERE sequence = 1
+  UNION ALL SELECT * REPLACE (sha256({CHAINED_SQL}) AS d) FROM (SELECT e.*, c.d AS prev, '' AS d FROM chain c JOIN events0 e ON e.ledger = c.ledger AND e.sequence = c.sequence + 1))
+SELECT ledger::VARCHAR AS ledger, sequence, prev AS previous_event_digest, d AS digest FROM chain"""
+)
+def ledger_stream(spark, sf_dir):
+    """All events as a stream that chains them, its state being the last digest of each ledger."""
+    out = streamed(spark, ledger_events(spark, sf_dir), ledgers.chained)
+    return out.where("error_code IS NULL").select("ledger", "sequence", "previous_event_digest", "digest")
+
+
+@query(WITH_LEDGER + STEPS + """, per AS (SELECT ledger, stage, bool_or(bad) AS bad, bool_or(open) AS open, count(end_us) AS n, sum(end_us - start_us)::BIGINT AS us FROM steps GROUP BY ALL)
+SELECT p.ledger::VARCHAR AS ledger, p.stage, CASE WHEN bad OR open OR n = 0 OR o.stage IS NOT NULL THEN 'unknown' ELSE 'measured' END AS status, CASE WHEN NOT (bad OR open OR n = 0 OR o.stage IS NOT NULL) THEN us END AS us FROM per p LEFT JOIN ov o USING (ledger, stage)""")
+def stage_stream(spark, sf_dir):
+    """All events as a stream that measures the stages of each ledger."""
+    arrived = ledger_events(spark, sf_dir).withColumn("arrived", F.to_timestamp("at"))
+    out = streamed(spark, arrived, lambda s: stages.stage_times(s, "arrived", delay_seconds=3600, patience_seconds=10**9))
+    return out.where("kind IN ('measured', 'unknown')").select("ledger", "stage", F.col("kind").alias("status"), "us")
+
+
 # --- rendering
 
 

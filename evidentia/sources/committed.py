@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from evidentia.errors import EvidenceError
@@ -102,3 +102,9 @@ class CommittedWriter(DataSourceWriter):
 def register(spark: SparkSession) -> None:
     ready(spark)
     spark.dataSource.register(CommittedFiles)
+
+
+def save(rows: DataFrame, folder: str, name: Column, content: Column) -> None:
+    """Each row as a file of the folder: all of them, or none and an error.  Pages, reports as JSON and ledgers alike."""
+    register(rows.sparkSession)
+    rows.select(name.alias("name"), content.cast("binary").alias("content")).write.format("committed").option("path", folder).mode("append").save()

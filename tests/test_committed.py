@@ -6,8 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.operators.report import as_json
 from evidentia.plans import scan
-from evidentia.sources import committed, hwpx
+from evidentia.sources import bulk, committed, hwpx
 from evidentia.sources.catalog import catalog_frames
 from tests.test_scan import AS_OF, CATALOG
 
@@ -27,6 +28,19 @@ def test_every_row_is_a_file(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == sorted(f"page-{i}.html" for i in range(40)) and (tmp_path / "page-7.html").read_bytes() == "<p>é 7".encode()
 
 
+def test_reports_of_a_scan_as_files(spark, tmp_path):
+    catalog = catalog_frames(spark, json.dumps(CATALOG).encode())
+    (tmp_path / "docs").mkdir()
+    for n in "abc":
+        hwpx.write_document(tmp_path / "docs" / f"{n}.hwpx", ["모의장서기준 제12조", n])
+    files = spark.read.format("binaryFile").load(str(tmp_path / "docs"))
+    told = as_json(scan.scan_documents(spark, files, catalog, AS_OF))
+    committed.save(told, str(tmp_path / "out"), F.concat(F.regexp_extract("path", "([a-z])[.]hwpx", 1), F.lit(".json")), F.col("json"))
+    assert sorted(os.listdir(tmp_path / "out")) == ["a.json", "b.json", "c.json"]
+    read = bulk.reports(bulk.read_files(spark, str(tmp_path / "out")))
+    assert [(r["error_code"], len(r["items"])) for r in read.collect()] == [(None, 1)] * 3
+
+
 def test_a_failing_task_leaves_nothing(spark, tmp_path):
     committed.register(spark)
     rows = spark.range(20).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") == 13, F.raise_error(F.lit("fails"))).otherwise("x").cast("binary").alias("content")).repartition(4)
