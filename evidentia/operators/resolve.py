@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions.checks import effective
 
@@ -131,7 +132,8 @@ def hot_ranges(rows: DataFrame, key: str, day: str) -> DataFrame | None:
     each = max(HOT_ROWS, sum(r["n"] for r in hot) // n)
     parts = {r[key]: -(-r["n"] // each) for r in hot}
     most = max(parts.values())
-    kept = rows.where(F.col(key).isin(list(parts))).groupBy(key).agg(F.percentile_approx(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")), [i / most for i in range(1, most)] or [0.5], 10_000).alias("at"))
+    named = rows.sparkSession.createDataFrame([(k,) for k in parts], T.StructType([T.StructField(key, rows.schema[key].dataType)]))
+    kept = rows.join(F.broadcast(named), key, "left_semi").groupBy(key).agg(F.percentile_approx(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")), [i / most for i in range(1, most)] or [0.5], 10_000).alias("at"))
     return kept.select(key, F.transform(F.filter("at", lambda d: d.isNotNull()), lambda d: F.date_add(F.lit("1970-01-01").cast("date"), d)).alias("cuts"))
 
 
