@@ -170,3 +170,34 @@ def test_page_escapes(spark):
     e = {"record_id": "<r>", "official_source": "javascript:alert(1)", "retrieved_at": "2025-01-01T00:00:00Z", "as_of": "2024-12-31", "matched_effective_from": "2020-01-01", "matched_effective_to": None, "matched_title": 'A"', "matched_provision": None, "version_transition": None}
     page = evidentia.render_review(report(item("<b>'x'", evidence=[e, e | {"official_source": "https://example.com/a"}])), spark=spark)
     assert "&lt;b&gt;&#x27;x&#x27;" in page and 'href="https://example.com/a"' in page and "href=\"javascript" not in page and "unreviewed" in page
+
+
+@pytest.mark.parametrize("meanwhile", ["gone", "broken", "other", "folder"])
+def test_a_ledger_that_changes_under_way_is_a_conflict(tmp_path, monkeypatch, meanwhile):
+    """Gone, no JSON any more, another ledger, or no file: nothing is written, and what is there stays."""
+    made, book = tmp_path / "r.json", tmp_path / "l.json"
+    made.write_text(json.dumps(report(item("A"))))
+    ledger_store.update_ledger(book, made, action="start", stage="triage")
+    plain = ledger_store.append_event
+
+    def change(*args, **more):
+        after = plain(*args, **more)
+        if meanwhile == "broken":
+            book.write_text("{")
+        elif meanwhile == "other":
+            book.write_text(book.read_text() + " ")
+            book.write_text(json.dumps(json.loads(book.read_text()) | {"events": []}))
+        else:
+            book.unlink()
+            if meanwhile == "folder":
+                book.mkdir()
+        return after
+
+    monkeypatch.setattr(ledger_store, "append_event", change)
+    with pytest.raises(EvidenceError) as e:
+        ledger_store.update_ledger(book, made, action="finish", stage="triage")
+    assert e.value.code == "REVIEW_CONFLICT"
+    assert not list(tmp_path.glob(".l.json.*")) and not (tmp_path / "l.json.lock").exists()
+    assert book.exists() == (meanwhile != "gone")
+    if meanwhile == "broken":
+        assert book.read_text() == "{"
