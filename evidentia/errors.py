@@ -25,3 +25,9 @@ COLLECTION = {
 LAYOUT_AMBIGUOUS = "HWPX section layout is ambiguous."
 ARCHIVE_UNREADABLE = "Document is not a readable ZIP archive."
 STAGE_OF = {"REFERENCE_LIMIT_EXCEEDED": "extract"}
+#: Refusals that several places make, as code and message.
+JSON_INVALID = ("REVIEW_JSON_INVALID", "Review JSON is not valid bounded JSON.")
+LEDGER_INVALID = ("REVIEW_LEDGER_INVALID", "Review ledger is invalid or does not match the report.")
+OUTPUT_EXISTS = ("REVIEW_OUTPUT_EXISTS", "Output exists.")
+CONFLICT = ("REVIEW_CONFLICT", "Review ledger changed during update.")
+CATALOG_NOT_FOUND = ("CATALOG_NOT_FOUND", "Catalog was not found.")

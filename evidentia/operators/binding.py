@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.errors import LEDGER_INVALID
+
 BOUND = ["report_digest", "document_sha256", "catalog_sha256", "as_of"]
-INVALID = ("REVIEW_LEDGER_INVALID", "Review ledger is invalid or does not match the report.")
 #: Control characters whose number has a letter, which the canonical form writes small.
 LETTERED = [c for c in range(0x20) if chr(c) not in "\b\t\n\f\r" and c % 16 >= 10]
 
@@ -47,6 +48,6 @@ def bind(ledgers: DataFrame, reports: DataFrame) -> DataFrame:
     known = reports.where("error_code IS NULL").groupBy(*BOUND).agg(F.min("path").alias("report_path"), F.max(F.size("items")).alias("n_items"))
     joined = ledgers.join(known, BOUND, "left")
     fits = F.col("error_code").isNull() & F.col("report_path").isNotNull() & (F.col("most_item") <= F.col("n_items"))
-    told = [F.when(~F.coalesce(fits, F.lit(False)), F.coalesce(c, F.lit(v))).alias(c) for c, v in zip(("error_code", "error_message"), INVALID, strict=True)]
+    told = [F.when(~F.coalesce(fits, F.lit(False)), F.coalesce(c, F.lit(v))).alias(c) for c, v in zip(("error_code", "error_message"), LEDGER_INVALID, strict=True)]
     only = lambda c: F.when(fits, F.col(c)).alias(c)
     return joined.select("path", only("report_path"), only("n_items"), only("events"), *told)

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.errors import COLLECTION, STAGE_OF, EvidenceError
+from evidentia.errors import CATALOG_NOT_FOUND, COLLECTION, STAGE_OF, EvidenceError
 from evidentia.operators import extract, report, resolve
 from evidentia.sources import bulk, hwpx
 from evidentia.sources.catalog import Catalog, load_catalog
@@ -70,7 +70,7 @@ def scan_by_catalog(spark: SparkSession, files: DataFrame, catalogs: DataFrame,
     kept = bulk.accepted(read)
     named = files.select("path", F.col("catalog").alias("catalog"))
     told = named.join(read.select(F.col("path").alias("catalog"), F.lit(True).alias("there"), "error_code", "error_message"), "catalog", "left")
-    missing = [F.when(F.col("there").isNull(), v).otherwise(F.col(c)).alias(c) for c, v in zip(("error_code", "error_message"), ("CATALOG_NOT_FOUND", "Catalog was not found."), strict=True)]
+    missing = [F.when(F.col("there").isNull(), v).otherwise(F.col(c)).alias(c) for c, v in zip(("error_code", "error_message"), CATALOG_NOT_FOUND, strict=True)]
     refused = told.where("there IS NULL OR error_code IS NOT NULL").select("path", *missing)
     known = kept.select(F.col("path").alias("catalog"), "catalog_sha256")
     nodes = hwpx.parse_documents(files, limits).join(named.join(known, "catalog"), "path")
@@ -126,7 +126,7 @@ def scan_document(spark: SparkSession, path: str | Path, as_of: date, catalog: s
     except OSError:
         raise EvidenceError("DOCUMENT_NOT_READABLE", "Document cannot be read.") from None
     if not Path(catalog).is_file():
-        raise EvidenceError("CATALOG_NOT_FOUND", "Catalog was not found.")
+        raise EvidenceError(*CATALOG_NOT_FOUND)
     strict_as_of(as_of)
     loaded = load_catalog(spark, catalog)
     files = spark.read.format("binaryFile").load(path.absolute().as_uri())

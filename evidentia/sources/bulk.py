@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from evidentia.errors import EvidenceError
+from evidentia.errors import JSON_INVALID, LEDGER_INVALID, EvidenceError
 from evidentia.operators.report import ERROR, ITEM
 from evidentia.sources import strict_json
 from evidentia.sources.catalog import parse_catalog
@@ -45,7 +45,7 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.json") -> Dat
 
 def strict_object(data: bytes) -> dict:
     """A bounded strict JSON object, or the refusal of one."""
-    bad = EvidenceError("REVIEW_JSON_INVALID", "Review JSON is not valid bounded JSON.")
+    bad = EvidenceError(*JSON_INVALID)
     if len(data) > strict_json.MAX_BYTES:
         raise bad
     try:
@@ -67,7 +67,7 @@ def ledger_row(data: bytes) -> dict[str, Any]:
     ledger = validate_events(strict_object(data))
     most = max((e["item_number"] or 0 for e in ledger["events"]), default=0)
     if most > MAX_ITEMS:
-        raise EvidenceError("REVIEW_LEDGER_INVALID", "Review ledger is invalid or does not match the report.")
+        raise EvidenceError(*LEDGER_INVALID)
     return {k: v for k, v in ledger.items() if k != "schema"} | {"most_item": most}
 
 
@@ -115,7 +115,8 @@ def validated(files: DataFrame, row_of: Callable[[bytes], dict[str, Any]], colum
     return read.unionByName(unread)
 
 
-TOO_LARGE = ("REVIEW_JSON_INVALID", "Review JSON is not valid bounded JSON.")
+#: What becomes of files that are too large, or that change while they are read.
+TOO_LARGE = JSON_INVALID
 
 
 def reports(files: DataFrame) -> DataFrame:

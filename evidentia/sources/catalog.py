@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from evidentia.errors import EvidenceError
+from evidentia.errors import CATALOG_NOT_FOUND, EvidenceError
 from evidentia.sources import strict_json
 
 VERSIONS = T.StructType([T.StructField(n, t, null) for n, t, null in (("record_seq", T.IntegerType(), False), ("version_seq", T.IntegerType(), False), ("record_id", T.StringType(), False), ("official_source", T.StringType(), False), ("retrieved_at", T.StringType(), False), ("effective_from", T.DateType(), False), ("effective_to", T.DateType(), True), ("title", T.StringType(), False))])
@@ -136,7 +136,7 @@ def catalog_frames(spark: SparkSession, data: bytes) -> Catalog:
 def load_catalog(spark: SparkSession, path: str | Path) -> Catalog:
     path = Path(path)
     if not path.is_file():
-        raise EvidenceError("CATALOG_NOT_FOUND", "Catalog was not found.")
+        raise EvidenceError(*CATALOG_NOT_FOUND)
     try:
         data = path.read_bytes()
     except OSError:

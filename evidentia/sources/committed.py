@@ -17,12 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from evidentia.errors import EvidenceError
+from evidentia.errors import OUTPUT_EXISTS, EvidenceError
 from evidentia.workers import ready
 
-EXISTS = ("REVIEW_OUTPUT_EXISTS", "Output exists.")
-
-
 @dataclass
 class Written(WriterCommitMessage):
     """What one task wrote: names by their temporary files."""
@@ -77,7 +74,7 @@ class CommittedWriter(DataSourceWriter):
                     placed.append(final)
         except FileExistsError:
             self._take_back(placed)
-            raise EvidenceError(*EXISTS) from None
+            raise EvidenceError(*OUTPUT_EXISTS) from None
         except OSError:
             self._take_back(placed)
             raise EvidenceError("REVIEW_OUTPUT_FAILED", "Output could not be written.", 1) from None

@@ -8,7 +8,7 @@ import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
-from evidentia.errors import EvidenceError
+from evidentia.errors import CONFLICT, EvidenceError
 from evidentia.sources import strict_json
 from evidentia.sources.reports import LEDGER_SCHEMA, MAX_EVENTS, validate_ledger, validate_report
 
@@ -72,14 +72,14 @@ def update_ledger(path: str | Path, report_path: str | Path, **event) -> dict:
                 try:
                     os.link(temp, path)
                 except FileExistsError:
-                    raise EvidenceError("REVIEW_CONFLICT", "Review ledger changed during update.") from None
+                    raise EvidenceError(*CONFLICT) from None
             else:
                 try:
                     same = strict_json.read_object(path) == before
                 except EvidenceError:  # it vanished, or is no ledger any more
                     same = False
                 if not same:
-                    raise EvidenceError("REVIEW_CONFLICT", "Review ledger changed during update.")
+                    raise EvidenceError(*CONFLICT)
                 os.replace(temp, path)
         except OSError:
             raise EvidenceError("REVIEW_WRITE_FAILED", "Ledger could not be written.", 1) from None

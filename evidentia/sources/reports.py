@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.errors import EvidenceError
+from evidentia.errors import LEDGER_INVALID, EvidenceError
 from evidentia.functions.checks import DISPOSITIONS, STAGES, STATUSES
 from evidentia.operators.resolve import EVIDENCE
 from evidentia.sources import strict_json
@@ -103,9 +103,6 @@ def _whole(x: Any) -> bool:
     return isinstance(x, int) and not isinstance(x, bool)
 
 
-LEDGER_INVALID = ("REVIEW_LEDGER_INVALID", "Review ledger is invalid or does not match the report.")
-
-
 def validate_events(ledger: Any) -> dict:
     """The ledger itself if it has a ledger's keys and its events are coherent and chained, whatever report it belongs to."""
     try:

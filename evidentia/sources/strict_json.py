@@ -10,7 +10,7 @@ import stat
 from pathlib import Path
 from typing import Any
 
-from evidentia.errors import EvidenceError
+from evidentia.errors import JSON_INVALID, OUTPUT_EXISTS, EvidenceError
 
 MAX_BYTES, MAX_DEPTH, MAX_NODES = 8 * 1024 * 1024, 32, 200_000
 
@@ -87,7 +87,7 @@ def _mark(info: os.stat_result) -> tuple:
 
 def read_object(path: Path, max_bytes: int = MAX_BYTES) -> dict:
     """A JSON object from a file that stays the same file while it is read."""
-    bad = EvidenceError("REVIEW_JSON_INVALID", "Review JSON is not valid bounded JSON.")
+    bad = EvidenceError(*JSON_INVALID)
     before = safe_path(path, existing=True)
     try:
         with path.open("rb") as f:
@@ -113,13 +113,13 @@ def write_new(path: Path, data: bytes, inputs: list[Path] = ()) -> None:
     if any(path.absolute() == p.absolute() for p in inputs):
         raise EvidenceError("REVIEW_PATH_INVALID", "Output must differ from the inputs.")
     if safe_path(path, existing=False) is not None:
-        raise EvidenceError("REVIEW_OUTPUT_EXISTS", "Output exists.")
+        raise EvidenceError(*OUTPUT_EXISTS)
     try:
         with path.open("xb") as f:
             f.write(data)
             f.flush()
             os.fsync(f.fileno())
     except FileExistsError:
-        raise EvidenceError("REVIEW_OUTPUT_EXISTS", "Output exists.") from None
+        raise EvidenceError(*OUTPUT_EXISTS) from None
     except OSError:
         raise EvidenceError("REVIEW_OUTPUT_FAILED", "Output could not be written.", 1) from None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from evidentia import errors
 from evidentia.functions.checks import DISPOSITIONS, STAGES
 from evidentia.sources import strict_json
 from evidentia.sources.reports import MAX_EVENTS, UTC
@@ -17,8 +18,8 @@ from evidentia.workers import ready
 EVENT = ["sequence", "action", "item_number", "disposition", "stage", "at"]
 CHAINED = T.StructType([T.StructField(c, T.IntegerType() if c in ("sequence", "item_number") else T.StringType()) for c in ("ledger", *EVENT, "previous_event_digest", "digest", "error_code")])
 LAST = T.StructType([T.StructField("sequence", T.IntegerType()), T.StructField("digest", T.StringType())])
-#: Refusals of an event that does not follow the last, and of one that makes no sense.
-CONFLICT, INVALID = "REVIEW_CONFLICT", "REVIEW_LEDGER_INVALID"
+#: Refusals of an event that does not follow the last, and of one that makes no sense.
+CONFLICT, INVALID = errors.CONFLICT[0], errors.LEDGER_INVALID[0]
 
 
 def coherent(e: dict) -> bool:
