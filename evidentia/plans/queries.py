@@ -662,7 +662,7 @@ def reports_fail_closed(spark, sf_dir):
 @query("SELECT doc_id::VARCHAR AS path, ordinal, 'Contents/section0.xml:t[' || ordinal || ']' AS locator, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS ordinal FROM documents) WHERE text <> ''")
 def hwpx_nodes(spark, sf_dir):
     """Every document written as an archive of one section, a text element a line, and parsed again."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("lines"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("lines"))
     return hwpx.parse_documents(hwpx.as_archives(docs)).where("text IS NOT NULL").select("path", "ordinal", "locator", "text")
 
 
@@ -676,7 +676,7 @@ SELECT doc_id::VARCHAR AS path, error_code, CASE WHEN error_code IS NULL THEN co
 def archives_refused(spark, sf_dir):
     """Every document as an archive, nine of ten of them bent: no archive, a wrong or missing type, no section, a document type
     declaration, open or misplaced tags, another encoding, two sections of one number, a cut file."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("lines"), (F.col("doc_id") % 10).cast("int").alias("bend"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("lines"), (F.col("doc_id") % 10).cast("int").alias("bend"))
     read = hwpx.parse_documents(hwpx.bent_archives(docs))
     return read.groupBy("path").agg(F.max("error_code").alias("error_code"), F.count("text").alias("nodes"))
 
