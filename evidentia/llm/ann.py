@@ -3,9 +3,11 @@
 Vectors are lifted by one coordinate so that largest inner product becomes smallest distance.  Centroids are fitted on a
 bounded sample, level by level with a balance penalty, and joined in a neighbour graph that is built once and that every worker
 holds; all vectors and queries, in lockstep, search it by beams.  A vector near a boundary is posted to several lists; a query
-visits all lists whose centroid distance stays within a ratio of its nearest, chosen on vectors held out of the fit, and
-further ones until they are sure to hold enough vectors: its beam is widened until it ends beyond the ratio.  Scores are inner
-products of the original vectors in double precision.
+visits all lists whose centroid distance stays within a ratio of its nearest, and further ones until they are sure to hold
+enough vectors: its beam is widened until it ends beyond the ratio.  Where vectors differ in length, distances to centroids
+tell little; so a query also visits the lists that may hold a better score than its k-th in a sample: the centroid's score, and
+a part of what the list's farthest vector could add.  Ratio and part are chosen on queries of the table that are compared with
+every row; the whole of it misses nothing.  Scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ LIST_SIZE, MAX_LISTS, PER_LIST, AT_ONCE = 512, 32_768, 4, 128
 DEGREE, ENTRIES, BEAM = 24, 8, 32
 #: Boundary vectors: lists at most, and the distance ratio up to which they are replicated.
 REPLICAS, REPLICA_RATIO = 2, 1.06
-#: Queries: the least distance ratio that prunes, and how many are routed at a time.
-PROBE_RATIO, ASKED = 1.15, 128
+#: Queries: the distance ratios that are tried, and how many queries are routed at a time.
+RATIOS, ASKED = (1.0, 1.05, 1.1, 1.15, 1.25), 128
 #: Vectors of the fit at least, where the table has them.
 FIT = 20_000
-#: Vectors and queries of them on which the ratio is chosen, and the share of their neighbours whose lists must be visited.
-HELD, TRIED, WANTED = 10_000, 512, 0.99
+#: Vectors of which a query's k-th score is a lower bound; queries that are compared with every row, and the share of their
+#: neighbours whose lists must be visited.
+HELD, TRIED, WANTED = 10_000, 256, 0.99
 #: Postings and queries of a list that meet in one block.
 BLOCK = 4096
 #: Results that a task holds before it merges them, and those beyond which it sends what is merged.
@@ -172,30 +175,39 @@ def above_floor(d: np.ndarray, queries: np.ndarray, radius: float) -> np.ndarray
     return d - np.abs(radius - np.sqrt((queries**2).sum(axis=1)))[:, None] ** 2
 
 
-def choose_ratio(router: Router, held: np.ndarray, radius: float, share: float) -> tuple[float, int]:
-    """(ratio, beam): WANTED of the nearest ``share`` of the held vectors to some of them stand in a list within the ratio.
+class Bounds:
+    """What a list may hold at most for a query, as a part of the reach of its farthest vector.
 
-    The share is that of the wanted neighbours in the table, so the ratio grows with the lists as their neighbours spread.  The
-    beam is what most of these queries need for it.
+    ``ids`` and ``held`` are vectors of the table, each id once; the k-th best score among them is no more than that in the table.
     """
-    near = max(1, round(share * len(held)))
-    if len(held) <= near + 1:
-        return PROBE_RATIO, BEAM
-    queries = held[:TRIED]
-    scores = queries @ held.T
-    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    who = np.argpartition(-scores, near - 1, axis=1)[:, :near]
-    spots = np.unique(who)
-    lists, d = zip(*(router.nearest(lift(held[spots[i : i + 512]], radius), REPLICAS) for i in range(0, len(spots), 512)), strict=True)
-    lists, posted = np.concatenate(lists), replicated(np.concatenate(d))
-    away = np.maximum(above_floor(distances(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), router.centres), queries, radius), 0)
-    at = np.searchsorted(spots, who)
-    need = np.where(posted[at], away[np.arange(len(queries))[:, None, None], lists[at]], np.inf).min(axis=2)
-    least = away.min(axis=1)[:, None]
-    every = np.broadcast_to(least, need.shape)
-    told = every > 1e-12
-    ratio = max(PROBE_RATIO, float(np.sqrt(np.quantile((need[told] / every[told]), WANTED)))) if told.any() else PROBE_RATIO
-    return ratio, max(BEAM, int(np.quantile((away <= ratio**2 * least).sum(axis=1), 0.9)) + 8)
+
+    def __init__(self, centres: np.ndarray, reach: np.ndarray, radius: float, ids: np.ndarray, held: np.ndarray):
+        self.centres, self.reach, self.ids, self.held = centres[:, :-1], reach + 1e-9 * radius, ids, held
+
+    def parts(self, ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+        """Per query and list the least part of the list's reach that takes its centroid's score to the query's k-th; 1 or less if it can."""
+        scores = queries @ self.held.T
+        scores[ids[:, None] == self.ids[None, :]] = -np.inf
+        kth = np.partition(scores, len(self.ids) - k, axis=1)[:, len(self.ids) - k] if len(self.ids) >= k else np.full(len(ids), -np.inf)
+        return (kth[:, None] - queries @ self.centres.T) / (np.sqrt((queries**2).sum(axis=1))[:, None] * self.reach)
+
+
+def choose_probing(router: Router, parts: np.ndarray, queries: np.ndarray, radius: float, adds: np.ndarray, least: int, truth: list[list[np.ndarray]]) -> tuple[float, float]:
+    """(ratio, part) by which WANTED of the neighbours of some queries stand in a visited list, with the fewest visits.
+
+    ``truth`` has, for each query, the lists of each of its neighbours.
+    """
+    if not any(truth):
+        return RATIOS[-1], 1.0
+    tried = []
+    for ratio in RATIOS:
+        need, within = parts.copy(), router.visits(queries, radius, ratio, BEAM, adds, least)
+        for i, lists in enumerate(within):
+            need[i, lists] = -np.inf
+        each = np.array([need[i, lists].min() for i, near in enumerate(truth) for lists in near])
+        part = min(1.0, float(np.sort(each)[int(np.ceil(WANTED * len(each))) - 1]))
+        tried.append((int((need <= part).sum()), ratio, part))
+    return min(tried)[1:]
 
 
 def valid(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -210,13 +222,58 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def also(lists: np.ndarray, parts: np.ndarray, part: float, probes: int | None) -> np.ndarray:
+    """The lists and those whose bound is reached by the part, the likeliest first, up to ``probes`` in all."""
+    more = np.setdiff1d(np.flatnonzero(parts <= part), lists)
+    more = more[np.argsort(parts[more], kind="stable")]
+    return np.concatenate([lists, more if probes is None else more[: max(0, probes - len(lists))]]).astype(np.int32)
+
+
+def neighbour_lists(posted: DataFrame, asked, kind: str, k: int) -> list[list[np.ndarray]]:
+    """For each of the broadcast (ids, queries) the lists of each of its k nearest ids, by comparison with every posting."""
+    most = 2 * REPLICAS * k
+
+    def run(batches):
+        ids, queries = asked.value
+        best = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0), dtype=np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                lists, own = part.column(0).to_numpy(), part.column(1).to_numpy()
+                if not len(own):
+                    continue
+                cells = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=kind).reshape(len(own), -1).astype(float)
+                scores = queries @ cells.T
+                scores[ids[:, None] == own[None, :]] = -np.inf
+                best = [np.concatenate([x, np.broadcast_to(y, scores.shape)], axis=1) for x, y in zip(best, (scores, own, lists), strict=True)]
+                if best[0].shape[1] > most:
+                    top = np.argpartition(-best[0], most - 1, axis=1)[:, :most]
+                    best = [np.take_along_axis(x, top, axis=1) for x in best]
+        scores, own, lists = best
+        q = np.repeat(np.arange(len(ids), dtype=np.int32), scores.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own.ravel()), pa.array(lists.ravel()), pa.array(scores.ravel())], names=["q", "id", "list", "score"])
+
+    if not len(asked.value[0]):
+        return []
+    found = posted.select("list", "id", "v").mapInArrow(run, "q int, id long, list int, score double").where(F.col("score") > float("-inf"))
+    each = found.groupBy("q", "id", "list").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id", "list"))
+    best: list[dict[int, tuple[float, list[int]]]] = [{} for _ in asked.value[0]]
+    for r in each.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("q", "rank").select("q", "id", "list", "score").toArrow().to_pylist():
+        mine = best[r["q"]]
+        score, lists = mine.setdefault(r["id"], (r["score"], []))
+        if r["score"] >= score - 1e-9 * abs(score):  # a posting of another vector of the id is no way to it
+            lists.append(r["list"])
+    return [[np.array(lists) for _, lists in list(mine.values())[:k]] for mine in best]
+
+
 def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column: str = "vec_id", column: str = "embedding", probes: int | None = None, probe_ratio: float | None = None) -> DataFrame:
     """The k nearest vectors of every query: (query_id, rank, vec_id, score).
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates every row but those with the query's id.
     Vectors null, zero or holding null or non-finite components take no part, nor do rows without an id, nor vectors of
     another dimension than the most common one (of two as common, the larger).  Rows that repeat an id count once, by the best of its vectors.  Ties of
-    score go to the smaller id.  ``probes`` caps the lists of a query, but never below those that hold k other ids.  Other columns are left out; an empty table gives an empty table.
+    score go to the smaller id.  ``probe_ratio`` sets the ratio instead of choosing it, without a bound of scores; ``probes`` caps the lists of a query, but never below those that hold k other ids.  Other columns are left out; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
@@ -229,13 +286,10 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
     base = fine.where(F.size("v") == sizes["d"])
     n_lists = min(MAX_LISTS, max(1, n // LIST_SIZE))
     fitted = n_lists * max(PER_LIST, min(FIT, n) // n_lists)
-    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(fitted + HELD).toArrow()
-    picked = matrix(picked.column(0).combine_chunks())
+    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").select("v", "vec_id").limit(fitted + HELD).toArrow()
+    picked, picked_ids = matrix(picked.column(0).combine_chunks()), picked.column(1).to_numpy()
     centres = fit_centroids(lift(picked[:fitted], radius), n_lists)
     near = neighbour_graph(centres)
-    width = BEAM
-    if probe_ratio is None:
-        probe_ratio, width = choose_ratio(Router(centres, near), picked[-HELD:], radius, k / n)
     shared = sc.broadcast((centres, near, radius))
 
     kind = "<f4" if dict(vectors.dtypes)[column] == "array<float>" else "<f8"  # what the table holds, without loss
@@ -254,25 +308,39 @@ def search(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_column:
                     continue
                 lists, d = router.nearest(lift(raw, radius), REPLICAS)
                 i, j = np.nonzero(replicated(d))
-                yield pa.RecordBatch.from_arrays([pa.array(lists[i, j].astype(np.int32)), pa.array(ids[i]), packed(raw[i])], names=["list", "id", "v"])
+                away = np.sqrt(((raw[i] - centres[lists[i, j], :-1]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(lists[i, j].astype(np.int32)), pa.array(ids[i]), packed(raw[i]), pa.array(away)], names=["list", "id", "v", "away"])
 
-    posted = checkpointed(base.mapInArrow(post, "list int, id long, v binary"))
+    posted = checkpointed(base.mapInArrow(post, "list int, id long, v binary, away double"))
     # ids that each list adds when an id counts for its first list only: what some lists hold together is at least their sum
     adds = np.zeros(len(centres), dtype=np.int64)
     for r in posted.groupBy("id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
         adds[r["list"]] = r["count"]
-    held_by = sc.broadcast(adds)
+    portion, bounds = None, None
+    if probe_ratio is None:
+        reach = np.zeros(len(centres))
+        for r in posted.groupBy("list").agg(F.max("away").alias("away")).collect():
+            reach[r["list"]] = r["away"]
+        once = np.unique(picked_ids[-HELD:], return_index=True)
+        bounds = Bounds(centres, reach, radius, once[0], picked[-HELD:][once[1]])
+        tried = base.where(F.col("vec_id") % query_modulus == 0).orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(TRIED).toArrow()
+        ids, queries = tried.column(0).to_numpy(), matrix(tried.column(1).combine_chunks())
+        truth = neighbour_lists(posted, sc.broadcast((ids, queries)), kind, k)
+        probe_ratio, portion = choose_probing(Router(centres, near), bounds.parts(ids, queries, k), queries, radius, adds, k + 1, truth)
+    held_by = sc.broadcast((adds, bounds))
 
     def ask(batches):
         centres, near, radius = shared.value
-        router, adds = Router(centres, near), held_by.value
+        router, (adds, bounds) = Router(centres, near), held_by.value
         for batch in batches:
             for at in range(0, batch.num_rows, ASKED):
                 part = batch.slice(at, ASKED)
                 ids, raw = part.column(0).to_numpy(), matrix(part.column(1))
                 if not len(ids):
                     continue
-                lists = router.visits(raw, radius, probe_ratio, width, adds, k + 1, probes)  # the query's own id is one of them
+                lists = router.visits(raw, radius, probe_ratio, BEAM, adds, k + 1, probes)  # the query's own id is one of them
+                if bounds is not None:
+                    lists = [also(*x, portion, probes) for x in zip(lists, bounds.parts(ids, raw, k), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), packed(raw), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "lists"])
 
     asking = checkpointed(base.where(F.col("vec_id") % query_modulus == 0).mapInArrow(ask, "id long, v binary, lists array<int>"))

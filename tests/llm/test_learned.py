@@ -273,6 +273,17 @@ def test_neighbours_among_many_lists(spark, monkeypatch):
     assert set(got) == set(want) and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.97
 
 
+def test_neighbours_of_uneven_lengths(spark, monkeypatch):
+    """Vectors whose lengths differ by orders of magnitude, where distances to centroids tell little."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 64)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 32)) * np.exp(1.5 * rng.normal(size=(4000, 1)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = brute(rows, 20, 20)
+    assert set(got) == set(want) and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.97
+
+
 def test_neighbours_beyond_small_clusters(spark, monkeypatch):
     """Clusters of five: the nearest list alone holds too few."""
     monkeypatch.setattr(ann, "LIST_SIZE", 5)
