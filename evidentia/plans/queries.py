@@ -326,18 +326,19 @@ def exact_key_object(spark, sf_dir):
 
 
 def item_tables(spark, sf_dir):
-    """Order lines as two reports of one document an order."""
-    li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("pair").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    """Order lines as two reports of one document an order, in one frame: both are numbered in one pass, which leaves them dealt by pair."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    kept = F.col("l_partkey") % 17 != 0
+    numbered = table(spark, sf_dir, "lineitem").withColumns({"old_number": F.row_number().over(w), "new_number": F.count_if(kept).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")})
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    lines = li.select(
-        F.col("l_orderkey").alias("pair"), text("L", F.col("l_linenumber")).alias("locator"), text("S", F.col("l_suppkey") % 3).alias("title"), F.when(F.col("l_partkey") % 4 > 0, text("P", F.col("l_partkey") % 5)).alias("provision"),
-        F.col("l_returnflag").alias("status"), F.col("l_linestatus").alias("reason_code"), F.array((F.col("l_partkey") % 13).cast("string")).alias("evidence"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity",
+    title, status = text("S", F.col("l_suppkey") % 3), F.col("l_returnflag")
+    old = F.struct(F.lit(0).alias("side"), F.col("old_number").alias("item_number"), title.alias("title"), status.alias("status"))
+    new = F.struct(F.lit(1).alias("side"), F.col("new_number").alias("item_number"), F.when(F.col("l_partkey") % 19 == 0, "S9").otherwise(title).alias("title"), F.when(F.col("l_suppkey") % 5 == 0, "X").otherwise(status).alias("status"))
+    lines = numbered.select(
+        F.col("l_orderkey").alias("pair"), text("L", F.col("l_linenumber")).alias("locator"), F.when(F.col("l_partkey") % 4 > 0, text("P", F.col("l_partkey") % 5)).alias("provision"),
+        F.col("l_linestatus").alias("reason_code"), F.array((F.col("l_partkey") % 13).cast("string")).alias("evidence"), F.inline(F.when(kept, F.array(old, new)).otherwise(F.array(old))),
     )
-    keep = ["pair", "item_number", "locator", "title", "provision", "status", "reason_code", "evidence"]
-    old = lines.withColumn("item_number", F.row_number().over(w)).select(keep)
-    after = lines.where("l_partkey % 17 <> 0").withColumns({"item_number": F.row_number().over(w), "title": F.when(F.col("l_partkey") % 19 == 0, "S9").otherwise(F.col("title")), "status": F.when(F.col("l_suppkey") % 5 == 0, "X").otherwise(F.col("status"))})
-    return old, after.select(keep)
+    return lines.select("pair", "side", "item_number", "locator", "title", "provision", "status", "reason_code", "evidence")
 
 
 WITH_COMPARE = f"WITH {o.ITEMS.strip()} "
@@ -345,7 +346,7 @@ WITH_COMPARE = f"WITH {o.ITEMS.strip()} "
 
 @query(WITH_COMPARE + "SELECT o.pair, 'status' AS type, o.item_number AS before_item_number, o.item_number AS after_item_number FROM old o JOIN new n USING (pair, item_number) JOIN pos USING (pair, item_number) WHERE o.status <> n.status OR o.reason_code <> n.reason_code")
 def compare_status_changes(spark, sf_dir):
-    return compare.in_place_changes(*item_tables(spark, sf_dir)).where("type = 'status'")
+    return compare.in_place_changes(item_tables(spark, sf_dir)).where("type = 'status'")
 
 
 EVIDENCE_CHANGES = "SELECT o.pair, 'evidence' AS type, o.item_number AS before_item_number, o.item_number AS after_item_number FROM old o JOIN new n USING (pair, item_number) JOIN pos USING (pair, item_number) WHERE o.l_partkey % 13 <> n.l_partkey % 13"
@@ -355,32 +356,32 @@ ADDED = "SELECT pair, item_number AS after_item_number FROM fr WHERE oids = 0 AN
 
 @query(WITH_COMPARE + EVIDENCE_CHANGES)
 def compare_evidence_changes(spark, sf_dir):
-    return compare.in_place_changes(*item_tables(spark, sf_dir)).where("type = 'evidence'")
+    return compare.in_place_changes(item_tables(spark, sf_dir)).where("type = 'evidence'")
 
 
 @query(WITH_COMPARE + f""", every AS (SELECT pair, 0 AS g, o.item_number AS n, 1 AS k, 'status' AS type FROM old o JOIN new n USING (pair, item_number) JOIN pos USING (pair, item_number) WHERE o.status <> n.status OR o.reason_code <> n.reason_code
 UNION ALL SELECT pair, 0, before_item_number, 2, 'evidence' FROM ({EVIDENCE_CHANGES}) UNION ALL SELECT pair, 1, before_item_number, 0, 'removed' FROM ({REMOVED}) UNION ALL SELECT pair, 2, after_item_number, 0, 'added' FROM ({ADDED}))
 SELECT pair, type, n AS item_number, row_number() OVER (PARTITION BY pair ORDER BY g, n, k)::INT AS place FROM every""")
 def compare_change_order(spark, sf_dir):
-    ordered = compare.in_order(compare.same_document(*item_tables(spark, sf_dir))[0])
+    ordered = compare.in_order(compare.changes(item_tables(spark, sf_dir)))
     return ordered.select("pair", "type", F.coalesce("before_item_number", "after_item_number").alias("item_number"), "place")
 
 
 @query(WITH_COMPARE + REMOVED)
 def compare_removed(spark, sf_dir):
-    return compare.as_changes(compare.findings(*item_tables(spark, sf_dir))).where("type = 'removed'").select("pair", "before_item_number")
+    return compare.changes(item_tables(spark, sf_dir)).where("type = 'removed'").select("pair", "before_item_number")
 
 
 @query(WITH_COMPARE + ADDED)
 def compare_added(spark, sf_dir):
-    return compare.as_changes(compare.findings(*item_tables(spark, sf_dir))).where("type = 'added'").select("pair", "after_item_number")
+    return compare.changes(item_tables(spark, sf_dir)).where("type = 'added'").select("pair", "after_item_number")
 
 
 @query(WITH_COMPARE + """SELECT pair, CASE WHEN ns IS NULL THEN 'moved_or_ambiguous' ELSE 'candidate_identity_unconfirmed' END AS reason, item_number::VARCHAR AS before_item_numbers, coalesce(ns, '') AS after_item_numbers FROM jo WHERE ns IS NOT NULL OR NOT (ids <= 1 AND refs <= 1 AND nids <= 1 AND nrefs <= 1)
 UNION ALL SELECT pair, 'candidate_identity_unconfirmed', '', item_number::VARCHAR FROM fr WHERE NOT (oids = 0 AND orefs = 0 AND ids <= 1 AND refs <= 1)""")
 def compare_unresolved(spark, sf_dir):
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return compare.same_document(*item_tables(spark, sf_dir))[1].select("pair", "reason", joined("before_item_numbers"), joined("after_item_numbers"))
+    return compare.findings(item_tables(spark, sf_dir)).where("reason IS NOT NULL").select("pair", "reason", joined("before_item_numbers"), joined("after_item_numbers"))
 
 
 @query(WITH_COMPARE + """, p AS (SELECT o.pair, o.item_number AS b, n.item_number AS a FROM oc o JOIN nc n ON o.pair = n.pair AND o.locator = n.locator AND o.title = n.title AND o.provision IS NOT DISTINCT FROM n.provision WHERE o.refs = 1 AND n.refs = 1)
@@ -388,12 +389,12 @@ SELECT o.pair, CASE WHEN p.a IS NULL THEN 'moved_or_ambiguous' ELSE 'candidate_i
 UNION ALL SELECT n.pair, 'candidate_identity_unconfirmed', '', n.item_number::VARCHAR FROM new n LEFT JOIN p ON p.pair = n.pair AND p.a = n.item_number WHERE p.a IS NULL""")
 def compare_related_versions(spark, sf_dir):
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return compare.related_versions(*item_tables(spark, sf_dir)).select("pair", "reason", joined("before_item_numbers"), joined("after_item_numbers"))
+    return compare.related_versions(item_tables(spark, sf_dir)).select("pair", "reason", joined("before_item_numbers"), joined("after_item_numbers"))
 
 
 @query(WITH_COMPARE + "SELECT pair, item_number, ids::BIGINT AS identities, refs::BIGINT AS \"references\" FROM oc")
 def multiset_identity_counts(spark, sf_dir):
-    return compare.counted(item_tables(spark, sf_dir)[0]).select("pair", "item_number", "identities", "references")
+    return compare.counted(item_tables(spark, sf_dir).where("side = 0")).select("pair", "item_number", "identities", "references")
 
 
 @query("""SELECT o_custkey AS pair, CASE WHEN min(o_orderkey) % 5 = 0 THEN 'collection_errors' WHEN count(*) < 6 THEN 'empty_report_not_completion' WHEN o_custkey % 3 = 0 THEN 'unrelated_documents' END AS reason,

@@ -34,7 +34,7 @@ def compare_reports(spark: SparkSession, before: dict, after: dict, related: boo
                 b, a = b["evidence"], a["evidence"]
             changes.append({"type": c["type"], "before_item_number": c["before_item_number"], "after_item_number": c["after_item_number"], "before": b, "after": a})
     else:
-        unresolved = compare.related_versions(old, new)
+        unresolved = compare.related_versions(compare.united(old, new))
     order = (F.size("before_item_numbers") == 0, F.get("before_item_numbers", 0), F.get("after_item_numbers", 0))
     left = [{"reason": u["reason"], "before_item_numbers": list(u["before_item_numbers"]), "after_item_numbers": list(u["after_item_numbers"])} for u in unresolved.orderBy(*order).collect()]
     return out | {"changes": changes + metadata, "unresolved": left}
