@@ -18,3 +18,10 @@ def test_findings_need_one_shuffle(spark, name):
     """Lines are shuffled once, numbered in one pass and sorted once more; nothing is gathered in lists of a group."""
     seen = plan_of(spark, name)
     assert seen["Exchange"] == 1 and seen["Sort"] <= 3 and seen["ObjectHashAggregate"] == 0
+
+
+@pytest.mark.parametrize("name", ["compare_status_changes", "compare_evidence_changes"])
+def test_changes_in_place_count_nothing(spark, name):
+    """Numbers and neighbours are all that changes in place need: two windows, no aggregation."""
+    seen = plan_of(spark, name)
+    assert seen["Exchange"] == 1 and seen["Sort"] == 2 and seen["Window"] == 2 and seen["ObjectHashAggregate"] == 0
