@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from evidentia.llm import bpe, chat, line_dedup, mixing, ngram_join, url_filter
+from evidentia.llm import components as components_module
 from evidentia.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -193,6 +194,40 @@ def test_components(spark):
     assert {r["root"] for r in components(spark.createDataFrame(star, "a long, b long")).collect()} == {0}
 
 
+def test_components_spend_rounds_and_tasks_on_what_is_left(spark, monkeypatch):
+    """Stars need no round; few edges in many partitions are read by few tasks; a random graph against plain search."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for n in sorted(near):
+        reach = [n] if n not in want else []
+        while reach:
+            x = reach.pop()
+            if x not in want:
+                want[x] = n
+                reach += near[x]
+    seen = []
+    join_one = components_module.join_one
+    monkeypatch.setattr(components_module, "join_one", lambda rows, *more: seen.append(rows.rdd.getNumPartitions()) or join_one(rows, *more))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == want and seen and max(seen) <= 2 * spark.sparkContext.defaultParallelism
+        seen.clear()
+        stars = [(9, 3), (3, 8), (5, 4), (3, 9), (4, 4)]
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+        assert got == {3: 3, 8: 3, 9: 3, 4: 4, 5: 4} and not seen
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # --- BPE
 
 
