@@ -93,10 +93,21 @@ def changes(both: DataFrame) -> DataFrame:
     return told.select("pair", F.explode("types").alias("type"), F.when(F.col("side") == 0, F.col("item_number")).alias("before_item_number"), F.when((F.col("side") == 1) | F.col("after").isNotNull(), F.col("item_number")).alias("after_item_number"))
 
 
-def in_place_changes(both: DataFrame) -> DataFrame:
-    """The status and evidence changes alone; nothing is counted for them."""
-    told = placed(both).where("after IS NOT NULL").withColumn("types", kinds()).where("size(types) > 0")
-    return told.select("pair", F.explode("types").alias("type"), F.col("item_number").alias("before_item_number"), F.col("item_number").alias("after_item_number"))
+def in_place_changes(both: DataFrame, *types: str) -> DataFrame:
+    """The changes of the asked types (status, evidence) alone; nothing is counted for them.
+
+    Items that stand at the same number are neighbours in the order of the numbers, so only numbers are sorted, and only what the
+    asked types compare is carried on.
+    """
+    w = Window.partitionBy("pair").orderBy("item_number", "side")
+    agrees = lambda c: F.col(c).eqNullSafe(F.col(f"next_{c}"))
+    changed = {"status": (F.col("status") != F.col("next_status")) | (F.col("reason_code") != F.col("next_reason_code")), "evidence": ~agrees("evidence")}
+    wanted = [F.when(differ, F.lit(name)) for name, differ in changed.items() if name in types]
+    compared = [*IDENTITY, *(["status", "reason_code"] if "status" in types else []), *(["evidence"] if "evidence" in types else [])]
+    told = both.select("pair", "side", "item_number", *compared).withColumns({f"next_{c}": F.lead(c).over(w) for c in ("side", "item_number", *compared)})
+    facing = (F.col("side") == 0) & (F.col("next_side") == 1) & (F.col("item_number") == F.col("next_item_number"))
+    each = told.where(facing & agrees("locator") & agrees("title") & agrees("provision")).withColumn("types", F.array_compact(F.array(*wanted))).where("size(types) > 0")
+    return each.select("pair", F.explode("types").alias("type"), F.col("item_number").alias("before_item_number"), F.col("item_number").alias("after_item_number"))
 
 
 def same_document(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

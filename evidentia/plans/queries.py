@@ -346,7 +346,7 @@ WITH_COMPARE = f"WITH {o.ITEMS.strip()} "
 
 @query(WITH_COMPARE + "SELECT o.pair, 'status' AS type, o.item_number AS before_item_number, o.item_number AS after_item_number FROM old o JOIN new n USING (pair, item_number) JOIN pos USING (pair, item_number) WHERE o.status <> n.status OR o.reason_code <> n.reason_code")
 def compare_status_changes(spark, sf_dir):
-    return compare.in_place_changes(item_tables(spark, sf_dir)).where("type = 'status'")
+    return compare.in_place_changes(item_tables(spark, sf_dir), "status")
 
 
 EVIDENCE_CHANGES = "SELECT o.pair, 'evidence' AS type, o.item_number AS before_item_number, o.item_number AS after_item_number FROM old o JOIN new n USING (pair, item_number) JOIN pos USING (pair, item_number) WHERE o.l_partkey % 13 <> n.l_partkey % 13"
@@ -356,7 +356,7 @@ ADDED = "SELECT pair, item_number AS after_item_number FROM fr WHERE oids = 0 AN
 
 @query(WITH_COMPARE + EVIDENCE_CHANGES)
 def compare_evidence_changes(spark, sf_dir):
-    return compare.in_place_changes(item_tables(spark, sf_dir)).where("type = 'evidence'")
+    return compare.in_place_changes(item_tables(spark, sf_dir), "evidence")
 
 
 @query(WITH_COMPARE + f""", every AS (SELECT pair, 0 AS g, o.item_number AS n, 1 AS k, 'status' AS type FROM old o JOIN new n USING (pair, item_number) JOIN pos USING (pair, item_number) WHERE o.status <> n.status OR o.reason_code <> n.reason_code
