@@ -15,6 +15,7 @@ import re
 from bisect import bisect_right
 from collections import OrderedDict, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import ahocorasick
@@ -294,8 +295,11 @@ def _found(nodes: DataFrame, titles: DataFrame | Dictionary, key: list[str], ask
 
     def hits_of(batch: pa.RecordBatch):
         found = batch.column("met")
+        flat = found.flatten()
+        begins = [0, *accumulate(n or 0 for n in found.value_lengths().to_pylist())]
+        places = list(zip(flat.field("start").to_pylist(), flat.field("title").to_pylist(), strict=True))
         # hashes can meet by chance, so the text itself has the say
-        return lambda i, text: list(examined((t, s, s + len(t)) for s, t in sorted((m["start"], m["title"]) for m in found[i].as_py() or []) if text.startswith(t, s)))
+        return lambda i, text: list(examined((t, s, s + len(t)) for s, t in sorted(places[begins[i] : begins[i + 1]]) if text.startswith(t, s)))
 
     return _batches(met, keep, asked, hits_of, lambda _: lambda texts: pa.array(texts, pa.string()))
 

@@ -254,6 +254,33 @@ def test_large_dictionary_against_the_automaton(spark, monkeypatch):
     assert told() == want and sum(n for _, n, _ in want) > 1000
 
 
+def test_longer_leads_are_looked_up_where_the_least_passes(spark):
+    """Windows among some places are those of all places there; every title has a short hash, and all titles are found."""
+    import numpy as np
+
+    from evidentia.operators import rolling
+
+    rng = random.Random(21)
+    parts = ["".join(rng.choice("ab 가") for _ in range(n)) for n in (0, 3, 90, 1, 40)]
+    windows, among = rolling.Windows(parts), np.array([0, 2, 3, 50, 92, 93, 120, 133])
+    for lead in rolling.LEADS:
+        at, grams = windows.hashes(lead)
+        some, told = windows.hashes(lead, among)
+        kept = np.isin(at, among)
+        assert some.tolist() == at[kept].tolist() and told.tolist() == grams[kept].tolist()
+    texts = ["".join(rng.choice("ab 가") for _ in range(rng.randint(0, 200))) for _ in range(80)]
+    titles = sorted({t[i : i + n] for t in texts for n in (3, 4, 9, 17, 40) for i in [rng.randint(0, 150)] if len(t[i : i + n]) == n})
+    known = spark.createDataFrame([(t,) for t in titles], "title string")
+    assert {r["short"] for r in rolling.keyed(known).collect()} == set(rolling.Windows([t[:3] for t in titles]).hashes(3)[1].tolist())
+    nodes = spark.createDataFrame([*enumerate(texts), (900, None)], "n int, text string")
+    got = {r["n"]: {(h["title"], h["start"]) for h in r["hits"]} for r in extract.with_hits(nodes, known, ["n"], held=0).collect()}
+    for n, text in enumerate(texts):
+        d = extract.Dictionary.of(titles)
+        want = {(d.titles[t], s) for t, s, _ in extract.occurrences(text, d)}
+        assert got[n] == want
+    assert got[900] == set() and sum(map(len, got.values())) > 300
+
+
 def test_few_automata_stay():
     """A hundred dictionaries leave a bounded number of automata, the last ones; equal ones share theirs."""
     extract.Automata.built.clear()
